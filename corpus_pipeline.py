@@ -1,3 +1,62 @@
-STAGES = []
+"""From raw documents to packed sequences, in five stages; see STAGES."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrascape.llm import mixing, packing, prefixjoin, quality, suffix
+from terrascape.llm.common import table, written
+from terrascape.llm.queries import tokenizer_path
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    model = quality.trained(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of 5-word shingle similarity of 0.8 join, the document with the smallest doc_id."""
+    others = prefixjoin.classes(docs, n=5, t="0.8").where("component_id <> doc_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings of 200 bytes that occur elsewhere too; n_chars follows."""
+    out = suffix.deduplicated(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its fitted rate says."""
+    copies = mixing.mixed(docs, table(spark, sf_dir, "labels")).where("copies <> 1").select("row_hash", "copies")
+    hashed = docs.withColumn("row_hash", F.xxhash64("doc_id", "text"))
+    joined = hashed.join(copies.dropDuplicates(["row_hash"]), "row_hash", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_similar),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix_to_targets),
+    ("best-fit packing", pack_sequences),
+]
+
+#: SQL can't express the trained classifiers or the tokenizer; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, name.replace(" ", "-"))
+    return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascape.llm import llr, minhash, packing, quality, sharding, toxicity, warc
+from terrascape.llm import llr, minhash, mixing, packing, prefixjoin, quality, sharding, suffix, toxicity, warc
 from terrascape.llm.common import held_out, labelled_sample, table
 
 
@@ -32,10 +32,19 @@ def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixjoin.classes(table(spark, sf_dir, "documents"), n=3, t="0.9")
+
+
 def op7_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     trusted = labelled_sample(table(spark, sf_dir, "labels"), "quality", llr.MOST_TRUSTED).where("label = 1")
@@ -49,16 +58,33 @@ def op8_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row_hash")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_histogram_sharding, op3_warc_index, op5_minhash, op7_llr_rules, op8_counterfactual_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_histogram_sharding, op3_warc_index, op4_suffix_dedup, op5_minhash, op6_prefix_tree_join, op7_llr_rules, op8_counterfactual_toxicity, op9_soft_mixing, op10_best_fit_packing)}
 
 
 #: DuckDB SQL for the rows of those queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op6_prefix_tree_join": r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(g) AS n, hash(unnest(g)) AS h FROM s),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.doc_id)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, m.c AS component_id
+FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m ON m.doc_id = s.doc_id""",
     "op3_warc_index": """
 WITH d AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
 f AS (SELECT x, min(page_id) AS first_id FROM d GROUP BY x)
