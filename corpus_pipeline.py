@@ -29,8 +29,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate says."""
-    copies = mixing.mixed(docs, table(spark, sf_dir, "labels")).where("copies <> 1").select("row_hash", "copies")
+    """Each document with its fitted rate as its chance to stay; clean ones have rates of about 1, and none is repeated."""
+    copies = mixing.mixed(docs, table(spark, sf_dir, "labels"), ceiling=1.0).where("copies <> 1").select("row_hash", "copies")
     hashed = docs.withColumn("row_hash", F.xxhash64("doc_id", "text"))
     joined = hashed.join(copies.dropDuplicates(["row_hash"]), "row_hash", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     return joined.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -56,21 +56,29 @@ def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] =
 
 def posteriors(documents: DataFrame, prior: np.ndarray, share: np.ndarray, names: tuple[str, ...] = DOMAINS, sureness: float = SURENESS) -> DataFrame:
     """doc_id, tokens long (words), p_<domain> double; a text without words has the prior."""
+
+    def summed(table: Column) -> Column:
+        return F.aggregate("words", F.lit(0.0), lambda a, i: a + F.element_at(table, i))
+
     rows = documents.select("doc_id", word_buckets(share.shape[1]).alias("words")).withColumn("tokens", F.size("words").cast("long"))
     for k, name in enumerate(names):
-        table = F.lit(share[k])
-        total = F.aggregate("words", F.lit(0.0), lambda a, i, table=table: a + F.element_at(table, i)) if k else F.lit(0.0)
+        total = summed(F.lit(share[k])) if k else F.lit(0.0)
         z = float(prior[k] - prior[0]) + sureness * total / F.greatest(F.col("tokens"), F.lit(1))
         rows = rows.withColumn(f"z_{name}", F.exp(F.least(F.greatest(z, F.lit(-50.0)), F.lit(50.0))))
     norm = sum((F.col(f"z_{n}") for n in names), F.lit(0.0))
     return rows.select("doc_id", "tokens", *[(F.col(f"z_{n}") / norm).alias(f"p_{n}") for n in names])
 
 
-def rate_of(state: np.ndarray, names: tuple[str, ...]) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p_{n}") * float(x) for n, x in zip(names, state, strict=True)), F.lit(0.0)))
+def raw_rate(state: np.ndarray, names: tuple[str, ...]) -> Column:
+    return F.lit(1.0) - sum((F.col(f"p_{n}") * float(x) for n, x in zip(names, state, strict=True)), F.lit(0.0))
+
+
+def rate_of(state: np.ndarray, names: tuple[str, ...], ceiling: float | None) -> Column:
+    rate = F.greatest(F.lit(0.0), raw_rate(state, names))
+    return rate if ceiling is None else F.least(F.lit(float(ceiling)), rate)
 
 
-def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] = DOMAINS, rounds: int = ROUNDS, tolerance: float = 1e-5) -> np.ndarray:
+def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] = DOMAINS, ceiling: float | None = None, rounds: int = ROUNDS, tolerance: float = 1e-5) -> np.ndarray:
     """State from which rate_of follows; rows: tokens and posteriors, as written (they are read once a round)."""
     tokens = rows.agg(*[F.sum(F.col("tokens") * F.col(f"p_{n}")).alias(n) for n in names]).head()
     now = np.array([float(x or 0.0) for x in tokens])
@@ -83,8 +91,8 @@ def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] =
     best, best_error, step, jump = state, math.inf, 1.0, np.zeros(len(names))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     for _ in range(rounds):
-        rate = rate_of(state, names)
-        used = F.when(rate > 0, F.col("tokens")).otherwise(0)
+        raw, rate = raw_rate(state, names), rate_of(state, names, ceiling)
+        used = F.when((raw > 0) & (raw <= (1e9 if ceiling is None else ceiling)), F.col("tokens")).otherwise(0)
         got = rows.agg(
             *[F.sum(F.col("tokens") * F.col(f"p_{n}") * rate).alias(f"s_{n}") for n in names],
             *[F.sum(used * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"h_{a}_{b}") for a, b in pairs],
@@ -105,10 +113,10 @@ def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] =
     return best
 
 
-def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, names: tuple[str, ...] = DOMAINS) -> DataFrame:
+def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, names: tuple[str, ...] = DOMAINS, ceiling: float | None = None) -> DataFrame:
     """doc_id, tokens long, p_<domain> double, rate double, copies int of each row of documents.
 
-    copies is the rate, rounded up or down by the hash of doc_id and text so that its mean is the
+    Rates stay at or above 0 and, if there is one, at or below the ceiling. copies is the rate, rounded up or down by the hash of doc_id and text so that its mean is the
     rate. A null or empty text has no tokens and the prior as its posterior. Repeated rows fare
     alike. Without labels all posteriors are equal; a domain with a target but no tokens can't be
     met, and the others come as near as least squares allow.
@@ -116,6 +124,6 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = T
     prior, share = evidence(documents, written(labelled_domains(labels), "labelled-domains"), names)
     hashed = documents.withColumn("doc_id", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("u")))
     rows = written(posteriors(hashed, prior, share, names), "posteriors")
-    rate = rate_of(fitted(rows, targets, names), names)
+    rate = rate_of(fitted(rows, targets, names, ceiling), names, ceiling)
     chance = F.pmod(F.col("doc_id.u"), F.lit(1 << 40)) / float(1 << 40)
     return rows.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.u").alias("row_hash"), "tokens", *[f"p_{n}" for n in names], rate.alias("rate"), F.floor(rate + chance).cast("int").alias("copies"))
