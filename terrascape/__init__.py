@@ -1,0 +1 @@
+"""Landscape indicators over gridded data, as Spark DataFrames."""

@@ -1,0 +1 @@
+"""Nothing: all inputs are whole rasters, so there is no streaming operator to provide."""
