@@ -126,6 +126,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                             raise ValueError(f"{name}: the payload at {offset} isn't what its record states")
                     page, to = (x and x.removeprefix("<urn:page:").removesuffix(">") for x in (h["WARC-Record-ID"], h.get("WARC-Refers-To")))
                     rows.append((name, url_key(h.get("WARC-Target-URI")), h["WARC-Date"], int(page) if page else None, h["WARC-Type"], int(to) if to else None, digest, size, offset, length))
+                if not rows:
+                    continue
                 rows.sort(key=lambda r: (r[1], r[2], r[3] is not None, r[3] or 0))  # the file's own run
                 types = [pa.int64() if "long" in x else pa.string() for x in _CAPTURE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
