@@ -154,10 +154,10 @@ ORACLE: dict[str, str] = {
     "d5_band_overview": f"""WITH e AS (SELECT CAST(floor(vec_id / 20) AS INT) AS "row", CAST(vec_id % 20 AS INT) AS "col", embedding[1:4]::DOUBLE[] AS b FROM embeddings WHERE vec_id < 500)
 SELECT level, gi, gj, round(avg(b[1]), 6) AS b1, round(avg(b[2]), 6) AS b2, round(avg(b[3]), 6) AS b3, round(avg(b[4]), 6) AS b4 FROM {leveled(LEVELS, 'e')} x GROUP BY level, gi, gj""",
     "d6_pa_membership": f"WITH {G}, {cells(True, False)} SELECT level, gi, gj, round(avg(CASE WHEN mine THEN 1.0 ELSE 0.0 END), 6) AS pa FROM {leveled(LEVELS, 'k')} x WHERE cond IS NOT NULL GROUP BY level, gi, gj",
-    "d13_block_cost": with_g("SELECT r::INT AS block_row, c::INT AS block_col, coalesce(n, 0) + 0.1 * least(5, 32 - 5 * r) * least(5, 32 - 5 * c) AS cost FROM (SELECT unnest(range(7)) AS r) a, (SELECT unnest(range(7)) AS c) b LEFT JOIN (SELECT CAST(floor(\"row\" / 5) AS INT) AS x, CAST(floor(\"col\" / 5) AS INT) AS y, count(cond) AS n FROM g GROUP BY 1, 2) v ON v.x = r AND v.y = c"),
+    "d13_block_cost": with_g("SELECT r::INT AS block_row, c::INT AS block_col, coalesce(n, 0) + 0.1 * least(5, 32 - 5 * r) * least(5, 32 - 5 * c)::DOUBLE AS cost FROM (SELECT unnest(range(7)) AS r) a, (SELECT unnest(range(7)) AS c) b LEFT JOIN (SELECT CAST(floor(\"row\" / 5) AS INT) AS x, CAST(floor(\"col\" / 5) AS INT) AS y, count(cond) AS n FROM g GROUP BY 1, 2) v ON v.x = r AND v.y = c"),
     "d16_gap_count": with_g("SELECT count(*) AS gaps FROM g WHERE cond IS NOT NULL AND res IS NULL"),
     "b1_pixel_to_world": with_g(f"SELECT \"row\", \"col\", round({world(GEO, '\"row\"', '\"col\"')[0]}, 6) AS x, round({world(GEO, '\"row\"', '\"col\"')[1]}, 6) AS y FROM g"),
-    "b2_world_to_pixel": with_g('SELECT "row", "col", "col" + 0.5 AS c, "row" + 0.5 AS r FROM g'),
+    "b2_world_to_pixel": with_g('SELECT "row", "col", ("col" + 0.5)::DOUBLE AS c, ("row" + 0.5)::DOUBLE AS r FROM g'),
     "b4_b7_surfaces": f"WITH {G}, {cells(True, True)} SELECT \"row\", \"col\", round(cond, 6) AS cond, round(trav, 6) AS trav, mine AS source FROM k",
     "b12_connected_habitat": with_g('SELECT "row", "col", round(pa, 6) AS raw, round(pa * cond, 6) AS product, round(sqrt(pa * cond), 6) AS root FROM g'),
     "b15_node_id": with_g(f"SELECT level, gi, gj, {node('level', 'gi', 'gj')} AS node {AVG}"),
@@ -180,6 +180,6 @@ SELECT level, gi, gj, round(avg(b[1]), 6) AS b1, round(avg(b[2]), 6) AS b2, roun
     "d8_beri": beri_sql(SMALL, 4, (0, 37, 74), 25, 20),
     "c7_pixel_coverage": "SELECT r::INT AS \"row\", c::INT AS \"col\", round((greatest(0, least(c + 1, 9.25) - greatest(c, 1.5)) * greatest(0, least(r + 1, 8.75) - greatest(r, 2.5)) - greatest(0, least(c + 1, 5.5) - greatest(c, 3.25)) * greatest(0, least(r + 1, 6.5) - greatest(r, 4.75)))::DOUBLE, 5) AS value FROM (SELECT unnest(range(2, 9)) AS r) a, (SELECT unnest(range(1, 10)) AS c) b WHERE value > 0",
     "a8_touched_pixels": 'SELECT r::INT AS "row", c::INT AS "col" FROM (SELECT unnest(range(2, 9)) AS r) a, (SELECT unnest(range(1, 10)) AS c) b',
-    "a20_resolution_info": "SELECT v::INT AS level, ceil(588 / v)::BIGINT AS width, ceil(516 / v)::BIGINT AS height, round(9 * v * 111.32 / 120, 4) AS reach_km FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS v)",
+    "a20_resolution_info": "SELECT v::INT AS level, ceil(588 / v)::BIGINT AS width, ceil(516 / v)::BIGINT AS height, round((9 * v * 111.32 / 120)::DOUBLE, 4) AS reach_km FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS v)",
     "j1_tiles": "SELECT (3 * i + j)::INT AS id, [0, 11, 21, 32][i + 1]::INT AS row_start, [0, 11, 21, 32][i + 2]::INT AS row_stop, [0, 11, 21, 32][j + 1]::INT AS col_start, [0, 11, 21, 32][j + 2]::INT AS col_stop FROM (SELECT unnest(range(3)) AS i) a, (SELECT unnest(range(3)) AS j) b",
 }
