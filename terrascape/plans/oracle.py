@@ -11,7 +11,7 @@ G = f"g AS MATERIALIZED ({G32_SQL})"
 
 def world(grid: Grid, r: str, c: str, v: str = "1") -> tuple[str, str]:
     a, b, x0, d, e, y0 = grid.transform
-    i, j = f"(({r}) + 0.5) * ({v})", f"(({c}) + 0.5) * ({v})"
+    i, j = f"(({r}) + 0.5)::DOUBLE * ({v})", f"(({c}) + 0.5)::DOUBLE * ({v})"
     return f"({a} * {j} + {b} * {i} + {x0})", f"({d} * {j} + {e} * {i} + {y0})"
 
 
