@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascape.llm.common import slices, written
+from terrascape.llm.common import in_small_batches, slices, written
 from terrascape.llm.graphs import cells, whole_groups
 from terrascape.llm.textops import SLICE_BYTES, Texts, prefix_sums, span_hash
 
@@ -29,6 +30,8 @@ LENGTH = 200
 GRAM = 48
 #: Kinds of surroundings of one gram beyond which it is cut into cells.
 MOST_TOGETHER = 4_096
+#: Anchors in which a task looks for equal surroundings before they are dealt out.
+MOST_HELD = 500_000
 _PLACE_BITS = np.uint64((1 << 22) - 1)
 
 
@@ -94,17 +97,35 @@ def met_anchors(documents: DataFrame, length: int, gram: int) -> DataFrame:
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            # of equal surroundings in this task one goes to its gram, and says so; the rest are settled
+            d = {k: np.concatenate([x[k] for x in held]) for k in (*names, "h", "c")}
+            order = np.lexsort((d["c"], d["h"]))
+            d = {k: v[order] for k, v in d.items()}
+            again = np.append(False, (d["h"][1:] == d["h"][:-1]) & (d["c"][1:] == d["c"][:-1]))
+            twice = again | np.append(again[1:], False)
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(d[k], t) for k, t in zip(names, types, strict=True)), pa.array(d["h"].view(np.int64), mask=again), pa.array(d["c"].view(np.int64), mask=again), pa.array(twice)], names=[*names, "h", "c", "twice"]
+            )
+
+        names, types = ["row", "pos", "left", "right"], [pa.int64(), pa.int32(), pa.int16(), pa.int16()]
         for batch, texts in slices(batches):
             a = anchors(Texts(texts), length, gram)
-            row = batch.column("_row").to_numpy()[a["text"].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.array(a["pos"].astype(np.int32)), pa.array(a["left"].astype(np.int16)), pa.array(a["right"].astype(np.int16)), pa.array(a["h"].view(np.int64)), pa.array(a["c"].view(np.int64))],
-                names=["row", "pos", "left", "right", "h", "c"],
-            )
+            a["row"] = batch.column("_row").to_numpy()[a["text"].astype(np.int64)]
+            held.append(a)
+            size += len(a["h"])
+            if size > MOST_HELD:
+                yield told()
+                held, size = [], 0
+        if size:
+            yield told()
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted by h and c; a row is judged once the next one is known, from its neighbours alone
-        names = ["row", "pos", "left", "right", "h", "c"]
+        names = ["row", "pos", "left", "right", "h", "c", "twice"]
         held: dict[str, np.ndarray] | None = None  # the last rows: a judged one, if any, and one that isn't
         waiting: dict | None = None  # the first kind of the present gram, which goes out if there is a second
 
@@ -115,7 +136,7 @@ def met_anchors(documents: DataFrame, length: int, gram: int) -> DataFrame:
             new_c = new_h | np.append(True, c[1:] != c[:-1])
             if skip:
                 new_h[0] = new_c[0] = False
-            whole = ~new_c | np.append(~new_c[1:], False)
+            whole = data["twice"] | ~new_c | np.append(~new_c[1:], False)
             if skip:
                 whole[0] = False
             at = np.arange(len(h))
@@ -142,13 +163,17 @@ def met_anchors(documents: DataFrame, length: int, gram: int) -> DataFrame:
             out.append({k: data[k][keep] for k in names} | {"whole": whole[keep], "named": name[keep]})
             d = {k: np.concatenate([o[k] for o in out]) for k in (*names, "whole", "named")}
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d["row"]), pa.array(d["pos"]), pa.array(d["left"]), pa.array(d["right"]), pa.array(d["h"], mask=~d["named"]), pa.array(d["c"], mask=~d["named"]), pa.array(d["whole"])], names=[*names, "whole"]
+                [pa.array(d["row"]), pa.array(d["pos"]), pa.array(d["left"]), pa.array(d["right"]), pa.array(d["h"], mask=~d["named"]), pa.array(d["c"], mask=~d["named"]), pa.array(d["whole"])], names=[*names[:6], "whole"]
             )
 
         for batch in batches:
+            settled = batch.filter(pc.is_null(batch.column("h")))
+            if settled.num_rows:
+                yield pa.RecordBatch.from_arrays([*settled.columns[:6], settled.column("twice")], names=[*names[:6], "whole"])
+                batch = batch.filter(pc.is_valid(batch.column("h")))
             if not batch.num_rows:
                 continue
-            data = {k: batch.column(k).to_numpy() for k in names}
+            data = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
             skip = 0
             if held is not None:
                 data = {k: np.append(held[k], v) for k, v in data.items()}
@@ -160,8 +185,8 @@ def met_anchors(documents: DataFrame, length: int, gram: int) -> DataFrame:
         if held is not None:
             yield from judge(held, len(held["h"]) - 1, len(held["h"]))
 
-    found = _keyed(documents).select("_row", "text").mapInArrow(find, f"{_SPOT}, h long, c long")
-    dealt = found.repartition("h").sortWithinPartitions("h", "c")
+    found = _keyed(in_small_batches(documents)).select("_row", "text").mapInArrow(find, f"{_SPOT}, h long, c long, twice boolean")
+    dealt = found.repartition(F.coalesce("h", F.xxhash64("row", "pos"))).sortWithinPartitions("h", "c")
     return dealt.mapInArrow(sift, f"{_SPOT}, h long, c long, whole boolean")
 
 
