@@ -1,7 +1,8 @@
 """Mixing to target weights over soft domains, in DataFrame functions only.
 
-A naive Bayes classifier over hashed words, counted from a labelled table, gives each document a
-posterior over domains. Rates start at 1 and are fitted by projected-gradient least squares: each
+A naive Bayes classifier over the distinct hashed words, word beginnings and word ends of a text, counted
+from a labelled table, gives each document a posterior over domains; features whose counts chance
+could explain have no say. Rates start at 1 and are fitted by projected-gradient least squares: each
 round one aggregation gives the expected tokens of each domain at the present rates, and the
 gradient, scaled by the documents' tokens and by the curvature over the documents in use, is
 added to the sum of those before; the rate is what that sum leaves of 1, or 0 where it would
@@ -18,14 +19,19 @@ from pyspark.sql import functions as F
 
 from terrascape.llm.common import held_out, written
 
-BUCKETS = 4_096
 MOST_LABELLED = 20_000
-#: Words by which a posterior is as sure as naive Bayes would be.
-SURENESS = 40.0
+#: Most features that have a say, those farthest from chance; a feature is a 32-bit hash.
+MOST_FEATURES = 4_096
+#: Standard deviations above its expected count, and least log ratio, from which a feature has a say.
+SIGNIFICANT = 5.0
+TELLING = 1.0
+#: Largest log odds of a domain against the first, and most that features which a text lacks count against one.
+SUREST = 12.0
+LACKING = 5.0
 #: Domains by labels, the first of which sets the total: its documents keep about their rate of 1.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.97, "poor": 0.01, "toxic": 0.02}
-ROUNDS = 30
+ROUNDS = 40
 
 
 def labelled_domains(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -36,35 +42,71 @@ def labelled_domains(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     return one.select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def word_buckets(buckets: int = BUCKETS) -> Column:
-    """Hashed words of the text, from 1; none for a null text."""
+def featured(documents: DataFrame) -> DataFrame:
+    """doc_id, tokens (words), features: distinct hashes of the text's words, their first six characters, last two, and repetition of a word; none for a null text."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(buckets)) + 1).cast("int"))
+    hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 32))
+    w = F.col("words")
+    again = F.exists(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
+    begun = F.transform(w, lambda x: hashed(F.concat(F.lit("^"), F.substring(x, 1, 6))))
+    ended = F.transform(w, lambda x: hashed(F.concat(F.lit("$"), F.substring(x, -2, 2))))
+    repeat = F.when(again, F.array(hashed(F.lit("=")))).otherwise(F.array().cast("array<bigint>"))
+    found = F.array_distinct(F.concat(F.transform(w, hashed), begun, ended, repeat))
+    return documents.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("tokens"), found.alias("features"))
 
 
-def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Log prior of each domain, and of each word bucket the log of its share in each domain, against the first; domains: a bounded (doc_id, domain)."""
-    rows = documents.select("doc_id", "text").join(F.broadcast(domains), "doc_id").select("domain", F.explode(word_buckets(buckets)).alias("bucket"))
-    # one row for each domain and bucket
-    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("domain", "bucket").count().collect()}
-    sizes = {r[0]: r[1] for r in domains.groupBy("domain").count().collect()}
-    share = np.array([[counts.get((n, b + 1), 0) + 1.0 for b in range(buckets)] for n in names])
-    share = np.log(share / share.sum(axis=1, keepdims=True))
-    prior = np.array([sizes.get(n, 0) + 1.0 for n in names])
-    return np.log(prior / prior.sum()), share - share[0]
-
-
-def posteriors(documents: DataFrame, prior: np.ndarray, share: np.ndarray, names: tuple[str, ...] = DOMAINS, sureness: float = SURENESS) -> DataFrame:
-    """doc_id, tokens long (words), p_<domain> double; a text without words has the prior."""
-
-    def summed(table: Column) -> Column:
-        return F.aggregate("words", F.lit(0.0), lambda a, i: a + F.element_at(table, i))
+def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Log odds of each domain for a text without features, and of those that tell domains apart what each adds: the log ratio of their documents' shares in a domain and in the first.
 
-    rows = documents.select("doc_id", word_buckets(share.shape[1]).alias("words")).withColumn("tokens", F.size("words").cast("long"))
+    domains: a bounded (doc_id, domain), as written. Counting and choosing is Spark's; at most MOST_FEATURES come back.
+    """
+    sizes = {r[0]: r[1] for r in domains.groupBy("domain").count().collect()}
+    size = np.array([float(sizes.get(x, 0)) for x in names])
+    prior = np.log((size + 1) / (size + 1).sum())
+    known = documents.select("doc_id", "text").join(F.broadcast(domains), "doc_id").select(F.struct("doc_id", "domain").alias("doc_id"), "text")
+    rows = featured(known).select(F.col("doc_id.domain").alias("domain"), F.explode("features").alias("feature"))
+    counts = rows.groupBy("feature").agg(*[F.count_if(F.col("domain") == n).cast("double").alias(n) for n in names])
+    first, farthest = F.col(names[0]), F.lit(0.0)
+    ratios = []
+    for n, k in zip(names[1:], size[1:], strict=True):
+        expected = (F.col(n) + first) * float(k / max(1.0, k + size[0]))
+        off = F.when(expected > 0, F.abs(F.col(n) - expected) / F.sqrt(F.when(expected > 0, expected))).otherwise(0.0)
+        there, here = (F.col(n) + 0.5) / float(k + 1), (first + 0.5) / float(size[0] + 1)
+        ratio = F.log(there) - F.log(here)
+        lacks = F.log1p(-there) - F.log1p(-here)
+        tells = (off >= SIGNIFICANT) & (ratio >= TELLING)
+        ratios += [F.when(tells, ratio - lacks).otherwise(0.0).alias(f"r_{n}"), F.when(tells, lacks).otherwise(0.0).alias(f"l_{n}")]
+        farthest = F.greatest(farthest, F.when(tells, off).otherwise(0.0))
+    best = counts.select("feature", *ratios, farthest.alias("off")).where("off > 0").orderBy(F.desc("off"), "feature").limit(MOST_FEATURES)
+    found = best.collect()
+    lacking = np.array([0.0, *(max(-LACKING, sum(r[f"l_{n}"] for r in found)) for n in names[1:])])
+    return prior + lacking, [(r[0], np.array([0.0, *(r[f"r_{n}"] for n in names[1:])])) for r in found]
+
+
+def posteriors(documents: DataFrame, prior: np.ndarray, telling: list[tuple[int, np.ndarray]], names: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """doc_id, tokens long (words), p_<domain> double; a text without words has the prior.
+
+    A telling feature has its number in two tables, one for each half of its hash; where both
+    halves of a hash give one number, that feature's log ratios count.
+    """
+    halves = np.zeros((2, 1 << 16), np.int64)
+    for number, (h, _) in reversed(list(enumerate(telling, 1))):  # of two in one place the more telling stays
+        halves[0, h & 0xFFFF], halves[1, h >> 16] = number, number
+    table = lambda v, kind: F.from_json(F.lit(str(v.tolist()).replace(" ", "")), f"array<{kind}>")  # noqa: E731  folded once, when planned
+    low, high = table(halves[0], "int"), table(halves[1], "int")
+
+    def number(f: Column) -> Column:
+        one = F.element_at(low, (F.pmod(f, F.lit(1 << 16)) + 1).cast("int"))
+        return F.when((one > 0) & (one == F.element_at(high, (F.shiftright(f, 16) + 1).cast("int"))), one).otherwise(0)
+
+    hits = F.filter(F.transform("features", number), lambda x: x > 0)
+    rows = featured(documents.select("doc_id", "text")).select("doc_id", "tokens", hits.alias("hits"))
     for k, name in enumerate(names):
-        total = summed(F.lit(share[k])) if k else F.lit(0.0)
-        z = float(prior[k] - prior[0]) + sureness * total / F.greatest(F.col("tokens"), F.lit(1))
-        rows = rows.withColumn(f"z_{name}", F.exp(F.least(F.greatest(z, F.lit(-50.0)), F.lit(50.0))))
+        odds = F.lit(float(prior[k] - prior[0]))
+        if k and telling:
+            ratios = table(np.array([r[k] for _, r in telling]), "double")
+            odds = odds + F.aggregate("hits", F.lit(0.0), lambda a, i: a + F.element_at(ratios, i))  # noqa: B023
+        rows = rows.withColumn(f"z_{name}", F.exp(F.least(F.greatest(odds, F.lit(-SUREST)), F.lit(SUREST))))
     norm = sum((F.col(f"z_{n}") for n in names), F.lit(0.0))
     return rows.select("doc_id", "tokens", *[(F.col(f"z_{n}") / norm).alias(f"p_{n}") for n in names])
 
@@ -88,7 +130,7 @@ def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] =
     if not total or not weights[0]:
         return state
     goal = weights * now[0] / weights[0] / total
-    best, best_error, step, jump = state, math.inf, 1.0, np.zeros(len(names))
+    best, best_error, damping = state, math.inf, 1e-6
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     for _ in range(rounds):
         raw, rate = raw_rate(state, names), rate_of(state, names, ceiling)
@@ -104,12 +146,13 @@ def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] =
             if error < tolerance:
                 break
             curve = np.array([[float(got[f"h_{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"]) for b in names] for a in names]) / total
-            jump, step = np.linalg.lstsq(curve + 1e-9 * np.eye(len(names)), off, rcond=None)[0], 1.0
+            slope, damping = off, damping / 10
         else:
-            step /= 2  # too far: documents fell out of use on the way
-            if step < 1e-3:
+            damping *= 10  # too far, as documents fell out of use on the way: nearer to the plain gradient
+            if damping > 1e2:
                 break
-        state = best + step * jump
+        # damped, so that domains that no document in use tells apart do no harm
+        state = best + np.linalg.solve(curve + max(damping, 1e-9) * np.eye(len(names)), slope)
     return best
 
 
@@ -121,9 +164,9 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = T
     alike. Without labels all posteriors are equal; a domain with a target but no tokens can't be
     met, and the others come as near as least squares allow.
     """
-    prior, share = evidence(documents, written(labelled_domains(labels), "labelled-domains"), names)
+    prior, telling = evidence(documents, written(labelled_domains(labels), "labelled-domains"), names)
     hashed = documents.withColumn("doc_id", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("u")))
-    rows = written(posteriors(hashed, prior, share, names), "posteriors")
+    rows = written(posteriors(hashed, prior, telling, names), "posteriors")
     rate = rate_of(fitted(rows, targets, names, ceiling), names, ceiling)
     chance = F.pmod(F.col("doc_id.u"), F.lit(1 << 40)) / float(1 << 40)
     return rows.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.u").alias("row_hash"), "tokens", *[f"p_{n}" for n in names], rate.alias("rate"), F.floor(rate + chance).cast("int").alias("copies"))
