@@ -13,13 +13,24 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python task works on at once; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Rows that Spark sends to a Python task at once: texts are long, and both sides hold them.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends no more than BATCH_ROWS rows to Python at once from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -90,4 +101,4 @@ def with_columns(df: DataFrame, fields: str, compute, column: str = "text") -> D
             values = compute(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(values, types, strict=True))], names=[*batch.schema.names, *new.names])
 
-    return rest.mapInArrow(run, StructType([*rest.schema.fields, *new.fields]))
+    return in_small_batches(rest).mapInArrow(run, StructType([*rest.schema.fields, *new.fields]))

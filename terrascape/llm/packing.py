@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascape.llm.common import slices, written
+from terrascape.llm.common import in_small_batches, slices, written
 from terrascape.llm.textops import Texts, prefix_sums, span_hash
 
 SEQUENCE = 2048
@@ -26,7 +26,7 @@ END = 0
 #: Parts of a length whose ranks are numbered apart.
 LANES = 64
 #: Distinct pieces whose ids a worker keeps.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 
 #: Code points with the Unicode property White_Space.
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -168,7 +168,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, sequence: int = SEQUENCE,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=names[: len(columns)])
 
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return in_small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int, int]]:

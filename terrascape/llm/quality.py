@@ -96,15 +96,25 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, state: Ftr
     return model
 
 
+def lists(column: pa.ChunkedArray | pa.Array) -> list:
+    """A list column as numpy arrays, or lists of them, that share its memory."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(whole, pa.ChunkedArray):
+        whole = pa.concat_arrays(whole.chunks)
+    inner = lists(whole.values) if pa.types.is_list(whole.type.value_type) else whole.values.to_numpy(zero_copy_only=False)
+    cut = whole.offsets.to_numpy()
+    return [inner[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
 def averaged(rows: DataFrame, learn, buckets: int) -> tuple[np.ndarray, float]:
-    """Weights and bias: the mean of the models that learn(columns) fits to each shard of rows, by their row counts.
+    """Weights and bias: the mean of the models that learn(table) fits to each shard of rows, by their row counts.
 
-    rows: a bounded training set with doc_id; columns: a dict of lists, in the order of doc_id.
+    rows: a bounded training set with doc_id and label; table: a shard of it, in the order of doc_id.
     """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("doc_id")
-        w = learn(group.to_pydict()).weights()
+        w = learn(group).weights()
         at = np.flatnonzero(w).astype(np.int32)
         n = float(len(group))
         return pa.table({"at": pa.array([*at.tolist(), -1], pa.int32()), "w": pa.array([*(n * w[at]).tolist(), n], pa.float64())})
@@ -132,8 +142,8 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED,
 
     rows = written(with_columns(sample, "at array<int>, x array<double>", extract).drop("text"), "quality-sample")
 
-    def learn(columns: dict) -> Ftrl:
-        return fit([(np.array(at, np.int32), np.array(x), y) for at, x, y in zip(columns["at"], columns["x"], columns["label"], strict=True)], buckets)
+    def learn(group: pa.Table) -> Ftrl:
+        return fit(list(zip(lists(group.column("at")), lists(group.column("x")), group.column("label").to_pylist(), strict=True)), buckets)
 
     return averaged(rows, learn, buckets)
 
