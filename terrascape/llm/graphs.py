@@ -37,13 +37,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def cells(rows: DataFrame, key: str, member: str, most: int, counted: DataFrame) -> DataFrame:
+def cells(rows: DataFrame, key: str, member: str, most: int, counted: DataFrame, weight: str | None = None) -> DataFrame:
     """rows with part_a, part_b int: every two members of a key meet in exactly one or more cells (key, part_a, part_b) of about 2 * most rows.
 
-    counted: the keys, once a row. A key of up to `most` rows is one cell. A larger one is cut into parts by the hash of its
+    counted: the keys, once a row, with the column weight by which rows count, or 1 each. A key of
+    up to `most` is one cell. A larger one is cut into parts by the hash of its
     members, and each pair of parts is a cell; so no pair is lost and no task holds the key whole.
     """
-    parts = counted.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_parts"))
+    total = F.sum(weight) if weight else F.count("*")
+    parts = counted.groupBy(key).agg(total.alias("_total")).where(F.col("_total") > most).select(key, F.ceil(F.col("_total") / most).cast("int").alias("_parts"))
     n = F.coalesce(F.col("_parts"), F.lit(1))
     own = F.pmod(F.xxhash64(member), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(F.col("_own"), j).alias("part_a"), F.greatest(F.col("_own"), j).alias("part_b")))

@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascape.llm.common import slices, with_columns
-from terrascape.llm.textops import Texts, mix, windows
+from terrascape.llm.common import in_small_batches, slices, with_columns
+from terrascape.llm.prefixjoin import set_key, verified_classes
+from terrascape.llm.textops import Texts, mix, shingle_sets, windows
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -166,4 +167,36 @@ def edited_neighbours(documents: DataFrame, k: int = SHINGLE, buckets: int | Non
                 yield compute(ids, texts, following)
                 ids, texts, following = [], [], []
 
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_small_batches(rows).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def band_links(documents: DataFrame, k: int = SHINGLE, bands: int = BANDS) -> DataFrame:
+    """(a, b) keys of texts that agree in a band of their signatures: each with the least key there, so that no band's pairs are spread out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in slices(batches):
+            keep = np.flatnonzero(~_wordless(texts))
+            if not len(keep):
+                continue
+            texts = [texts[i] for i in keep]
+            key = np.array([set_key(s)[0] for s in shingle_sets(Texts(texts).words(), k)], np.int64)
+            sig = signatures(texts, k).reshape(len(texts), bands, -1)
+            parts = np.ascontiguousarray(sig).view(np.uint16).astype(np.uint64)
+            h = np.zeros((len(texts), bands), np.uint64)
+            for i in range(parts.shape[2]):
+                h = mix(h * np.uint64(31) + parts[:, :, i] + np.uint64(1))
+            h = mix(h + np.arange(bands, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(key, bands))], names=["band", "key"])
+
+    rows = in_small_batches(documents).select("text").mapInArrow(run, "band long, key long").distinct()
+    least = rows.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(least, "band").where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+
+
+def near_duplicates(documents: DataFrame, k: int = SHINGLE, threshold: str = "0.8", bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id: what texts are joined by links that the bands propose and whose Jaccard similarity is verified.
+
+    Bands propose the groups, whole sets decide within them. Null and empty texts are linked with
+    nothing; equal texts share a class; an empty table gives no rows.
+    """
+    return verified_classes(documents, k, threshold, band_links(documents, k, bands))

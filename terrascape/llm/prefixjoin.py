@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascape.llm.common import discard, slices, written
+from terrascape.llm.common import in_small_batches, slices, written
 from terrascape.llm.graphs import Forest, cells, components, whole_groups
 from terrascape.llm.textops import Texts, mix, shingle_sets
 
@@ -31,6 +31,8 @@ FREQUENT = 64
 MOST_FREQUENT = 200_000
 #: Rows of an n-gram or a block beyond which it is cut into cells.
 MOST_TOGETHER = 4_096
+#: The same for n-grams of a block's documents, whose whole texts go to its cells.
+MOST_SHINGLES = 2_000_000
 BITMAP_WORDS = 16
 
 
@@ -78,7 +80,7 @@ def facts(documents: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
                 held, size = [], 0
         yield counted()
 
-    both = written(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles int, ka long, kb long, bitmap binary, token long, count long"), "shingle-facts")
+    both = written(in_small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles int, ka long, kb long, bitmap binary, token long, count long"), "shingle-facts")
     return both.where("token IS NULL").drop("token", "count"), both.where("token IS NOT NULL").select("token", "count")
 
 
@@ -290,10 +292,10 @@ def joined(sets: list[np.ndarray], t: Fraction) -> Iterator[tuple[int, int]]:
 
 
 def verified_links(documents: DataFrame, blocks: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """(a, b) doc_ids: exact links enough to join what links join, within each block; blocks: (doc_id, block), a document of each class."""
+    """(a, b) doc_ids: exact links enough to join what links join, within each block; blocks: (doc_id, block, n_shingles), a document of each class."""
     member = blocks.select(F.col("doc_id").alias("_doc"), "block")
     rows = documents.select(F.col("doc_id").cast("long"), "text").join(member, F.col("doc_id") == F.col("_doc")).drop("_doc")
-    split = cells(rows, "block", "doc_id", MOST_TOGETHER, blocks)
+    split = cells(rows, "block", "doc_id", MOST_SHINGLES, blocks, "n_shingles")
     keys = ["block", "part_a", "part_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,13 +306,29 @@ def verified_links(documents: DataFrame, blocks: DataFrame, n: int, t: Fraction)
             a, b = [], []
             for i, j in zip(edges, [*edges[1:], len(docs)], strict=True):
                 if j - i > 1:
-                    sets = shingle_sets(Texts(data.column("text").slice(i, j - i).cast(pa.binary()).to_pylist()).words(), n)
+                    part = data.slice(i, j - i).to_batches()
+                    sets = [s for _, texts in slices(iter(part)) for s in shingle_sets(Texts(texts).words(), n)]
                     for x, y in joined(sets, t):
                         a.append(int(docs[i + x]))
                         b.append(int(docs[i + y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return split.repartition(*keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(run, "a long, b long")
+    tasks = 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # time, not bytes, is what a block takes
+    return split.repartition(tasks, *keys).sortWithinPartitions(*keys, "doc_id").mapInArrow(run, "a long, b long")
+
+
+def verified_classes(documents: DataFrame, n: int, t: Fraction | str, proposed: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id by the exact links within groups of sets that proposed links (a, b: set keys) join; own: facts(), if at hand."""
+    t = Fraction(t)
+    own = facts(documents, n)[0] if own is None else own
+    sets = own.where("n_shingles > 0")
+    named = written(sets.groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")), "shingle-classes")
+    blocks = written(components(proposed), "blocks")
+    member = named.where("rep IS NOT NULL").join(blocks, named.ka == blocks.node).select(F.col("rep").alias("doc_id"), F.col("root").alias("block"), "n_shingles")
+    found = written(components(verified_links(documents, member, n, t)), "duplicate-classes")
+    reps = named.select("ka", "kb", "rep").join(found, F.col("rep") == F.col("node"), "left").select("ka", "kb", F.coalesce("root", "rep").alias("component_id"))
+    linked = sets.select("doc_id", "n_shingles", "ka", "kb").join(reps, ["ka", "kb"]).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
+    return linked.unionByName(own.where("n_shingles = 0").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id")))
 
 
 def classes(documents: DataFrame, n: int = 5, t: Fraction | str = "0.8") -> DataFrame:
@@ -324,14 +342,7 @@ def classes(documents: DataFrame, n: int = 5, t: Fraction | str = "0.8") -> Data
     t = Fraction(t)
     own, counts = facts(documents, n)
     order = frequent(counts)
-    sets = own.where("n_shingles > 0")
-    named = written(sets.groupBy("ka", "kb").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bitmap")), "shingle-classes")
     met = written(shared_prefixes(prefixes(documents, n, t, order), t), "shared-prefixes")
-    rows = met.join(named.groupBy("ka").agg(F.first("bitmap").alias("bitmap")), "ka")
-    blocks = written(components(candidate_links(rows, met, t)), "blocks")
-    member = named.where("rep IS NOT NULL").join(blocks, named.ka == blocks.node).select(F.col("rep").alias("doc_id"), F.col("root").alias("block"))
-    found = written(components(verified_links(documents, member, n, t)), "duplicate-classes")
-    discard(met)
-    reps = named.select("ka", "kb", "rep").join(found, F.col("rep") == F.col("node"), "left").select("ka", "kb", F.coalesce("root", "rep").alias("component_id"))
-    linked = sets.select("doc_id", "n_shingles", "ka", "kb").join(reps, ["ka", "kb"]).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
-    return linked.unionByName(own.where("n_shingles = 0").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id")))
+    bitmaps = own.where("n_shingles > 0").groupBy("ka").agg(F.first("bitmap").alias("bitmap"))
+    proposed = candidate_links(met.join(bitmaps, "ka"), met, t)
+    return verified_classes(documents, n, t, proposed, own)
