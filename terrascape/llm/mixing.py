@@ -43,7 +43,7 @@ def labelled_domains(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
 
 
 def featured(documents: DataFrame) -> DataFrame:
-    """doc_id, tokens (words), features: distinct hashes of the text's words, their first six characters, last two, and repetition of a word; none for a null text."""
+    """doc_id, tokens (words), features: hashes of the text's words, their first six characters, last two, and repetition of a word; none for a null text."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
     hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 32))
     w = F.col("words")
@@ -51,7 +51,7 @@ def featured(documents: DataFrame) -> DataFrame:
     begun = F.transform(w, lambda x: hashed(F.concat(F.lit("^"), F.substring(x, 1, 6))))
     ended = F.transform(w, lambda x: hashed(F.concat(F.lit("$"), F.substring(x, -2, 2))))
     repeat = F.when(again, F.array(hashed(F.lit("=")))).otherwise(F.array().cast("array<bigint>"))
-    found = F.array_distinct(F.concat(F.transform(w, hashed), begun, ended, repeat))
+    found = F.concat(F.transform(w, hashed), begun, ended, repeat)
     return documents.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("tokens"), found.alias("features"))
 
 
@@ -64,7 +64,7 @@ def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] =
     size = np.array([float(sizes.get(x, 0)) for x in names])
     prior = np.log((size + 1) / (size + 1).sum())
     known = documents.select("doc_id", "text").join(F.broadcast(domains), "doc_id").select(F.struct("doc_id", "domain").alias("doc_id"), "text")
-    rows = featured(known).select(F.col("doc_id.domain").alias("domain"), F.explode("features").alias("feature"))
+    rows = featured(known).select(F.col("doc_id.domain").alias("domain"), F.explode(F.array_distinct("features")).alias("feature"))
     counts = rows.groupBy("feature").agg(*[F.count_if(F.col("domain") == n).cast("double").alias(n) for n in names])
     first, farthest = F.col(names[0]), F.lit(0.0)
     ratios = []
@@ -99,7 +99,7 @@ def posteriors(documents: DataFrame, prior: np.ndarray, telling: list[tuple[int,
         one = F.element_at(low, (F.pmod(f, F.lit(1 << 16)) + 1).cast("int"))
         return F.when((one > 0) & (one == F.element_at(high, (F.shiftright(f, 16) + 1).cast("int"))), one).otherwise(0)
 
-    hits = F.filter(F.transform("features", number), lambda x: x > 0)
+    hits = F.array_distinct(F.filter(F.transform("features", number), lambda x: x > 0))
     rows = featured(documents.select("doc_id", "text")).select("doc_id", "tokens", hits.alias("hits"))
     for k, name in enumerate(names):
         odds = F.lit(float(prior[k] - prior[0]))
@@ -142,13 +142,13 @@ def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] =
         off = np.array([float(got[f"s_{n}"]) for n in names]) / total - goal
         error = float(np.linalg.norm(off))
         if error < best_error:
-            best, best_error = state, error
-            if error < tolerance:
+            gained, best, best_error = best_error - error, state, error
+            if error < tolerance or gained < tolerance / 10:
                 break
             curve = np.array([[float(got[f"h_{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"]) for b in names] for a in names]) / total
             slope, damping = off, damping / 10
         else:
-            damping *= 10  # too far, as documents fell out of use on the way: nearer to the plain gradient
+            damping *= 100  # too far, as documents fell out of use on the way: nearer to the plain gradient
             if damping > 1e2:
                 break
         # damped, so that domains that no document in use tells apart do no harm
