@@ -32,7 +32,7 @@ MOST_FREQUENT = 200_000
 #: Rows of an n-gram or a block beyond which it is cut into cells.
 MOST_TOGETHER = 4_096
 #: The same for n-grams of a block's documents, whose whole texts go to its cells.
-MOST_SHINGLES = 2_000_000
+MOST_SHINGLES = 4_000_000
 BITMAP_WORDS = 16
 
 
@@ -268,13 +268,14 @@ class Trie:
 def joined(sets: list[np.ndarray], t: Fraction) -> Iterator[tuple[int, int]]:
     """Links enough to join all sets that links of similarity t connect."""
     every, count = np.unique(np.concatenate(sets), return_counts=True)
-    rank = np.empty(len(every), np.int64)
-    rank[np.lexsort((every, -count))] = np.arange(len(every))  # what most sets hold comes first, so that paths are shared
+    rank = np.empty(len(every), np.int32)
+    rank[np.lexsort((every, -count))] = np.arange(len(every), dtype=np.int32)  # what most sets hold comes first, so that paths are shared
     ordered = [np.sort(rank[np.searchsorted(every, s)]) for s in sets]
-    forest, trie = Forest(len(sets)), Trie(np.empty(0, np.int64))
+    forest, trie = Forest(len(sets)), Trie(np.empty(0, np.int32))
     mark = np.zeros(len(every), bool)
+    del sets, every, count, rank
     apart = 0
-    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+    for i in sorted(range(len(ordered)), key=lambda i: len(ordered[i])):
         s = ordered[i]
         if apart:
             mark[s] = True
@@ -307,8 +308,7 @@ def verified_links(documents: DataFrame, blocks: DataFrame, n: int, t: Fraction)
             for i, j in zip(edges, [*edges[1:], len(docs)], strict=True):
                 if j - i > 1:
                     part = data.slice(i, j - i).to_batches()
-                    sets = [s for _, texts in slices(iter(part)) for s in shingle_sets(Texts(texts).words(), n)]
-                    for x, y in joined(sets, t):
+                    for x, y in joined([s for _, texts in slices(iter(part)) for s in shingle_sets(Texts(texts).words(), n)], t):
                         a.append(int(docs[i + x]))
                         b.append(int(docs[i + y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
