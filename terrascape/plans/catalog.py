@@ -26,6 +26,17 @@ def query(f: Query) -> Query:
     return f
 
 
+def sampled(f: Query) -> Query:
+    """Registers f for the sources and parameters that its SQL covers and, as <name>_all, for all sources at production parameters."""
+
+    def every(spark, sf_dir):
+        return f(spark, sf_dir, whole=True)
+
+    every.__name__ = f"{f.__name__}_all"
+    query(every)
+    return query(f)
+
+
 def picked(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("row").isin(*PICKED) & F.col("col").isin(*PICKED)).select("row", "col")
 
@@ -137,88 +148,98 @@ def h4_h5_kernels(spark, sf_dir):
     return g32(spark, sf_dir).select("row", "col", F.round(geo.exponential(F.col("cond"), 2.0), 6).alias("exponential"), F.round(geo.gaussian(F.col("cond") * 100, 2.0), 6).alias("gaussian"))
 
 
-def _nodes(spark, sf_dir, params, grid):
+def _nodes(spark, sf_dir, params, grid, whole):
+    """Nodes of the picked sources or, at default levels, of all."""
     cells = surfaces.prepared(g32(spark, sf_dir), False)
-    src = sources(cells).join(picked(cells), ["row", "col"], "left_semi").select("src", "row", "col")
+    src = sources(cells)
+    if whole:
+        params = Params(window_mode=params.window_mode)
+    else:
+        src = src.join(picked(cells), ["row", "col"], "left_semi").select("src", "row", "col")
     return window(src, pyr.pyramid(cells, grid, params.levels), grid, params)
 
 
-@query
-def e2_circular_window(spark, sf_dir):
-    return _nodes(spark, sf_dir, WINDOW, GRID).select("src", "node", rounded("fraction", 5), rounded("area", 4), "rim")
+@sampled
+def e2_circular_window(spark, sf_dir, whole=False):
+    return _nodes(spark, sf_dir, WINDOW, GRID, whole).select("src", "node", rounded("fraction", 5), rounded("area", 4), "rim")
 
 
-@query
-def e3_e7_square_window(spark, sf_dir):
-    return _nodes(spark, sf_dir, Params(levels=LEVELS, window_mode="square"), GRID).select("src", "node", rounded("fraction", 5), rounded("area", 4), "rim")
+@sampled
+def e3_e7_square_window(spark, sf_dir, whole=False):
+    return _nodes(spark, sf_dir, Params(levels=LEVELS, window_mode="square"), GRID, whole).select("src", "node", rounded("fraction", 5), rounded("area", 4), "rim")
 
 
-@query
-def e2_geographic_window(spark, sf_dir):
-    return _nodes(spark, sf_dir, WINDOW, GEO).select("src", "node", rounded("area", 4))
+@sampled
+def e2_geographic_window(spark, sf_dir, whole=False):
+    return _nodes(spark, sf_dir, WINDOW, GEO, whole).select("src", "node", rounded("area", 4))
 
 
-@query
-def c3_c4_edges(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir, SMALL, GRID)
-    return graph.edges(nodes, GRID, SMALL.max_cost, 2).select("src", "u", "v", rounded("adj", 5), rounded("geo", 5))
+@sampled
+def c3_c4_edges(spark, sf_dir, whole=False):
+    nodes = _nodes(spark, sf_dir, SMALL, GRID, whole)
+    return graph.edges(nodes, GRID, SMALL.max_cost, (Params() if whole else SMALL).levels[-1]).select("src", "u", "v", rounded("adj", 5), rounded("geo", 5))
 
 
-@query
-def i3_isolated(spark, sf_dir):
+@sampled
+def i3_isolated(spark, sf_dir, whole=False):
     cells = surfaces.prepared(g32(spark, sf_dir), False)
-    src = sources(cells).where("row BETWEEN 9 AND 13")
-    nodes = window(src, pyr.pyramid(cells, GRID, SMALL.levels), GRID, SMALL)
-    return graph.isolated(nodes, GRID, SMALL.max_cost).select("src", "node", rounded("adj", 5), rounded("geo", 5))
+    src, params = (sources(cells), Params()) if whole else (sources(cells).where("row BETWEEN 9 AND 13"), SMALL)
+    nodes = window(src, pyr.pyramid(cells, GRID, params.levels), GRID, params)
+    return graph.isolated(nodes, GRID, params.max_cost).select("src", "node", rounded("adj", 5), rounded("geo", 5))
 
 
-@query
-def i6_i7_paths(spark, sf_dir):
+@sampled
+def i6_i7_paths(spark, sf_dir, whole=False):
     cells = surfaces.prepared(g32(spark, sf_dir), False)
-    _, _, far = indicators.targets(cells, GRID, SMALL, only=picked(cells), rounds=True)
+    if whole:
+        _, _, far = indicators.targets(cells, GRID, Params())
+    else:
+        _, _, far = indicators.targets(cells, GRID, SMALL, only=picked(cells), rounds=True)
     return far.select("src", "node", rounded("adj", 5), rounded("geo", 2))
 
 
-def _scored(spark, sf_dir, grid=GRID, params=SMALL, resistance=False, pa=False, engine="tiled", **how):
+def _scored(spark, sf_dir, whole, grid=GRID, params=SMALL, resistance=False, pa=False, engine="tiled", **how):
     cells = g32(spark, sf_dir)
+    if whole:
+        params = Params(window_mode=params.window_mode, option=params.option)
     how |= {"resistance": raster(cells, "res")} if resistance else {}
     how |= {"pa": raster(cells, "pa")} if pa else {}
-    out = indicators.connectedness(raster(cells, "cond"), grid, params, engine=engine, sources_only=picked(cells), **how)
+    out = indicators.connectedness(raster(cells, "cond"), grid, params, engine=engine, sources_only=None if whole else picked(cells), **how)
     return out.select("row", "col", rounded("value", 5))
 
 
-@query
-def d7_connectedness(spark, sf_dir):
-    return _scored(spark, sf_dir)
+@sampled
+def d7_connectedness(spark, sf_dir, whole=False):
+    return _scored(spark, sf_dir, whole)
 
 
-@query
-def d7_connectedness_square(spark, sf_dir):
-    return _scored(spark, sf_dir, params=Params(levels=(2,), lambdas=SMALL.lambdas, option=1, window_mode="square"))
+@sampled
+def d7_connectedness_square(spark, sf_dir, whole=False):
+    return _scored(spark, sf_dir, whole, params=Params(levels=(2,), lambdas=SMALL.lambdas, option=1, window_mode="square"))
 
 
-@query
-def d7_connectedness_geographic(spark, sf_dir):
-    return _scored(spark, sf_dir, grid=GEO)
+@sampled
+def d7_connectedness_geographic(spark, sf_dir, whole=False):
+    return _scored(spark, sf_dir, whole, grid=GEO)
 
 
-@query
-def b12_habitat_option3(spark, sf_dir):
-    return _scored(spark, sf_dir, params=Params(levels=(2,), lambdas=SMALL.lambdas, option=3), resistance=True, engine="relational")
+@sampled
+def b12_habitat_option3(spark, sf_dir, whole=False):
+    return _scored(spark, sf_dir, whole, params=Params(levels=(2,), lambdas=SMALL.lambdas, option=3), resistance=True, engine="relational")
 
 
-@query
-def parc_connectedness(spark, sf_dir):
-    return _scored(spark, sf_dir, pa=True)
+@sampled
+def parc_connectedness(spark, sf_dir, whole=False):
+    return _scored(spark, sf_dir, whole, pa=True)
 
 
-@query
-def parc_pa_to_pa(spark, sf_dir):
-    return _scored(spark, sf_dir, pa=True, pa_to_pa=True)
+@sampled
+def parc_pa_to_pa(spark, sf_dir, whole=False):
+    return _scored(spark, sf_dir, whole, pa=True, pa_to_pa=True)
 
 
-@query
-def d8_beri(spark, sf_dir):
+@sampled
+def d8_beri(spark, sf_dir, whole=False):
     cells = g32(spark, sf_dir).where("row < 25 AND col < 20")
     layers = [embedding_bands(spark, sf_dir, s) for s in (0, 37, 74)]
     out = indicators.beri(raster(cells, "cond"), layers, Grid(25, 20), 4, SMALL, sources_only=picked(cells))

@@ -43,3 +43,22 @@ def test_entry_imports_without_the_training_data_operators(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
     assert not [k for k in entry.queries() if k.startswith("op") or k == "pipeline"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_whole_queries_take_all_sources(spark):
+    from terrascape.plans import catalog
+    from terrascape.plans.fixtures import g32
+
+    cells = g32(spark, SF).toPandas()
+    valid = set(map(tuple, cells.loc[cells.cond.notna(), ["row", "col"]].to_numpy().tolist()))
+    protected = valid & set(map(tuple, cells.loc[cells.pa > 0, ["row", "col"]].to_numpy().tolist()))
+    for name in ("d7_connectedness_all", "d7_connectedness_square_all", "d7_connectedness_geographic_all", "b12_habitat_option3_all", "parc_connectedness_all", "parc_pa_to_pa_all"):
+        got = {(r["row"], r["col"]) for r in catalog.QUERIES[name](spark, SF).where("value IS NOT NULL").collect()}
+        assert got == (protected if name.startswith("parc") else valid), name
+    for name in ("e2_circular_window_all", "e3_e7_square_window_all", "e2_geographic_window_all"):
+        assert catalog.QUERIES[name](spark, SF).select("src").distinct().count() == len(valid), name
+    alone = {(i, j) for i, j in valid if not any((i + a, j + b) in valid for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)}
+    assert catalog.QUERIES["i3_isolated_all"](spark, SF).count() == len(alone)
+    assert catalog.QUERIES["c3_c4_edges_all"](spark, SF).where("u = src").select("src").distinct().count() == len(valid) - len(alone)
+    assert catalog.QUERIES["i6_i7_paths_all"](spark, SF).select("src").distinct().count() == len(valid)
