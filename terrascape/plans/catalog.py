@@ -13,7 +13,7 @@ from terrascape.operators import aoi, coverage, graph, paths, surfaces, tiles
 from terrascape.operators import pyramid as pyr
 from terrascape.operators.window import sources, window
 from terrascape.plans import indicators
-from terrascape.plans.fixtures import GEO, GRID, LEVELS, PICKED, SMALL, embedding_bands, g32, raster
+from terrascape.plans.fixtures import GEO, GRID, LEVELS, PICKED, SIDE, SMALL, embedding_bands, g32, raster, vectors
 from terrascape.plans.oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,10 +70,11 @@ def d4_overview_sum(spark, sf_dir):
     return pyr.overview(g32(spark, sf_dir), LEVELS, total=pyr.total("cond")).select("level", "gi", "gj", rounded("total"))
 
 
-@query
-def d5_band_overview(spark, sf_dir):
-    bands = pyr.band_overview(embedding_bands(spark, sf_dir, 0), LEVELS, 4)
-    return bands.select("level", "gi", "gj", *[F.round(F.get("bands", F.lit(i)), 6).alias(f"b{i + 1}") for i in range(4)])
+@sampled
+def d5_band_overview(spark, sf_dir, whole=False):
+    n, k = vectors(spark, sf_dir) if whole else (500, 4)
+    bands = pyr.band_overview(embedding_bands(spark, sf_dir, 0, k, n), LEVELS, k)
+    return bands.select("level", "gi", "gj", *[F.round(F.get("bands", F.lit(i)), 6).alias(f"b{i + 1}") for i in range(k)])
 
 
 @query
@@ -127,12 +128,14 @@ def b16_b17_edge_cost(spark, sf_dir):
     return g32(spark, sf_dir).select("row", "col", F.round(adj, 6).alias("adj"), geo.quantised(adj).alias("cents"))
 
 
-@query
-def b18_similarity(spark, sf_dir):
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 500")
-    b = v.select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("a"))
-    other = b.select(F.pmod(F.col("vec_id") - 37, F.lit(500)).alias("vec_id"), F.col("a").alias("b"))
-    return b.join(other, "vec_id").select("vec_id", F.round(geo.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+@sampled
+def b18_similarity(spark, sf_dir, whole=False):
+    n, k = vectors(spark, sf_dir) if whole else (500, 4)
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") < n)
+    b = v.select("vec_id", F.transform(F.slice("embedding", 1, k), lambda x: x.cast("double")).alias("a"))
+    other = b.select(F.pmod(F.col("vec_id") - 37, F.lit(n)).alias("vec_id"), F.col("a").alias("b"))
+    sim = geo.similarity(F.col("a"), F.col("b"))  # of many elements it is too small to be rounded
+    return b.join(other, "vec_id").select("vec_id", (sim if whole else F.round(sim, 6)).alias("sim"))
 
 
 @query
@@ -240,6 +243,12 @@ def parc_pa_to_pa(spark, sf_dir, whole=False):
 
 @sampled
 def d8_beri(spark, sf_dir, whole=False):
+    if whole:  # the condition repeats downwards, so that each vector's cell has one; columns from 20 have no climate
+        n, k = vectors(spark, sf_dir)
+        rows = max(SIDE, -(-n // 20))
+        cells = g32(spark, sf_dir).withColumn("row", F.explode(F.sequence("row", F.lit(rows - 1), F.lit(SIDE))))
+        layers = [embedding_bands(spark, sf_dir, s, k, n) for s in (0, 37, 74)]
+        return indicators.beri(raster(cells, "cond"), layers, Grid(rows, SIDE), k, Params()).select("row", "col", "value")
     cells = g32(spark, sf_dir).where("row < 25 AND col < 20")
     layers = [embedding_bands(spark, sf_dir, s) for s in (0, 37, 74)]
     out = indicators.beri(raster(cells, "cond"), layers, Grid(25, 20), 4, SMALL, sources_only=picked(cells))

@@ -49,9 +49,15 @@ def raster(cells: DataFrame, name: str) -> DataFrame:
     return cells.select("row", "col", F.col(name).alias("value"))
 
 
-def embedding_bands(spark: SparkSession, sf_dir: str, shift: int, bands: int = 4) -> DataFrame:
-    """row, col, bands of a 25 x 20 grid: the first elements of the vectors, `shift` places on."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 500")
-    at = F.pmod(F.col("vec_id") - shift, F.lit(500))
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """Number of embeddings, whose ids run from 0 without a gap, and of their elements."""
+    n, most = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.count("*"), F.max(F.size("embedding"))).head()
+    return n, most or 0
+
+
+def embedding_bands(spark: SparkSession, sf_dir: str, shift: int, bands: int = 4, n: int = 500) -> DataFrame:
+    """row, col, bands of a grid of 20 columns: the first elements of the first n vectors, `shift` places on."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") < n)
+    at = F.pmod(F.col("vec_id") - shift, F.lit(n))
     first = F.transform(F.slice("embedding", 1, bands), lambda x: x.cast("double"))
     return v.select(F.floor(at / 20).cast("int").alias("row"), (at % 20).cast("int").alias("col"), first.alias("bands"))

@@ -62,3 +62,25 @@ def test_whole_queries_take_all_sources(spark):
     assert catalog.QUERIES["i3_isolated_all"](spark, SF).count() == len(alone)
     assert catalog.QUERIES["c3_c4_edges_all"](spark, SF).where("u = src").select("src").distinct().count() == len(valid) - len(alone)
     assert catalog.QUERIES["i6_i7_paths_all"](spark, SF).select("src").distinct().count() == len(valid)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_whole_queries_take_all_vectors(spark, tmp_path):
+    import numpy as np
+
+    from terrascape.plans import catalog
+
+    n, rows = 700, 35
+    v = np.random.default_rng(2).random((n, 6)).round(3)
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    os.symlink(f"{SF}/lineitem.parquet", tmp_path / "lineitem.parquet")
+    got = {r.vec_id: r.sim for r in catalog.QUERIES["b18_similarity_all"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(n)) and np.allclose([got[i] for i in range(n)], np.exp(-np.abs(v - v[(np.arange(n) + 37) % n]).sum(axis=1)))
+    got = {(r.level, r.gi, r.gj): [r[f"b{i + 1}"] for i in range(6)] for r in catalog.QUERIES["d5_band_overview_all"](spark, str(tmp_path)).collect()}
+    cells = v.reshape(rows, 20, 6)
+    assert len(got) == rows * 20 + 18 * 10 + 9 * 5
+    assert np.allclose(got[(1, 34, 19)], cells[34, 19]) and np.allclose(got[(2, 17, 0)], cells[34:, :2].mean(axis=(0, 1)), atol=1e-6)
+    out = {(r["row"], r["col"]): r["value"] for r in catalog.QUERIES["d8_beri_all"](spark, str(tmp_path)).collect()}
+    cond = {(r["row"], r["col"]) for r in catalog.QUERIES["fixture_g32"](spark, str(tmp_path)).where("cond IS NOT NULL").collect()}
+    assert {k for k, x in out.items() if x is not None} == {(i, j) for i in range(rows) for j in range(32) if (i % 32, j) in cond}
+    assert all(out[i, j] > 0 for i in range(32, rows) for j in range(20) if (i % 32, j) in cond)
