@@ -58,12 +58,16 @@ def featured(documents: DataFrame) -> DataFrame:
 def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Log odds of each domain for a text without features, and of those that tell domains apart what each adds: the log ratio of their documents' shares in a domain and in the first.
 
-    domains: a bounded (doc_id, domain), as written. Counting and choosing is Spark's; at most MOST_FEATURES come back.
+    domains: a bounded (doc_id, domain), as written; those of documents that aren't at hand don't count. A domain
+    without any has log odds of minus infinity, unless none has. Counting and choosing is Spark's; at most MOST_FEATURES come back.
     """
-    sizes = {r[0]: r[1] for r in domains.groupBy("domain").count().collect()}
+    joined = documents.select("doc_id", "text").join(F.broadcast(domains), "doc_id")
+    sizes = {r[0]: r[1] for r in joined.groupBy("domain").count().collect()}
     size = np.array([float(sizes.get(x, 0)) for x in names])
     prior = np.log((size + 1) / (size + 1).sum())
-    known = documents.select("doc_id", "text").join(F.broadcast(domains), "doc_id").select(F.struct("doc_id", "domain").alias("doc_id"), "text")
+    if size.any():
+        prior[size == 0] = -np.inf
+    known = joined.select(F.struct("doc_id", "domain").alias("doc_id"), "text")
     rows = featured(known).select(F.col("doc_id.domain").alias("domain"), F.explode(F.array_distinct("features")).alias("feature"))
     counts = rows.groupBy("feature").agg(*[F.count_if(F.col("domain") == n).cast("double").alias(n) for n in names])
     first, farthest = F.col(names[0]), F.lit(0.0)
@@ -101,8 +105,12 @@ def posteriors(documents: DataFrame, prior: np.ndarray, telling: list[tuple[int,
 
     hits = F.array_distinct(F.filter(F.transform("features", number), lambda x: x > 0))
     rows = featured(documents.select("doc_id", "text")).select("doc_id", "tokens", hits.alias("hits"))
+    base = prior[np.isfinite(prior)][0]
     for k, name in enumerate(names):
-        odds = F.lit(float(prior[k] - prior[0]))
+        if not np.isfinite(prior[k]):
+            rows = rows.withColumn(f"z_{name}", F.lit(0.0))
+            continue
+        odds = F.lit(float(prior[k] - base))
         if k and telling:
             ratios = table(np.array([r[k] for _, r in telling]), "double")
             odds = odds + F.aggregate("hits", F.lit(0.0), lambda a, i: a + F.element_at(ratios, i))  # noqa: B023
@@ -161,7 +169,8 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = T
 
     Rates stay at or above 0 and, if there is one, at or below the ceiling. copies is the rate, rounded up or down by the hash of doc_id and text so that its mean is the
     rate. A null or empty text has no tokens and the prior as its posterior. Repeated rows fare
-    alike. Without labels all posteriors are equal; a domain with a target but no tokens can't be
+    alike. Labels of documents that aren't at hand don't count: a domain without labelled documents
+    has posteriors of 0; without any, all posteriors are equal. A domain with a target but no tokens can't be
     met, and the others come as near as least squares allow.
     """
     prior, telling = evidence(documents, written(labelled_domains(labels), "labelled-domains"), names)

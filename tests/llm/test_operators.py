@@ -399,6 +399,32 @@ def test_mixing_meets_targets(spark):
     assert np.allclose(p.T @ (t * rate), [got[n] for n in mixing.DOMAINS], rtol=0.02, atol=0.002 * t.sum())
 
 
+def test_mixing_keeps_clean_documents_where_poor_ones_are_gone(spark):
+    import corpus_pipeline as cp
+
+    docs, labels, frame = labelled(spark, 400)
+    of = {d: (q, t) for d, q, t in labels}
+    df = make(spark, [(d, t) for d, t in docs if of[d][0]])
+    rows = mixing.mixed(df, frame, ceiling=1.0).collect()
+    assert {r.p_poor for r in rows} == {0.0}
+    clean = {d for d in of if of[d] == (1, 0)}
+    assert min(r.rate for r in rows if r.doc_id in clean) > 0.995
+    kept = {r.doc_id for r in mixed_stage(cp, spark, df.select("doc_id", "text"), frame).collect()}
+    assert clean <= kept
+    # without clean ones the others share the posterior
+    rows = mixing.mixed(make(spark, [(d, t) for d, t in docs if of[d] != (1, 0)]), frame).collect()
+    assert {r.p_clean for r in rows} == {0.0} and all(abs(r.p_poor + r.p_toxic - 1) < 1e-9 for r in rows)
+
+
+def mixed_stage(cp, spark, df, labels):
+    """The pipeline's fourth stage with these labels."""
+    from terrascape.llm.common import shared_dir
+
+    path = f"{shared_dir(spark)}/mixed-stage"
+    labels.write.mode("overwrite").parquet(f"{path}/labels.parquet")
+    return cp.mix_to_targets(spark, df, path)
+
+
 def test_mixing_on_awkward_rows(spark):
     _, _, frame = labelled(spark, 30)
     got = mixing.mixed(make(spark, awkward()), frame, ceiling=1.0).collect()
