@@ -106,21 +106,27 @@ def lists(column: pa.ChunkedArray | pa.Array) -> list:
     return [inner[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def averaged(rows: DataFrame, learn, buckets: int) -> tuple[np.ndarray, float]:
+def averaged(rows: DataFrame, learn, buckets: int, more: DataFrame | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias: the mean of the models that learn(table) fits to each shard of rows, by their row counts.
 
     rows: a bounded training set with doc_id and label; table: a shard of it, in the order of doc_id.
+    more: rows with a number `deal` by which they are dealt to the shards, for learn(table, its shard of more).
     """
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(group: pa.Table, *others: pa.Table) -> pa.Table:
+        if not len(group):
+            return pa.table({"at": pa.array([], pa.int32()), "w": pa.array([], pa.float64())})
         group = group.sort_by("doc_id")
-        w = learn(group).weights()
+        w = learn(group, *others).weights()
         at = np.flatnonzero(w).astype(np.int32)
         n = float(len(group))
         return pa.table({"at": pa.array([*at.tolist(), -1], pa.int32()), "w": pa.array([*(n * w[at]).tolist(), n], pa.float64())})
 
     shards = min(SHARDS, max(1, -(-rows.count() // SHARD_ROWS)))
-    parts = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard").applyInArrow(run, "at int, w double")
+    parts = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard")
+    if more is not None:
+        parts = parts.cogroup(more.withColumn("shard", F.pmod("deal", F.lit(shards).cast("long"))).groupBy("shard"))
+    parts = parts.applyInArrow(run if more is None else lambda group, other: run(group, other), "at int, w double")
     found = parts.groupBy("at").agg(F.sum("w").alias("w")).toPandas().set_index("at")["w"]
     out = np.zeros(buckets + 1)
     if len(found):

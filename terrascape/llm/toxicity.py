@@ -25,6 +25,8 @@ BUCKETS = 1 << 20
 #: Weight of a toxic text in training: of the two, they are the rarer.
 POSITIVE = 3.0
 MOST_LABELLED = 12_000
+#: Bytes of sentences whose swaps are worked out at once.
+SWAPPED_BYTES = 1 << 18
 #: Lengths in bytes of the word beginnings.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Groups of identity terms that may stand for each other.
@@ -89,66 +91,90 @@ def sparse(texts: list[bytes | None], buckets: int) -> list[np.ndarray]:
     return [np.append(index[a:b], np.int32(buckets)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def swapped(texts: list[bytes | None], groups=IDENTITY_GROUPS) -> list[tuple[bytes, bytes]]:
-    """Each sentence of the texts that mentions an identity term, with the sentence that mentions another of its group, for every other."""
+def swaps(text: bytes | None, groups=IDENTITY_GROUPS) -> Iterator[tuple[bytes, bytes]]:
+    """Each mention of an identity term in the text: its sentence, and the sentence with another term of the group there, for every other."""
     others = {a: [b for b in group if b != a] for group in groups for a in group}
     term = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, others), key=len, reverse=True)) + r")(?!\w)", re.IGNORECASE)
-    out = []
-    for text in texts:
-        for sentence in re.split(r"(?<=[.!?])\s+|\n", (text or b"").decode("utf-8", "replace")):
-            if m := term.search(sentence):
-                for other in others[m[1].lower()]:
-                    out.append((sentence.encode(), (sentence[: m.start()] + other + sentence[m.end() :]).encode()))
+    for sentence in re.split(r"(?<=[.!?])\s+|\n", (text or b"").decode("utf-8", "replace")):
+        for m in term.finditer(sentence):
+            for other in others[m[1].lower()]:
+                yield sentence.encode(), (sentence[: m.start()] + other + sentence[m.end() :]).encode()
+
+
+def swapped(texts: list[bytes | None], groups=IDENTITY_GROUPS) -> list[tuple[bytes, bytes]]:
+    return [pair for text in texts for pair in swaps(text, groups)]
+
+
+def changes(texts: list[bytes | None], buckets: int, groups=IDENTITY_GROUPS) -> list[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Per text, for each of its swaps: the buckets that only the sentence has, and those that only its swapped form has."""
+    out: list[tuple[list, list]] = [([], []) for _ in texts]
+    each = ((i, pair) for i, text in enumerate(texts) for pair in swaps(text, groups))
+    held: list[tuple[int, tuple[bytes, bytes]]] = []
+
+    def settle() -> None:
+        for (i, _), a, b in zip(held, *(sparse([pair[side] for _, pair in held], buckets) for side in (0, 1)), strict=True):
+            out[i][0].append(np.setdiff1d(a, b))
+            out[i][1].append(np.setdiff1d(b, a))
+        held.clear()
+
+    size = 0
+    for one in each:
+        held.append(one)
+        size += len(one[1][0])
+        if size >= SWAPPED_BYTES:
+            settle()
+            size = 0
+    if held:
+        settle()
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], buckets: int, state: Ftrl | None = None, epochs: int = 3, penalty: float = 0.5) -> Ftrl:
-    """Passes over (buckets, label) rows and, between them, over the buckets of sentences and of their swapped forms."""
+def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], buckets: int, state: Ftrl | None = None, epochs: int = 3, penalty: float = 0.5, shares: list[float] | None = None) -> Ftrl:
+    """Passes over (buckets, label) rows and, spread between them, over all pairs: the buckets of sentences and of their swapped forms; shares: weights of the pairs."""
     # what chance adds to a coordinate grows as the root of the rows
     model = state or Ftrl(buckets, alpha=1.0, l1=5.0 * min(1.0, (len(rows) / 2500) ** 0.5), l2=0.01)
-    every = max(1, len(rows) // max(1, len(pairs)))
-    k = 0
+    steps = []
+    for a, b in pairs:
+        at = np.setxor1d(a, b)
+        steps.append((at, np.where(np.isin(at, a), 1.0, -1.0)))
     for _ in range(epochs):
         for i, (at, y) in enumerate(rows):
             model.step(at, np.ones(len(at)), y, POSITIVE if y else 1.0)
-            if pairs and i % every == 0:
-                a, b = pairs[k % len(pairs)]
-                k += 1
-                at = np.setxor1d(a, b)
-                sign = np.where(np.isin(at, a), 1.0, -1.0)
+            for k in range(i * len(steps) // len(rows), (i + 1) * len(steps) // len(rows)):
+                at, sign = steps[k]
                 w = model.weights(at)
                 change = float(np.clip(w @ sign, -4, 4))
-                model.add(at, w, penalty * 2 * change * sign)
+                model.add(at, w, penalty * 2 * change * (1.0 if shares is None else shares[k]) * sign)
     return model
 
 
 def trained(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, buckets: int = BUCKETS, groups=IDENTITY_GROUPS) -> tuple[np.ndarray, float]:
     """Weights and bias, learned from at most `most` rows of labels(doc_id, toxic) that aren't held out.
 
-    The swapped sentences come from the same texts, up to 8 of each. Without a labelled text the
+    The swapped sentences are those of all identity mentions of the same texts; each pair is a row
+    of its own, and the pairs of a text share the weight of one. Without a labelled text the
     weights are 0 and every score is 0.5.
     """
     sample = documents.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, "toxic", most)), "doc_id")
 
     def extract(texts: list[bytes | None]):
-        own = [swapped([t], groups)[:8] for t in texts]
-        sides = [sparse([p[side] for ps in own for p in ps], buckets) for side in (0, 1)]
-        cut = np.cumsum([0, *map(len, own)])
-        return (
-            [at.tolist() for at in sparse(texts, buckets)],
-            *([[at.tolist() for at in side[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)] for side in sides),
-        )
+        found = changes(texts, buckets, groups)
+        return [at.tolist() for at in sparse(texts, buckets)], *([[at.tolist() for at in one[side]] for one in found] for side in (0, 1))
 
     rows = written(with_columns(sample, "at array<int>, said array<array<int>>, other array<array<int>>", extract).drop("text"), "toxicity-sample")
+    pairs = rows.select("doc_id", (1 / F.size("said")).alias("share"), F.posexplode(F.arrays_zip("said", "other")).alias("place", "pair"))
+    pairs = pairs.select(F.pmod(F.xxhash64("doc_id", "place"), F.lit(1 << 16)).alias("deal"), "doc_id", "place", "share", "pair.said", "pair.other")
 
-    def learn(group: pa.Table) -> Ftrl:
+    def learn(group: pa.Table, swaps: pa.Table) -> Ftrl:
         at = lists(group.column("at"))
         df = np.bincount(np.concatenate(at), minlength=buckets + 1)
         at = [a[df[a] > 1] for a in at]
-        pairs = [pair for x, y in zip(lists(group.column("said")), lists(group.column("other")), strict=True) for pair in zip(x, y, strict=True)]
-        return fit(list(zip(at, group.column("label").to_pylist(), strict=True)), pairs, buckets)
+        # in the order of their hashes, so that those of one text don't come together
+        swaps = swaps.sort_by([("deal", "ascending"), ("doc_id", "ascending"), ("place", "ascending")])
+        found = list(zip(lists(swaps.column("said")), lists(swaps.column("other")), strict=True)) if len(swaps) else []
+        return fit(list(zip(at, group.column("label").to_pylist(), strict=True)), found, buckets, shares=swaps.column("share").to_pylist())
 
-    return averaged(rows, learn, buckets)
+    return averaged(rows.select("doc_id", "label", "at"), learn, buckets, pairs)
 
 
 def classify(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:

@@ -381,6 +381,29 @@ def test_identity_terms_carry_little_weight(spark):
     assert gap(pairs) < 0.5 * gap([])
 
 
+def test_every_identity_mention_is_swapped_and_stepped_through():
+    sentence = b"They saw the Muslim there."
+    pairs = toxicity.swapped([sentence])
+    assert len(pairs) == 7 and (sentence, b"They saw the hindu there.") in pairs
+    text = b" ".join([b"She left. He came back."] * 20 + [b"A Muslim spoke."])
+    buckets = 1 << 16
+    (said, other), empty = toxicity.changes([text, None], buckets)
+    assert len(said) == len(other) == 2 * 40 + 5 and empty == ([], [])
+    for one, a, b in zip(toxicity.swapped([text]), said, other, strict=True):
+        x, y = map(set, toxicity.sparse(list(one), buckets))
+        assert set(a) == x - y and set(b) == y - x
+
+    class Seen(quality.Ftrl):
+        def add(self, at, w, g):
+            seen.append(tuple(at))
+            super().add(at, w, g)
+
+    seen = []
+    swaps = [(np.array([k]), np.array([k + 1000])) for k in range(85)]
+    toxicity.fit([(np.array([5000]), 1)] * 4, swaps, 1 << 13, Seen(1 << 13), epochs=2, shares=[1 / 85] * 85)
+    assert all(seen.count((k, k + 1000)) == 2 for k in range(85))
+
+
 def test_mixing_meets_targets(spark):
     docs, labels, frame = labelled(spark, 400)
     df = make(spark, docs)
