@@ -90,18 +90,22 @@ def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] =
 def posteriors(documents: DataFrame, prior: np.ndarray, telling: list[tuple[int, np.ndarray]], names: tuple[str, ...] = DOMAINS) -> DataFrame:
     """doc_id, tokens long (words), p_<domain> double; a text without words has the prior.
 
-    A telling feature has its number in two tables, one for each half of its hash; where both
-    halves of a hash give one number, that feature's log ratios count.
+    Telling features are numbered in the order of the lower halves of their hashes; a table has
+    the first number of each half, from which whole hashes are compared.
     """
-    halves = np.zeros((2, 1 << 16), np.int64)
-    for number, (h, _) in reversed(list(enumerate(telling, 1))):  # of two in one place the more telling stays
-        halves[0, h & 0xFFFF], halves[1, h >> 16] = number, number
+    telling = sorted(telling, key=lambda x: (x[0] & 0xFFFF, x[0]))
+    half = np.array([h & 0xFFFF for h, _ in telling], np.int64)
+    count = np.bincount(half, minlength=1 << 16)
+    most = int(count.max())
     table = lambda v, kind: F.from_json(F.lit(str(v.tolist()).replace(" ", "")), f"array<{kind}>")  # noqa: E731  folded once, when planned
-    low, high = table(halves[0], "int"), table(halves[1], "int")
+    start = table(np.where(count > 0, np.cumsum(count) - count + 1, 0), "int")
+    hashes = table(np.array([h for h, _ in telling] + [-1] * most, np.int64), "bigint")
 
     def number(f: Column) -> Column:
-        one = F.element_at(low, (F.pmod(f, F.lit(1 << 16)) + 1).cast("int"))
-        return F.when((one > 0) & (one == F.element_at(high, (F.shiftright(f, 16) + 1).cast("int"))), one).otherwise(0)
+        first, found = F.element_at(start, (F.pmod(f, F.lit(1 << 16)) + 1).cast("int")), F.lit(0)
+        for k in reversed(range(most)):
+            found = F.when(F.element_at(hashes, first + k) == f, first + k).otherwise(found)
+        return F.when(first > 0, found).otherwise(0)
 
     hits = F.array_distinct(F.filter(F.transform("features", number), lambda x: x > 0))
     rows = featured(documents.select("doc_id", "text")).select("doc_id", "tokens", hits.alias("hits"))

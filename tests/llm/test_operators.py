@@ -439,6 +439,15 @@ def test_mixing_keeps_clean_documents_where_poor_ones_are_gone(spark):
     assert {r.p_clean for r in rows} == {0.0} and all(abs(r.p_poor + r.p_toxic - 1) < 1e-9 for r in rows)
 
 
+def test_mixing_looks_features_up_by_their_whole_hash(spark):
+    df = make(spark, [(1, "word"), (2, "other")])
+    h = mixing.featured(df).where("doc_id = 1").head().features[0]
+    low, high = np.array([0.0, 0.0, 5.0]), np.array([0.0, 0.0, 5.0])
+    telling = [(h ^ (1 << 20), low), (h ^ (1 << 25), low), (h ^ 1, high), (h, np.array([0.0, 3.0, 0.0]))]
+    got = {r.doc_id: r.p_poor for r in mixing.posteriors(df, np.zeros(3), telling).collect()}
+    assert abs(got[1] - np.exp(3) / (2 + np.exp(3))) < 1e-9 and abs(got[2] - 1 / 3) < 1e-9
+
+
 def mixed_stage(cp, spark, df, labels):
     """The pipeline's fourth stage with these labels."""
     from terrascape.llm.common import shared_dir
