@@ -1,8 +1,8 @@
-"""What the operators on links share: whole groups from a sorted partition, splitting of large groups, connected components."""
+"""What the operators on links share: whole groups from a sorted partition, linking within groups of any size, connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 
 from terrascape.llm.common import discard, written
 
+#: Members of a large group that all of its parts hold, by which the parts' components join.
+HUBS = 32
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of at least `least` rows, if there are as many, that end where a group of equal keys ends; the input is sorted by keys."""
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000, most_bytes: int = 24 << 20) -> Iterator[pa.Table]:
+    """Tables of about `least` rows or `most_bytes`, more where one group has more, that end where a group of equal keys ends; the input is sorted by keys."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < least:
+        size += batch.nbytes
+        if rows < least and size < most_bytes:
             continue
         data = pa.Table.from_batches(held)
         last = np.ones(rows, bool)
@@ -33,19 +37,21 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
             yield data.slice(0, cut).combine_chunks()
             held = data.slice(cut).combine_chunks().to_batches()
             rows -= cut
+            size = sum(b.nbytes for b in held)
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def cells(rows: DataFrame, key: str, member: str, most: int, counted: DataFrame, weight: str | None = None) -> DataFrame:
+def cells(rows: DataFrame, key: str, member: str, most: int, counted: DataFrame) -> DataFrame:
     """rows with part_a, part_b int: every two members of a key meet in exactly one or more cells (key, part_a, part_b) of about 2 * most rows.
 
-    counted: the keys, once a row, with the column weight by which rows count, or 1 each. A key of
-    up to `most` is one cell. A larger one is cut into parts by the hash of its
-    members, and each pair of parts is a cell; so no pair is lost and no task holds the key whole.
+    counted: the keys, once a row. A key of up to `most` is one cell. A larger one is cut into
+    parts by the hash of its members, and each pair of parts is a cell; so no pair is lost and no
+    task holds the key whole. The list of large keys is written first: Spark broadcasts it if it
+    is small, so that rows of a large key aren't dealt by that key.
     """
-    total = F.sum(weight) if weight else F.count("*")
-    parts = counted.groupBy(key).agg(total.alias("_total")).where(F.col("_total") > most).select(key, F.ceil(F.col("_total") / most).cast("int").alias("_parts"))
+    parts = counted.groupBy(key).agg(F.count("*").alias("_total")).where(F.col("_total") > most).select(key, F.ceil(F.col("_total") / most).cast("int").alias("_parts"))
+    parts = written(parts, "large-keys")
     n = F.coalesce(F.col("_parts"), F.lit(1))
     own = F.pmod(F.xxhash64(member), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(F.least(F.col("_own"), j).alias("part_a"), F.greatest(F.col("_own"), j).alias("part_b")))
@@ -53,6 +59,52 @@ def cells(rows: DataFrame, key: str, member: str, most: int, counted: DataFrame,
     return out.select(*rows.columns, F.inline(pairs))
 
 
+def linked_within(rows: DataFrame, key: str, member: str, most: int, by: list[str], kernel: Callable, link: str, weight: str | None = None, tasks: int | None = None) -> DataFrame:
+    """(a, b) of type `link`: links enough to join all members of each key that kernel's links connect; rows are as written.
+
+    kernel maps Arrow batches, sorted by (key, part, rest, *by), to links enough to join what
+    links within each (key, part); rows with `rest` need not be compared with each other. A key
+    of up to `most` rows (or sum of `weight`) is one part. A larger one is cut by the hash of its
+    members, and a few members, the hubs, go to all of its parts. Members that hubs and parts
+    leave outside the component with most members are then compared with all others of the key,
+    in cells of one part of these and one of those. So a group that links makes one is never
+    compared pair by pair, and none loses a link.
+    """
+    size = F.sum(weight) if weight else F.count("*")
+    columns = rows.columns
+
+    def run(placed: DataFrame) -> DataFrame:
+        dealt = placed.repartition(tasks, key, "part") if tasks else placed.repartition(key, "part")
+        return dealt.sortWithinPartitions(key, "part", "rest", *by).mapInArrow(kernel, f"a {link}, b {link}")
+
+    large = rows.groupBy(key).agg(size.cast("double").alias("_size")).where(F.col("_size") > most).select(key, F.ceil(F.col("_size") / most).cast("int").alias("_parts"))
+    large = written(large, "large-groups")
+    if large.isEmpty():
+        discard(large)
+        return run(rows.select(*columns, F.lit(0).alias("part"), F.lit(False).alias("rest")))
+    marked = rows.join(large, key, "left")
+    spread = marked.where("_parts IS NOT NULL")
+    own = F.pmod(F.xxhash64(member), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")
+    lane = F.pmod(F.xxhash64(F.lit(1), member), F.lit(HUBS))
+    hubs = written(spread.groupBy(key, lane.alias("_lane")).agg(F.min_by(member, F.xxhash64(F.lit(2), member)).alias(member)).select(key, member, F.lit(True).alias("_hub")), "hubs")
+    everywhere = F.sequence(F.lit(0), F.col("_parts") - 1)
+    place = F.when(F.col("_hub"), everywhere).otherwise(F.array(own))
+    first = written(run(marked.join(hubs, [key, member], "left").select(*columns, F.explode(place).alias("part"), F.lit(False).alias("rest"))).distinct(), "group-links")
+    roots = components(first)
+    apart = written(spread.select(key, member, F.col(weight or key).alias("_w")).join(roots, F.col(member) == F.col("node"), "left").select(key, member, "_w", F.coalesce("root", member).alias("_root")), "group-roots")
+    count = F.sum("_w") if weight else F.count("*")
+    main = written(apart.groupBy(key, "_root").agg(F.count("*").alias("_n")).groupBy(key).agg(F.max_by("_root", "_n").alias("_main")), "group-mains")
+    rest = written(apart.join(main, key).where("_root <> _main").select(key, member, "_w"), "group-rest")
+    shares = written(rest.groupBy(key).agg(F.ceil(count.cast("double") / most).cast("int").alias("_shares")), "group-shares")
+    if shares.isEmpty():
+        return first
+    spread = spread.join(shares, key)
+    share = F.pmod(F.xxhash64(F.lit(3), member), F.col("_shares")).cast("int")
+    others = spread.select(*columns, F.explode(F.transform(F.sequence(F.lit(0), F.col("_shares") - 1), lambda q: own + q * F.col("_parts"))).alias("part"), F.lit(True).alias("rest"))
+    these = spread.join(rest.select(key, member), [key, member], "left_semi").select(*columns, F.explode(F.transform(everywhere, lambda p: p + share * F.col("_parts"))).alias("part"), F.lit(False).alias("rest"))
+    return first.unionByName(run(these.unionByName(others)))
+
+
 class Forest:
     """Union-find over 0 to n - 1, by least root."""
 

@@ -145,7 +145,7 @@ def test_trie_finds_what_all_pairs_find():
     sets = [np.unique(np.array([x if rnd.random() < 0.9 else rnd.randrange(1000) for x in base], np.uint64)) for _ in range(30)]
     t = Fraction("0.7")
     forest = graphs.Forest(len(sets))
-    for i, j in prefixjoin.joined(sets, t):
+    for i, j in prefixjoin.joined(sets, t, (np.unique(sets[0]), np.arange(len(np.unique(sets[0]))))):
         forest.join(i, j)
         assert len(np.intersect1d(sets[i], sets[j])) >= t * len(np.union1d(sets[i], sets[j]))
     for i in range(30):
