@@ -2,11 +2,14 @@
 
 A naive Bayes classifier over the distinct hashed words, word beginnings and word ends of a text, counted
 from a labelled table, gives each document a posterior over domains; features whose counts chance
-could explain have no say. Rates start at 1 and are fitted by projected-gradient least squares: each
-round one aggregation gives the expected tokens of each domain at the present rates, and the
-gradient, scaled by the documents' tokens and by the curvature over the documents in use, is
-added to the sum of those before; the rate is what that sum leaves of 1, or 0 where it would
-fall below. So the state is one number a domain, and a document's rate follows from its row.
+could explain have no say. Words are exploded into their hashes and joined with the table of
+telling features; what a document hits is added up by its key.
+
+Rates are fitted by projected gradient on least squares: each round one aggregation gives the
+expected tokens of each domain at the present rates, each domain's miss counts in parts of what it
+has, and every document's rate takes a step against its gradient and is cut off at 0 (and at the
+ceiling). The steps of a few rounds are one expression over a document's posteriors; then the
+rates are written, so neither the plan nor its work grows with the rounds.
 """
 
 from __future__ import annotations
@@ -17,11 +20,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrascape.llm.common import held_out, written
+from terrascape.llm.common import discard, held_out, written
 
 MOST_LABELLED = 20_000
-#: Most features that have a say, those farthest from chance; a feature is a 32-bit hash.
-MOST_FEATURES = 4_096
 #: Standard deviations above its expected count, and least log ratio, from which a feature has a say.
 SIGNIFICANT = 5.0
 TELLING = 1.0
@@ -31,7 +32,12 @@ LACKING = 5.0
 #: Domains by labels, the first of which sets the total: its documents keep about their rate of 1.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.97, "poor": 0.01, "toxic": 0.02}
-ROUNDS = 40
+#: Most rounds, largest miss in parts of all tokens at which they end, and rounds after which rates are written.
+ROUNDS = 200
+TOLERANCE = 1e-5
+WRITTEN_AFTER = 12
+#: Telling features up to which their table is broadcast, 24 bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def labelled_domains(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -42,24 +48,30 @@ def labelled_domains(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     return one.select("doc_id", domain.alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def featured(documents: DataFrame) -> DataFrame:
-    """doc_id, tokens (words), features: hashes of the text's words, their first six characters, last two, and repetition of a word; none for a null text."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 32))
-    w = F.col("words")
-    again = F.exists(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
-    begun = F.transform(w, lambda x: hashed(F.concat(F.lit("^"), F.substring(x, 1, 6))))
-    ended = F.transform(w, lambda x: hashed(F.concat(F.lit("$"), F.substring(x, -2, 2))))
-    repeat = F.when(again, F.array(hashed(F.lit("=")))).otherwise(F.array().cast("array<bigint>"))
-    found = F.concat(F.transform(w, hashed), begun, ended, repeat)
-    return documents.select("doc_id", words.alias("words")).select("doc_id", F.size("words").cast("long").alias("tokens"), found.alias("features"))
+def _words(text: str = "text") -> Column:
+    """Words of a text; the first and the last may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
 
 
-def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Log odds of each domain for a text without features, and of those that tell domains apart what each adds: the log ratio of their documents' shares in a domain and in the first.
+def tokens(words: Column) -> Column:
+    return (F.size(words) - (F.element_at(words, 1) == "").cast("int") - ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")).cast("long")
+
+
+def featured(documents: DataFrame, *keys: str) -> DataFrame:
+    """(keys, feature): hashes of each word, its first six characters and last two, and whether a word follows itself, once for each occurrence; none for a null text."""
+    # explode_outer, as Spark guards explode by a filter that would split each text once more
+    twice = F.coalesce("text", F.lit("")).rlike(r"(?i)(?<!\S)(\S++)\s++\1(?!\S)")
+    words = documents.select(*keys, F.explode_outer(F.array_append(_words(), F.when(twice, F.lit(" ")).otherwise(F.lit("")))).alias("word")).where("word <> ''")
+    w = F.col("word")
+    found = F.array(F.xxhash64(w), F.xxhash64(F.lit(1), F.substring(w, 1, 6)), F.xxhash64(F.lit(2), F.substring(w, -2, 2)))
+    return words.select(*keys, F.explode_outer(found).alias("feature"))
+
+
+def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] = DOMAINS) -> tuple[np.ndarray, DataFrame]:
+    """Log odds of each domain for a text without features; (feature, r_<domain>...), written: of features that tell domains apart what each adds, the log ratio of their documents' shares in a domain and in the first.
 
     domains: a bounded (doc_id, domain), as written; those of documents that aren't at hand don't count. A domain
-    without any has log odds of minus infinity, unless none has. Counting and choosing is Spark's; at most MOST_FEATURES come back.
+    without any has log odds of minus infinity, unless none has. Only sums come to the driver.
     """
     joined = documents.select("doc_id", "text").join(F.broadcast(domains), "doc_id")
     sizes = {r[0]: r[1] for r in joined.groupBy("domain").count().collect()}
@@ -67,8 +79,8 @@ def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] =
     prior = np.log((size + 1) / (size + 1).sum())
     if size.any():
         prior[size == 0] = -np.inf
-    known = joined.select(F.struct("doc_id", "domain").alias("doc_id"), "text")
-    rows = featured(known).select(F.col("doc_id.domain").alias("domain"), F.explode(F.array_distinct("features")).alias("feature"))
+    # a row with its text's hash is one document of the sample
+    rows = featured(joined.withColumn("one", F.xxhash64("doc_id", "text")), "doc_id", "one", "domain").distinct()
     counts = rows.groupBy("feature").agg(*[F.count_if(F.col("domain") == n).cast("double").alias(n) for n in names])
     first, farthest = F.col(names[0]), F.lit(0.0)
     ratios = []
@@ -81,95 +93,86 @@ def evidence(documents: DataFrame, domains: DataFrame, names: tuple[str, ...] =
         tells = (off >= SIGNIFICANT) & (ratio >= TELLING)
         ratios += [F.when(tells, ratio - lacks).otherwise(0.0).alias(f"r_{n}"), F.when(tells, lacks).otherwise(0.0).alias(f"l_{n}")]
         farthest = F.greatest(farthest, F.when(tells, off).otherwise(0.0))
-    best = counts.select("feature", *ratios, farthest.alias("off")).where("off > 0").orderBy(F.desc("off"), "feature").limit(MOST_FEATURES)
-    found = best.collect()
-    lacking = np.array([0.0, *(max(-LACKING, sum(r[f"l_{n}"] for r in found)) for n in names[1:])])
-    return prior + lacking, [(r[0], np.array([0.0, *(r[f"r_{n}"] for n in names[1:])])) for r in found]
-
-
-def posteriors(documents: DataFrame, prior: np.ndarray, telling: list[tuple[int, np.ndarray]], names: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """doc_id, tokens long (words), p_<domain> double; a text without words has the prior.
-
-    Telling features are numbered in the order of the lower halves of their hashes; a table has
-    the first number of each half, from which whole hashes are compared.
-    """
-    telling = sorted(telling, key=lambda x: (x[0] & 0xFFFF, x[0]))
-    half = np.array([h & 0xFFFF for h, _ in telling], np.int64)
-    count = np.bincount(half, minlength=1 << 16)
-    most = int(count.max())
-    table = lambda v, kind: F.from_json(F.lit(str(v.tolist()).replace(" ", "")), f"array<{kind}>")  # noqa: E731  folded once, when planned
-    start = table(np.where(count > 0, np.cumsum(count) - count + 1, 0), "int")
-    hashes = table(np.array([h for h, _ in telling] + [-1] * most, np.int64), "bigint")
-
-    def number(f: Column) -> Column:
-        first, found = F.element_at(start, (F.pmod(f, F.lit(1 << 16)) + 1).cast("int")), F.lit(0)
-        for k in reversed(range(most)):
-            found = F.when(F.element_at(hashes, first + k) == f, first + k).otherwise(found)
-        return F.when(first > 0, found).otherwise(0)
-
-    hits = F.array_distinct(F.filter(F.transform("features", number), lambda x: x > 0))
-    rows = featured(documents.select("doc_id", "text")).select("doc_id", "tokens", hits.alias("hits"))
-    base = prior[np.isfinite(prior)][0]
+    telling = written(counts.select("feature", *ratios, farthest.alias("off")).where("off > 0").drop("off"), "telling-features")
+    lacks = telling.agg(*[F.sum(f"l_{n}").alias(n) for n in names[1:]]).head()
+    lacking = np.array([0.0, *(max(-LACKING, float(lacks[n] or 0.0)) for n in names[1:])])
+    return prior + lacking, telling.select("feature", *[f"r_{n}" for n in names[1:]])
+
+
+def posteriors(documents: DataFrame, prior: np.ndarray, telling: DataFrame, names: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """doc_id, tokens long (words), u long (hash of doc_id and text), p_<domain> double, of each row; a text without words has the prior."""
+    base = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("u"), F.xxhash64("text", F.lit(1)).alias("v"))
+    if telling.count() <= MOST_BROADCAST:
+        telling = F.broadcast(telling)
+    hits = featured(base, "u", "v").join(telling, "feature").dropDuplicates(["u", "v", "feature"])
+    said = hits.groupBy("u", "v").agg(*[F.sum(f"r_{n}").alias(f"s_{n}") for n in names[1:]])
+    rows = base.select("doc_id", "u", "v", tokens(_words()).alias("tokens")).join(said, ["u", "v"], "left")
+    first = prior[np.isfinite(prior)][0]
+    odds = []
     for k, name in enumerate(names):
         if not np.isfinite(prior[k]):
-            rows = rows.withColumn(f"z_{name}", F.lit(0.0))
+            odds.append(F.lit(0.0))
             continue
-        odds = F.lit(float(prior[k] - base))
-        if k and telling:
-            ratios = table(np.array([r[k] for _, r in telling]), "double")
-            odds = odds + F.aggregate("hits", F.lit(0.0), lambda a, i: a + F.element_at(ratios, i))  # noqa: B023
-        rows = rows.withColumn(f"z_{name}", F.exp(F.least(F.greatest(odds, F.lit(-SUREST)), F.lit(SUREST))))
+        one = F.lit(float(prior[k] - first)) + (F.coalesce(f"s_{name}", F.lit(0.0)) if k else F.lit(0.0))
+        odds.append(F.exp(F.least(F.greatest(one, F.lit(-SUREST)), F.lit(SUREST))))
+    rows = rows.select("doc_id", "u", "tokens", *[o.alias(f"z_{n}") for o, n in zip(odds, names, strict=True)])
     norm = sum((F.col(f"z_{n}") for n in names), F.lit(0.0))
-    return rows.select("doc_id", "tokens", *[(F.col(f"z_{n}") / norm).alias(f"p_{n}") for n in names])
-
+    return rows.select("doc_id", "u", "tokens", *[(F.col(f"z_{n}") / norm).alias(f"p_{n}") for n in names])
 
-def raw_rate(state: np.ndarray, names: tuple[str, ...]) -> Column:
-    return F.lit(1.0) - sum((F.col(f"p_{n}") * float(x) for n, x in zip(names, state, strict=True)), F.lit(0.0))
 
+def stepped(rate: Column, gradients: list[np.ndarray], names: tuple[str, ...], ceiling: float | None) -> Column:
+    """rate after a step against each gradient in turn, cut off at 0 and at the ceiling after each."""
+    for g in gradients:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{n}") * float(x) for n, x in zip(names, g, strict=True)), F.lit(0.0)))
+        if ceiling is not None:
+            rate = F.least(F.lit(float(ceiling)), rate)
+    return rate
 
-def rate_of(state: np.ndarray, names: tuple[str, ...], ceiling: float | None) -> Column:
-    rate = F.greatest(F.lit(0.0), raw_rate(state, names))
-    return rate if ceiling is None else F.least(F.lit(float(ceiling)), rate)
 
+def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] = DOMAINS, ceiling: float | None = None, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """rows with rate double: the nonnegative rates, at most the ceiling, by which each domain's expected tokens come as near to their targets as least squares allow.
 
-def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] = DOMAINS, ceiling: float | None = None, rounds: int = ROUNDS, tolerance: float = 1e-5) -> np.ndarray:
-    """State from which rate_of follows; rows: tokens and posteriors, as written (they are read once a round)."""
-    tokens = rows.agg(*[F.sum(F.col("tokens") * F.col(f"p_{n}")).alias(n) for n in names]).head()
-    now = np.array([float(x or 0.0) for x in tokens])
+    rows: tokens and posteriors, as written; they are read once a round. A domain's miss is
+    weighed by one over its tokens, and a document's step is scaled by one over its own, which
+    changes the way and not the end where the targets can be met. The length of a step is one
+    over the greatest curvature, found from one aggregation, so that no step overshoots.
+    """
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = rows.agg(
+        *[F.sum(F.col("tokens") * F.col(f"p_{n}")).alias(n) for n in names],
+        *[F.sum(F.col("tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"h_{a}_{b}") for a, b in pairs],
+    ).head()
+    now = np.array([float(sums[n] or 0.0) for n in names])
     total = now.sum()
     weights = np.array([targets[n] for n in names]) / math.fsum(targets.values())
-    state = np.zeros(len(names))
-    if not total or not weights[0]:
-        return state
-    goal = weights * now[0] / weights[0] / total
-    best, best_error, damping = state, math.inf, 1e-6
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    out = rows.withColumn("rate", F.lit(1.0 if ceiling is None else min(1.0, float(ceiling))))
+    if not total or not weights[0] or not now[0]:
+        return out
+    goal = weights * now[0] / weights[0]
+    scale = np.where(now > 0, 1 / np.maximum(now, 1e-9 * total), 0.0)
+    curve = np.array([[float(sums[f"h_{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"]) for b in names] for a in names])
+    step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * curve * np.sqrt(scale)[None, :]).max()
+    gradients: list[np.ndarray] = []
+    last, saved = math.inf, None
     for _ in range(rounds):
-        raw, rate = raw_rate(state, names), rate_of(state, names, ceiling)
-        used = F.when((raw > 0) & (raw <= (1e9 if ceiling is None else ceiling)), F.col("tokens")).otherwise(0)
-        got = rows.agg(
-            *[F.sum(F.col("tokens") * F.col(f"p_{n}") * rate).alias(f"s_{n}") for n in names],
-            *[F.sum(used * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"h_{a}_{b}") for a, b in pairs],
-        ).head()
-        off = np.array([float(got[f"s_{n}"]) for n in names]) / total - goal
-        error = float(np.linalg.norm(off))
-        if error < best_error:
-            gained, best, best_error = best_error - error, state, error
-            if error < tolerance or gained < tolerance / 10:
-                break
-            curve = np.array([[float(got[f"h_{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"]) for b in names] for a in names]) / total
-            slope, damping = off, damping / 10
-        else:
-            damping *= 100  # too far, as documents fell out of use on the way: nearer to the plain gradient
-            if damping > 1e2:
-                break
-        # damped, so that domains that no document in use tells apart do no harm
-        state = best + np.linalg.solve(curve + max(damping, 1e-9) * np.eye(len(names)), slope)
-    return best
+        rate = stepped(F.col("rate"), gradients, names, ceiling)
+        got = out.agg(*[F.sum(F.col("tokens") * F.col(f"p_{n}") * rate).alias(n) for n in names]).head()
+        off = np.array([float(got[n]) for n in names]) - goal
+        error = float(np.sqrt((scale * off * off).sum() / total))
+        if np.abs(off).max() < tolerance * total or last - error < tolerance * tolerance:
+            break
+        last = error
+        gradients.append(step * scale * off)
+        if len(gradients) == WRITTEN_AFTER:
+            new = written(out.withColumn("rate", stepped(F.col("rate"), gradients, names, ceiling)), "rates")
+            if saved is not None:
+                discard(saved)
+            out, saved, gradients = new, new, []
+    return out.withColumn("rate", stepped(F.col("rate"), gradients, names, ceiling))
 
 
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, names: tuple[str, ...] = DOMAINS, ceiling: float | None = None) -> DataFrame:
-    """doc_id, tokens long, p_<domain> double, rate double, copies int of each row of documents.
+    """doc_id, row_hash long (of doc_id and text), tokens long, p_<domain> double, rate double, copies int of each row of documents.
 
     Rates stay at or above 0 and, if there is one, at or below the ceiling. copies is the rate, rounded up or down by the hash of doc_id and text so that its mean is the
     rate. A null or empty text has no tokens and the prior as its posterior. Repeated rows fare
@@ -178,8 +181,7 @@ def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = T
     met, and the others come as near as least squares allow.
     """
     prior, telling = evidence(documents, written(labelled_domains(labels), "labelled-domains"), names)
-    hashed = documents.withColumn("doc_id", F.struct("doc_id", F.xxhash64("doc_id", "text").alias("u")))
-    rows = written(posteriors(hashed, prior, telling, names), "posteriors")
-    rate = rate_of(fitted(rows, targets, names, ceiling), names, ceiling)
-    chance = F.pmod(F.col("doc_id.u"), F.lit(1 << 40)) / float(1 << 40)
-    return rows.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.u").alias("row_hash"), "tokens", *[f"p_{n}" for n in names], rate.alias("rate"), F.floor(rate + chance).cast("int").alias("copies"))
+    rows = written(posteriors(documents, prior, telling, names), "posteriors")
+    chance = F.pmod(F.col("u"), F.lit(1 << 40)) / float(1 << 40)
+    out = fitted(rows, targets, names, ceiling)
+    return out.select("doc_id", F.col("u").alias("row_hash"), "tokens", *[f"p_{n}" for n in names], "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"))

@@ -439,13 +439,72 @@ def test_mixing_keeps_clean_documents_where_poor_ones_are_gone(spark):
     assert {r.p_clean for r in rows} == {0.0} and all(abs(r.p_poor + r.p_toxic - 1) < 1e-9 for r in rows)
 
 
-def test_mixing_looks_features_up_by_their_whole_hash(spark):
-    df = make(spark, [(1, "word"), (2, "other")])
-    h = mixing.featured(df).where("doc_id = 1").head().features[0]
-    low, high = np.array([0.0, 0.0, 5.0]), np.array([0.0, 0.0, 5.0])
-    telling = [(h ^ (1 << 20), low), (h ^ (1 << 25), low), (h ^ 1, high), (h, np.array([0.0, 3.0, 0.0]))]
-    got = {r.doc_id: r.p_poor for r in mixing.posteriors(df, np.zeros(3), telling).collect()}
-    assert abs(got[1] - np.exp(3) / (2 + np.exp(3))) < 1e-9 and abs(got[2] - 1 / 3) < 1e-9
+def brute_posteriors(docs, domain_of):
+    """Naive Bayes over distinct words, beginnings, ends and repetition, in plain Python."""
+    names = mixing.DOMAINS
+
+    def features(text):
+        words = text.lower().split()
+        out = {("w", w) for w in words} | {("b", w[:6]) for w in words} | {("e", w[-2:]) for w in words}
+        return out | ({("w", " "), ("b", " "), ("e", " ")} if any(a == b for a, b in zip(words, words[1:])) else set())
+
+    size, count = Counter(), defaultdict(Counter)
+    for d, t in docs:
+        if d in domain_of:
+            size[domain_of[d]] += 1
+            for f in features(t):
+                count[f][domain_of[d]] += 1
+    adds, lacking, total = {}, Counter(), sum(size[x] + 1 for x in names)
+    for f, c in count.items():
+        for n in names[1:]:
+            expected = (c[n] + c["clean"]) * size[n] / max(1, size[n] + size["clean"])
+            there, here = (c[n] + 0.5) / (size[n] + 1), (c["clean"] + 0.5) / (size["clean"] + 1)
+            if expected and abs(c[n] - expected) / expected**0.5 >= mixing.SIGNIFICANT and np.log(there / here) >= mixing.TELLING:
+                lacks = np.log1p(-there) - np.log1p(-here)
+                adds[f, n] = np.log(there / here) - lacks
+                lacking[n] += lacks
+    out = {}
+    for d, t in docs:
+        found = features(t)
+        odds = {n: np.log((size[n] + 1) / total) - np.log((size["clean"] + 1) / total) + (max(-mixing.LACKING, lacking[n]) + sum(adds.get((f, n), 0) for f in found) if n != "clean" else 0) for n in names}
+        z = {n: np.exp(np.clip(odds[n], -mixing.SUREST, mixing.SUREST)) for n in names}
+        out[d] = [z[n] / sum(z.values()) for n in names]
+    return out
+
+
+def test_mixing_posteriors_are_naive_bayes(spark):
+    docs, labels, frame = labelled(spark, 400)
+    docs += [(1000, "villain villain"), (1001, "")]
+    of = {d: "toxic" if t else "clean" if q else "poor" for d, q, t in labels if not held(d)}
+    want = brute_posteriors(docs, of)
+    got = mixing.mixed(make(spark, docs), frame).collect()
+    assert len(got) == len(docs) and len({tuple(np.round(want[d], 3)) for d in want}) > 3
+    for r in got:
+        assert np.allclose([r[f"p_{n}"] for n in mixing.DOMAINS], want[r.doc_id], atol=1e-9)
+        assert r.tokens == len(dict(docs)[r.doc_id].split())
+
+
+def test_mixing_rates_are_cut_off_after_each_step(spark):
+    rows = spark.createDataFrame([(10, 1.0, 0.0, 0.0, 1.0), (5, 0.2, 0.8, 0.0, 1.0), (7, 0.0, 0.1, 0.9, 1.0)], "tokens long, p_clean double, p_poor double, p_toxic double, rate double")
+    steps = [np.array([0.1, 1.5, -0.2]), np.array([-0.3, -0.4, 2.0]), np.array([0.0, 0.2, -0.5])]
+    got = [r[0] for r in rows.select(mixing.stepped(rows.rate, steps, mixing.DOMAINS, 1.2)).collect()]
+    want = []
+    for r in rows.collect():
+        x, p = 1.0, np.array(r[1:4])
+        for g in steps:
+            x = min(1.2, max(0.0, x - p @ g))
+        want.append(x)
+    assert np.allclose(got, want)
+    # targets that can't be met under a ceiling: the end is that of plain projected gradient on the same weighted squares
+    docs = spark.createDataFrame([(100, 0.9, 0.1, 0.0), (50, 0.2, 0.7, 0.1), (30, 0.1, 0.1, 0.8)], "tokens long, p_clean double, p_poor double, p_toxic double")
+    targets = {"clean": 0.5, "poor": 0.2, "toxic": 0.3}
+    got = [r.rate for r in mixing.fitted(docs, targets, ceiling=1.0, tolerance=1e-9).collect()]
+    t, p = np.array([100.0, 50, 30]), np.array([[0.9, 0.1, 0], [0.2, 0.7, 0.1], [0.1, 0.1, 0.8]])
+    now = p.T @ t
+    goal, x = np.array([0.5, 0.2, 0.3]) * now[0] / 0.5, np.ones(3)
+    for _ in range(20_000):
+        x = np.clip(x - 0.02 * t * (p @ ((p.T @ (t * x) - goal) / now)) / 10, 0, 1)
+    assert np.allclose(got, x, atol=1e-3)
 
 
 def mixed_stage(cp, spark, df, labels):
