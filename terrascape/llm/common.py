@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +33,36 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local run makes one of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="terrascape-")
         shared_dir.own = found
     return found.rstrip("/")
 
 
-def written(df: DataFrame, tag: str, **options) -> DataFrame:
+_scratch: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What written() writes inside is deleted at the end, unless it is to be kept."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scratch.pop():
+            _delete(spark, path)
+
+
+def written(df: DataFrame, tag: str, keep: bool = False, **options) -> DataFrame:
     """df as Parquet in the shared folder, read again: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append((spark, path))
     df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -52,9 +71,12 @@ def written(df: DataFrame, tag: str, **options) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete what written() wrote, once no result reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._written)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:

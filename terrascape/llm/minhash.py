@@ -199,4 +199,4 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE, threshold: str = "0.
     Bands propose the groups, whole sets decide within them. Null and empty texts are linked with
     nothing; equal texts share a class; an empty table gives no rows.
     """
-    return verified_classes(documents, k, threshold, band_links(documents, k, bands))
+    return verified_classes(documents, k, threshold, band_links(documents, k, bands)).select("doc_id", "n_shingles", "component_id")

@@ -23,20 +23,21 @@ from terrascape.llm.textops import Texts, prefix_sums, span_hash
 
 SEQUENCE = 2048
 END = 0
-#: Parts of a length whose ranks are numbered apart.
-LANES = 64
+#: Pieces of a length whose ranks are numbered together; a length with more has more lanes.
+LANE_ROWS = 200_000
 #: Distinct pieces whose ids a worker keeps.
 KEPT_PIECES = 200_000
 
 #: Code points with the Unicode property White_Space.
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_LETTER, _NUMBER, _OTHER, _SPACE = range(4)
+_LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = range(5)
 
 
 def _classes() -> np.ndarray:
     if not hasattr(_classes, "made"):
-        kinds = {"L": _LETTER, "N": _NUMBER}
-        made = np.array([kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)], np.uint8)
+        kinds = {"L": _LETTER, "N": _NUMBER, "Cn": _UNKNOWN}
+        names = (unicodedata.category(chr(c)) for c in range(0x110000))
+        made = np.array([kinds.get(x) or kinds.get(x[0], _OTHER) for x in names], np.uint8)
         made[_WHITE] = _SPACE
         _classes.made = made
     return _classes.made
@@ -87,8 +88,19 @@ def piece_starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return start[:n]
 
 
+def _unassigned(text: bytes) -> bool:
+    """Whether a text has a code point that Python's Unicode tables don't know, but the tokenizer's may."""
+    if max(text, default=0) < 0xC2:
+        return False
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return bool((_classes()[points] == _UNKNOWN).any())
+
+
 class Tokens:
-    """Token ids of whole texts; equal to those of the tokenizer's own encode without special tokens."""
+    """Token ids of whole texts; equal to those of the tokenizer's own encode without special tokens.
+
+    Texts that hold a special token's string, or a code point unknown here, go through that encode.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -103,7 +115,7 @@ class Tokens:
 
     def of(self, texts: list[bytes | None]) -> list[np.ndarray]:
         parts = [t or b"" for t in texts]
-        odd = {i for i, t in enumerate(parts) if any(s.encode() in t for s in self.special)}
+        odd = {i for i, t in enumerate(parts) if any(s.encode() in t for s in self.special) or _unassigned(t)}
         plain = [b"" if i in odd else t for i, t in enumerate(parts)]
         out = self._plain(plain)
         for i in odd:
@@ -146,7 +158,7 @@ class Tokens:
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end: int = END, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece int, start long, length int, ids_crc32 long and, if asked, ids array<int>, of each document's ids and `end`.
+    """doc_id, piece int, start long, length long, ids_crc32 long and, if asked, ids array<int>, of each document's ids and `end`.
 
     A null text counts as empty: its one piece is `end`. Documents longer than a sequence are cut
     into whole sequences; the rest, if any, comes first.
@@ -163,11 +175,11 @@ def token_pieces(documents: DataFrame, tokenizer: str, sequence: int = SEQUENCE,
                 for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     rows.append((doc, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b].tolist() if with_ids else None))
             columns = list(zip(*rows, strict=True))[: 6 if with_ids else 5]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names=names[: len(columns)])
 
-    schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return in_small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -212,19 +224,23 @@ def plan(counts: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, in
 def packed(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """pieces with sequence_id long and offset long (columns by these names are replaced), in as few sequences as best fit finds.
 
-    pieces: (doc_id, piece, length) and what else there is, as written (it is read several times);
-    each row is placed, also where doc_id and piece are null or repeated. No rows give no rows.
+    pieces: (doc_id, piece, start, length, ids_crc32) and what else there is, as written (it is read
+    several times); each row is placed, also where doc_id and piece are null or repeated; of rows
+    that tie in both, any comes first. No rows give no rows.
     """
     spark = pieces.sparkSession
-    rows = pieces.drop("sequence_id", "offset", "_lane").withColumn("_lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(LANES)).cast("int"))
-    lanes = rows.groupBy("length", "_lane").agg(F.count("*").alias("_n"))  # sequence * LANES rows at most
-    lanes = lanes.withColumn("_begin", F.sum("_n").over(Window.partitionBy("length").orderBy("_lane")) - F.col("_n"))
-    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}
+    rows = pieces.drop("sequence_id", "offset", "_lane", "_lanes")
+    counts = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most as many rows as a sequence has tokens
     steps = plan(counts, sequence)
-    table = spark.createDataFrame(steps or [(0, 0, 0, 0, 1, 0)], "_length int, _rank0 long, _ranks long, _sequence0 long, _each long, _offset0 long")
+    table = spark.createDataFrame(steps or [(0, 0, 0, 0, 1, 0)], "_length long, _rank0 long, _ranks long, _sequence0 long, _each long, _offset0 long")
     table = F.broadcast(table) if len(steps) <= 500_000 else table
+    cut = spark.createDataFrame([(n, -(-c // LANE_ROWS)) for n, c in counts.items()] or [(0, 1)], "length long, _lanes long")
+    rows = rows.join(F.broadcast(cut), "length").withColumn("_lane", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("_lanes"))).drop("_lanes")
+    # a row for each lane, so one for LANE_ROWS pieces and one for each length
+    lanes = rows.groupBy("length", "_lane").agg(F.count("*").alias("_n"))
+    lanes = written(lanes.withColumn("_begin", F.sum("_n").over(Window.partitionBy("length").orderBy("_lane")) - F.col("_n")).drop("_n"), "lanes")
     place = F.row_number().over(Window.partitionBy("length", "_lane").orderBy("doc_id", "piece"))
-    ranked = rows.withColumn("_place", place).join(F.broadcast(lanes.drop("_n")), ["length", "_lane"]).withColumn("_i", F.col("_begin") + F.col("_place") - 1)
+    ranked = rows.withColumn("_place", place).join(lanes, ["length", "_lane"]).withColumn("_i", F.col("_begin") + F.col("_place") - 1)
     hit = (F.col("length") == F.col("_length")) & (F.col("_i") >= F.col("_rank0")) & (F.col("_i") < F.col("_rank0") + F.col("_ranks"))
     i = F.col("_i") - F.col("_rank0")
     out = ranked.join(table, hit).withColumns({"sequence_id": F.expr("_sequence0 + (_i - _rank0) div _each"), "offset": (F.col("_offset0") + i % F.col("_each") * F.col("length")).cast("long")})

@@ -417,7 +417,7 @@ def verified_links(documents: DataFrame, blocks: DataFrame, n: int, t: Fraction,
 
 
 def verified_classes(documents: DataFrame, n: int, t: Fraction | str, proposed: DataFrame, own: DataFrame | None = None, order: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id by the exact links within groups of sets that proposed links (a, b: set keys) join; own: facts(), order: frequent(), if at hand."""
+    """doc_id, th, n_shingles, component_id, class_key by the exact links within groups of sets that proposed links (a, b: set keys) join; own: facts(), order: frequent(), if at hand."""
     t = Fraction(t)
     own = facts(documents, n)[0] if own is None else own
     key = F.unhex(F.concat(F.lpad(F.hex("ka"), 16, "0"), F.lpad(F.hex("kb"), 16, "0")))
@@ -430,10 +430,23 @@ def verified_classes(documents: DataFrame, n: int, t: Fraction | str, proposed:
     found = written(components(verified_links(documents, member, n, t, np.empty(0, np.uint64) if order is None else order)), "duplicate-classes")
     placed = named.select("ka", "kb", "key", "rep").join(found, F.col("key") == F.col("node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("least"))
-    moved = written(placed.join(least, "root").select("ka", "kb", "least", F.lit(True).alias("linked")), "duplicate-roots")
-    reps = named.select("ka", "kb", "rep").join(moved, ["ka", "kb"], "left").select("ka", "kb", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
-    linked = sets.select("doc_id", "n_shingles", "ka", "kb").join(reps, ["ka", "kb"]).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
-    return linked.unionByName(own.where("n_shingles = 0").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id")))
+    moved = written(placed.join(least, "root").select("ka", "kb", "root", "least"), "duplicate-roots")
+    reps = named.select("ka", "kb", "key", "rep").join(moved, ["ka", "kb"], "left")
+    reps = reps.select("ka", "kb", F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("root", "key").alias("class_key"))
+    size = F.col("n_shingles").cast("long").alias("n_shingles")
+    linked = sets.join(reps, ["ka", "kb"]).select("doc_id", "th", size, "component_id", "class_key")
+    return linked.unionByName(own.where("n_shingles = 0").select("doc_id", "th", size, F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("class_key")))
+
+
+def classed(documents: DataFrame, n: int = 5, t: Fraction | str = "0.8") -> DataFrame:
+    """What classes() returns, and for each row th, the xxhash64 of its text, and class_key, which tells classes apart whatever doc_id holds (null without shingles)."""
+    t = Fraction(t)
+    own, counts = facts(documents, n)
+    order = frequent(counts)
+    met = meetings(prefixes(documents, n, t, order), t)
+    bitmaps = own.where("n_shingles > 0").groupBy("ka").agg(F.first("bitmap").alias("bitmap"))
+    proposed = candidate_links(written(met.join(bitmaps, "ka"), "meetings"), t)
+    return verified_classes(documents, n, t, proposed, own, order)
 
 
 def classes(documents: DataFrame, n: int = 5, t: Fraction | str = "0.8") -> DataFrame:
@@ -444,10 +457,4 @@ def classes(documents: DataFrame, n: int = 5, t: Fraction | str = "0.8") -> Data
     its like. Rows of one doc_id each count; a row with a null doc_id links as any other and gets
     its class's smallest doc_id, or null where none has one. An empty table gives no rows.
     """
-    t = Fraction(t)
-    own, counts = facts(documents, n)
-    order = frequent(counts)
-    met = meetings(prefixes(documents, n, t, order), t)
-    bitmaps = own.where("n_shingles > 0").groupBy("ka").agg(F.first("bitmap").alias("bitmap"))
-    proposed = candidate_links(written(met.join(bitmaps, "ka"), "meetings"), t)
-    return verified_classes(documents, n, t, proposed, own, order)
+    return classed(documents, n, t).select("doc_id", "n_shingles", "component_id")

@@ -19,8 +19,8 @@ from terrascape.llm.common import written
 DIGIT = 12
 #: Largest difference of a splitter from its place, in parts of a shard.
 TOLERANCE = 0.005
-#: Parts of a shard whose slots are numbered apart.
-LANES = 64
+#: Rows of a shard whose slots are numbered together; a shard with more has more lanes.
+LANE_ROWS = 200_000
 _SIGN = -(1 << 63)
 
 
@@ -121,12 +121,14 @@ def sharded(documents: DataFrame, shards: int = 24, tolerance: float = TOLERANCE
     """
     keys = written(keyed(documents), "shard-keys")
     rows = keys.withColumn("shard", shard_of(splitters(keys, shards, tolerance)))
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64("v", "h"), F.lit(LANES)).cast("int"))
-    # slots: where each lane of a shard begins (shards * LANES rows), then the place in the lane
+    counts = {r[0]: r[1] for r in rows.groupBy("shard").count().collect()}
+    cut = keys.sparkSession.createDataFrame([(k, -(-n // LANE_ROWS)) for k, n in counts.items()] or [(0, 1)], "shard int, lanes long")
+    rows = rows.join(F.broadcast(cut), "shard").withColumn("lane", F.pmod(F.xxhash64("v", "h"), F.col("lanes"))).drop("lanes")
+    # slots: where each lane of a shard begins (a row for each shard and LANE_ROWS rows), then the place in the lane
     begins = rows.groupBy("shard", "lane").agg(F.count("*").alias("n"))
-    begins = begins.withColumn("begin", F.sum("n").over(Window.partitionBy("shard").orderBy("lane")) - F.col("n")).drop("n")
+    begins = written(begins.withColumn("begin", F.sum("n").over(Window.partitionBy("shard").orderBy("lane")) - F.col("n")).drop("n"), "shard-lanes")
     place = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("h", "v"))
-    slots = rows.withColumn("place", place).join(F.broadcast(begins), ["shard", "lane"])
+    slots = rows.withColumn("place", place).join(begins, ["shard", "lane"])
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("begin") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

@@ -257,6 +257,11 @@ def test_tokens_equal_the_tokenizers_own(spark):
     rnd = random.Random(4)
     letters = "ab 'stmdrevel\n\t  éß12²!.,'\"  中　\x1c\x85\r"
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(40))) for _ in range(800)] + ["", "<|endoftext|> x", "it's we'll I've 's ''s 'S", " 's"]
+    # code points of all planes, also those that no table of Python's knows
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(chr(rnd.choice(every)) for _ in range(rnd.randrange(1, 12))) for _ in range(8000)]
+    texts += ["".join(chr(rnd.choice((rnd.randrange(0x250), rnd.randrange(0x2000, 0x2100), rnd.randrange(0xA600, 0xAB70), rnd.randrange(0x10D00, 0x11400)))) for _ in range(rnd.randrange(1, 12))) for _ in range(8000)]
+    texts += ["\ua7da\u943a"]
     got = packing.Tokens(tokenizer_path()).of([t.encode() for t in texts])
     assert [g.tolist() for g in got] == [own.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -290,10 +295,25 @@ def test_packing(spark, corpus):
 
     got = packing.packed(written(pieces, "test-pieces"), 256).collect()
     assert len({(r.doc_id, r.piece) for r in got}) == len(got) and {r.doc_id for r in got} == {d for d, _ in rows}
+    assert dict(pieces.dtypes)["length"] == "bigint"
     used = check_packing(rows, got, 256)
     assert used <= 1.05 * sum(r.length for r in got) / 256 + 1
 
 
+def test_packing_and_sharding_number_lanes_apart(spark, corpus, monkeypatch):
+    monkeypatch.setattr(packing, "LANE_ROWS", 3)
+    monkeypatch.setattr(sharding, "LANE_ROWS", 5)
+    rows = corpus + [(200 + i, corpus[0][1]) for i in range(40)]
+    from terrascape.llm.common import written
+
+    got = packing.packed(written(packing.token_pieces(make(spark, rows), tokenizer_path(), 256), "test-pieces"), 256).collect()
+    check_packing(rows, got, 256)
+    slots = defaultdict(list)
+    for r in sharding.sharded(make(spark, rows), 3).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_plan_is_best_fit():
     rnd = random.Random(9)
     counts = Counter(rnd.randint(1, 64) for _ in range(500))
@@ -570,3 +590,49 @@ def test_pipeline_stages(spark, tmp_path):
     check_packing(before, got, 2048)
     assert {r.doc_id for r in got} == {d for d, _ in before}
     assert cp.run(spark, path).count() == len(got)
+
+
+def piped(spark, rows, path):
+    """A folder of documents with columns by the names that operators use, and of labels."""
+    _, _, frame = labelled(spark, 60)
+    frame.write.mode("overwrite").parquet(f"{path}/labels.parquet")
+    names = ["score", "predicted", "copies", "row_hash", "copy", "rest", "rate", "tokens", "n_removed", "kept", "_doc", "component_id", "th"]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), *[f"{k}{i}" for k in names]) for i, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{k} string" for k in names))
+    docs.write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet"), names
+
+
+def test_pipeline_stages_on_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(12)
+    one, two = sentence(rnd, 90), sentence(rnd, 90)
+    rows = [(3, one), (7, one), (7, two), (9, two + " more"), (9, two + " more"), (None, two + " more"), (None, sentence(rnd, 70)), (None, None), (4, None), (4, ""), (5, one), (5, one)]
+    rows += [(None, text := sentence(rnd, 50)), (None, text), (20, last := sentence(rnd, 40)), (20, last)]
+    path = str(tmp_path)
+    docs, names = piped(spark, rows, path)
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes), name
+        for r in out.collect():  # a row's other columns are its own
+            i = int(r["score"][5:])
+            assert (r.doc_id, [r[k] for k in names]) == (rows[i][0], [f"{k}{i}" for k in names]), name
+    kept = Counter((r.doc_id, r.text) for r in cp.keep_one_of_similar(spark, docs, path).collect())
+    assert kept == Counter([(3, one), (7, two), rows[6], (None, None), (4, None), (4, ""), (None, text), (20, last)])
+    assert cp.cut_repeats(spark, docs, path).count() == len(rows)
+    assert cp.mix_to_targets(spark, docs, path).count() <= len(rows)
+    got = cp.pack_sequences(spark, docs, path)
+    assert got.select("doc_id", "piece").count() == len(rows)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs, _ = piped(spark, [(1, "a")], str(tmp_path / "full"))
+    path = str(tmp_path / "empty")
+    docs.limit(0).write.parquet(f"{path}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/full/labels.parquet").limit(0).write.parquet(f"{path}/labels.parquet")
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs.limit(0), path)
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert cp.run(spark, path).count() == 0
