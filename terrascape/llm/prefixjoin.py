@@ -36,6 +36,8 @@ MOST_FREQUENT = 200_000
 MOST_TOGETHER = 4_096
 #: N-grams of the sets of a block that a task takes together; larger blocks are cut.
 MOST_SHINGLES = 1_000_000
+#: Rows of one set that are joined with its class in one task; the copies of a set with more are dealt over several.
+COPIES_TOGETHER = 1_000
 #: Bits of a set's parity bitmap: a power of two, at least the set's size and the first, at most the second of these.
 FEWEST_BITS, MOST_BITS = 64, 1 << 20
 
@@ -423,18 +425,21 @@ def verified_classes(documents: DataFrame, n: int, t: Fraction | str, proposed:
     key = F.unhex(F.concat(F.lpad(F.hex("ka"), 16, "0"), F.lpad(F.hex("kb"), 16, "0")))
     sets = own.where("n_shingles > 0")
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
-    named = sets.groupBy("ka", "kb").agg(pick.alias("pick"), F.first("n_shingles").alias("n_shingles"))
-    named = written(named.select("ka", "kb", key.alias("key"), F.col("pick.doc_id").alias("rep"), F.col("pick.th").alias("th"), "n_shingles"), "shingle-classes")
+    named = sets.groupBy("ka", "kb").agg(pick.alias("pick"), F.first("n_shingles").alias("n_shingles"), F.ceil(F.count("*") / COPIES_TOGETHER).cast("int").alias("salts"))
+    named = written(named.select("ka", "kb", key.alias("key"), F.col("pick.doc_id").alias("rep"), F.col("pick.th").alias("th"), "n_shingles", "salts"), "shingle-classes")
     blocks = written(components(proposed), "blocks")
     member = named.join(blocks, named.ka == blocks.node).select(F.col("rep").alias("doc_id"), "th", "key", F.col("root").alias("block"), "n_shingles")
     found = written(components(verified_links(documents, member, n, t, np.empty(0, np.uint64) if order is None else order)), "duplicate-classes")
     placed = named.select("ka", "kb", "key", "rep").join(found, F.col("key") == F.col("node"))
     least = placed.groupBy("root").agg(F.min("rep").alias("least"))
     moved = written(placed.join(least, "root").select("ka", "kb", "root", "least"), "duplicate-roots")
-    reps = named.select("ka", "kb", "key", "rep").join(moved, ["ka", "kb"], "left")
-    reps = reps.select("ka", "kb", F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("root", "key").alias("class_key"))
+    reps = named.select("ka", "kb", "key", "rep", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(moved, ["ka", "kb"], "left")
+    reps = reps.select("ka", "kb", "salt", F.when(F.col("root").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("root", "key").alias("class_key"))
     size = F.col("n_shingles").cast("long").alias("n_shingles")
-    linked = sets.join(reps, ["ka", "kb"]).select("doc_id", "th", size, "component_id", "class_key")
+    # the list of sets with very many copies is written, so that Spark broadcasts it if it is small
+    copied = written(named.where("salts > 1").select("ka", "kb", "salts"), "copied-sets")
+    sets = sets.join(copied, ["ka", "kb"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    linked = sets.join(reps, ["ka", "kb", "salt"]).select("doc_id", "th", size, "component_id", "class_key")
     return linked.unionByName(own.where("n_shingles = 0").select("doc_id", "th", size, F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("class_key")))
 
 

@@ -121,14 +121,22 @@ def test_prefix_tree_join(spark, corpus, n, t):
 
 
 def test_prefix_tree_join_on_awkward_rows(spark):
-    got = prefixjoin.classes(make(spark, awkward()), 5, "0.8").collect()
-    assert Counter(map(tuple, got)) == brute_classes(awkward(), 5, "0.8")
+    rnd = random.Random(7)
+    w = sentence(rnd, 100).split(" ")
+    # 300 and 301 are linked only through texts without a doc_id
+    far = [" ".join(w[:i] + [f"n{k}" for k in range(i, i + 5)] + w[i + 5 :]) for i in (0, 30)]
+    both = " ".join([f"n{k}" for k in range(5)] + w[5:30] + [f"n{k}" for k in range(30, 35)] + w[35:])
+    rows = awkward() + [(300, far[0]), (301, far[1]), (None, both), (None, both), (None, " ".join(w))]
+    got = prefixjoin.classes(make(spark, rows), 5, "0.8").collect()
+    assert Counter(map(tuple, got)) == brute_classes(rows, 5, "0.8")
 
 
 def test_prefix_tree_join_splits_large_groups(spark, corpus, monkeypatch):
     monkeypatch.setattr(prefixjoin, "MOST_TOGETHER", 4)
     monkeypatch.setattr(prefixjoin, "MOST_SHINGLES", 500)
     monkeypatch.setattr(prefixjoin, "FREQUENT", 3)
+    monkeypatch.setattr(prefixjoin, "COPIES_TOGETHER", 2)
+    monkeypatch.setattr(graphs, "HUBS", 2)
     got = prefixjoin.classes(make(spark, corpus), 3, "0.8").collect()
     assert Counter(map(tuple, got)) == brute_classes(corpus, 3, "0.8")
 
