@@ -32,10 +32,11 @@ LACKING = 5.0
 #: Domains by labels, the first of which sets the total: its documents keep about their rate of 1.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.97, "poor": 0.01, "toxic": 0.02}
-#: Most rounds, largest miss in parts of all tokens at which they end, and rounds after which rates are written.
-ROUNDS = 200
+#: Most rounds, largest miss in parts of all tokens at which they end, least gain in parts of the error by which they go on, and rounds after which rates are written.
+ROUNDS = 60
 TOLERANCE = 1e-5
-WRITTEN_AFTER = 12
+GAINING = 1e-3
+WRITTEN_AFTER = 8
 #: Telling features up to which their table is broadcast, 24 bytes each; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -120,12 +121,13 @@ def posteriors(documents: DataFrame, prior: np.ndarray, telling: DataFrame, name
     return rows.select("doc_id", "u", "tokens", *[(F.col(f"z_{n}") / norm).alias(f"p_{n}") for n in names])
 
 
-def stepped(rate: Column, gradients: list[np.ndarray], names: tuple[str, ...], ceiling: float | None) -> Column:
-    """rate after a step against each gradient in turn, cut off at 0 and at the ceiling after each."""
+def stepped(gradients: list[np.ndarray], names: tuple[str, ...], ceiling: float | None) -> str:
+    """SQL of the column rate after a step against each gradient in turn, cut off at 0 and at the ceiling after each."""
+    rate = "rate"
     for g in gradients:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p_{n}") * float(x) for n, x in zip(names, g, strict=True)), F.lit(0.0)))
+        rate = f"greatest(0D, {rate} - ({' + '.join(f'p_{n} * {float(x)!r}D' for n, x in zip(names, g, strict=True))}))"
         if ceiling is not None:
-            rate = F.least(F.lit(float(ceiling)), rate)
+            rate = f"least({float(ceiling)!r}D, {rate})"
     return rate
 
 
@@ -134,8 +136,11 @@ def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] =
 
     rows: tokens and posteriors, as written; they are read once a round. A domain's miss is
     weighed by one over its tokens, and a document's step is scaled by one over its own, which
-    changes the way and not the end where the targets can be met. The length of a step is one
-    over the greatest curvature, found from one aggregation, so that no step overshoots.
+    changes the way and not the end where the targets can be met. The first step is one over the
+    greatest curvature, by which none overshoots; later ones follow the curvature that the last
+    step met (Barzilai and Borwein); one that made the error grow is taken back and tried again
+    with a quarter of its length. Rounds end when every domain is met, or when two steps in turn
+    hardly gained.
     """
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     sums = rows.agg(
@@ -145,30 +150,40 @@ def fitted(rows: DataFrame, targets: dict[str, float], names: tuple[str, ...] =
     now = np.array([float(sums[n] or 0.0) for n in names])
     total = now.sum()
     weights = np.array([targets[n] for n in names]) / math.fsum(targets.values())
-    out = rows.withColumn("rate", F.lit(1.0 if ceiling is None else min(1.0, float(ceiling))))
+    base = rows.withColumn("rate", F.lit(1.0 if ceiling is None else min(1.0, float(ceiling))))
     if not total or not weights[0] or not now[0]:
-        return out
+        return base
     goal = weights * now[0] / weights[0]
     scale = np.where(now > 0, 1 / np.maximum(now, 1e-9 * total), 0.0)
     curve = np.array([[float(sums[f"h_{min(a, b, key=names.index)}_{max(a, b, key=names.index)}"]) for b in names] for a in names])
-    step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * curve * np.sqrt(scale)[None, :]).max()
-    gradients: list[np.ndarray] = []
-    last, saved = math.inf, None
+    safe = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * curve * np.sqrt(scale)[None, :]).max()
+    steps: list[np.ndarray] = []
+    length, best, before, idle = safe, None, None, 0
     for _ in range(rounds):
-        rate = stepped(F.col("rate"), gradients, names, ceiling)
-        got = out.agg(*[F.sum(F.col("tokens") * F.col(f"p_{n}") * rate).alias(n) for n in names]).head()
-        off = np.array([float(got[n]) for n in names]) - goal
-        error = float(np.sqrt((scale * off * off).sum() / total))
-        if np.abs(off).max() < tolerance * total or last - error < tolerance * tolerance:
+        moved = F.expr(f"({stepped(steps, names, ceiling)}) - ({stepped(steps[:-1], names, ceiling)})") if steps else F.lit(0.0)
+        rate = F.expr(stepped(steps, names, ceiling))
+        got = base.agg(*[F.sum(F.col("tokens") * F.col(f"p_{n}") * rate).alias(n) for n in names], F.sum(F.col("tokens") * moved * moved).alias("moved")).head()
+        have = np.array([float(got[n]) for n in names])
+        off = have - goal
+        error = float((scale * off * off).sum() / total)
+        gain = math.inf if best is None else best[0] - error
+        idle = idle + 1 if gain < GAINING * error else 0
+        if gain > 0:
+            best = error, base, list(steps), off
+            if np.abs(off).max() < tolerance * total or idle > 1:
+                break
+            bent = float((scale * (have - before) ** 2).sum()) if before is not None else 0.0
+            length = float(got["moved"]) / bent if bent > 0 and got["moved"] > 0 else safe
+            before = have
+        elif length <= safe or idle > 1 and -gain < GAINING * error:
             break
-        last = error
-        gradients.append(step * scale * off)
-        if len(gradients) == WRITTEN_AFTER:
-            new = written(out.withColumn("rate", stepped(F.col("rate"), gradients, names, ceiling)), "rates")
-            if saved is not None:
-                discard(saved)
-            out, saved, gradients = new, new, []
-    return out.withColumn("rate", stepped(F.col("rate"), gradients, names, ceiling))
+        else:  # too far
+            _, base, steps, off = best[0], best[1], list(best[2]), best[3]
+            before, length = off + goal, length / 4
+        if len(steps) >= WRITTEN_AFTER:
+            base, steps = written(base.withColumn("rate", F.expr(stepped(steps, names, ceiling))), "rates"), []
+        steps.append(max(length, safe) * scale * off)
+    return best[1].withColumn("rate", F.expr(stepped(best[2], names, ceiling)))
 
 
 def mixed(documents: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, names: tuple[str, ...] = DOMAINS, ceiling: float | None = None) -> DataFrame:

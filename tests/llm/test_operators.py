@@ -515,7 +515,7 @@ def test_mixing_posteriors_are_naive_bayes(spark):
 def test_mixing_rates_are_cut_off_after_each_step(spark):
     rows = spark.createDataFrame([(10, 1.0, 0.0, 0.0, 1.0), (5, 0.2, 0.8, 0.0, 1.0), (7, 0.0, 0.1, 0.9, 1.0)], "tokens long, p_clean double, p_poor double, p_toxic double, rate double")
     steps = [np.array([0.1, 1.5, -0.2]), np.array([-0.3, -0.4, 2.0]), np.array([0.0, 0.2, -0.5])]
-    got = [r[0] for r in rows.select(mixing.stepped(rows.rate, steps, mixing.DOMAINS, 1.2)).collect()]
+    got = [r[0] for r in rows.selectExpr(mixing.stepped(steps, mixing.DOMAINS, 1.2)).collect()]
     want = []
     for r in rows.collect():
         x, p = 1.0, np.array(r[1:4])
