@@ -79,12 +79,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with its fitted rate, at most 1, as its chance to stay; clean ones have rates of about 1, and none is repeated.
+    """Each document with its fitted rate as its chance to stay; clean ones have rates of about 1, rates above 1 count as 1, so none is repeated.
 
     A document's chance is drawn from the hash of doc_id and text, so repeated rows fare alike. A
     null or empty text has the prior as its posterior. Without labels all rows stay.
     """
-    fate = mixing.mixed(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ceiling=1.0)
+    fate = mixing.mixed(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     gone = fate.where("copies = 0").select("doc_id", F.col("row_hash").alias("key")).distinct()
     return opened(without(enclosed(docs), gone, F.xxhash64("doc_id", "text")), docs)
 
