@@ -23,25 +23,26 @@ BLOCK = 8
 
 
 def relaxed(edges: DataFrame, sources: DataFrame, km: str, most: int = 10_000) -> DataFrame:
-    """src, node, cost, total: by rounds of join and minimum, each written to the shared folder."""
+    """src, node, cost, total: by rounds of join and minimum, each written to the shared folder, until a round changes no row; RuntimeError beyond `most` rounds."""
     spark = edges.sparkSession
     path = f"{shared_dir(spark)}/paths-{uuid.uuid4().hex}"
     links = edges.select("src", "u", "v", quantised(F.col(km)).alias("q"), F.col(km).alias("km"))
     links.write.parquet(f"{path}/links")
     links = spark.read.parquet(f"{path}/links")
-    best = sources.select("src", F.col("src").alias("node"), F.lit(0).alias("cost"), F.lit(0.0).alias("total"))
+    best = sources.select("src", F.col("src").alias("node"), F.lit(0).alias("cost"), F.lit(0.0).alias("total"), F.lit(True).alias("changed"))
     best.write.parquet(f"{path}/0")
-    last = -1.0, 0
     for i in range(most):
         best = spark.read.parquet(f"{path}/{i}")
-        mark = tuple(best.agg(F.sum(F.col("cost") + F.col("total")), F.count("*")).head())
-        if mark == last:
-            break
-        last = mark
-        further = best.join(links, (best.src == links.src) & (best.node == links.u)).select(best.src, F.col("v").alias("node"), (F.col("cost") + F.col("q")).alias("cost"), (F.col("total") + F.col("km")).alias("total"))
-        both = best.unionByName(further).groupBy("src", "node").agg(F.min(F.struct("cost", "total")).alias("m"))
-        both.select("src", "node", "m.cost", "m.total").write.parquet(f"{path}/{i + 1}")
-    return best.where("node <> src")
+        if best.where("changed").isEmpty():
+            return best.where("node <> src").drop("changed")
+        # only what changed in the last round can lead further
+        moved = best.where("changed").drop("changed")
+        further = moved.join(links, (moved.src == links.src) & (moved.node == links.u)).select(moved.src, F.col("v").alias("node"), (F.col("cost") + F.col("q")).alias("cost"), (F.col("total") + F.col("km")).alias("total"))
+        both = best.withColumn("changed", F.lit(False)).unionByName(further.withColumn("changed", F.lit(True)))
+        # of equals the row that was there before wins, so it doesn't count as changed
+        least = both.groupBy("src", "node").agg(F.min(F.struct("cost", "total", "changed")).alias("m"))
+        least.select("src", "node", "m.cost", "m.total", "m.changed").write.parquet(f"{path}/{i + 1}")
+    raise RuntimeError(f"paths weren't settled after {most} rounds")
 
 
 def paths_by_rounds(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -79,11 +80,10 @@ def solved(edges: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         src, u, v = (group.column(c).to_numpy() for c in ("src", "u", "v"))
-        ends = np.unique(np.stack([np.tile(src, 3), np.concatenate([u, v, src])], 1), axis=0)
-        key = {tuple(x): i for i, x in enumerate(ends.tolist())}
-        of = lambda nodes: np.fromiter((key[x] for x in zip(src.tolist(), nodes.tolist(), strict=True)), np.int64, len(src))
+        ends, place = np.unique(np.stack([np.tile(src, 3), np.concatenate([u, v, src])], 1), axis=0, return_inverse=True)
+        place = place.ravel()
         start = np.flatnonzero(ends[:, 0] == ends[:, 1])
-        iu, iv = of(u), of(v)
+        iu, iv = place[: len(src)], place[len(src) : 2 * len(src)]
         cents = lambda km: np.floor(km * 100 + 0.5).astype(np.int64)
         adj, geo = group.column("adj").to_numpy(), group.column("geo").to_numpy()
         _, total = _least(len(ends), start, iu, iv, cents(adj), adj)

@@ -259,7 +259,7 @@ def _frame(spark):
     """A box with a box cut out of it, on GRID."""
     box = lambda x0, x1, y0, y1: [(1000.0 * x, -1000.0 * y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
     rings = [(0, 0, False, box(1.5, 9.25, 2.5, 8.75)), (0, 1, True, box(3.25, 5.5, 4.75, 6.5))]
-    return spark.createDataFrame(rings, "poly_id int, ring_id int, is_hole boolean, vertices array<struct<x: double, y: double>>")
+    return spark.createDataFrame(rings, "poly_id long, ring_id int, is_hole boolean, vertices array<struct<x: double, y: double>>")
 
 
 @query

@@ -14,9 +14,11 @@ from terrascape.grid import Grid
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local run makes one of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="terrascape-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -42,12 +44,14 @@ def write_cells(cells: DataFrame, grid: Grid, path: str, tile: int = 256) -> Non
     spark = cells.sparkSession
     banded = cells.withColumn("band", F.floor(F.col("row") / tile).cast("int"))
     banded.repartition("band").sortWithinPartitions("row", "col").write.partitionBy("band").parquet(f"{path}/cells")
-    spark.createDataFrame([(json.dumps(asdict(grid)),)], "value string").coalesce(1).write.text(f"{path}/grid")
+    spark.createDataFrame([(json.dumps({**asdict(grid), "tile": tile}),)], "value string").coalesce(1).write.text(f"{path}/grid")
 
 
-def read_cells(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, tile: int = 256) -> tuple[DataFrame, Grid]:
-    """Cells within ranges of rows and columns (the ends excluded); the ranges reach the scan."""
-    grid = Grid(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(spark.read.text(f"{path}/grid").head()[0]).items()})
+def read_cells(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> tuple[DataFrame, Grid]:
+    """Cells within ranges of rows and columns (the ends excluded); the ranges reach the scan, by the bands that the table was written in."""
+    facts = json.loads(spark.read.text(f"{path}/grid").head()[0])
+    tile = facts.pop("tile")
+    grid = Grid(**{k: tuple(v) if isinstance(v, list) else v for k, v in facts.items()})
     cells = spark.read.parquet(f"{path}/cells")
     if rows:
         cells = cells.where((F.col("band") >= rows[0] // tile) & (F.col("band") <= (rows[1] - 1) // tile) & (F.col("row") >= rows[0]) & (F.col("row") < rows[1]))

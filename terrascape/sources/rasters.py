@@ -13,6 +13,7 @@ from terrascape.operators.pyramid import finite
 from terrascape.operators.surfaces import rescaled
 from terrascape.sources.cells import read_cells
 from terrascape.sources.geotiff import read_geotiff
+from terrascape.sources.vector import require_crs
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,7 @@ def read_raster(spark: SparkSession, path: str, polygon: DataFrame | None = None
     cells, grid = read_geotiff(spark, path) if tiff else read_cells(spark, path)
     box = (0, grid.nrows, 0, grid.ncols)
     if polygon is not None:
+        require_crs(polygon, grid)
         box = aoi.pixel_box(polygon, grid) if closed else aoi.read_box(polygon, grid, levels, expand_px)
         cells = aoi.within(cells, box) if tiff else read_cells(spark, path, box[:2], box[2:])[0]
     transforms = {v: grid.level_transform(v) for v in levels}

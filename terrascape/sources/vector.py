@@ -5,24 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POLYGON = "poly_id int, ring_id int, is_hole boolean, vertices array<struct<x: double, y: double>>"
+from terrascape.grid import Grid
+
+POLYGON = "poly_id long, ring_id int, is_hole boolean, vertices array<struct<x: double, y: double>>"
 _GEOMETRY = "struct<type: string, coordinates: string>"
-_FILE = f"type string, coordinates string, geometry {_GEOMETRY}, features array<struct<geometry: {_GEOMETRY}>>"
+_CRS = "crs struct<properties: struct<name: string>>"
+_FILE = f"type string, coordinates string, geometry {_GEOMETRY}, features array<struct<geometry: {_GEOMETRY}>>, {_CRS}"
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """poly_id, ring_id, is_hole, vertices of the polygons and multipolygons of a file; other geometries are left out.
+    """poly_id, ring_id, is_hole, vertices, crs of the polygons and multipolygons of a file or a folder of files; other geometries are left out.
 
-    Coordinates are taken to be in the raster's reference system: none is converted here.
+    poly_id is the hash of a polygon's file and place in it. crs is what the file names, or null;
+    coordinates aren't converted, see require_crs.
     """
-    raw = spark.read.schema(_FILE).json(path, multiLine=True)
+    raw = spark.read.schema(_FILE).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
     single = F.coalesce(F.col("geometry"), F.struct("type", "coordinates"))
-    each = raw.select(F.explode(F.coalesce(F.transform("features", lambda f: f["geometry"]), F.array(single))).alias("g")).select("g.*")
+    each = raw.select("file", F.col("crs.properties.name").alias("crs"), F.posexplode(F.coalesce(F.transform("features", lambda f: f["geometry"]), F.array(single))).alias("i", "g")).select("file", "crs", "i", "g.*")
     nested = "array<array<array<array<double>>>>"
-    polygons = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", "array<array<array<double>>>"))).when(F.col("type") == "MultiPolygon", F.from_json("coordinates", nested))
-    rows = each.select(F.explode(polygons).alias("rings")).withColumn("poly_id", F.monotonically_increasing_id().cast("int"))
-    rings = rows.select("poly_id", F.posexplode("rings").alias("ring_id", "ring"))
-    return rings.select("poly_id", "ring_id", (F.col("ring_id") > 0).alias("is_hole"), F.transform("ring", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("vertices"))
+    parts = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", "array<array<array<double>>>"))).when(F.col("type") == "MultiPolygon", F.from_json("coordinates", nested))
+    rows = each.select("file", "crs", "i", F.posexplode(parts).alias("j", "rings")).withColumn("poly_id", F.xxhash64("file", "i", "j"))
+    rings = rows.select("poly_id", "crs", F.posexplode("rings").alias("ring_id", "ring"))
+    return rings.select("poly_id", "ring_id", (F.col("ring_id") > 0).alias("is_hole"), F.transform("ring", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("vertices"), "crs")
+
+
+def epsg(name: str | None) -> str | None:
+    """'EPSG:n' of the usual ways to write it, and of CRS84; other names in capitals."""
+    text = (name or "").strip().upper()
+    if not text:
+        return None
+    if text.endswith("CRS84"):
+        return "EPSG:4326"
+    head, _, code = text.rpartition(":")
+    return f"EPSG:{code}" if "EPSG" in head and code.isdigit() else text
+
+
+def require_crs(polygon: DataFrame, grid: Grid) -> None:
+    """ValueError if polygons name a reference system other than the grid's; one that isn't named is taken to be the same."""
+    if grid.crs and "crs" in polygon.columns:
+        for (name,) in polygon.where("crs IS NOT NULL").select("crs").distinct().limit(10).collect():
+            if epsg(name) != epsg(grid.crs):
+                raise ValueError(f"the polygons are in {name}, the raster in {grid.crs}; reproject them first")
 
 
 def polygons(spark: SparkSession, shapes: list[list[list[tuple[float, float]]]]) -> DataFrame:

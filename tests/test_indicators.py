@@ -208,7 +208,7 @@ def test_rasters(spark, tmp_path):
     assert (back.nrows, back.ncols, back.transform, back.is_geo, back.nodata, back.crs) == (150, 90, g.transform, False, -9999.0, "EPSG:28355")
     assert np.array_equal(table.to_array(cells, back), values, equal_nan=True)
     table.write_cells(cells, back, f"{tmp_path}/cells", tile=32)
-    part, _ = table.read_cells(spark, f"{tmp_path}/cells", (40, 70), (10, 20), tile=32)
+    part, _ = table.read_cells(spark, f"{tmp_path}/cells", (40, 70), (10, 20))
     assert part.count() == 300 and np.array_equal(table.to_array(part, back)[40:70, 10:20], values[40:70, 10:20], equal_nan=True)
     area = vector.box(spark, 5e5 + 600, 6e6 - 1500, 5e5 + 900, 6e6 - 1200)
     found = rasters.read_raster(spark, path, area, (2,), scale=2.0, expand_px=1)
@@ -216,6 +216,71 @@ def test_rasters(spark, tmp_path):
     assert rasters.read_raster(spark, path, area, (2,), closed=True).cells.where("value IS NOT NULL").count() == np.isfinite(values[40:50, 20:30]).sum()
 
 
+def test_functions_by_path(spark, tmp_path):
+    import terrascape as ts
+
+    cond, pa, res = random_layers(4)[:3]
+    n, m = np.asarray(cond, float).shape
+    g = Grid(n, m, (1000.0, 0.0, 5e5, 0.0, -1000.0, 6e6), False, crs="EPSG:28355")
+    files = {}
+    for name, layer in (("cond", cond), ("pa", pa), ("res", res)):
+        files[name] = f"{tmp_path}/{name}.tif"
+        geotiff.write_geotiff(table.from_array(spark, layer), g, files[name])
+    p = Params(levels=(2, 4))
+    same = lambda a, b: np.allclose(table.to_array(a, g), table.to_array(b, g), equal_nan=True, atol=1e-6)
+    layers = {k: table.from_array(spark, np.asarray(v, np.float32)) for k, v in (("c", cond), ("p", pa), ("r", res))}
+    got = ts.connectedness(spark, files["cond"], files["pa"], levels=(2, 4), filename=f"{tmp_path}/out")
+    assert same(got, indicators.connectedness(layers["c"], g, p, pa=layers["p"]))
+    back, grid = table.read_cells(spark, f"{tmp_path}/out")
+    assert same(got, back) and grid.crs == "EPSG:28355"
+    if np.isnan(np.asarray(res, float)[~np.isnan(np.asarray(cond, float))]).any():
+        with pytest.warns(UserWarning, match="no resistance"):
+            got = ts.connectedness(spark, files["cond"], resistance_file=files["res"], levels=(2, 4))
+    else:
+        got = ts.connectedness(spark, files["cond"], resistance_file=files["res"], levels=(2, 4))
+    assert same(got, indicators.connectedness(layers["c"], g, p, resistance=layers["r"]))
+    assert ts.beri(spark, files["cond"], files["pa"], [files["res"]], levels=(2, 4)).count() == n * m
+    table.write_cells(table.from_array(spark, [[0.5]]), Grid(1, 1), f"{tmp_path}/one")
+    with pytest.raises(ValueError, match="cells"):
+        ts.connectedness(spark, files["cond"], f"{tmp_path}/one")
+    table.write_cells(layers["p"], Grid(n, m, g.transform, False, crs="EPSG:3577"), f"{tmp_path}/other")
+    with pytest.raises(ValueError, match="reproject"):
+        ts.connectedness(spark, files["cond"], f"{tmp_path}/other")
+    foreign = vector.box(spark, 5e5, 6e6 - 3000, 5e5 + 3000, 6e6).withColumn("crs", F.lit("urn:ogc:def:crs:EPSG::4326"))
+    with pytest.raises(ValueError, match="reproject"):
+        ts.connectedness(spark, files["cond"], polygon_mask=foreign)
+    with pytest.raises(ValueError, match="reproject"):
+        ts.pixel_coverage(spark, foreign, files["cond"])
+    assert ts.pixel_coverage(spark, foreign.withColumn("crs", F.lit("EPSG:28355")), files["cond"]).count() == 9
+    assert ts.make_tiles(spark, files["cond"], 2, 2).count() == 4 and ts.make_tile(spark, files["cond"], 2, 2, 1).count() == 1
+    assert ts.resolution_info(spark, files["cond"], [1, 2]).count() == 2
+
+
+def test_bands_of_cell_tables_are_stored(spark, tmp_path):
+    cells = table.from_array(spark, np.arange(4000.0).reshape(100, 40))
+    table.write_cells(cells, Grid(100, 40), f"{tmp_path}/t", tile=32)
+    assert table.read_cells(spark, f"{tmp_path}/t", (60, 80))[0].count() == 20 * 40
+    area = vector.box(spark, 5000, -79000, 8000, -61000)
+    assert rasters.read_raster(spark, f"{tmp_path}/t", area, (2,), closed=True).cells.where("value IS NOT NULL").count() == 18 * 3
+
+
+def test_paths_end_or_say_that_they_do_not(spark):
+    edges = spark.createDataFrame([(0, i, i + 1, 1.0, 1.0) for i in range(6)] + [(0, 0, 6, 99.0, 99.0)], "src long, u long, v long, adj double, geo double")
+    start = spark.createDataFrame([(0,)], "src long")
+    got = {r.node: (r.cost, r.total) for r in paths.relaxed(edges, start, "adj").collect()}
+    assert got == {i: (100 * i, float(i)) for i in range(1, 7)}
+    with pytest.raises(RuntimeError):
+        paths.relaxed(edges, start, "adj", most=3)
+
+
+def test_folder_of_geojson(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.json").write_text('{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:28355"}}, "features": [' + ", ".join('{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[0,0],[2,0],[2,2],[0,0]]]}}' for _ in range(2)) + "]}")
+    rows = vector.read_geojson(spark, str(tmp_path)).collect()
+    assert len(rows) == 10 and len({r.poly_id for r in rows}) == 10 and {r.crs for r in rows} == {"EPSG:28355"}
+    assert [vector.epsg(x) for x in ("urn:ogc:def:crs:EPSG::4326", "urn:ogc:def:crs:OGC:1.3:CRS84", None, "epsg:3577")] == ["EPSG:4326", "EPSG:4326", None, "EPSG:3577"]
+
+
 def test_predictors_and_tiles():
     import struct
     import zlib
