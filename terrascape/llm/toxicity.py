@@ -48,14 +48,13 @@ _PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 def occurrences(texts: list[bytes | None], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, bucket) of each feature's occurrences, a family at a time."""
     words = Texts(texts).words()
-    start, end = words.start.copy(), words.end.copy()
-    for _ in range(8):
-        back = (end - start > 1) & _PUNCTUATION[words.buf[end - 1]]
-        end -= back
-        front = (end - start > 1) & _PUNCTUATION[words.buf[start]]
-        start += front
-        if not (back.any() or front.any()):
-            break
+    # punctuation around a word goes; of one that is nothing else its middle stays
+    said = np.append(np.flatnonzero(~_PUNCTUATION[words.buf]), len(words.buf))
+    start = said[np.searchsorted(said, words.start)]
+    end = said[np.maximum(np.searchsorted(said, words.end) - 1, 0)] + 1
+    none = start >= words.end
+    middle = (words.start + words.end - 1) // 2
+    start, end = np.where(none, middle, start), np.where(none, middle + 1, end)
     mask = np.uint64(buckets - 1)
 
     def bucket(h: np.ndarray, salt: int) -> np.ndarray:
