@@ -116,10 +116,6 @@ class Words:
     def hashes(self) -> np.ndarray:
         return spans_hashed(self.buf, self.start, self.end)
 
-    def prefix_hashes(self, n: int) -> np.ndarray:
-        """Hash of the first n bytes of each word, or of the whole word."""
-        return spans_hashed(self.buf, self.start, np.minimum(self.end, self.start + n))
-
     def shape_hashes(self) -> np.ndarray:
         """Hash of each word's shape: classes of characters, runs of a class as one."""
         shape = SHAPE[self.texts.buf]

@@ -13,17 +13,20 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascape.llm.common import shared_dir
+from terrascape.llm.common import shared_dir, written
 
 #: Fixed value: the base32 alphabet of RFC 4648, in the order of conv()'s digits.
 BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-RECORDS_A_FILE = 2_000
+#: Most records of an archive file, and most bytes of their payloads unless one alone has more.
+RECORDS_A_FILE, FILE_BYTES = 2_000, 128 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Date of the first capture where pages carry none; each page_id comes a second later.
 _EPOCH = 1_700_000_000
@@ -40,14 +43,18 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages(page_id, url, html) with payload_digest, payload_bytes, refers_to (null: a response).
 
     Of pages with equal payloads of at least `least` bytes that with the smallest page_id is the
-    response; smaller ones are all responses, as are pages without a page_id.
+    response; smaller ones are all responses, as are pages without a page_id. Digests alone meet
+    by payload; what they say comes back to the pages by page_id, so that the texts of very many
+    copies never go to one task.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    known = rows.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least)).select("page_id", "payload_digest").distinct()
+    known = written(known, "payloads")
     # one row for each payload and task goes out, whatever the number of copies
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, "payload_digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first"))).drop("first")
+    first = known.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = written(known.join(first, "payload_digest").where("refers_to < page_id"), "revisits")
+    return rows.join(again, ["page_id", "payload_digest"], "left")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
@@ -77,8 +84,13 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
         F.lit("\r\n"),
         block,
     )
-    out = roles(pages, least).select(record.alias("value"))
-    out.write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=RECORDS_A_FILE).text(path)
+    # pages too large for as many to share a file have files of their own
+    size, limit = F.octet_length(F.coalesce("html", F.lit(""))), FILE_BYTES // RECORDS_A_FILE
+    most = pages.where(size > limit).agg(F.max(size)).head()[0]
+    out = roles(pages, least).select(record.alias("value"), F.col("payload_bytes").alias("size"))
+    for part, many in ((f"size <= {limit}", RECORDS_A_FILE), (f"size > {limit}", max(1, FILE_BYTES // most) if most else 0)):
+        if many:
+            out.where(part).select("value").write.mode("append").options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=many).text(path)
 
 
 def records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -136,19 +148,42 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, _CAPTURE)
 
 
-def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
-    """Merge sorted runs: each inner node keeps the loser of its match, and the winner climbs to the root."""
+class Run:
+    """A sorted run as an Arrow table, of which the keys at its head are read a piece at a time."""
+
+    def __init__(self, table: pa.Table, begin: int, key: list[str], piece: int = 1_000):
+        self.table, self.begin, self.key, self.piece = table, begin, key, piece
+        self.at, self.held = 0, []
+        self._next()
+
+    def _next(self) -> None:
+        columns = [self.table.column(k).slice(self.at, self.piece).to_pylist() for k in self.key]
+        self.held = [tuple((x is not None, x) if x is not None else (False,) for x in row) for row in zip(*columns, strict=True)][::-1]
+
+    @property
+    def head(self) -> tuple | None:
+        return self.held[-1] if self.held else None
+
+    def pop(self) -> int:
+        """The place of the head in all runs; the head moves on."""
+        self.held.pop()
+        self.at += 1
+        if not self.held:
+            self._next()
+        return self.begin + self.at - 1
+
+
+def loser_tree(runs: list) -> Iterator[int]:
+    """What pop() gives of runs with head and pop(), in the order of their heads: each inner node keeps the loser of its match, and the winner climbs to the root."""
     k = len(runs)
     if k < 2:
-        yield from (runs[0] if runs else ())
+        while k and runs[0].head is not None:
+            yield runs[0].pop()
         return
-    heads = [0] * k
 
     def less(a: int, b: int) -> bool:
-        x, y = runs[a], runs[b]
-        if heads[a] >= len(x):
-            return False
-        return heads[b] >= len(y) or (x[heads[a]], a) < (y[heads[b]], b)
+        x, y = runs[a].head, runs[b].head
+        return x is not None and (y is None or (x, a) < (y, b))
 
     tree = [0] * k
     winner = [0] * k + list(range(k))
@@ -156,9 +191,8 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
         a, b = winner[2 * node], winner[2 * node + 1]
         winner[node], tree[node] = (a, b) if less(a, b) else (b, a)
     best = winner[1]
-    while heads[best] < len(runs[best]):
-        yield runs[best][heads[best]]
-        heads[best] += 1
+    while runs[best].head is not None:
+        yield runs[best].pop()
         node = (best + k) // 2
         while node:
             if less(tree[node], best):
@@ -169,24 +203,25 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
 def merged_index(captures: DataFrame) -> DataFrame:
     """Capture histories: captures in the order of (url_key, captured, page_id), over all partitions and within each.
 
-    Ranges are cut by all three, so that a URL captured very often spreads over partitions; a
-    partition holds the parts of the sorted runs that fall into its range, and merges them.
+    captures: as written, since the ranges are found by a pass of its own. Ranges are cut by all
+    three, so that a URL captured very often spreads over partitions. A partition holds the parts
+    of the sorted runs that fall into its range as Arrow tables, and merges them; only the keys
+    next in line are Python values.
     """
     key = ["url_key", "captured", "page_id"]
-    names = captures.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = [names.index(c) for c in key]
-        runs: dict[str, list[tuple]] = {}
-        schema = None
-        for batch in batches:
-            schema = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[0], []).append((tuple((row[i] is not None, row[i]) if row[i] is not None else (False,) for i in at), row))
-        if runs:
-            rows = [row for _, row in loser_tree(list(runs.values()))]
-            for i in range(0, len(rows), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 10_000], strict=True), schema, strict=True)], schema=schema)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        name = table.column("run").combine_chunks().dictionary_encode()
+        name = name.chunk(0) if isinstance(name, pa.ChunkedArray) else name
+        code = name.indices.to_numpy()
+        edges = np.flatnonzero(np.append(True, code[1:] != code[:-1])).tolist()
+        order = loser_tree([Run(table.slice(a, b - a), a, key) for a, b in zip(edges, [*edges[1:], len(code)], strict=True)])
+        while len(some := np.fromiter(islice(order, 10_000), np.int64)):
+            yield from table.take(pa.array(some)).combine_chunks().to_batches()
 
     parted = captures.repartitionByRange(*key).sortWithinPartitions("run", *key)
     return parted.mapInArrow(run, captures.schema)
@@ -196,4 +231,4 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     """Pages through the archives and back: run, url_key, captured, page_id, record_type, refers_to, payload_digest, payload_bytes, offset, length, as merged_index orders them."""
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least)
-    return merged_index(read_archives(pages.sparkSession, path))
+    return merged_index(written(read_archives(pages.sparkSession, path), "captures"))

@@ -231,10 +231,40 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_loser_tree():
+    import pyarrow as pa
+
     rnd = random.Random(1)
     for k in (0, 1, 2, 3, 7, 16):
-        runs = [sorted((rnd.randrange(30), i, j) for j in range(rnd.randrange(12))) for i in range(k)]
-        assert list(warc.loser_tree(runs)) == sorted(x for r in runs for x in r)
+        runs = [sorted((rnd.randrange(30), rnd.randrange(3)) for _ in range(rnd.randrange(12))) for _ in range(k)]
+        every = [x for r in runs for x in r]
+        begin = np.cumsum([0, *map(len, runs)]).tolist()
+        tables = [pa.table({"a": [x for x, _ in r], "b": [y for _, y in r]}) for r in runs]
+        order = list(warc.loser_tree([warc.Run(t, at, ["a", "b"], 3) for t, at in zip(tables, begin)]))
+        assert sorted(order) == list(range(len(every))) and [every[i] for i in order] == sorted(every)
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    rnd = random.Random(3)
+    pages = [(i, f"http://h{i % 3}.example.org/{i}", "".join(rnd.choice("abcdef") for _ in range(15_000 if i % 5 == 0 else 10 if i % 5 else 0))) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_archives(df, f"{tmp_path}/w")
+    found = warc.read_archives(spark, f"{tmp_path}/w").collect()
+    held = Counter()
+    for r in found:
+        held[r.run] += r.payload_bytes
+    assert len(found) == 40 and max(held.values()) <= 40_000
+
+
+def test_punctuation_around_words():
+    strip = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    for text in ("a", "...", "!!!!!!!!!!!!!!!!!!!!villain", "(villain)....................", "v'il", "--", "", "?", "é!!", "a-b ... (c) ''"):
+        for w in text.split(" "):
+            core = w.strip(strip) or (w[(len(w) - 1) // 2] if w else "")
+            if core:
+                a = toxicity.sparse([w.encode()], 1 << 16)[0]
+                b = toxicity.sparse([core.encode()], 1 << 16)[0]
+                assert a.tolist() == b.tolist(), (w, core)
 
 
 def brute_rules(text):
