@@ -23,8 +23,8 @@ from terrascape.llm.textops import Texts, prefix_sums, span_hash
 
 SEQUENCE = 2048
 END = 0
-#: Pieces of a length whose ranks are numbered together; a length with more has more lanes.
-LANE_ROWS = 200_000
+#: Pieces of a length whose ranks are numbered together; a length with more has more lanes than the fewest.
+LANE_ROWS, FEWEST_LANES = 200_000, 16
 #: Distinct pieces whose ids a worker keeps.
 KEPT_PIECES = 200_000
 
@@ -234,7 +234,7 @@ def packed(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     steps = plan(counts, sequence)
     table = spark.createDataFrame(steps or [(0, 0, 0, 0, 1, 0)], "_length long, _rank0 long, _ranks long, _sequence0 long, _each long, _offset0 long")
     table = F.broadcast(table) if len(steps) <= 500_000 else table
-    cut = spark.createDataFrame([(n, -(-c // LANE_ROWS)) for n, c in counts.items()] or [(0, 1)], "length long, _lanes long")
+    cut = spark.createDataFrame([(n, max(FEWEST_LANES, -(-c // LANE_ROWS))) for n, c in counts.items()] or [(0, 1)], "length long, _lanes long")
     rows = rows.join(F.broadcast(cut), "length").withColumn("_lane", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.col("_lanes"))).drop("_lanes")
     # a row for each lane, so one for LANE_ROWS pieces and one for each length
     lanes = rows.groupBy("length", "_lane").agg(F.count("*").alias("_n"))

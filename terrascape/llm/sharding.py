@@ -19,8 +19,8 @@ from terrascape.llm.common import written
 DIGIT = 12
 #: Largest difference of a splitter from its place, in parts of a shard.
 TOLERANCE = 0.005
-#: Rows of a shard whose slots are numbered together; a shard with more has more lanes.
-LANE_ROWS = 200_000
+#: Rows of a shard whose slots are numbered together; a shard with more has more lanes than the fewest.
+LANE_ROWS, FEWEST_LANES = 200_000, 16
 _SIGN = -(1 << 63)
 
 
@@ -122,7 +122,7 @@ def sharded(documents: DataFrame, shards: int = 24, tolerance: float = TOLERANCE
     keys = written(keyed(documents), "shard-keys")
     rows = keys.withColumn("shard", shard_of(splitters(keys, shards, tolerance)))
     counts = {r[0]: r[1] for r in rows.groupBy("shard").count().collect()}
-    cut = keys.sparkSession.createDataFrame([(k, -(-n // LANE_ROWS)) for k, n in counts.items()] or [(0, 1)], "shard int, lanes long")
+    cut = keys.sparkSession.createDataFrame([(k, max(FEWEST_LANES, -(-n // LANE_ROWS))) for k, n in counts.items()] or [(0, 1)], "shard int, lanes long")
     rows = rows.join(F.broadcast(cut), "shard").withColumn("lane", F.pmod(F.xxhash64("v", "h"), F.col("lanes"))).drop("lanes")
     # slots: where each lane of a shard begins (a row for each shard and LANE_ROWS rows), then the place in the lane
     begins = rows.groupBy("shard", "lane").agg(F.count("*").alias("n"))
