@@ -288,6 +288,56 @@ def test_llr_rules(spark, corpus):
     assert all(not r.kept for r in llr.judged(docs, ratios).collect() if r.base_failed)
 
 
+def test_log_ratios_and_verdicts(spark, corpus):
+    """The ratio worked out from plain counts of words and word pairs."""
+    import re
+
+    docs, trusted, buckets = make(spark, corpus), {d for d, _ in corpus if d < 40}, 1 << 14
+
+    def grams(text):
+        held = Texts([text.encode()])
+        words = held.words()
+        return [int(i) for index, _ in llr.ngrams(words, words.hashes(), buckets) for i in index]
+
+    raw, target = Counter(), Counter()
+    for d, t in corpus:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        assert len(grams(t)) == max(0, 2 * n - 1)
+        raw.update(grams(t))
+        if d in trusted:
+            target.update(grams(t))
+    log = lambda c, i: np.log((c[i] + llr.SMOOTHING) / (c.total() + llr.SMOOTHING * buckets))
+    ratios = llr.log_ratios(docs, docs.where("doc_id < 40").select("doc_id"))
+    for r in llr.judged(docs, ratios).collect():
+        found = grams(dict(corpus)[r.doc_id])
+        want = sum(log(target, i) - log(raw, i) for i in found) / len(found)
+        assert abs(r.log_ratio - want) < 1e-9 and r.kept == (not r.base_failed and r.log_ratio >= llr.THRESHOLD)
+
+
+def test_ftrl_is_the_plain_algorithm():
+    """Steps of the vectorised learner against the update rule a coordinate at a time."""
+    rnd = random.Random(15)
+    model = quality.Ftrl(64)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * model.l1) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    for _ in range(300):
+        at = np.array(sorted(rnd.sample(range(64), 6)), np.int32)
+        x, y = np.array([rnd.random() for _ in at]), rnd.randrange(2)
+        p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in zip(at.tolist(), x))))
+        for i, v, w in [(i, v, weight(i)) for i, v in zip(at.tolist(), x)]:
+            g = (p - y) * v
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / model.alpha * w
+            n[i] += g * g
+        model.step(at, x, y, 1.0)
+    got = model.weights()
+    assert np.allclose(got[:64], [weight(i) for i in range(64)], atol=1e-5) and np.count_nonzero(got[:64]) > 3
+
+
 def test_tokens_equal_the_tokenizers_own(spark):
     from tokenizers import Tokenizer
 
