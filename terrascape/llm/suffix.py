@@ -7,8 +7,9 @@ anchors whose whole surroundings are equal nothing more need be known: all of it
 the surroundings differ, one of each kind goes, with its bytes, into an enhanced suffix array of
 its gram: sorted suffixes from the anchor on and their common prefixes. A scan with a stack
 gives the tree of common-prefix intervals; in each interval the occurrences are told apart by
-what stands before the anchor, which shows how far each repeat extends to the left and whether
-it is maximal there.
+what stands before the anchor, and a second scan gives the groups that extend equally far to
+the left. Groups that are maximal on both sides are the repeats, with all their occurrences:
+repeat_groups() lists them, and removals() takes what they cover.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ GRAM = 48
 MOST_TOGETHER = 4_096
 #: Anchors in which a task looks for equal surroundings before they are dealt out.
 MOST_HELD = 500_000
+#: Occurrences that are laid out at a time, unless one interval has more.
+MOST_EXPANDED = 100_000
 _PLACE_BITS = np.uint64((1 << 22) - 1)
 
 
@@ -212,48 +215,75 @@ def _common(m: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
     return np.minimum(out, np.minimum(size[a], size[b]))
 
 
-def repeats(group: np.ndarray, before: np.ndarray, n_before: np.ndarray, after: np.ndarray, n_after: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Maximal repeats through the anchors of each group, with all their occurrences.
+def _sorted(*parts: np.ndarray) -> np.ndarray:
+    """Order of rows by the bytes of the parts, then by the last part's numbers: of a string and the same with zero bytes behind it, the shorter first."""
+    *texts, size = parts
+    keyed = np.ascontiguousarray(np.concatenate([*texts, size.astype(">u2").view(np.uint8).reshape(-1, 2)], 1))
+    return np.argsort(keyed.view(f"S{keyed.shape[1]}").ravel(), kind="stable")
+
+
+def repeats(group: np.ndarray, before: np.ndarray, n_before: np.ndarray, after: np.ndarray, n_after: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Maximal repeats of `length` bytes or more through the anchors of each group, each with all its occurrences.
 
     before: bytes before each anchor in reverse order, after: from it on; both padded. Yields
-    arrays (occurrence, bytes before it, bytes after it, interval, left-diverse) such that the
-    string so bounded, of `length` bytes or more, occurs at another anchor of the group too.
+    arrays (repeat, occurrence, bytes before it, bytes after it). The occurrences of a
+    common-prefix interval, sorted by what stands before them, have intervals of their own: as
+    deep as all agree to the left, so that none extends further there. Of these, one whose
+    occurrences lie in several child intervals is maximal to the right as well; in one child
+    only, they are found there with a longer string.
     """
     n = len(group)
-    width = after.shape[1]
-    keyed = np.empty((n, 4 + width), np.uint8)
-    keyed[:, :4] = group.astype(">u4").view(np.uint8).reshape(n, 4)
-    keyed[:, 4:] = after
-    order = np.argsort(keyed.view(f"S{4 + width}").ravel(), kind="stable")
+    order = _sorted(group.astype(">u4").view(np.uint8).reshape(n, 4), after, n_after)
     lcp = np.where(group[order[1:]] == group[order[:-1]], _common(after, n_after, order[1:], order[:-1]), -1)
+    above = np.append(-1, lcp)
     left_rank = np.empty(n, np.int64)
-    left_rank[np.argsort(np.ascontiguousarray(before).view(f"S{before.shape[1]}").ravel(), kind="stable")] = np.arange(n)
+    left_rank[_sorted(before, n_before)] = np.arange(n)
     nodes = [x for x in intervals(lcp) if x[0] + before.shape[1] >= length]
-    i = 0
+    told = i = 0
     while i < len(nodes):
         j, total = i, 0
-        while j < len(nodes) and (j == i or total + nodes[j][2] - nodes[j][1] < 100_000):
+        while j < len(nodes) and (j == i or total + nodes[j][2] - nodes[j][1] < MOST_EXPANDED):
             total += nodes[j][2] - nodes[j][1] + 1
             j += 1
         depth, first, last = (np.array(x) for x in zip(*nodes[i:j], strict=True))
-        count = last - first + 1
-        node = np.repeat(np.arange(j - i), count)
-        at = order[np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)]
+        node, place = _expanded(first, last)
+        at = order[place]
+        child = np.cumsum(above[place] == depth[node])
         by_left = np.argsort(node * n + left_rank[at])
-        at, node = at[by_left], node[by_left]
+        at, node, child = at[by_left], node[by_left], child[by_left]
         common = np.where(node[1:] == node[:-1], _common(before, n_before, at[1:], at[:-1]), -1)
-        back = np.maximum(np.append(common, -1), np.append(-1, common))
-        # left-diverse: not all occurrences of the interval have the same byte before them
-        alike = np.ones(j - i, bool)
-        alike[node[1:][common == 0]] = False
-        ok = (back >= 0) & (back + depth[node] >= length)
-        yield at[ok], back[ok], depth[node][ok], i + node[ok], ~alike[node[ok]]
+        common[common + depth[node[1:]] < length] = -1
+        met = np.maximum(np.append(common, -1), np.append(-1, common)) >= 0
+        at, node, child, common = at[met], node[met], child[met], np.append(common, -1)[met][:-1]
         i = j
+        if not len(at):
+            continue
+        back, low, high = np.array(intervals(common)).T
+        turns = np.append(0, np.cumsum(child[1:] != child[:-1]))
+        diverse = turns[high] > turns[low]
+        back, low, high = back[diverse], low[diverse], high[diverse]
+        ends = np.cumsum(high - low + 1)
+        k = 0
+        while k < len(back):
+            m = max(k + 1, int(np.searchsorted(ends, ends[k] + MOST_EXPANDED)))
+            which, place = _expanded(low[k:m], high[k:m])
+            yield told + which, at[place], back[k:m][which], depth[node[low[k:m]]][which]
+            told += m - k
+            k = m
 
 
-def edge_spans(documents: DataFrame, kinds: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row, start, end) of what repeats around the named anchors that aren't whole."""
-    reach = length - gram
+def _expanded(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the range and place in it, for every place of the ranges from first to last."""
+    count = last - first + 1
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count - first, count)
+
+
+_FOUND = ["h", "part_a", "part_b"]
+
+
+def _surroundings(documents: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The bytes around one anchor of each kind, dealt by gram; a gram of very many kinds by pairs of its parts."""
     spots = kinds.groupBy("row").agg(F.collect_list(F.struct("pos", "left", "right", "h", "c", "whole")).alias("spots"))
     texts = _keyed(documents).select("_row", "text")
     rows = texts.join(spots, F.col("_row") == F.col("row")).select("row", "text", "spots")
@@ -270,24 +300,89 @@ def edge_spans(documents: DataFrame, kinds: DataFrame, length: int, gram: int) -
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["row", "pos", "h", "c", "whole", "before", "after"])
 
     pieces = rows.mapInArrow(cut, "row long, pos int, h long, c long, whole boolean, before binary, after binary")
-    keys = ["h", "part_a", "part_b"]
-    dealt = cells(pieces, "h", "c", MOST_TOGETHER, kinds).repartition(*keys).sortWithinPartitions(*keys)
+    return cells(pieces, "h", "c", MOST_TOGETHER, kinds).repartition(*_FOUND).sortWithinPartitions(*_FOUND)
+
+
+def _found(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[pa.Table, Iterator]]:
+    """Surroundings of whole grams, with their repeats."""
+    for data in whole_groups(batches, _FOUND, 10_000):
+        place = np.stack([data.column(k).to_numpy() for k in _FOUND], 1)
+        group = np.cumsum(np.append(True, (place[1:] != place[:-1]).any(axis=1)))
+        sides = []
+        for side, width in (("before", length - gram), ("after", length)):
+            parts = data.column(side).to_pylist()
+            sides += [np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(-1, width), np.array(list(map(len, parts)))]
+        yield data, repeats(group, *sides, length)
+
+
+def edge_spans(documents: DataFrame, kinds: DataFrame, length: int, gram: int) -> DataFrame:
+    """(row, start, end) of what repeats around the named anchors that aren't whole."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in whole_groups(batches, keys, 10_000):
-            place = np.stack([data.column(k).to_numpy() for k in keys], 1)
-            group = np.cumsum(np.append(True, (place[1:] != place[:-1]).any(axis=1)))
-            sides = []
-            for side, width in (("before", reach), ("after", length)):
-                parts = data.column(side).to_pylist()
-                sides += [np.frombuffer(b"".join(x.ljust(width, b"\0") for x in parts), np.uint8).reshape(-1, width), np.array(list(map(len, parts)))]
+        for data, found in _found(batches, length, gram):
             row, pos, whole = (data.column(k).to_numpy() for k in ("row", "pos", "whole"))
-            for at, back, ahead, _, _ in repeats(group, *sides, length):
-                need = ~whole[at].astype(bool)
-                at, start, end = at[need], pos[at[need]] - back[need], pos[at[need]] + ahead[need]
-                yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["row", "start", "end"])
+            back, ahead = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+            for _, at, b, a in found:  # all of an anchor's repeats hold the anchor, so together they are one span
+                np.maximum.at(back, at, b)
+                np.maximum.at(ahead, at, a)
+            need = (back + ahead > 0) & ~whole.astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(row[need]), pa.array((pos - back)[need].astype(np.int32)), pa.array((pos + ahead)[need].astype(np.int32))], names=["row", "start", "end"])
+
+    return _surroundings(documents, kinds).mapInArrow(scan, "row long, start int, end int")
+
+
+def repeat_groups(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """repeat string, n_bytes, doc_id, start: the maximal repeats of `length` bytes or more, a row for each of their occurrences.
+
+    documents: doc_id, text. repeat is the SHA-1 of the string. Maximal: not all occurrences can
+    be extended by one byte to the left, nor all to the right, within the surroundings of an
+    anchor (length - gram bytes before it, `length` from it on); a longer repeat gives a piece
+    for each of its anchors. Of a gram with more than MOST_TOGETHER kinds of surroundings, pairs
+    of parts are judged, each for itself. Nulls and texts shorter than `length` have none; equal
+    rows are occurrences of each other.
+    """
+    met = written(met_anchors(documents, length, gram), "anchors")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, found in _found(batches, length, gram):
+            h, c = data.column("h").to_numpy(), data.column("c").to_numpy()
+            before, after = data.column("before"), data.column("after")
+            for repeat, at, b, a in found:
+                # a string counts at the anchors that it has by itself, which are the same in each occurrence
+                first = np.flatnonzero(np.append(True, repeat[1:] != repeat[:-1]))
+                strings = [before[i].as_py()[:x][::-1] + after[i].as_py()[:y] for i, x, y in zip(at[first].tolist(), b[first].tolist(), a[first].tolist(), strict=True)]
+                mine = anchors(Texts(strings), length, gram)
+                own = np.zeros(len(first), bool)
+                own[mine["text"][mine["pos"] == b[first][mine["text"].astype(np.int64)]].astype(np.int64)] = True
+                take = own[repeat - repeat[0]]
+                at, b, a = at[take], b[take].astype(np.int32), a[take].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(c[at]), pa.array(b), pa.array(a)], names=["h", "c", "back", "ahead"])
+
+    def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            a = anchors(Texts(texts), length, gram)
+            row = batch.column("_row").to_numpy()[a["text"].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.array(a[k].astype(np.int32)) for k in ("pos", "left", "right")), *(pa.array(a[k].view(np.int64)) for k in "hc")], names=["row", "pos", "left", "right", "h", "c"])
+
+    inner = _surroundings(documents, met.where("h IS NOT NULL")).mapInArrow(scan, "h long, c long, back int, ahead int").distinct()
+    # every anchor of a kind has the kind's repeats; what is whole repeats as far as it goes
+    every = _keyed(in_small_batches(documents)).select("_row", "text").mapInArrow(spot, "row long, pos int, left int, right int, h long, c long")
+    ranges = every.join(inner, ["h", "c"]).select("row", (F.col("pos") - F.col("back")).alias("start"), (F.col("pos") + F.col("ahead")).alias("end"))
+    ranges = ranges.unionByName(met.where("whole").select("row", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end")))
+    of_row = ranges.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    rows = _keyed(documents).select("_row", "doc_id", "text").join(of_row, F.col("_row") == F.col("row")).select("doc_id", "text", "spans")
+    kind = documents.schema["doc_id"].dataType
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches):
+            spans = batch.column("spans").to_pylist()
+            out = [(hashlib.sha1(text[s["start"] : s["end"]]).hexdigest(), s["end"] - s["start"], s["start"]) for text, found in zip(texts, spans, strict=True) for s in found]
+            if out:
+                digest, size, start = zip(*out, strict=True)
+                ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(spans)), list(map(len, spans)))))
+                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(size, pa.int32()), ids, pa.array(start, pa.int32())], names=["repeat", "n_bytes", "doc_id", "start"])
 
-    return dealt.mapInArrow(scan, "row long, start int, end int")
+    return rows.mapInArrow(name, f"repeat string, n_bytes int, doc_id {kind.simpleString()}, start int")
 
 
 def removals(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -89,6 +89,60 @@ def test_intervals_of_a_suffix_array():
     assert set(suffix.intervals(np.array(common))) == {(3, 1, 2), (1, 0, 2), (2, 4, 5), (0, 0, 5)}
 
 
+def brute_groups(before, after, length):
+    """(left, right, members) of each string of left + right bytes that members share, and that no byte more on either side is shared by all of them."""
+    out = set()
+    for i in range(len(before)):
+        for left in range(len(before[i]) + 1):
+            for right in range(max(0, length - left), len(after[i]) + 1):
+                same = [k for k in range(len(before)) if len(before[k]) >= left and len(after[k]) >= right and before[k][:left] == before[i][:left] and after[k][:right] == after[i][:right]]
+                ends = lambda side, n: {side[k][n : n + 1] or (b"", k) for k in same}  # noqa: B023, E731
+                if len(same) > 1 and len(ends(before, left)) > 1 and len(ends(after, right)) > 1:
+                    out.add((left, right, tuple(same)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeats_are_the_maximal_groups(seed, monkeypatch):
+    rnd = random.Random(seed)
+    monkeypatch.setattr(suffix, "MOST_EXPANDED", rnd.choice([1, 7, 100_000]))
+    texts = [[bytes(rnd.choices(b"ab\0", k=rnd.choice([0, 2, 5, 6, 6, 6]))) for _ in range(2)] for _ in range(40)]
+    group = np.array(sorted(rnd.choices(range(3), k=40)))
+    pad = lambda k: np.array([list(t[k].ljust(6, b"\0")) for t in texts], np.uint8)
+    size = lambda k: np.array([len(t[k]) for t in texts])
+    got = {}
+    for parts in suffix.repeats(group, pad(0), size(0), pad(1), size(1), 3):
+        for repeat, at, left, right in zip(*map(np.ndarray.tolist, parts)):
+            got.setdefault((repeat, left, right), []).append(at)
+    groups = [(left, right, tuple(sorted(at))) for (_, left, right), at in got.items()]
+    want = set()
+    for g in range(3):
+        mine = np.flatnonzero(group == g).tolist()
+        want |= {(left, right, tuple(mine[k] for k in at)) for left, right, at in brute_groups([texts[k][0] for k in mine], [texts[k][1] for k in mine], 3)}
+    assert len(groups) == len(set(groups)) and set(groups) == want
+
+
+@pytest.mark.parametrize("kind", ["corpus", "awkward", "empty"])
+def test_repeat_groups_have_all_occurrences(spark, corpus, kind):
+    rows = {"corpus": corpus, "awkward": [r for r in awkward() if r[1]], "empty": []}[kind]
+    found = suffix.repeat_groups(make(spark, rows), 80, 20).collect()
+    told = {}
+    for r in found:
+        told.setdefault((r["repeat"], r["n_bytes"]), []).append((r["doc_id"], r["start"]))
+    texts = [(d, t.encode()) for d, t in rows]
+    covered = Counter()
+    for (digest, n), spots in told.items():
+        d, at = spots[0]
+        string = next(b[at : at + n] for e, b in texts if e == d and hashlib.sha1(b[at : at + n]).hexdigest() == digest)
+        every = Counter((e, i) for e, b in texts for i in range(len(b) - n + 1) if b[i : i + n] == string)
+        assert n >= 80 and len(spots) > 1 and Counter(spots) == every
+        covered.update({(e, i + k) for e, i in spots for k in range(n)})
+    gone = Counter({d: 0 for d, _ in rows})
+    for d, n, removed, _, _ in brute_repeats(rows, 80).elements():
+        gone[d] = max(gone[d], removed)
+    assert {d: len({i for e, i in covered if e == d}) for d in gone} == dict(gone)
+
+
 def brute_classes(rows, n, t):
     t = Fraction(t)
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
