@@ -1,7 +1,8 @@
 """WARC archives: written by Spark's own text sink, read back record by record, and indexed by an external merge.
 
 A record ends in two CRLFs, which the sink writes between rows, so that each file is a valid
-WARC file (gzip as a whole) on any file system, and a lost task leaves none behind. Pages with
+WARC file on any file system, and a lost task leaves none behind. Files aren't compressed unless
+asked for, so that a record can be fetched by the offset and length in the index. Pages with
 equal payloads become one response and revisits of it. The index merges sorted runs, one an
 archive file, with a loser tree over (URL key, timestamp) in each range of the keys.
 """
@@ -26,7 +27,7 @@ from terrascape.llm.common import shared_dir, written
 #: Fixed value: the base32 alphabet of RFC 4648, in the order of conv()'s digits.
 BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 #: Most records of an archive file, and most bytes of their payloads unless one alone has more.
-RECORDS_A_FILE, FILE_BYTES = 2_000, 128 << 20
+RECORDS_A_FILE, FILE_BYTES = 2_000, 32 << 20
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Date of the first capture where pages carry none; each page_id comes a second later.
 _EPOCH = 1_700_000_000
@@ -57,8 +58,10 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     return rows.join(again, ["page_id", "payload_digest"], "left")
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """One record a page, in gzipped WARC files below path. pages: page_id, url, html; more columns are left out.
+def write_archives(pages: DataFrame, path: str, least: int = 0, compression: str = "none") -> None:
+    """One record a page, in WARC files below path. pages: page_id, url, html; more columns are left out.
+
+    compression: none, or gzip, which makes each file one gzip member.
 
     A null html is an empty payload; a null url is left out of its record, and line ends in one
     are escaped; repeated rows give a record each.
@@ -90,7 +93,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     out = roles(pages, least).select(record.alias("value"), F.col("payload_bytes").alias("size"))
     for part, many in ((f"size <= {limit}", RECORDS_A_FILE), (f"size > {limit}", max(1, FILE_BYTES // most) if most else 0)):
         if many:
-            out.where(part).select("value").write.mode("append").options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=many).text(path)
+            out.where(part).select("value").write.mode("append").options(lineSep="\r\n\r\n", compression=compression, maxRecordsPerFile=many).text(path)
 
 
 def records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -123,14 +126,17 @@ _CAPTURE = "run string, url_key string, captured string, page_id long, record_ty
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row a record of the archives below path; a response's payload must have the digest and length that its record states."""
+    """A row a record of the archives below path; a response's payload must have the digest and length that its record states.
+
+    offset and length are those of the record in its file, before compression if it has any.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _CAPTURE.split(", ")]
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                for offset, length, h, block in records(zlib.decompress(content.as_py(), 31)):
+                for offset, length, h, block in records(zlib.decompress(content.as_py(), 31) if name.endswith(".gz") else content.as_py()):
                     digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
                     if h["WARC-Type"] == "response":
                         payload = block.partition(b"\r\n\r\n")[2]

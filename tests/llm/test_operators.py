@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pytest
@@ -308,6 +309,15 @@ def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     for r in found:
         held[r.run] += r.payload_bytes
     assert len(found) == 40 and max(held.values()) <= 40_000
+    for r in found:  # a record is what its file has at its offset
+        with open(unquote(urlsplit(r.run).path), "rb") as file:
+            file.seek(r.offset)
+            ((_, _, headers, block),) = warc.records(file.read(r.length))
+        assert headers["WARC-Record-ID"] == f"<urn:page:{r.page_id}>"
+        assert r.record_type == "revisit" or block.endswith(b"\r\n\r\n" + pages[r.page_id][2].encode())
+    warc.write_archives(df, f"{tmp_path}/z", compression="gzip")
+    facts = lambda rows: sorted((r.page_id, r.payload_digest, r.record_type, r.length) for r in rows)
+    assert facts(warc.read_archives(spark, f"{tmp_path}/z").collect()) == facts(found)
 
 
 def test_punctuation_around_words():
