@@ -34,7 +34,7 @@ MOST_TOGETHER = 4_096
 #: Anchors in which a task looks for equal surroundings before they are dealt out.
 MOST_HELD = 500_000
 #: Occurrences that are laid out at a time, unless one interval has more.
-MOST_EXPANDED = 100_000
+MOST_EXPANDED = 20_000
 _PLACE_BITS = np.uint64((1 << 22) - 1)
 
 
