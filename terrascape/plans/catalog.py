@@ -201,13 +201,13 @@ def i6_i7_paths(spark, sf_dir, whole=False):
     return far.select("src", "node", rounded("adj", 5), rounded("geo", 2))
 
 
-def _scored(spark, sf_dir, whole, grid=GRID, params=SMALL, resistance=False, pa=False, engine="tiled", **how):
+def _scored(spark, sf_dir, whole, grid=GRID, params=SMALL, resistance=False, pa=False, **how):
     cells = g32(spark, sf_dir)
     if whole:
         params = Params(window_mode=params.window_mode, option=params.option)
     how |= {"resistance": raster(cells, "res")} if resistance else {}
     how |= {"pa": raster(cells, "pa")} if pa else {}
-    out = indicators.connectedness(raster(cells, "cond"), grid, params, engine=engine, sources_only=None if whole else picked(cells), **how)
+    out = indicators.connectedness(raster(cells, "cond"), grid, params, sources_only=None if whole else picked(cells), **how)
     return out.select("row", "col", rounded("value", 5))
 
 
@@ -228,7 +228,7 @@ def d7_connectedness_geographic(spark, sf_dir, whole=False):
 
 @sampled
 def b12_habitat_option3(spark, sf_dir, whole=False):
-    return _scored(spark, sf_dir, whole, params=Params(levels=(2,), lambdas=SMALL.lambdas, option=3), resistance=True, engine="relational")
+    return _scored(spark, sf_dir, whole, params=Params(levels=(2,), lambdas=SMALL.lambdas, option=3), resistance=True)
 
 
 @sampled
@@ -248,7 +248,7 @@ def d8_beri(spark, sf_dir, whole=False):
         rows = max(SIDE, -(-n // 20))
         cells = g32(spark, sf_dir).withColumn("row", F.explode(F.sequence("row", F.lit(rows - 1), F.lit(SIDE))))
         layers = [embedding_bands(spark, sf_dir, s, k, n) for s in (0, 37, 74)]
-        return indicators.beri(raster(cells, "cond"), layers, Grid(rows, SIDE), k, Params()).select("row", "col", "value")
+        return indicators.beri(raster(cells, "cond"), layers, Grid(rows, SIDE), k, Params(), engine="tiled").select("row", "col", "value")
     cells = g32(spark, sf_dir).where("row < 25 AND col < 20")
     layers = [embedding_bands(spark, sf_dir, s) for s in (0, 37, 74)]
     out = indicators.beri(raster(cells, "cond"), layers, Grid(25, 20), 4, SMALL, sources_only=picked(cells))

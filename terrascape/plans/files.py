@@ -69,6 +69,7 @@ def connectedness(
     resistance_scale: float | None = None,
     option: int = 3,
     filename: str = "",
+    engine: str = "tiled",
 ) -> DataFrame:
     """Connected habitat, or with pa_file connectedness of protected cells, of rasters by path: row, col, value; written to filename, if given.
 
@@ -80,7 +81,7 @@ def connectedness(
     pa = _read(spark, pa_file, params, polygon_mask, closed_border, pair[1], cond).cells if pa_file else None
     res = _read(spark, resistance_file, params, polygon_mask, closed_border, resistance_scale, cond).cells if resistance_file else None
     _warn_of_gaps(cond.cells, res)
-    out = indicators.connectedness(cond.cells, cond.grid, params, pa=pa, pa_to_pa=pa_to_pa, resistance=res, polygon=polygon_mask, closed_border=closed_border)
+    out = indicators.connectedness(cond.cells, cond.grid, params, pa=pa, pa_to_pa=pa_to_pa, resistance=res, polygon=polygon_mask, closed_border=closed_border, engine=engine)
     return _save(out, cond.grid, filename)
 
 
@@ -102,6 +103,7 @@ def beri(
     resistance_file: str | None = None,
     resistance_scale: float | None = None,
     filename: str = "",
+    engine: str = "tiled",
 ) -> DataFrame:
     """Resilience of each cell of a condition raster under climates by path, the present one and future ones; see connectedness."""
     params = _params(lambdas, max_cost, window_size, outer_window, window_mode, levels, 3, margin_px)
@@ -116,7 +118,7 @@ def beri(
         layers.append(cells.select("row", "col", "bands"))
     res = _read(spark, resistance_file, params, polygon_mask, closed_border, resistance_scale, cond).cells if resistance_file else None
     _warn_of_gaps(cond.cells, res)
-    out = indicators.beri(cond.cells, layers, cond.grid, bands, params, resistance=res, polygon=polygon_mask, closed_border=closed_border)
+    out = indicators.beri(cond.cells, layers, cond.grid, bands, params, resistance=res, polygon=polygon_mask, closed_border=closed_border, engine=engine)
     return _save(out, cond.grid, filename)
 
 

@@ -1,8 +1,9 @@
 """The indicators: connectedness, its protected-area form, and climate resilience.
 
 Inputs are cell tables (row, col, value) with a Grid; results are row, col, value, null where a
-cell is no source. engine 'tiled' solves a tile of sources a task and suits whole rasters;
-'relational' makes each step a join or an aggregation of DataFrames and suits chosen sources.
+cell is no source. engine 'relational' makes each step a join or an aggregation of DataFrames,
+but for the paths of a block of sources, which a task relaxes together; 'tiled' solves all of a
+tile of sources in a task and is the faster one for large rasters.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ def connectedness(
     resistance_scale: float | None = None,
     polygon: DataFrame | None = None,
     closed_border: bool = False,
-    engine: str = "tiled",
+    engine: str = "relational",
     sources_only: DataFrame | None = None,
 ) -> DataFrame:
     """Connected habitat of each cell or, with pa, connectedness of protected cells.
@@ -108,7 +109,7 @@ def beri(
     resistance_scale: float | None = None,
     polygon: DataFrame | None = None,
     closed_border: bool = False,
-    engine: str = "tiled",
+    engine: str = "relational",
     sources_only: DataFrame | None = None,
 ) -> DataFrame:
     """Resilience of each cell under scenarios, each (row, col, bands array), the present climate first."""

@@ -166,6 +166,32 @@ def test_coverage(spark):
         assert {tuple(x) for x in np.argwhere(want > 1e-9).tolist()} <= touched
 
 
+def test_coverage_of_overlapping_polygons(spark):
+    g = Grid(4, 5, (1.0, 0.0, 0.0, 0.0, -1.0, 4.0))
+    read = lambda p: np.nan_to_num(table.to_array(coverage.pixel_coverage(p, g), g))
+    box = lambda x0, y0, x1, y1: [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
+    got = read(vector.polygons(spark, [box(0.25, 3.25, 0.75, 3.75), box(0.5, 3.0, 1.0, 3.5), box(0.25, 3.25, 0.75, 3.75)]))
+    assert abs(got[0, 0] - 0.4375) < 1e-6 and got.sum() == got[0, 0]
+    got = read(vector.polygons(spark, [[[(0, 0), (1, 0), (0, 1)]], [[(0, 0), (1, 0), (1, 1)]]]))
+    assert abs(got[3, 0] - 0.75) < 1e-6
+    # a frame, a polygon in its hole and one over both, against points
+    rng = np.random.default_rng(6)
+    rings = [[[(0.3, 0.2), (4.6, 0.4), (4.4, 3.7), (0.5, 3.8)], [(1.2, 1.1), (1.3, 3.1), (3.4, 3.2), (3.6, 0.9)]], [[(1.5, 1.4), (2.9, 1.6), (2.2, 2.8)]]]
+    rings += [[[tuple(map(float, v)) for v in rng.random((3, 2)) * (5, 4)]] for _ in range(4)]
+    k = 200
+    x, y = np.meshgrid((np.arange(5 * k) + 0.5) / k, 4 - (np.arange(4 * k) + 0.5) / k)
+    covered = np.zeros(x.shape, bool)
+    for polygon in rings:
+        odd = np.zeros(x.shape, bool)
+        for ring in polygon:
+            for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+                if ay != by:
+                    odd ^= ((ay > y) != (by > y)) & (x < ax + (bx - ax) * (y - ay) / (by - ay))
+        covered |= odd
+    want = covered.reshape(4, k, 5, k).mean(axis=(1, 3))
+    assert np.allclose(read(vector.polygons(spark, rings)), want, atol=2e-3)
+
+
 def test_levels_and_parameters():
     assert [nearest_power_of_two(x) for x in (3, 5, 6, 7, 12, 24, 33, 48, 49)] == [2, 4, 4, 8, 8, 16, 32, 32, 64]
     assert pyramid_levels([2, 4, 8]) == [1, 2, 4, 8] and window_mode(" Circular ") == "circular"
