@@ -24,10 +24,10 @@ def grid_of(values):
     return Grid(len(values), len(values[0]))
 
 
-def run(spark, values, params=SMALL, **how):
+def run(spark, values, params=SMALL, engine="tiled", **how):
     layers = {k: table.from_array(spark, v) if isinstance(v, list) else v for k, v in how.items()}
     g = grid_of(values)
-    return table.to_array(indicators.connectedness(table.from_array(spark, values), g, params, **layers), g)
+    return table.to_array(indicators.connectedness(table.from_array(spark, values), g, params, engine=engine, **layers), g)
 
 
 @pytest.mark.parametrize("engine", ["tiled", "relational"])
