@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,26 +60,22 @@ def cosine_weight(grid: Grid, row: Column, col: Column) -> Column:
     return F.abs(F.cos(F.radians(world(grid, row, col)[1])))
 
 
-def _quadrant(x: Column, y: Column, r: float | Column) -> Column:
-    """Area of [0, x] x [0, y] within the circle of radius r about the origin, for x and y not below 0."""
-    x = F.least(x, r)
-    under = lambda t: (t * F.sqrt(F.greatest(r * r - t * t, F.lit(0.0))) + r * r * F.asin(F.least(t / r, F.lit(1.0)))) / 2
-    full = F.sqrt(F.greatest(r * r - y * y, F.lit(0.0)))  # up to here the rectangle's own height counts
-    cut = F.least(x, full) * y + F.when(x > full, under(x) - under(full)).otherwise(0.0)
-    return F.when((x <= 0) | (y <= 0), 0.0).when(y >= r, under(x)).otherwise(cut)
+def arc(t: Column, r: float | Column) -> Column:
+    """Twice the area between the axis and the circle of radius r from 0 to t, with the sign of t; beyond the circle it stays."""
+    m = F.greatest(-r, F.least(t, r))
+    return m * F.sqrt(r * r - m * m) + r * r * F.asin(m / F.greatest(r, F.lit(1e-300)))
 
 
-def circle_overlap(i0: Column, i1: Column, j0: Column, j1: Column, ci: Column, cj: Column, r: Column) -> Column:
-    """Area of the rectangle [i0, i1] x [j0, j1] within the circle of radius r about (ci, cj): four corners' areas, added and taken away."""
-    ends = lambda low, high, c: F.array(F.struct((high - c).alias("at"), F.lit(1).alias("sign")), F.struct((low - c).alias("at"), F.lit(-1).alias("sign")))
+def corner(p: Column, q: Column, arc_p: Column, arc_q: Column, r: float | Column) -> Column:
+    """Area, with its sign, of the rectangle from the centre to (p, q) within the circle of radius r: all of it where the corner lies inside, else what the arcs of its two sides leave of the quarter circle."""
+    s, t = F.signum(p), F.signum(q)
+    return F.when(p * p + q * q <= r * r, p * q).otherwise((t * arc_p + s * arc_q - s * t * r * r * (math.pi / 2)) / 2)
 
-    def corner(p: Column, q: Column) -> Column:
-        area = F.signum(p["at"]) * F.signum(q["at"]) * _quadrant(F.abs(p["at"]), F.abs(q["at"]), r)
-        return p["sign"] * q["sign"] * area
 
-    rows, cols = ends(i0, i1, ci), ends(j0, j1, cj)
-    parts = F.flatten(F.transform(rows, lambda p: F.transform(cols, lambda q: corner(p, q))))
-    return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
+def circle_overlap(a: Column, b: Column, c: Column, d: Column, arcs: tuple[Column, Column, Column, Column], r: float | Column) -> Column:
+    """Area of the rectangle [a, b] x [c, d] within the circle of radius r about 0: four corners' areas, added and taken away; arcs: those of a, b, c and d."""
+    e, f, g, h = arcs
+    return corner(b, d, f, h, r) - corner(a, d, e, h, r) - corner(b, c, f, g, r) + corner(a, c, e, g, r)
 
 
 def square_overlap(i0: Column, i1: Column, j0: Column, j1: Column, ci: Column, cj: Column, r: float | Column) -> Column:

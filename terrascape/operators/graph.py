@@ -23,26 +23,28 @@ def costed(pairs: DataFrame, grid: Grid, max_cost: float) -> DataFrame:
 
 
 def _joined(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """The pairs whose target is a node of the same source."""
     to = nodes.select(F.col("src"), F.col("node").alias("v_node"), F.col("level").alias("v_level"), F.col("gi").alias("v_gi"), F.col("gj").alias("v_gj"), F.col("trav").alias("v_trav"))
     return targets.join(to, ["src", "v_level", "v_gi", "v_gj"])
 
 
-def queen_pairs(nodes: DataFrame) -> DataFrame:
+def queen_targets(nodes: DataFrame) -> DataFrame:
     step = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i, j in _QUEEN])
     each = nodes.select("src", *_end("u"), F.inline(step))
-    return _joined(nodes, each.select("src", "u_node", "u_level", "u_gi", "u_gj", F.col("u_level").alias("v_level"), (F.col("u_gi") + F.col("di")).alias("v_gi"), (F.col("u_gj") + F.col("dj")).alias("v_gj")))
+    return each.select("src", "u_node", "u_level", "u_gi", "u_gj", F.col("u_level").alias("v_level"), (F.col("u_gi") + F.col("di")).alias("v_gi"), (F.col("u_gj") + F.col("dj")).alias("v_gj"))
 
 
-def fringe_pairs(nodes: DataFrame, coarsest: int) -> DataFrame:
+def fringe_targets(nodes: DataFrame, coarsest: int) -> DataFrame:
     """From rim cells to the cells of the next level over their 3 x 3 neighbourhood."""
     half = lambda k, s: F.floor((F.col(f"u_{k}") + s) / 2).cast("int").alias(f"v_{k}")
     parents = F.array(*[F.struct(half("gi", i), half("gj", j)) for i in (-1, 1) for j in (-1, 1)])
     each = nodes.where(F.col("rim") & (F.col("level") < coarsest)).select("src", *_end("u"))
-    return _joined(nodes, each.select("*", (F.col("u_level") * 2).alias("v_level"), F.inline(parents)))
+    return each.select("*", (F.col("u_level") * 2).alias("v_level"), F.inline(parents))
 
 
 def edges(nodes: DataFrame, grid: Grid, max_cost: float, coarsest: int) -> DataFrame:
-    return costed(queen_pairs(nodes).unionByName(fringe_pairs(nodes, coarsest)), grid, max_cost)
+    """Both kinds of links, in one join of their targets with the nodes."""
+    return costed(_joined(nodes, queen_targets(nodes).unionByName(fringe_targets(nodes, coarsest))), grid, max_cost)
 
 
 def isolated(nodes: DataFrame, grid: Grid, max_cost: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascape.functions.geometry import circle_overlap, meets_circle, node_id, square_overlap
+from terrascape.functions.geometry import arc, circle_overlap, meets_circle, node_id, square_overlap
 from terrascape.grid import Grid, Params
 
 
@@ -22,15 +22,27 @@ def _box(grid: Grid) -> tuple[Column, Column, Column, Column]:
     return (gi * level).cast("double"), to(gi, grid.nrows), (gj * level).cast("double"), to(gj, grid.ncols)
 
 
-def ring_fraction(grid: Grid, mode: str) -> Column:
-    """Share of a cell's rectangle within the ring from inner to outer, as a float; columns row, col, level, gi, gj, inner, outer."""
-    box = _box(grid)
-    overlap = circle_overlap if mode == "circular" else square_overlap
-    centre = F.col("row") + 0.5, F.col("col") + 0.5
-    ring = overlap(*box, *centre, F.col("outer")) - F.when(F.col("inner") > 0, overlap(*box, *centre, F.col("inner"))).otherwise(0.0)
-    full = (box[1] - box[0]) * (box[3] - box[2])
-    share = F.least(F.lit(1.0), ring / full)
-    return F.when(share > 1e-12, share).otherwise(0.0).cast("float")  # less is what rounding leaves of nothing
+def with_fraction(cells: DataFrame, grid: Grid, mode: str) -> DataFrame:
+    """Adds fraction, the share of a cell's rectangle within the ring from inner to outer, as a float, and leaves out cells without one; columns row, col, level, gi, gj, inner, outer.
+
+    The arcs of the rectangle's sides and the share are generated (as arrays of one element), as
+    otherwise the filter would work all of it out again for each use.
+    """
+    i0, i1, j0, j1 = _box(grid)
+    ci, cj, inner, outer = F.col("row") + 0.5, F.col("col") + 0.5, F.col("inner"), F.col("outer")
+    full = (i1 - i0) * (j1 - j0)
+    if mode == "circular":
+        sides = {"a": i0 - ci, "b": i1 - ci, "c": j0 - cj, "d": j1 - cj}
+        arcs = [arc(t, r).alias(f"{n}_{r_name}") for r_name, r in (("outer", outer), ("inner", inner)) for n, t in sides.items()]
+        out = cells.select("*", F.inline(F.array(F.struct(*[t.alias(n) for n, t in sides.items()], *arcs, full.alias("full")))))
+        at = [F.col(n) for n in sides]
+        within = lambda r: circle_overlap(*at, tuple(F.col(f"{n}_{r}") for n in sides), F.col(r))
+        share = F.least(F.lit(1.0), (within("outer") - within("inner")) / F.col("full"))
+    else:
+        out = cells
+        share = F.least(F.lit(1.0), (square_overlap(i0, i1, j0, j1, ci, cj, outer) - square_overlap(i0, i1, j0, j1, ci, cj, inner)) / full)
+    # less than 1e-12 is what rounding leaves of nothing
+    return out.select(*cells.columns, F.explode(F.array(share)).alias("share")).where("share > 1e-12").withColumn("fraction", F.col("share").cast("float")).drop("share")
 
 
 def candidates(src: DataFrame, grid: Grid, params: Params) -> DataFrame:
@@ -53,7 +65,7 @@ def window(src: DataFrame, pyramid: DataFrame, grid: Grid, params: Params, pa_to
     The ring's share of each cell is worked out before the equi-join with the pyramid, so only
     cells that count are joined.
     """
-    ring = candidates(src, grid, params).withColumn("fraction", ring_fraction(grid, params.window_mode)).where("fraction > 0")
+    ring = with_fraction(candidates(src, grid, params), grid, params.window_mode)
     if params.window_mode == "circular":
         ring = ring.withColumn("rim", meets_circle(*_box(grid), F.col("row") + 0.5, F.col("col") + 0.5, F.col("outer")))
     nodes = ring.join(pyramid, ["level", "gi", "gj"])

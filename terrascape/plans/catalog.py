@@ -13,7 +13,7 @@ from terrascape.operators import aoi, coverage, graph, paths, surfaces, tiles
 from terrascape.operators import pyramid as pyr
 from terrascape.operators.window import sources, window
 from terrascape.plans import indicators
-from terrascape.plans.fixtures import GEO, GRID, LEVELS, PICKED, SIDE, SMALL, embedding_bands, g32, raster, vectors
+from terrascape.plans.fixtures import GEO, GRID, LEVELS, SIDE, SMALL, embedding_bands, g32, raster, vectors
 from terrascape.plans.oracle import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,21 +26,17 @@ def query(f: Query) -> Query:
     return f
 
 
-def sampled(f: Query) -> Query:
-    """Registers f for the sources and parameters that its SQL covers and, as <name>_all, for all sources at production parameters."""
+def at_two_scales(f: Query) -> Query:
+    """Registers f with few levels and, as <name>_all, with the default parameters; both take all cells."""
 
-    def every(spark, sf_dir):
+    def default(spark, sf_dir):
         return f(spark, sf_dir, whole=True)
 
-    every.__name__ = f"{f.__name__}_all"
-    query(every)
+    default.__name__ = f"{f.__name__}_all"
+    query(default)
     return query(f)
 
 
-def picked(cells: DataFrame) -> DataFrame:
-    return cells.where(F.col("row").isin(*PICKED) & F.col("col").isin(*PICKED)).select("row", "col")
-
-
 def rounded(name: str, digits: int = 6):
     return F.round(F.col(name).cast("double"), digits).alias(name)
 
@@ -70,10 +66,10 @@ def d4_overview_sum(spark, sf_dir):
     return pyr.overview(g32(spark, sf_dir), LEVELS, total=pyr.total("cond")).select("level", "gi", "gj", rounded("total"))
 
 
-@sampled
-def d5_band_overview(spark, sf_dir, whole=False):
-    n, k = vectors(spark, sf_dir) if whole else (500, 4)
-    bands = pyr.band_overview(embedding_bands(spark, sf_dir, 0, k, n), LEVELS, k)
+@query
+def d5_band_overview(spark, sf_dir):
+    n, k = vectors(spark, sf_dir)
+    bands = pyr.band_overview(embedding_bands(spark, sf_dir, 0, n), LEVELS, k)
     return bands.select("level", "gi", "gj", *[F.round(F.get("bands", F.lit(i)), 6).alias(f"b{i + 1}") for i in range(k)])
 
 
@@ -128,14 +124,12 @@ def b16_b17_edge_cost(spark, sf_dir):
     return g32(spark, sf_dir).select("row", "col", F.round(adj, 6).alias("adj"), geo.quantised(adj).alias("cents"))
 
 
-@sampled
-def b18_similarity(spark, sf_dir, whole=False):
-    n, k = vectors(spark, sf_dir) if whole else (500, 4)
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") < n)
-    b = v.select("vec_id", F.transform(F.slice("embedding", 1, k), lambda x: x.cast("double")).alias("a"))
+@query
+def b18_similarity(spark, sf_dir):
+    n, _ = vectors(spark, sf_dir)
+    b = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
     other = b.select(F.pmod(F.col("vec_id") - 37, F.lit(n)).alias("vec_id"), F.col("a").alias("b"))
-    sim = geo.similarity(F.col("a"), F.col("b"))  # of many elements it is too small to be rounded
-    return b.join(other, "vec_id").select("vec_id", (sim if whole else F.round(sim, 6)).alias("sim"))
+    return b.join(other, "vec_id").select("vec_id", F.round(geo.similarity(F.col("a"), F.col("b")), 12).alias("sim"))
 
 
 @query
@@ -152,52 +146,46 @@ def h4_h5_kernels(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir, params, grid, whole):
-    """Nodes of the picked sources or, at default levels, of all."""
+    """Nodes of all sources."""
     cells = surfaces.prepared(g32(spark, sf_dir), False)
-    src = sources(cells)
     if whole:
         params = Params(window_mode=params.window_mode)
-    else:
-        src = src.join(picked(cells), ["row", "col"], "left_semi").select("src", "row", "col")
-    return window(src, pyr.pyramid(cells, grid, params.levels), grid, params)
+    return window(sources(cells), pyr.pyramid(cells, grid, params.levels), grid, params)
 
 
-@sampled
+@at_two_scales
 def e2_circular_window(spark, sf_dir, whole=False):
     return _nodes(spark, sf_dir, WINDOW, GRID, whole).select("src", "node", rounded("fraction", 5), rounded("area", 4), "rim")
 
 
-@sampled
+@at_two_scales
 def e3_e7_square_window(spark, sf_dir, whole=False):
     return _nodes(spark, sf_dir, Params(levels=LEVELS, window_mode="square"), GRID, whole).select("src", "node", rounded("fraction", 5), rounded("area", 4), "rim")
 
 
-@sampled
+@at_two_scales
 def e2_geographic_window(spark, sf_dir, whole=False):
     return _nodes(spark, sf_dir, WINDOW, GEO, whole).select("src", "node", rounded("area", 4))
 
 
-@sampled
+@at_two_scales
 def c3_c4_edges(spark, sf_dir, whole=False):
     nodes = _nodes(spark, sf_dir, SMALL, GRID, whole)
     return graph.edges(nodes, GRID, SMALL.max_cost, (Params() if whole else SMALL).levels[-1]).select("src", "u", "v", rounded("adj", 5), rounded("geo", 5))
 
 
-@sampled
+@at_two_scales
 def i3_isolated(spark, sf_dir, whole=False):
     cells = surfaces.prepared(g32(spark, sf_dir), False)
-    src, params = (sources(cells), Params()) if whole else (sources(cells).where("row BETWEEN 9 AND 13"), SMALL)
-    nodes = window(src, pyr.pyramid(cells, GRID, params.levels), GRID, params)
+    params = Params() if whole else SMALL
+    nodes = window(sources(cells), pyr.pyramid(cells, GRID, params.levels), GRID, params)
     return graph.isolated(nodes, GRID, params.max_cost).select("src", "node", rounded("adj", 5), rounded("geo", 5))
 
 
-@sampled
+@at_two_scales
 def i6_i7_paths(spark, sf_dir, whole=False):
     cells = surfaces.prepared(g32(spark, sf_dir), False)
-    if whole:
-        _, _, far = indicators.targets(cells, GRID, Params())
-    else:
-        _, _, far = indicators.targets(cells, GRID, SMALL, only=picked(cells), rounds=True)
+    _, _, far = indicators.targets(cells, GRID, Params() if whole else SMALL)
     return far.select("src", "node", rounded("adj", 5), rounded("geo", 2))
 
 
@@ -207,52 +195,49 @@ def _scored(spark, sf_dir, whole, grid=GRID, params=SMALL, resistance=False, pa=
         params = Params(window_mode=params.window_mode, option=params.option)
     how |= {"resistance": raster(cells, "res")} if resistance else {}
     how |= {"pa": raster(cells, "pa")} if pa else {}
-    out = indicators.connectedness(raster(cells, "cond"), grid, params, sources_only=None if whole else picked(cells), **how)
+    out = indicators.connectedness(raster(cells, "cond"), grid, params, **how)
     return out.select("row", "col", rounded("value", 5))
 
 
-@sampled
+@at_two_scales
 def d7_connectedness(spark, sf_dir, whole=False):
     return _scored(spark, sf_dir, whole)
 
 
-@sampled
+@at_two_scales
 def d7_connectedness_square(spark, sf_dir, whole=False):
     return _scored(spark, sf_dir, whole, params=Params(levels=(2,), lambdas=SMALL.lambdas, option=1, window_mode="square"))
 
 
-@sampled
+@at_two_scales
 def d7_connectedness_geographic(spark, sf_dir, whole=False):
     return _scored(spark, sf_dir, whole, grid=GEO)
 
 
-@sampled
+@at_two_scales
 def b12_habitat_option3(spark, sf_dir, whole=False):
     return _scored(spark, sf_dir, whole, params=Params(levels=(2,), lambdas=SMALL.lambdas, option=3), resistance=True)
 
 
-@sampled
+@at_two_scales
 def parc_connectedness(spark, sf_dir, whole=False):
     return _scored(spark, sf_dir, whole, pa=True)
 
 
-@sampled
+@at_two_scales
 def parc_pa_to_pa(spark, sf_dir, whole=False):
     return _scored(spark, sf_dir, whole, pa=True, pa_to_pa=True)
 
 
-@sampled
+@at_two_scales
 def d8_beri(spark, sf_dir, whole=False):
-    if whole:  # the condition repeats downwards, so that each vector's cell has one; columns from 20 have no climate
-        n, k = vectors(spark, sf_dir)
-        rows = max(SIDE, -(-n // 20))
-        cells = g32(spark, sf_dir).withColumn("row", F.explode(F.sequence("row", F.lit(rows - 1), F.lit(SIDE))))
-        layers = [embedding_bands(spark, sf_dir, s, k, n) for s in (0, 37, 74)]
-        return indicators.beri(raster(cells, "cond"), layers, Grid(rows, SIDE), k, Params(), engine="tiled").select("row", "col", "value")
-    cells = g32(spark, sf_dir).where("row < 25 AND col < 20")
-    layers = [embedding_bands(spark, sf_dir, s) for s in (0, 37, 74)]
-    out = indicators.beri(raster(cells, "cond"), layers, Grid(25, 20), 4, SMALL, sources_only=picked(cells))
-    return out.select("row", "col", rounded("value", 5))
+    """The condition repeats downwards, so that each vector's cell has one; columns from 20 have no climate."""
+    n, k = vectors(spark, sf_dir)
+    rows = max(SIDE, -(-n // 20))
+    cells = g32(spark, sf_dir).withColumn("row", F.explode(F.sequence("row", F.lit(rows - 1), F.lit(SIDE))))
+    layers = [embedding_bands(spark, sf_dir, s, n) for s in (0, 37, 74)]
+    params, engine = (Params(), "tiled") if whole else (SMALL, "relational")
+    return indicators.beri(raster(cells, "cond"), layers, Grid(rows, SIDE), k, params, engine=engine).select("row", "col", rounded("value", 8))
 
 
 def _frame(spark):
@@ -292,7 +277,8 @@ def j1_balanced_tiles(spark, sf_dir):
 def a1_connected_map(spark, sf_dir):
     """The whole map at production parameters, on all its cells."""
     cells = g32(spark, sf_dir)
-    return indicators.connectedness(raster(cells, "cond"), GRID, Params(levels=(2, 4, 8)), resistance=raster(cells, "res"))
+    out = indicators.connectedness(raster(cells, "cond"), GRID, Params(levels=(2, 4, 8)), resistance=raster(cells, "res"))
+    return out.select("row", "col", rounded("value", 5))
 
 
 def queries() -> dict[str, Query]:

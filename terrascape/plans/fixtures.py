@@ -11,8 +11,6 @@ SIDE = 32
 GRID = Grid(SIDE, SIDE)
 GEO = Grid(SIDE, SIDE, (1 / 120, 0.0, 145.0, 0.0, -1 / 120, -41.0), True, unit="degrees")
 LEVELS = (1, 2, 4)
-#: Sources for which single steps of the graph are listed.
-PICKED = (0, 5, 11, 17, 31)
 SMALL = Params(levels=(2,), lambdas=(2.0, 20.0), option=1)
 
 #: The 32 x 32 grid, for either engine.
@@ -55,9 +53,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return n, most or 0
 
 
-def embedding_bands(spark: SparkSession, sf_dir: str, shift: int, bands: int = 4, n: int = 500) -> DataFrame:
-    """row, col, bands of a grid of 20 columns: the first elements of the first n vectors, `shift` places on."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(F.col("vec_id") < n)
+def embedding_bands(spark: SparkSession, sf_dir: str, shift: int, n: int) -> DataFrame:
+    """row, col, bands of a grid of 20 columns: all n vectors, `shift` places on."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     at = F.pmod(F.col("vec_id") - shift, F.lit(n))
-    first = F.transform(F.slice("embedding", 1, bands), lambda x: x.cast("double"))
-    return v.select(F.floor(at / 20).cast("int").alias("row"), (at % 20).cast("int").alias("col"), first.alias("bands"))
+    return v.select(F.floor(at / 20).cast("int").alias("row"), (at % 20).cast("int").alias("col"), F.col("embedding").cast("array<double>").alias("bands"))

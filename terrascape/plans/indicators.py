@@ -18,6 +18,7 @@ from terrascape.grid import Grid, Params
 from terrascape.operators import aoi, graph, metrics, paths, surfaces, tiled
 from terrascape.operators.pyramid import band_overview, pyramid
 from terrascape.operators.window import sources, window
+from terrascape.sources.cells import stored
 
 
 def _areas(cells: DataFrame, grid: Grid, polygon: DataFrame | None, closed: bool) -> DataFrame:
@@ -43,15 +44,15 @@ def _prepare(condition, grid, pa, resistance, scale, resistance_scale, polygon,
     pair = scale if isinstance(scale, tuple) else (scale, None)
     cells = surfaces.aligned(condition, pa, resistance)
     cells = cells.withColumns({"cond": surfaces.rescaled(F.col("cond"), pair[0]), "pa": surfaces.rescaled(F.col("pa"), pair[1]), "res": surfaces.rescaled(F.col("res"), resistance_scale)})
-    return _areas(surfaces.prepared(cells, pa is not None), grid, polygon, closed_border)
+    return stored(_areas(surfaces.prepared(cells, pa is not None), grid, polygon, closed_border), "cells")
 
 
 def targets(cells: DataFrame, grid: Grid, params: Params, pa_to_pa: bool = False, only: DataFrame | None = None, rounds: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sources, nodes, and what each source reaches with its adjusted and intact distance; only: (row, col) of sources to take."""
+    """Sources, nodes (written, as links, targets and sums all take them), and what each source reaches with its adjusted and intact distance; only: (row, col) of sources to take."""
     pyr = pyramid(cells, grid, params.levels)
     src = sources(cells)
     src = src if only is None else src.join(only, ["row", "col"], "left_semi").select("src", "row", "col")
-    nodes = window(src, pyr, grid, params, pa_to_pa)
+    nodes = stored(window(src, pyr, grid, params, pa_to_pa), "nodes")
     links = graph.edges(nodes, grid, params.max_cost, params.levels[-1])
     found = paths.paths_by_rounds(links, src) if rounds else paths.solved(links)
     alone = graph.isolated(nodes, grid, params.max_cost)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from terrascape.functions.geometry import EARTH_M, GAUSS
 from terrascape.grid import Grid, Params
-from terrascape.plans.fixtures import G32_SQL, GEO, GRID, LEVELS, PICKED, SIDE, SMALL
+from terrascape.plans.fixtures import G32_SQL, GEO, GRID, LEVELS, SIDE, SMALL
 
 G = f"g AS MATERIALIZED ({G32_SQL})"
 
@@ -62,7 +62,7 @@ def overlap(r: str, mode: str) -> str:
     return f"({s('(i1 - ci)', '(j1 - cj)')} - {s('(i0 - ci)', '(j1 - cj)')} - {s('(i1 - ci)', '(j0 - cj)')} + {s('(i0 - ci)', '(j0 - cj)')})"
 
 
-def nodes(params: Params, mode: str, grid: Grid, pa_to_pa: bool, picked: str = f'"row" IN {PICKED} AND "col" IN {PICKED}') -> str:
+def nodes(params: Params, mode: str, grid: Grid, pa_to_pa: bool) -> str:
     """CTEs pyr, src, ring, nodes over k."""
     rings = ", ".join(f"({v}, {params.radii(v)[0]}, {params.radii(v)[1]})" for v in params.levels)
     near = "pow(greatest(i0 - ci, ci - i1, 0), 2) + pow(greatest(j0 - cj, cj - j1, 0), 2)"
@@ -75,7 +75,7 @@ def nodes(params: Params, mode: str, grid: Grid, pa_to_pa: bool, picked: str = f
     return f"""
 pyr AS MATERIALIZED (SELECT level, gi, gj, avg(cond) AS cond, {weight} AS weight, avg(trav) AS trav, avg(CASE WHEN mine THEN 1.0 ELSE 0.0 END) AS pa
   FROM {leveled(params.levels, 'k')} x WHERE cond IS NOT NULL GROUP BY ALL),
-src AS MATERIALIZED (SELECT {node('1', '"row"', '"col"')} AS src, "row", "col" FROM k WHERE mine AND cond IS NOT NULL AND {picked}),
+src AS MATERIALIZED (SELECT {node('1', '"row"', '"col"')} AS src, "row", "col" FROM k WHERE mine AND cond IS NOT NULL),
 ring AS MATERIALIZED (SELECT s.*, p.*, inr, outr, "row" + 0.5 AS ci, "col" + 0.5 AS cj, (p.gi * p.level)::DOUBLE AS i0, least((p.gi + 1) * p.level, {grid.nrows})::DOUBLE AS i1, (p.gj * p.level)::DOUBLE AS j0, least((p.gj + 1) * p.level, {grid.ncols})::DOUBLE AS j1
   FROM src s, pyr p, (VALUES {rings}) t(v, inr, outr) WHERE p.level = v AND abs((p.gi + 0.5) * v - s."row" - 0.5) <= outr + v AND abs((p.gj + 0.5) * v - s."col" - 0.5) <= outr + v),
 shared AS MATERIALIZED (SELECT *, greatest(0, least(1, ({overlap('outr', mode)} - CASE WHEN inr > 0 THEN {overlap('inr', mode)} ELSE 0 END) / ((i1 - i0) * (j1 - j0))))::FLOAT AS fraction FROM ring),
@@ -119,12 +119,14 @@ val AS (SELECT "row", "col", coalesce(value, 0) AS value FROM src LEFT JOIN one
 SELECT k."row", k."col", round(({outer})::FLOAT::DOUBLE, 5) AS value FROM k LEFT JOIN val ON val."row" = k."row" AND val."col" = k."col" """
 
 
-def beri_sql(params: Params, bands: int, shifts: tuple[int, ...], rows: int, cols: int) -> str:
+def beri_sql(params: Params, bands: int, shifts: tuple[int, ...], cols: int) -> str:
+    """All vectors; their number decides how often the condition repeats downwards."""
     lam = ", ".join(f"({x})" for x in params.lambdas)
-    n = rows * cols
-    layer = lambda s: f"SELECT {s} AS sc, CAST(floor(((vec_id - {s} + {n}) % {n}) / {cols}) AS INT) AS \"row\", CAST(((vec_id - {s} + {n}) % {n}) % {cols} AS INT) AS \"col\", embedding[1:{bands}]::DOUBLE[] AS b FROM embeddings WHERE vec_id < {n}"
-    body = reach(params).replace("FROM g) x)", f'FROM g WHERE "row" < {rows} AND "col" < {cols}) x)', 1)
-    body = body.replace(f"least((p.gi + 1) * p.level, {SIDE})", f"least((p.gi + 1) * p.level, {rows})").replace(f"least((p.gj + 1) * p.level, {SIDE})", f"least((p.gj + 1) * p.level, {cols})")
+    n = "(SELECT count(*) FROM embeddings)"
+    rows = f"(SELECT greatest({SIDE}, ceil(count(*) / {cols})::INT) FROM embeddings)"
+    layer = lambda s: f"SELECT {s} AS sc, CAST(floor(((vec_id - {s} + {n}) % {n}) / {cols}) AS INT) AS \"row\", CAST(((vec_id - {s} + {n}) % {n}) % {cols} AS INT) AS \"col\", embedding::DOUBLE[] AS b FROM embeddings"
+    repeated = f'(SELECT CAST("row" + {SIDE} * t AS INT) AS "row", "col", cond, pa, res FROM g, (SELECT unnest(range({rows} // {SIDE} + 1)) AS t) u WHERE "row" + {SIDE} * t < {rows}) y'
+    body = reach(params).replace("FROM g) x)", f"FROM {repeated}) x)", 1).replace(f"least((p.gi + 1) * p.level, {SIDE})", f"least((p.gi + 1) * p.level, {rows})")
     averaged = "[" + ", ".join(f"avg(b[{i}])" for i in range(1, bands + 1)) + "]"
     sim = "exp(-list_sum(list_transform(list_zip(f.b, t.b), lambda z: abs(z[1] - z[2]))))"
     return f"""{body},
@@ -135,7 +137,7 @@ per AS (SELECT src, s, sc, sum(exp(-pow(adj / s, 2) / {GAUSS}) * cond * area * s
 two AS (SELECT src, s, 0.5 * (avg(top) + min(top)) AS top, max(bottom) AS bottom FROM per GROUP BY ALL),
 one AS (SELECT src, avg(CASE WHEN bottom > 0 THEN top / bottom ELSE 0 END) AS value FROM two GROUP BY src),
 val AS (SELECT "row", "col", coalesce(value, 0) AS value FROM src LEFT JOIN one ON one.src = src.src)
-SELECT k."row", k."col", round(value::FLOAT::DOUBLE, 5) AS value FROM k LEFT JOIN val ON val."row" = k."row" AND val."col" = k."col" """
+SELECT k."row", k."col", round(value::FLOAT::DOUBLE, 8) AS value FROM k LEFT JOIN val ON val."row" = k."row" AND val."col" = k."col" """
 
 
 def node_list(params: Params, mode: str, grid: Grid, select: str) -> str:
@@ -143,6 +145,9 @@ def node_list(params: Params, mode: str, grid: Grid, select: str) -> str:
 
 
 WINDOW = Params(levels=LEVELS)
+ALL = Params()
+#: Elements of a vector of the tables.
+ELEMENTS = 64
 AVG = f"FROM {leveled(LEVELS)} x GROUP BY level, gi, gj"
 
 ORACLE: dict[str, str] = {
@@ -151,8 +156,8 @@ ORACLE: dict[str, str] = {
     "d2_overview_count": with_g(f"SELECT level, gi, gj, CASE WHEN count(cond) > 0 THEN count(cond) END AS n {AVG}"),
     "d3_overview_area": with_g(f"SELECT level, gi, gj, round(sum(CASE WHEN cond IS NOT NULL THEN abs(cos(radians({world(GEO, '\"row\"', '\"col\"')[1]}))) END), 6) AS area {AVG}"),
     "d4_overview_sum": with_g(f"SELECT level, gi, gj, round(sum(cond), 6) AS total {AVG}"),
-    "d5_band_overview": f"""WITH e AS (SELECT CAST(floor(vec_id / 20) AS INT) AS "row", CAST(vec_id % 20 AS INT) AS "col", embedding[1:4]::DOUBLE[] AS b FROM embeddings WHERE vec_id < 500)
-SELECT level, gi, gj, round(avg(b[1]), 6) AS b1, round(avg(b[2]), 6) AS b2, round(avg(b[3]), 6) AS b3, round(avg(b[4]), 6) AS b4 FROM {leveled(LEVELS, 'e')} x GROUP BY level, gi, gj""",
+    "d5_band_overview": f"""WITH e AS (SELECT CAST(floor(vec_id / 20) AS INT) AS "row", CAST(vec_id % 20 AS INT) AS "col", embedding::DOUBLE[] AS b FROM embeddings)
+SELECT level, gi, gj, {', '.join(f'round(avg(b[{i}]), 6) AS b{i}' for i in range(1, ELEMENTS + 1))} FROM {leveled(LEVELS, 'e')} x GROUP BY level, gi, gj""",
     "d6_pa_membership": f"WITH {G}, {cells(True, False)} SELECT level, gi, gj, round(avg(CASE WHEN mine THEN 1.0 ELSE 0.0 END), 6) AS pa FROM {leveled(LEVELS, 'k')} x WHERE cond IS NOT NULL GROUP BY level, gi, gj",
     "d13_block_cost": with_g("SELECT r::INT AS block_row, c::INT AS block_col, coalesce(n, 0) + 0.1 * least(5, 32 - 5 * r) * least(5, 32 - 5 * c)::DOUBLE AS cost FROM (SELECT unnest(range(7)) AS r) a, (SELECT unnest(range(7)) AS c) b LEFT JOIN (SELECT CAST(floor(\"row\" / 5) AS INT) AS x, CAST(floor(\"col\" / 5) AS INT) AS y, count(cond) AS n FROM g GROUP BY 1, 2) v ON v.x = r AND v.y = c"),
     "d16_gap_count": with_g("SELECT count(*) AS gaps FROM g WHERE cond IS NOT NULL AND res IS NULL"),
@@ -162,14 +167,14 @@ SELECT level, gi, gj, round(avg(b[1]), 6) AS b1, round(avg(b[2]), 6) AS b2, roun
     "b12_connected_habitat": with_g('SELECT "row", "col", round(pa, 6) AS raw, round(pa * cond, 6) AS product, round(sqrt(pa * cond), 6) AS root FROM g'),
     "b15_node_id": with_g(f"SELECT level, gi, gj, {node('level', 'gi', 'gj')} AS node {AVG}"),
     "b16_b17_edge_cost": with_g('SELECT "row", "col", round((2 - cond) * 1.41421::FLOAT::DOUBLE, 6) AS adj, round((2 - cond) * 1.41421::FLOAT::DOUBLE * 100)::INT AS cents FROM g'),
-    "b18_similarity": "WITH e AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS b FROM embeddings WHERE vec_id < 500) SELECT a.vec_id, round(exp(-list_sum(list_transform(list_zip(a.b, c.b), lambda z: abs(z[1] - z[2])))), 6) AS sim FROM e a JOIN e c ON c.vec_id = (a.vec_id + 37) % 500",
+    "b18_similarity": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS b FROM embeddings) SELECT a.vec_id, round(exp(-list_sum(list_transform(list_zip(a.b, c.b), lambda z: abs(z[1] - z[2])))), 12) AS sim FROM e a JOIN e c ON c.vec_id = (a.vec_id + 37) % (SELECT count(*) FROM embeddings)",
     "h1_h3_distance": with_g(f"SELECT \"row\", \"col\", round({km(GEO, world(GEO, '\"row\"', '\"col\"'), world(GEO, '\"row\" + 1', '\"col\"'))}::DOUBLE, 4) AS south, round({km(GEO, world(GEO, '\"row\"', '\"col\"'), world(GEO, '\"row\"', '\"col\" + 1'))}::DOUBLE, 4) AS east, round({km(GRID, world(GRID, '\"row\"', '\"col\"'), world(GRID, '\"row\" + 1', '\"col\" + 1'))}::DOUBLE, 4) AS across FROM g"),
     "h4_h5_kernels": with_g(f"SELECT \"row\", \"col\", round(exp(-cond / 2.0), 6) AS exponential, round(exp(-pow(cond * 100 / 2.0, 2) / {GAUSS}), 6) AS gaussian FROM g"),
     "e2_circular_window": node_list(WINDOW, "circular", GRID, "SELECT src, node, round(fraction::DOUBLE, 5) AS fraction, round(area, 4) AS area, rim FROM nodes"),
     "e3_e7_square_window": node_list(WINDOW, "square", GRID, "SELECT src, node, round(fraction::DOUBLE, 5) AS fraction, round(area, 4) AS area, rim FROM nodes"),
     "e2_geographic_window": node_list(WINDOW, "circular", GEO, "SELECT src, node, round(area, 4) AS area FROM nodes"),
     "c3_c4_edges": node_list(SMALL, "circular", GRID, "SELECT src, u, v, round(adj, 5) AS adj, round(geo, 5) AS geo FROM edges").replace("\nSELECT src, u", f", {edges(SMALL, GRID)}\nSELECT src, u", 1),
-    "i3_isolated": node_list(SMALL, "circular", GRID, "SELECT src, node, round(adj, 5) AS adj, round(geo, 5) AS geo FROM alone").replace("\nSELECT src, node, round(adj", f", {edges(SMALL, GRID)}\nSELECT src, node, round(adj", 1).replace(f'"row" IN {PICKED} AND "col" IN {PICKED}', '"row" BETWEEN 9 AND 13'),
+    "i3_isolated": node_list(SMALL, "circular", GRID, "SELECT src, node, round(adj, 5) AS adj, round(geo, 5) AS geo FROM alone").replace("\nSELECT src, node, round(adj", f", {edges(SMALL, GRID)}\nSELECT src, node, round(adj", 1),
     "i6_i7_paths": reach(SMALL, resistance=True) + "\nSELECT src, node, round(adj, 5) AS adj, round(geo, 2) AS geo FROM far",
     "d7_connectedness": scored(SMALL, "value"),
     "d7_connectedness_square": scored(SMALL, "value", mode="square"),
@@ -177,7 +182,20 @@ SELECT level, gi, gj, round(avg(b[1]), 6) AS b1, round(avg(b[2]), 6) AS b2, roun
     "b12_habitat_option3": scored(SMALL, "sqrt(value * k.cond)", resistance=True),
     "parc_connectedness": scored(SMALL, "value", parc=True),
     "parc_pa_to_pa": scored(SMALL, "value", parc=True, pa_to_pa=True),
-    "d8_beri": beri_sql(SMALL, 4, (0, 37, 74), 25, 20),
+    "d8_beri": beri_sql(SMALL, ELEMENTS, (0, 37, 74), 20),
+    "e2_circular_window_all": node_list(ALL, "circular", GRID, "SELECT src, node, round(fraction::DOUBLE, 5) AS fraction, round(area, 4) AS area, rim FROM nodes"),
+    "e3_e7_square_window_all": node_list(ALL, "square", GRID, "SELECT src, node, round(fraction::DOUBLE, 5) AS fraction, round(area, 4) AS area, rim FROM nodes"),
+    "e2_geographic_window_all": node_list(ALL, "circular", GEO, "SELECT src, node, round(area, 4) AS area FROM nodes"),
+    "c3_c4_edges_all": node_list(ALL, "circular", GRID, "SELECT src, u, v, round(adj, 5) AS adj, round(geo, 5) AS geo FROM edges").replace("\nSELECT src, u", f", {edges(ALL, GRID)}\nSELECT src, u", 1),
+    "i3_isolated_all": node_list(ALL, "circular", GRID, "SELECT src, node, round(adj, 5) AS adj, round(geo, 5) AS geo FROM alone").replace("\nSELECT src, node, round(adj", f", {edges(ALL, GRID)}\nSELECT src, node, round(adj", 1),
+    "i6_i7_paths_all": reach(ALL, resistance=True) + "\nSELECT src, node, round(adj, 5) AS adj, round(geo, 2) AS geo FROM far",
+    "d7_connectedness_all": scored(ALL, "value"),
+    "d7_connectedness_square_all": scored(Params(window_mode="square", option=1), "value", mode="square"),
+    "d7_connectedness_geographic_all": scored(ALL, "value", grid=GEO),
+    "b12_habitat_option3_all": scored(ALL, "sqrt(value * k.cond)", resistance=True),
+    "parc_connectedness_all": scored(ALL, "value", parc=True),
+    "d8_beri_all": beri_sql(ALL, ELEMENTS, (0, 37, 74), 20),
+    "a1_connected_map": scored(Params(levels=(2, 4, 8)), "sqrt(value * k.cond)", resistance=True),
     "c7_pixel_coverage": "SELECT r::INT AS \"row\", c::INT AS \"col\", round((greatest(0, least(c + 1, 9.25) - greatest(c, 1.5)) * greatest(0, least(r + 1, 8.75) - greatest(r, 2.5)) - greatest(0, least(c + 1, 5.5) - greatest(c, 3.25)) * greatest(0, least(r + 1, 6.5) - greatest(r, 4.75)))::DOUBLE, 5) AS value FROM (SELECT unnest(range(2, 9)) AS r) a, (SELECT unnest(range(1, 10)) AS c) b WHERE value > 0",
     "a8_touched_pixels": 'SELECT r::INT AS "row", c::INT AS "col" FROM (SELECT unnest(range(2, 9)) AS r) a, (SELECT unnest(range(1, 10)) AS c) b',
     "a20_resolution_info": "SELECT v::INT AS level, ceil(588 / v)::BIGINT AS width, ceil(516 / v)::BIGINT AS height, round((9 * v * 111.32 / 120)::DOUBLE, 4) AS reach_km FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS v)",

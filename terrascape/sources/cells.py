@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from dataclasses import asdict
 
 import numpy as np
@@ -24,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that what uses it several times doesn't work it out as often."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def from_array(spark: SparkSession, values) -> DataFrame:
     """row, col, value of a small 2-D array; not a number becomes null."""
     v = np.ma.filled(np.ma.masked_invalid(np.ma.asarray(values, dtype=float)), np.nan)

@@ -120,8 +120,9 @@ def test_ring_shares_fill_the_disc(spark):
 
 def test_circle_facts(spark):
     lit = lambda *v: [F.lit(float(x)) for x in v]
+    within = lambda sides, r: geo.circle_overlap(*sides, tuple(geo.arc(t, r) for t in sides), r)
     row = spark.range(1).select(
-        geo.circle_overlap(*lit(9, 11, 9, 11, 10, 10), F.lit(3.0)).alias("inside"), geo.circle_overlap(*lit(0, 3, 0, 3, 0, 0), F.lit(3.0)).alias("quarter"),
+        within(lit(-1, 1, -1, 1), F.lit(3.0)).alias("inside"), within(lit(0, 3, 0, 3), F.lit(3.0)).alias("quarter"),
         geo.meets_circle(*lit(-0.5, 0.5, 2.5, 3.5, 0, 0), 3.0).alias("rim"), geo.meets_circle(*lit(-0.5, 0.5, 0.5, 1.5, 0, 0), 3.0).alias("core"),
         geo.haversine(*lit(0, 0, 1, 0)).alias("degree"), geo.quantised(F.lit(0.125)).alias("half"),
     ).head()

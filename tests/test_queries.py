@@ -46,26 +46,7 @@ def test_entry_imports_without_the_training_data_operators(monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
-def test_whole_queries_take_all_sources(spark):
-    from terrascape.plans import catalog
-    from terrascape.plans.fixtures import g32
-
-    cells = g32(spark, SF).toPandas()
-    valid = set(map(tuple, cells.loc[cells.cond.notna(), ["row", "col"]].to_numpy().tolist()))
-    protected = valid & set(map(tuple, cells.loc[cells.pa > 0, ["row", "col"]].to_numpy().tolist()))
-    for name in ("d7_connectedness_all", "d7_connectedness_square_all", "d7_connectedness_geographic_all", "b12_habitat_option3_all", "parc_connectedness_all", "parc_pa_to_pa_all"):
-        got = {(r["row"], r["col"]) for r in catalog.QUERIES[name](spark, SF).where("value IS NOT NULL").collect()}
-        assert got == (protected if name.startswith("parc") else valid), name
-    for name in ("e2_circular_window_all", "e3_e7_square_window_all", "e2_geographic_window_all"):
-        assert catalog.QUERIES[name](spark, SF).select("src").distinct().count() == len(valid), name
-    alone = {(i, j) for i, j in valid if not any((i + a, j + b) in valid for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)}
-    assert catalog.QUERIES["i3_isolated_all"](spark, SF).count() == len(alone)
-    assert catalog.QUERIES["c3_c4_edges_all"](spark, SF).where("u = src").select("src").distinct().count() == len(valid) - len(alone)
-    assert catalog.QUERIES["i6_i7_paths_all"](spark, SF).select("src").distinct().count() == len(valid)
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
-def test_whole_queries_take_all_vectors(spark, tmp_path):
+def test_queries_take_all_vectors(spark, tmp_path):
     import numpy as np
 
     from terrascape.plans import catalog
@@ -74,9 +55,9 @@ def test_whole_queries_take_all_vectors(spark, tmp_path):
     v = np.random.default_rng(2).random((n, 6)).round(3)
     spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     os.symlink(f"{SF}/lineitem.parquet", tmp_path / "lineitem.parquet")
-    got = {r.vec_id: r.sim for r in catalog.QUERIES["b18_similarity_all"](spark, str(tmp_path)).collect()}
+    got = {r.vec_id: r.sim for r in catalog.QUERIES["b18_similarity"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(n)) and np.allclose([got[i] for i in range(n)], np.exp(-np.abs(v - v[(np.arange(n) + 37) % n]).sum(axis=1)))
-    got = {(r.level, r.gi, r.gj): [r[f"b{i + 1}"] for i in range(6)] for r in catalog.QUERIES["d5_band_overview_all"](spark, str(tmp_path)).collect()}
+    got = {(r.level, r.gi, r.gj): [r[f"b{i + 1}"] for i in range(6)] for r in catalog.QUERIES["d5_band_overview"](spark, str(tmp_path)).collect()}
     cells = v.reshape(rows, 20, 6)
     assert len(got) == rows * 20 + 18 * 10 + 9 * 5
     assert np.allclose(got[(1, 34, 19)], cells[34, 19]) and np.allclose(got[(2, 17, 0)], cells[34:, :2].mean(axis=(0, 1)), atol=1e-6)
