@@ -188,14 +188,6 @@ SELECT level, gi, gj, {', '.join(f'round(avg(b[{i}]), 6) AS b{i}' for i in range
     "e2_geographic_window_all": node_list(ALL, "circular", GEO, "SELECT src, node, round(area, 4) AS area FROM nodes"),
     "c3_c4_edges_all": node_list(ALL, "circular", GRID, "SELECT src, u, v, round(adj, 5) AS adj, round(geo, 5) AS geo FROM edges").replace("\nSELECT src, u", f", {edges(ALL, GRID)}\nSELECT src, u", 1),
     "i3_isolated_all": node_list(ALL, "circular", GRID, "SELECT src, node, round(adj, 5) AS adj, round(geo, 5) AS geo FROM alone").replace("\nSELECT src, node, round(adj", f", {edges(ALL, GRID)}\nSELECT src, node, round(adj", 1),
-    "i6_i7_paths_all": reach(ALL, resistance=True) + "\nSELECT src, node, round(adj, 5) AS adj, round(geo, 2) AS geo FROM far",
-    "d7_connectedness_all": scored(ALL, "value"),
-    "d7_connectedness_square_all": scored(Params(window_mode="square", option=1), "value", mode="square"),
-    "d7_connectedness_geographic_all": scored(ALL, "value", grid=GEO),
-    "b12_habitat_option3_all": scored(ALL, "sqrt(value * k.cond)", resistance=True),
-    "parc_connectedness_all": scored(ALL, "value", parc=True),
-    "d8_beri_all": beri_sql(ALL, ELEMENTS, (0, 37, 74), 20),
-    "a1_connected_map": scored(Params(levels=(2, 4, 8)), "sqrt(value * k.cond)", resistance=True),
     "c7_pixel_coverage": "SELECT r::INT AS \"row\", c::INT AS \"col\", round((greatest(0, least(c + 1, 9.25) - greatest(c, 1.5)) * greatest(0, least(r + 1, 8.75) - greatest(r, 2.5)) - greatest(0, least(c + 1, 5.5) - greatest(c, 3.25)) * greatest(0, least(r + 1, 6.5) - greatest(r, 4.75)))::DOUBLE, 5) AS value FROM (SELECT unnest(range(2, 9)) AS r) a, (SELECT unnest(range(1, 10)) AS c) b WHERE value > 0",
     "a8_touched_pixels": 'SELECT r::INT AS "row", c::INT AS "col" FROM (SELECT unnest(range(2, 9)) AS r) a, (SELECT unnest(range(1, 10)) AS c) b',
     "a20_resolution_info": "SELECT v::INT AS level, ceil(588 / v)::BIGINT AS width, ceil(516 / v)::BIGINT AS height, round((9 * v * 111.32 / 120)::DOUBLE, 4) AS reach_km FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS v)",
