@@ -26,8 +26,14 @@ from terrascape.llm.common import shared_dir, written
 
 #: Fixed value: the base32 alphabet of RFC 4648, in the order of conv()'s digits.
 BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-#: Most records of an archive file, and most bytes of their payloads unless one alone has more.
+#: Most records of an archive file; bytes of one, of which files are dealt half.
 RECORDS_A_FILE, FILE_BYTES = 2_000, 32 << 20
+#: Share of a file's bytes beyond which a record has a file of its own; bytes of a record besides its payload.
+OWN_SHARE, RECORD_BYTES = 16, 512
+#: Places of pages that are alike in page_id and payload.
+SALTS = 16
+#: Captures of a range of the index, which a task merges.
+RANGE_CAPTURES = 50_000
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Date of the first capture where pages carry none; each page_id comes a second later.
 _EPOCH = 1_700_000_000
@@ -40,22 +46,24 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), *BASE32)
 
 
-def roles(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages(page_id, url, html) with payload_digest, payload_bytes, refers_to (null: a response).
+def facts(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) with payload_digest and payload_bytes."""
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    return pages.select("page_id", "url", "html", base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+
 
-    Of pages with equal payloads of at least `least` bytes that with the smallest page_id is the
-    response; smaller ones are all responses, as are pages without a page_id. Digests alone meet
-    by payload; what they say comes back to the pages by page_id, so that the texts of very many
-    copies never go to one task.
+def revisits(payloads: DataFrame, least: int = 0) -> DataFrame:
+    """page_id, payload_digest, refers_to of pages that repeat the payload of one with a smaller page_id.
+
+    payloads: page_id, payload_digest, payload_bytes. Payloads smaller than `least` and pages
+    without a page_id don't count. Digests alone meet by payload; of a payload that very many
+    pages have, one row goes out of each task, and what it says comes back as a join of which
+    Spark splits the side of the pages.
     """
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", "html", base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    known = rows.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least)).select("page_id", "payload_digest").distinct()
+    known = payloads.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= least)).select("page_id", "payload_digest").distinct()
     known = written(known, "payloads")
-    # one row for each payload and task goes out, whatever the number of copies
     first = known.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = written(known.join(first, "payload_digest").where("refers_to < page_id"), "revisits")
-    return rows.join(again, ["page_id", "payload_digest"], "left")
+    return written(known.join(first, "payload_digest").where("refers_to < page_id"), "revisits")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, compression: str = "none") -> None:
@@ -64,15 +72,34 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, compression: str
     compression: none, or gzip, which makes each file one gzip member.
 
     A null html is an empty payload; a null url is left out of its record, and line ends in one
-    are escaped; repeated rows give a record each.
+    are escaped; repeated rows give a record each. Of pages with equal payloads of at least `least`
+    bytes that with the smallest page_id is the response and others revisit it; smaller ones are
+    all responses, as are pages without a page_id. Texts are shuffled and written once: pages are
+    dealt over as many files as hold their bytes half full, and one of more than a 16th of a file's
+    bytes gets a file for itself.
     """
+    rows, large = facts(pages), FILE_BYTES // OWN_SHARE
+    payloads = written(rows.select("page_id", "payload_digest", "payload_bytes"), "payload-facts")
+    again = revisits(payloads, least)
+    total = payloads.agg(F.sum(F.least(F.col("payload_bytes"), F.lit(large)) + RECORD_BYTES)).head()[0] or 0
+    files = max(1, -(-2 * total // FILE_BYTES))
+    # rows that are alike in page and payload come in SALTS places, to each of which goes what is known of them
+    salted = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).repartition(files, "page_id", "payload_digest", "_salt")
+    spread = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(files, "page_id", "payload_digest", "_salt")
+    out = salted.join(spread, ["page_id", "payload_digest", "_salt"], "left").select(record().alias("value"))
+    own = F.when(F.octet_length("value") > large, F.monotonically_increasing_id()).otherwise(-1)
+    out.select("value", own.alias("own")).write.partitionBy("own").options(lineSep="\r\n\r\n", compression=compression, maxRecordsPerFile=RECORDS_A_FILE).text(path)
+
+
+def record() -> Column:
+    """The WARC record of a row of page_id, url, html, payload_digest, payload_bytes and refers_to (null: a response)."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     date = F.date_format(F.timestamp_seconds(F.lit(_EPOCH) + F.coalesce(F.col("page_id"), F.lit(0)) % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     ident = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     response = F.col("refers_to").isNull()
     block = F.when(response, F.concat(F.lit(_HTTP), F.coalesce("html", F.lit("")))).otherwise(F.lit(_HTTP))
-    record = F.concat(
+    return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(response, "response").otherwise("revisit")),
         line("WARC-Record-ID", ident(F.coalesce(F.col("page_id").cast("string"), F.lit("")))),
@@ -87,13 +114,6 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, compression: str
         F.lit("\r\n"),
         block,
     )
-    # pages too large for as many to share a file have files of their own
-    size, limit = F.octet_length(F.coalesce("html", F.lit(""))), FILE_BYTES // RECORDS_A_FILE
-    most = pages.where(size > limit).agg(F.max(size)).head()[0]
-    out = roles(pages, least).select(record.alias("value"), F.col("payload_bytes").alias("size"))
-    for part, many in ((f"size <= {limit}", RECORDS_A_FILE), (f"size > {limit}", max(1, FILE_BYTES // most) if most else 0)):
-        if many:
-            out.where(part).select("value").write.mode("append").options(lineSep="\r\n\r\n", compression=compression, maxRecordsPerFile=many).text(path)
 
 
 def records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -146,11 +166,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, url_key(h.get("WARC-Target-URI")), h["WARC-Date"], int(page) if page else None, h["WARC-Type"], int(to) if to else None, digest, size, offset, length))
                 if not rows:
                     continue
-                rows.sort(key=lambda r: (r[1], r[2], r[3] is not None, r[3] or 0))  # the file's own run
+                rows.sort(key=lambda r: (r[1], r[2], r[3] is not None, r[3] or 0, r[8]))  # the file's own run
                 types = [pa.int64() if "long" in x else pa.string() for x in _CAPTURE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).where("length > 0")
     return files.select("path", "content").mapInArrow(run, _CAPTURE)
 
 
@@ -209,12 +229,13 @@ def loser_tree(runs: list) -> Iterator[int]:
 def merged_index(captures: DataFrame) -> DataFrame:
     """Capture histories: captures in the order of (url_key, captured, page_id), over all partitions and within each.
 
-    captures: as written, since the ranges are found by a pass of its own. Ranges are cut by all
-    three, so that a URL captured very often spreads over partitions. A partition holds the parts
-    of the sorted runs that fall into its range as Arrow tables, and merges them; only the keys
-    next in line are Python values.
+    captures: as written, since the ranges are found by a pass of its own. There are as many
+    ranges as hold about RANGE_CAPTURES each, however many captures there are. They are cut by all
+    three and then by place in the archives, so that neither a URL captured very often nor repeated
+    captures stay together. A partition holds the parts of the sorted runs that fall into its
+    range as Arrow tables, and merges them; only the keys next in line are Python values.
     """
-    key = ["url_key", "captured", "page_id"]
+    key = ["url_key", "captured", "page_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -229,7 +250,8 @@ def merged_index(captures: DataFrame) -> DataFrame:
         while len(some := np.fromiter(islice(order, 10_000), np.int64)):
             yield from table.take(pa.array(some)).combine_chunks().to_batches()
 
-    parted = captures.repartitionByRange(*key).sortWithinPartitions("run", *key)
+    ranges = max(1, -(-captures.count() // RANGE_CAPTURES))
+    parted = captures.repartitionByRange(ranges, *key, "run").sortWithinPartitions("run", *key)
     return parted.mapInArrow(run, captures.schema)
 
 
