@@ -20,9 +20,8 @@ from terrascape.llm.textops import Texts, mix, windows
 BUCKETS = 1 << 18
 MOST_LABELLED = 12_000
 SCALE = 30.0
-#: Models that are trained apart and averaged, at most; rows from which there are more.
-SHARDS = 4
-SHARD_ROWS = 3_000
+#: Models that are trained apart and averaged: one, as the labelled texts are bounded; more let a larger bound train in parallel.
+SHARDS = 1
 
 
 def features(texts: list[bytes | None], buckets: int = BUCKETS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -122,10 +121,9 @@ def averaged(rows: DataFrame, learn, buckets: int, more: DataFrame | None = None
         n = float(len(group))
         return pa.table({"at": pa.array([*at.tolist(), -1], pa.int32()), "w": pa.array([*(n * w[at]).tolist(), n], pa.float64())})
 
-    shards = min(SHARDS, max(1, -(-rows.count() // SHARD_ROWS)))
-    parts = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("shard")
+    parts = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))).groupBy("shard")
     if more is not None:
-        parts = parts.cogroup(more.withColumn("shard", F.pmod("deal", F.lit(shards).cast("long"))).groupBy("shard"))
+        parts = parts.cogroup(more.withColumn("shard", F.pmod("deal", F.lit(SHARDS).cast("long"))).groupBy("shard"))
     parts = parts.applyInArrow(run if more is None else lambda group, other: run(group, other), "at int, w double")
     found = parts.groupBy("at").agg(F.sum("w").alias("w")).toPandas().set_index("at")["w"]
     out = np.zeros(buckets + 1)

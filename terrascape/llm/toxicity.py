@@ -24,6 +24,8 @@ from terrascape.llm.textops import Texts, mix, spans_hashed, windows
 BUCKETS = 1 << 20
 #: Weight of a toxic text in training: of the two, they are the rarer.
 POSITIVE = 3.0
+#: Gradient that a bucket has to gather before it weighs anything; the same for any number of texts.
+L1 = 5.0
 MOST_LABELLED = 12_000
 #: Bytes of sentences whose swaps are worked out at once.
 SWAPPED_BYTES = 1 << 18
@@ -130,8 +132,7 @@ def changes(texts: list[bytes | None], buckets: int, groups=IDENTITY_GROUPS) ->
 
 def fit(rows: list[tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]], buckets: int, state: Ftrl | None = None, epochs: int = 3, penalty: float = 0.5, shares: list[float] | None = None) -> Ftrl:
     """Passes over (buckets, label) rows and, spread between them, over all pairs: the buckets of sentences and of their swapped forms; shares: weights of the pairs."""
-    # what chance adds to a coordinate grows as the root of the rows
-    model = state or Ftrl(buckets, alpha=1.0, l1=5.0 * min(1.0, (len(rows) / 2500) ** 0.5), l2=0.01)
+    model = state or Ftrl(buckets, alpha=1.0, l1=L1, l2=0.01)
     steps = []
     for a, b in pairs:
         at = np.setxor1d(a, b)
