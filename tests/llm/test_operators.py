@@ -320,6 +320,34 @@ def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     assert facts(warc.read_archives(spark, f"{tmp_path}/z").collect()) == facts(found)
 
 
+def test_a_large_page_adds_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    rnd = random.Random(4)
+    pages = [(i, "http://h.example.org/", "".join(rnd.choices("abcdef", k=20_000 if i % 6 else 15_000)), "x") for i in range(60)]
+    runs = []
+    for i, more in enumerate(([], [(60, None, "y" * (33 << 17), "x"), *pages[:1] * 3])):
+        warc.write_archives(spark.createDataFrame(pages + more, "page_id long, url string, html string, own string").repartition(7), f"{tmp_path}/{i}")
+        found = warc.read_archives(spark, f"{tmp_path}/{i}").collect()
+        assert len(found) == len(pages + more) and sum(r.record_type == "revisit" for r in found) == 0
+        runs.append(Counter(r.run for r in found))
+    assert len(runs[0]) <= 4 and len(runs[1]) <= len(runs[0]) + 1
+
+
+def test_ranges_of_the_index_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_CAPTURES", 10)
+    pages = [(i % 50, "http://h.example.org/", "same") for i in range(100)]
+    got = warc.archived(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert [r.page_id for r in got.collect()] == sorted(i for i, _, _ in pages)
+    assert got.rdd.getNumPartitions() == 10 and max(len(p) for p in got.rdd.glom().collect()) <= 25
+
+
+@pytest.mark.parametrize("learn", [quality, toxicity])
+def test_training_is_alike_at_every_size(learn):
+    rows = [(np.array([i % 7, 8], np.int32), np.ones(2), i % 2) for i in range(10)]
+    few, many = (quality.fit(rows * k, 8) if learn is quality else toxicity.fit([(a, y) for a, _, y in rows * k], [], 8) for k in (1, 400))
+    assert (few.l1, few.l2, few.alpha, few.beta) == (many.l1, many.l2, many.alpha, many.beta)
+
+
 def test_punctuation_around_words():
     strip = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
     for text in ("a", "...", "!!!!!!!!!!!!!!!!!!!!villain", "(villain)....................", "v'il", "--", "", "?", "é!!", "a-b ... (c) ''"):
