@@ -40,7 +40,8 @@ def clip_to_box(ring: Column, x0: Column | float, x1: Column | float, y0: Column
     """The ring's part in a box (its area is right; its outline may run along the box)."""
     out = ring
     for axis, bound, above in (("y", y0, True), ("y", y1, False), ("x", x0, True), ("x", x1, False)):
-        out = clipped(out, axis, bound, above)
+        # as an array's only element, so that a ring is worked out once and not for each use
+        out = F.get(F.transform(F.array(out), lambda r: clipped(r, axis, bound, above)), F.lit(0))  # noqa: B023
     return out
 
 

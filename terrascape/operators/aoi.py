@@ -6,34 +6,133 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascape.grid import Grid
-from terrascape.operators.coverage import in_pixels, segments
+from terrascape.operators.edges import cut_at_lines, in_pixels, segments
 
 
-def touched(polygon: DataFrame, grid: Grid) -> DataFrame:
-    """row, col of pixels whose closed square meets a polygon: an edge runs through it, or its centre lies inside."""
-    edges = segments(in_pixels(polygon, grid))
-    index = lambda low, high, n: F.sequence(F.greatest(F.ceil(low) - 1, F.lit(0)).cast("int"), F.least(F.floor(high), F.lit(n - 1)).cast("int"))
+#: Pixels a side of a block of cover(): the bits of a long.
+SIDE = 64
+
+
+def _through(edges: DataFrame, grid: Grid) -> DataFrame:
+    """poly_id, row, low, high: columns of each row of pixels that an edge runs through, ends touched included."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     on_grid = edges.where((F.greatest(y1, y2) >= 0) & (F.least(y1, y2) <= grid.nrows))
-    rows = on_grid.withColumn("row", F.explode(index(F.least(y1, y2), F.greatest(y1, y2), grid.nrows)))
+    span = F.sequence(F.greatest(F.ceil(F.least(y1, y2)) - 1, F.lit(0)).cast("int"), F.least(F.floor(F.greatest(y1, y2)), F.lit(grid.nrows - 1)).cast("int"))
+    rows = on_grid.withColumn("row", F.explode(span))
     # the part of the edge in the row, and so its columns
     flat = y1 == y2
     cut = lambda y: F.when(flat, x1).otherwise(x1 + (x2 - x1) * (y - y1) / F.when(flat, 1.0).otherwise(y2 - y1))
     top, bottom = F.greatest(F.least(y1, y2), F.col("row").cast("double")), F.least(F.greatest(y1, y2), (F.col("row") + 1).cast("double"))
     a, b = F.when(flat, x1).otherwise(cut(top)), F.when(flat, x2).otherwise(cut(bottom))
     part = rows.withColumns({"a": F.least(a, b), "b": F.greatest(a, b)}).where((F.col("b") >= 0) & (F.col("a") <= grid.ncols))
-    through = part.select("row", F.explode(index(F.col("a"), F.col("b"), grid.ncols)).alias("col"))
-    # centres: between each odd crossing of the row's middle line and the next
-    middle = edges.where(F.floor(F.least(y1, y2) + 0.5) != F.floor(F.greatest(y1, y2) + 0.5))
-    lines = F.sequence(F.greatest(F.ceil(F.least(y1, y2) - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(F.greatest(y1, y2) - 0.5) - 1, F.lit(grid.nrows - 1)).cast("int"))
-    fits = middle.where((F.greatest(y1, y2) > 0.5) & (F.least(y1, y2) <= grid.nrows - 0.5))
+    return part.select("poly_id", "row", F.greatest(F.ceil("a") - 1, F.lit(0)).cast("int").alias("low"), F.least(F.floor("b"), F.lit(grid.ncols - 1)).cast("int").alias("high"))
+
+
+def _inside(edges: DataFrame, grid: Grid, side: int) -> DataFrame:
+    """poly_id, row, low, high: of blocks of side x side pixels, runs along each row whose centres lie inside."""
+    x1, y1, x2, y2 = (F.col(c) / side for c in ("x1", "y1", "x2", "y2"))
+    nrows, ncols = -(-grid.nrows // side), -(-grid.ncols // side)
+    low, high = F.least(y1, y2), F.greatest(y1, y2)
+    lines = F.sequence(F.greatest(F.ceil(low - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(high - 0.5) - 1, F.lit(nrows - 1)).cast("int"))
+    fits = edges.where((F.floor(low + 0.5) != F.floor(high + 0.5)) & (high > 0.5) & (low <= nrows - 0.5))
     crossing = fits.withColumn("row", F.explode(lines)).select("poly_id", "row", (x1 + (x2 - x1) * (F.col("row") + 0.5 - y1) / (y2 - y1)).alias("x"))
     sorted_x = crossing.groupBy("poly_id", "row").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     pairs = F.transform(F.sequence(F.lit(1), F.size("xs") - 1, F.lit(2)), lambda i: F.struct(F.element_at("xs", i).alias("a"), F.element_at("xs", i + 1).alias("b")))
-    runs = sorted_x.where(F.size("xs") >= 2).select("row", F.inline(pairs))
-    runs = runs.withColumns({"low": F.greatest(F.ceil(F.col("a") - 0.5), F.lit(0)).cast("int"), "high": F.least(F.floor(F.col("b") - 0.5), F.lit(grid.ncols - 1)).cast("int")})
-    centre = runs.where("low <= high").select("row", F.explode(F.sequence("low", "high")).alias("col"))
-    return through.unionByName(centre).distinct()
+    runs = sorted_x.where(F.size("xs") >= 2).select("poly_id", "row", F.inline(pairs))
+    runs = runs.withColumns({"low": F.greatest(F.ceil(F.col("a") - 0.5), F.lit(0)).cast("int"), "high": F.least(F.floor(F.col("b") - 0.5), F.lit(ncols - 1)).cast("int")})
+    return runs.where("low <= high").select("poly_id", "row", "low", "high")
+
+
+def _bits(low, high):
+    """A long with the bits low to high set; a column each, 0 to 63."""
+    ones = F.when(high - low == 63, F.lit(-1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), (high - low + 1).cast("int")) - 1)
+    return F.call_function("shiftleft", ones, low.cast("int"))
+
+
+def cover(polygon: DataFrame, grid: Grid) -> DataFrame:
+    """block_row, block_col, bits: the blocks of SIDE x SIDE pixels that polygons touch, together.
+
+    bits is null where a polygon holds all of a block, and else has a long for each of its rows,
+    with a bit for each pixel whose closed square meets a polygon: an edge runs through it, or its
+    centre lies inside. Only blocks that an edge runs through are looked at row by row, so the
+    work grows with the outlines, and with the area by whole blocks alone. Polygons of a block
+    meet as bits, in partial aggregations, however many there are.
+    """
+    edges = segments(in_pixels(polygon, grid))
+    block = lambda c: F.shiftright(c, 6)
+    pieces = _through(edges, grid).withColumn("block_col", F.explode(F.sequence(block("low"), block("high"))))
+    start = F.col("block_col") * SIDE
+    held = lambda t: _bits(F.greatest(F.col(f"{t}low") - start, F.lit(0)), F.least(F.col(f"{t}high") - start, F.lit(SIDE - 1)))
+    pieces = pieces.groupBy("poly_id", "row", "block_col").agg(F.bit_or(held("")).alias("mask"))
+    edged = pieces.select("poly_id", block("row").alias("block_row"), "block_col").distinct()
+    # rows of blocks with an edge, where they lie within the polygon
+    inner = _inside(edges, grid, 1).withColumn("block_row", block("row")).join(edged, ["poly_id", "block_row"])
+    inner = inner.where((F.col("high") >= start) & (F.col("low") < start + SIDE)).select("row", "block_col", held("").alias("mask"))
+    rows = pieces.select("row", "block_col", "mask").unionByName(inner).groupBy("row", "block_col").agg(F.bit_or("mask").alias("mask"))
+    whole = _inside(edges, grid, SIDE).select("poly_id", F.col("row").alias("block_row"), F.explode(F.sequence("low", "high")).alias("block_col"))
+    whole = whole.join(edged, ["poly_id", "block_row", "block_col"], "left_anti").select("block_row", "block_col").distinct()
+    masks = rows.groupBy(block("row").alias("block_row"), "block_col").agg(F.map_from_entries(F.collect_list(F.struct(F.col("row").bitwiseAND(SIDE - 1).alias("at"), "mask"))).alias("m"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long")))
+    partly = masks.join(whole, ["block_row", "block_col"], "left_anti").select("block_row", "block_col", each.alias("bits"))
+    return partly.unionByName(whole.select("block_row", "block_col", F.lit(None).cast("array<long>").alias("bits")))
+
+
+def marked(cells: DataFrame, covered: DataFrame, name: str) -> DataFrame:
+    """cells (row, col, ...) with boolean `name`: whether cover() has the pixel; one join by block, and a bit is looked up."""
+    at = cells.withColumns({"_block_row": F.shiftright("row", 6), "_block_col": F.shiftright("col", 6)})
+    blocks = covered.select(F.col("block_row").alias("_block_row"), F.col("block_col").alias("_block_col"), F.struct("bits").alias("_block"))
+    bit = F.call_function("shiftright", F.element_at("_block.bits", F.col("row").bitwiseAND(SIDE - 1) + 1), F.col("col").bitwiseAND(SIDE - 1)).bitwiseAND(1) == 1
+    found = at.join(blocks, ["_block_row", "_block_col"], "left")
+    return found.select(*cells.columns, (F.col("_block").isNotNull() & (F.col("_block.bits").isNull() | F.coalesce(bit, F.lit(False)))).alias(name))
+
+
+def _distance(px, py, x1, y1, x2, y2):
+    """Of a place to a segment; columns."""
+    dx, dy = x2 - x1, y2 - y1
+    long = dx * dx + dy * dy
+    t = F.when(long > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - x1) * dx + (py - y1) * dy) / F.when(long > 0, long)))).otherwise(0.0)
+    return F.hypot(px - (x1 + t * dx), py - (y1 + t * dy))
+
+
+def near(cells: DataFrame, polygon: DataFrame, grid: Grid, margin: float, name: str) -> DataFrame:
+    """cells (row, col, ...) with boolean `name`: whether a pixel's closed square lies within `margin` pixels of a polygon's outline.
+
+    Outlines are cut at the lines of blocks as wide as the margin, but of SIDE pixels at least,
+    and each piece goes to the blocks that it is near, equal ones once; pixels meet only these and
+    take the least distance. Pixels deep inside a polygon are far from its outline: see cover().
+    """
+    side = max(float(SIDE), float(margin))
+    rows, cols = int(-(-grid.nrows // side)), int(-(-grid.ncols // side))
+    reach = margin / side
+    scaled = segments(in_pixels(polygon, grid)).select(*[(F.col(c) / side).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    pieces = cut_at_lines(cut_at_lines(scaled, "y", rows + 1, "_r"), "x", cols + 1, "_c").select("x1", "y1", "x2", "y2")
+    span = lambda a, b, n: F.sequence(F.greatest(F.floor(F.least(a, b) - reach - 1e-9), F.lit(0)).cast("int"), F.least(F.floor(F.greatest(a, b) + reach + 1e-9), F.lit(n - 1)).cast("int"))
+    close = (F.greatest("x1", "x2") + reach >= 0) & (F.least("x1", "x2") - reach < cols) & (F.greatest("y1", "y2") + reach >= 0) & (F.least("y1", "y2") - reach < rows)
+    spread = pieces.where(close).withColumn("_block_row", F.explode(span(F.col("y1"), F.col("y2"), rows))).withColumn("_block_col", F.explode(span(F.col("x1"), F.col("x2"), cols))).distinct()
+    spread = spread.select("_block_row", "_block_col", *[(F.col(c) * side).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")])
+    x1, y1, x2, y2 = (F.col(f"_{c}") for c in ("x1", "y1", "x2", "y2"))
+    at = cells.select("row", "col").distinct().withColumns({"_block_row": F.floor(F.col("row") / side).cast("int"), "_block_col": F.floor(F.col("col") / side).cast("int")})
+    x, y = F.col("col").cast("double"), F.col("row").cast("double")
+    # of a square and a segment that don't meet, a corner of the one or an end of the other is nearest
+    corners = [_distance(x + i, y + j, x1, y1, x2, y2) for i in (0, 1) for j in (0, 1)]
+    ends = [F.hypot(F.greatest(x - a, a - x - 1, F.lit(0.0)), F.greatest(y - b, b - y - 1, F.lit(0.0))) for a, b in ((x1, y1), (x2, y2))]
+    hits = at.join(spread, ["_block_row", "_block_col"]).where(F.least(*corners, *ends) <= margin + 1e-9).select("row", "col").distinct()
+    through = _through(segments(in_pixels(polygon, grid)), grid).select("row", F.explode(F.sequence("low", "high")).alias("col")).distinct()
+    found = hits.unionByName(through).distinct().withColumn(name, F.lit(True))
+    return cells.join(found, ["row", "col"], "left").select(*cells.columns, F.coalesce(name, F.lit(False)).alias(name))
+
+
+def pixels(covered: DataFrame, grid: Grid) -> DataFrame:
+    """row, col of the pixels that cover() has."""
+    lines = covered.select("block_row", "block_col", F.posexplode(F.coalesce("bits", F.array_repeat(F.lit(-1).cast("long"), SIDE))).alias("i", "mask")).where("mask <> 0")
+    each = lines.select((F.col("block_row") * SIDE + F.col("i")).alias("row"), "block_col", "mask", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("j"))
+    bit = F.call_function("shiftright", F.col("mask"), F.col("j")).bitwiseAND(1) == 1
+    return each.where(bit).select("row", (F.col("block_col") * SIDE + F.col("j")).alias("col")).where((F.col("row") < grid.nrows) & (F.col("col") < grid.ncols))
+
+
+def touched(polygon: DataFrame, grid: Grid) -> DataFrame:
+    """row, col of pixels whose closed square meets a polygon: an edge runs through it, or its centre lies inside."""
+    return pixels(cover(polygon, grid), grid)
 
 
 def pixel_box(polygon: DataFrame, grid: Grid, buffer_px: float = 0.0) -> tuple[int, int, int, int]:

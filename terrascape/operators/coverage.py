@@ -1,60 +1,19 @@
-"""How much of each pixel polygons cover, from their edges alone.
+"""How much of each pixel polygons cover, from the outline of their union alone.
 
-An edge is cut where it crosses pixel lines. Within a row of pixels each piece adds its height,
+The outline is cut where it crosses pixel lines. Within a row of pixels each piece adds its height,
 times the part of the pixel to its right, to its own pixel, and its height to every pixel
 further right: a running sum along the row. So the work grows with the length of the outlines,
-and pixels inside come from the gaps between pieces. Where several polygons share a pixel and
-none fills it, the outlines in that row of pixels are cut at all heights where one ends or two
-cross; between these, the union is made of trapezoids.
+and pixels inside come from the gaps between pieces.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascape.functions.geometry import pixel
-from terrascape.functions.polygons import follower, signed_area
 from terrascape.grid import Grid
-
-
-def in_pixels(polygon: DataFrame, grid: Grid) -> DataFrame:
-    """Rings with vertices in continuous (column, row) coordinates; rings of fewer than 3 vertices and null ones are left out."""
-
-    def moved(v: Column) -> Column:
-        x, y = pixel(grid, v["x"], v["y"])
-        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-
-    return polygon.where(F.size("vertices") >= 3).withColumn("vertices", F.transform("vertices", moved))
-
-
-def segments(rings: DataFrame) -> DataFrame:
-    """poly_id, ring_id, sign, x1, y1, x2, y2: edges, with the sign that makes exteriors count up and holes down."""
-    turn = F.signum(signed_area(F.col("vertices"))) * F.when(F.col("is_hole"), -1.0).otherwise(1.0)
-    edge = F.zip_with("vertices", follower(F.col("vertices")), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
-    return rings.select("poly_id", "ring_id", turn.alias("sign"), F.inline(edge))
-
-
-def _cut(rows: DataFrame, axis: str, n: int, index: str) -> DataFrame:
-    """Segments cut at whole numbers of an axis, with the index of the strip each piece lies in; pieces outside 0 to n are held at its ends."""
-    a, b = F.col(f"{axis}1"), F.col(f"{axis}2")
-    first, last = F.floor(F.least(a, b)), F.ceil(F.greatest(a, b)) - 1
-    spread = F.sequence(F.greatest(F.least(first, F.lit(n)), F.lit(-1)).cast("int"), F.greatest(F.lit(-1), F.least(F.greatest(first, last), F.lit(n))).cast("int"))
-    each = rows.withColumn(index, F.explode(spread))
-    i = F.col(index)
-    low = F.when(i <= -1, F.lit(float("-inf"))).otherwise(i.cast("double"))
-    high = F.when(i >= n, F.lit(float("inf"))).otherwise((i + 1).cast("double"))
-    hold = lambda v: F.greatest(low, F.least(high, v))
-    other = "y" if axis == "x" else "x"
-    slope = F.when(b != a, (F.col(f"{other}2") - F.col(f"{other}1")) / F.when(b != a, b - a)).otherwise(0.0)
-    place = lambda v: F.when(b != a, F.col(f"{other}1") + slope * (v - a))
-    p, q = hold(a), hold(b)
-    return each.withColumns({"_p": p, "_q": q, "_s": F.coalesce(place(p), F.col(f"{other}1")), "_t": F.coalesce(place(q), F.col(f"{other}2"))}).withColumns(
-        {f"{axis}1": F.col("_p"), f"{axis}2": F.col("_q"), f"{other}1": F.col("_s"), f"{other}2": F.col("_t")}
-    ).drop("_p", "_q", "_s", "_t")
+from terrascape.operators.edges import cut_at_lines, in_pixels
+from terrascape.operators.overlay import union_edges
 
 
 def pixel_coverage(polygon: DataFrame, grid: Grid) -> DataFrame:
@@ -63,79 +22,24 @@ def pixel_coverage(polygon: DataFrame, grid: Grid) -> DataFrame:
     Where polygons overlap, what they cover together counts once; the rings of one polygon
     should not cross. An empty polygon table, or one off the grid, gives no rows.
     """
-    rows = _cut(segments(in_pixels(polygon, grid)), "y", grid.nrows, "row").where((F.col("row") >= 0) & (F.col("row") < grid.nrows) & (F.col("y1") != F.col("y2")))
-    pieces = _cut(rows, "x", grid.ncols, "col")
+    return covered(union_edges(in_pixels(polygon, grid)), grid)
+
+
+def covered(edges: DataFrame, grid: Grid) -> DataFrame:
+    """row, col, value of x1, y1, x2, y2: closed lines in pixels that don't cross, with the inside on one side of all."""
+    rows = cut_at_lines(edges, "y", grid.nrows, "row").where((F.col("row") >= 0) & (F.col("row") < grid.nrows) & (F.col("y1") != F.col("y2")))
+    pieces = cut_at_lines(rows, "x", grid.ncols, "col")
     right = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("col") + 1 - (F.col("x1") + F.col("x2")) / 2))
     right = F.when(F.col("col") < 0, 1.0).when(F.col("col") >= grid.ncols, 0.0).otherwise(right)
-    high = F.col("sign") * (F.col("y2") - F.col("y1"))
-    own = pieces.groupBy("poly_id", "row", "col").agg(F.sum(high).alias("high"), F.sum(high * right).alias("part"))
-    along = Window.partitionBy("poly_id", "row").orderBy("col")
+    high = F.col("y2") - F.col("y1")
+    own = pieces.groupBy("row", "col").agg(F.sum(high).alias("high"), F.sum(high * right).alias("part"))
+    along = Window.partitionBy("row").orderBy("col")
     # what lies to the left of a pixel counts in full; between two touched pixels all have that
     left = F.sum("high").over(along)
-    spans = own.select(
-        "poly_id", "row", "col", (left - F.col("high") + F.col("part")).alias("own"), left.alias("after"), F.lead("col", 1, grid.ncols).over(along).alias("next")
-    )
-    single = spans.where((F.col("col") >= 0) & (F.col("col") < grid.ncols)).select("poly_id", "row", "col", F.col("own").alias("value"))
-    gaps = spans.where((F.abs("after") > 1e-12) & (F.col("next") > F.col("col") + 1))
-    inside = gaps.select("poly_id", "row", F.explode(F.sequence(F.greatest(F.col("col") + 1, F.lit(0)), F.col("next") - 1)).alias("col"), F.col("after").alias("value"))
+    spans = own.select("row", "col", (left - F.col("high") + F.col("part")).alias("own"), left.alias("after"), F.lead("col", 1, grid.ncols).over(along).alias("next"))
+    single = spans.where((F.col("col") >= 0) & (F.col("col") < grid.ncols)).select("row", "col", F.col("own").alias("value"))
+    gaps = spans.where((F.abs("after") > 1e-9) & (F.col("next") > F.col("col") + 1))
+    inside = gaps.select("row", F.explode(F.sequence(F.greatest(F.col("col") + 1, F.lit(0)), F.col("next") - 1)).alias("col"), F.col("after").alias("value"))
     # rows run down: the turn of a ring and the sense of the sum are the same for all, so the sign is settled here
-    each = single.unionByName(inside).withColumn("value", F.least(F.lit(1.0), F.abs("value"))).where("value > 1e-12")
-    pixels = each.groupBy("row", "col").agg(F.max("value").alias("value"), F.count("*").alias("n"))
-    shared = (F.col("n") > 1) & (F.col("value") < 1 - 1e-12)
-    wanted = pixels.where(shared).select("row", "col")
-    mine = each.join(wanted, ["row", "col"]).select("poly_id", "row").distinct()
-    outlines = pieces.join(mine, ["poly_id", "row"]).select("poly_id", "row", "col", "sign", "x1", "y1", "x2", "y2")
-    together = outlines.unionByName(wanted, allowMissingColumns=True).groupBy("row").applyInArrow(_union, "row int, col int, value double")
-    both = pixels.where(~shared).select("row", "col", "value").unionByName(together)
-    return both.select("row", "col", F.least(F.lit(1.0), F.col("value")).cast("float").alias("value")).where("value > 0")
-
-
-def _crossings(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
-    """Heights at which two of the segments cross."""
-    slope = (x2 - x1) / (y2 - y1)
-    found = []
-    for i in range(len(x1) - 1):
-        steep = slope[i + 1 :] - slope[i]
-        ok = steep != 0
-        y = (x1[i] - slope[i] * y1[i] - x1[i + 1 :] + slope[i + 1 :] * y1[i + 1 :])[ok] / steep[ok]
-        low, high = np.minimum(y1, y2), np.maximum(y1, y2)
-        found.append(y[(y > np.maximum(low[i], low[i + 1 :][ok])) & (y < np.minimum(high[i], high[i + 1 :][ok]))])
-    return np.concatenate(found) if found else np.empty(0)
-
-
-def _union(rows: pa.Table) -> pa.Table:
-    """row, col, value: what polygons cover together of the wanted pixels of one row; rows: its outlines, and without x1 its wanted pixels."""
-    asks = pc.is_null(rows.column("x1"))
-    wanted, outlines = rows.filter(asks), rows.filter(pc.invert(asks))
-    col, sign, x1, y1, x2, y2 = (outlines.column(c).to_numpy() for c in ("col", "sign", "x1", "y1", "x2", "y2"))
-    _, poly = np.unique(outlines.column("poly_id").to_numpy(), return_inverse=True)
-    pixel = np.sort(wanted.column("col").to_numpy())
-    cuts = [y1, y2]
-    for c in pixel[np.isin(pixel, col)].tolist():
-        here = col == c
-        cuts.append(_crossings(x1[here], y1[here], x2[here], y2[here]))
-    heights = np.unique(np.concatenate(cuts))
-    low, high, up = np.minimum(y1, y2), np.maximum(y1, y2), sign * np.sign(y2 - y1)
-    value = np.zeros(len(pixel))
-    for a, b in zip(heights[:-1], heights[1:], strict=True):
-        y = (a + b) / 2
-        at = np.flatnonzero((low < y) & (high > y))
-        x = x1[at] + (x2[at] - x1[at]) * (y - y1[at]) / (y2[at] - y1[at])
-        order = np.lexsort((x, poly[at]))
-        at, x = at[order], x[order]
-        # within a polygon, what lies between edges whose turns don't cancel out is covered
-        depth = np.cumsum(up[at])
-        last = np.append(poly[at][1:] != poly[at][:-1], True)
-        opened = np.flatnonzero((np.abs(depth) > 0.5) & ~last)
-        begin, end = x[opened], x[opened + 1]
-        order = np.argsort(begin, kind="stable")
-        begin, end = begin[order], end[order]
-        reach = np.maximum.accumulate(np.append(-np.inf, end))[:-1]
-        begin = np.maximum(begin, reach)
-        keep = end > begin
-        ends = np.stack([begin[keep], end[keep]], 1).ravel()
-        if len(ends):
-            sums = np.append(0.0, np.cumsum(np.where(np.arange(len(ends) - 1) % 2 == 0, np.diff(ends), 0.0)))
-            value += (b - a) * (np.interp(pixel + 1.0, ends, sums) - np.interp(pixel.astype(float), ends, sums))
-    row = np.full(len(pixel), wanted.column("row")[0].as_py(), np.int32)
-    return pa.table({"row": row, "col": pixel.astype(np.int32), "value": value})
+    each = single.unionByName(inside).withColumn("value", F.least(F.lit(1.0), F.abs("value")))
+    return each.where("value > 1e-9").select("row", "col", F.col("value").cast("float").alias("value"))

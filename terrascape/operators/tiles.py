@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Sequence
-from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascape.grid import Grid, compact
+from terrascape.grid import KM_A_DEGREE, UNIT_KM, Grid
+from terrascape.sources.cells import stored
 
 
 def _positive(value: int, name: str) -> None:
@@ -31,21 +30,64 @@ def aligned_breaks(size: int, parts: int, align_to: int) -> list[int]:
     return [x * align_to for x in at] + [size]
 
 
-def balanced_breaks(costs: Sequence[float], parts: int, align_to: int, size: int) -> list[int]:
-    """Ends of parts of about equal cost; costs: of each block in turn. Without any cost, aligned_breaks."""
+#: Neighbouring blocks whose costs a task adds up in a row.
+CHUNK = 4_096
+
+
+def running_costs(costs: DataFrame) -> DataFrame:
+    """costs (band, block, cost) with run, the cost of a band's blocks up to this one; blocks are numbered from 0 without a gap.
+
+    Sums of chunks come first, then running sums over chunks, then those within each: no task has all blocks of a band.
+    """
+    chunked = costs.withColumn("chunk", F.floor(F.col("block") / CHUNK))
+    before = Window.partitionBy("band").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sums = chunked.groupBy("band", "chunk").agg(F.sum("cost").alias("all")).select("band", "chunk", F.coalesce(F.sum("all").over(before), F.lit(0.0)).alias("start"))
+    along = Window.partitionBy("band", "chunk").orderBy("block")
+    return chunked.join(sums, ["band", "chunk"]).select("band", "block", "cost", F.round(F.col("start") + F.sum("cost").over(along), 9).alias("run"))
+
+
+def balanced_breaks(costs: DataFrame, parts: int, align_to: int, size: int) -> dict[int, list[int]]:
+    """By band, ends of parts of about equal cost; costs: band, block, cost, of the same blocks in each band. A band without any cost is cut as by aligned_breaks.
+
+    Only what the breaks need comes to the driver: a row a band and break, for the block at which
+    the running cost reaches its share, and further ones where breaks push each other along.
+    """
     _positive(parts, "parts")
-    if len(costs) < parts:
-        raise ValueError(f"{len(costs)} blocks can't be cut into {parts} parts")
-    run = list(accumulate(costs))
-    if not run or run[-1] <= 0:
-        return aligned_breaks(size, parts, align_to)
-    at = [0]
-    for k in range(1, parts):
-        aim = run[-1] * k / parts
-        reach = bisect_left(run, aim) + 1
-        allowed = [min(max(b, at[-1] + 1), len(costs) - (parts - k)) for b in (reach, reach - 1) if b > 0]
-        at.append(min(allowed, key=lambda b: abs(run[b - 1] - aim)))  # the later of equals comes first
-    return [min(b * align_to, size) for b in at] + [size]
+    blocks = -(-size // align_to)
+    if blocks < parts:
+        raise ValueError(f"{blocks} blocks can't be cut into {parts} parts")
+    runs = stored(running_costs(costs), "running-costs")
+    totals = {r.band: r.total for r in runs.groupBy("band").agg(F.max("run").alias("total")).collect()}
+    total = runs.groupBy("band").agg(F.max("run").alias("total"))
+    aim = F.round(F.col("total") * F.col("k") / parts, 9)
+    breaks = F.explode(F.sequence(F.lit(1), F.lit(parts))).alias("k")
+    met = runs.join(total, "band").where("run > 0").select("band", "block", "run", "cost", "total", breaks).where((F.col("run") >= aim) & (F.col("run") - F.col("cost") < aim + 1e-9))
+    reached = {(r.band, r.k): r.block for r in met.groupBy("band", "k").agg(F.min("block").alias("block")).collect()}
+    wanted = {(band, at) for (band, _), block in reached.items() for at in (block, block - 1) if at >= 0}
+    run = {(r.band, r.block): r.run for r in runs.join(F.broadcast(_pairs(runs, wanted)), ["band", "block"]).select("band", "block", "run").collect()}
+
+    def value(band: int, ends: int) -> float:
+        if (band, ends - 1) not in run:
+            run[band, ends - 1] = runs.where((F.col("band") == band) & (F.col("block") == ends - 1)).head().run
+        return run[band, ends - 1]
+
+    out = {}
+    for band, whole in totals.items():
+        if whole <= 0:
+            out[band] = aligned_breaks(size, parts, align_to)
+            continue
+        at = [0]
+        for k in range(1, parts):
+            reach = reached[band, k] + 1
+            allowed = [min(max(b, at[-1] + 1), blocks - (parts - k)) for b in (reach, reach - 1) if b > 0]
+            # the later of equals comes first
+            at.append(min(allowed, key=lambda b: round(abs(value(band, b) - whole * k / parts), 9)))
+        out[band] = [min(b * align_to, size) for b in at] + [size]
+    return out
+
+
+def _pairs(like: DataFrame, pairs: set[tuple[int, int]]) -> DataFrame:
+    return like.sparkSession.createDataFrame(sorted(pairs) or [(-1, -1)], "band int, block int")
 
 
 def block_costs(cells: DataFrame, grid: Grid, align_to: int, io_weight: float = 0.1) -> DataFrame:
@@ -74,24 +116,27 @@ def make_tiles(cells: DataFrame, grid: Grid, nrows: int, ncols: int, align_to: i
     spark = cells.sparkSession
     records = []
     if balanced:
-        costs = block_costs(cells, grid, align_to, io_weight)
-        by_row = [r[1] for r in costs.groupBy("block_row").agg(F.sum("cost")).orderBy("block_row").collect()]
-        row_breaks = balanced_breaks(by_row, nrows, align_to, grid.nrows)
+        costs = stored(block_costs(cells, grid, align_to, io_weight), "block-costs")
+        by_row = costs.groupBy(F.lit(0).alias("band"), F.col("block_row").alias("block")).agg(F.sum("cost").alias("cost"))
+        row_breaks = balanced_breaks(by_row, nrows, align_to, grid.nrows)[0]
         starts = F.array(*[F.lit(-(-b // align_to)) for b in row_breaks[1:-1]]).cast("array<int>")
         band = F.size(F.filter(starts, lambda b: b <= F.col("block_row")))
-        by_col: dict[int, list[float]] = {}
-        for r in costs.groupBy(band.alias("band"), "block_col").agg(F.sum("cost").alias("cost")).orderBy("band", "block_col").collect():
-            by_col.setdefault(r.band, []).append(r.cost)
+        by_col = costs.groupBy(band.alias("band"), F.col("block_col").alias("block")).agg(F.sum("cost").alias("cost"))
+        col_ends = balanced_breaks(by_col, ncols, align_to, grid.ncols)
     else:
         row_breaks = aligned_breaks(grid.nrows, nrows, align_to)
     for i in range(nrows):
-        col_breaks = balanced_breaks(by_col[i], ncols, align_to, grid.ncols) if balanced else aligned_breaks(grid.ncols, ncols, align_to)
+        col_breaks = col_ends[i] if balanced else aligned_breaks(grid.ncols, ncols, align_to)
         for j in range(ncols):
             r0, r1, c0, c1 = row_breaks[i], row_breaks[i + 1], col_breaks[j], col_breaks[j + 1]
-            cost = sum(by_col[i][c0 // align_to : -(-c1 // align_to)]) if balanced else None
-            records.append((i * ncols + j, i, j, r0, r1, c0, c1, align_to, *map(float, grid.box(r0, r1, c0, c1)), cost))
-    out = spark.createDataFrame(records, "id int, row int, col int, row_start int, row_stop int, col_start int, col_stop int, align_to int, xmin double, ymin double, xmax double, ymax double, cost double")
-    return out if balanced else out.drop("cost")
+            records.append((i * ncols + j, i, j, r0, r1, c0, c1, align_to, *map(float, grid.box(r0, r1, c0, c1))))
+    out = spark.createDataFrame(records, "id int, row int, col int, row_start int, row_stop int, col_start int, col_stop int, align_to int, xmin double, ymin double, xmax double, ymax double")
+    if not balanced:
+        return out
+    # each block is told its tile by the ends of the tiles before it
+    ends = F.create_map(*[x for i in range(nrows) for x in (F.lit(i), F.array(*[F.lit(-(-b // align_to)) for b in col_ends[i][1:-1]]).cast("array<int>"))])
+    tile = (band * ncols + F.size(F.filter(F.element_at(ends, band), lambda b: b <= F.col("block_col")))).cast("int")
+    return out.join(costs.groupBy(tile.alias("id")).agg(F.sum("cost").alias("cost")), "id", "left").select(*out.columns, F.coalesce("cost", F.lit(0.0)).alias("cost"))
 
 
 def make_tile(cells: DataFrame, grid: Grid, nrows: int, ncols: int, tile_id: int, **how) -> DataFrame:
@@ -106,20 +151,50 @@ def tile_polygon(tiles: DataFrame) -> DataFrame:
     return tiles.select(F.col("id").alias("poly_id"), F.lit(0).alias("ring_id"), F.lit(False).alias("is_hole"), F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax")).alias("vertices"))
 
 
-def resolution_info(spark, grid: Grid, levels: Sequence[int] | None = None, min_dimension: int = 16, outer_window: int = 5) -> DataFrame:
-    """level, width, height, cells, pct_base, x_res, y_res, reach, reach_km, reach_text, note of candidate levels."""
+def resolutions(grids: DataFrame, levels: Sequence[int] | None = None, min_dimension: int = 16, outer_window: int = 5) -> DataFrame:
+    """A row for each raster and candidate level: level, width, height, cells, pct_base, x_res, y_res, reach, reach_km, reach_text, note after the columns of grids.
+
+    grids: nrows, ncols, x_res, y_res (of a cell, above 0), is_geo, unit, middle (the latitude of
+    its centre); these are replaced or dropped, others stay. reach_km is null for an unknown unit.
+    """
     levels = sorted({int(x) for x in (levels if levels is not None else [2**k for k in range(10)])})
     if not levels or levels[0] <= 0:
         raise ValueError(f"levels are positive integers, not {levels}")
     min_dimension, outer_window = max(1, int(min_dimension)), max(1, int(outer_window))
-    (x, y), km = grid.resolution, grid.km()
-    rows = []
-    for v in levels:
-        w, h = -(-grid.ncols // v), -(-grid.nrows // v)
-        reach_km = None if km is None else outer_window * v * max(km)
-        share = 100.0 * w * h / (grid.nrows * grid.ncols) if grid.nrows * grid.ncols else 0.0
-        rows.append((v, w, h, w * h, share, x * v, y * v, outer_window * v * max(x, y), reach_km, "-" if reach_km is None else f"{compact(reach_km)} km", "small grid; review" if min(w, h) < min_dimension else ""))
-    return spark.createDataFrame(rows, "level int, width long, height long, cells long, pct_base double, x_res double, y_res double, reach double, reach_km double, reach_text string, note string")
+    own = ["nrows", "ncols", "x_res", "y_res", "is_geo", "unit", "middle"]
+    level, rows, cols = F.col("level"), F.col("nrows").cast("long"), F.col("ncols").cast("long")
+    factor = F.element_at(F.create_map(*[F.lit(x) for pair in UNIT_KM.items() for x in pair]), F.lower("unit"))
+    a_degree = F.lit(KM_A_DEGREE)
+    km = F.when(F.col("is_geo"), F.greatest(F.col("x_res") * a_degree * F.abs(F.cos(F.radians("middle"))), F.col("y_res") * a_degree)).otherwise(F.greatest("x_res", "y_res") * factor)
+    each = grids.withColumns({"_km": km, "level": F.explode(F.array(*map(F.lit, levels)))})
+    width, height = F.ceil(cols / level), F.ceil(rows / level)
+    share = F.when((rows > 0) & (cols > 0), 100.0 * (width * height) / (rows * cols)).otherwise(0.0)
+    reach_km = outer_window * level * F.col("_km")
+    return each.select(
+        *[c for c in grids.columns if c not in own], "level", width.alias("width"), height.alias("height"), (width * height).alias("cells"), share.alias("pct_base"),
+        (F.col("x_res") * level).alias("x_res"), (F.col("y_res") * level).alias("y_res"), (outer_window * level * F.greatest("x_res", "y_res")).alias("reach"), reach_km.alias("reach_km"),
+        F.when(reach_km.isNull(), "-").otherwise(F.concat(compact_text(reach_km), F.lit(" km"))).alias("reach_text"), F.when(F.least(width, height) < min_dimension, "small grid; review").otherwise("").alias("note"),
+    )
+
+
+def compact_text(value: Column) -> Column:
+    """compact() as a column: thousands as K, M, B, else four digits."""
+    text = F.when(value == F.floor(value), F.floor(value).cast("string"))
+    for least, digits in ((100, 1), (10, 2), (1, 3), (0.1, 4), (0.01, 5), (0.001, 6), (1e-4, 7)):
+        # what rounds up to the next power of ten has a digit less
+        text = text.when(F.round(value, digits) >= least, F.regexp_replace(F.format_string(f"%.{digits}f", F.round(value, digits)), r"\.?0+$", ""))
+    small = F.regexp_replace(F.regexp_replace(F.format_string("%.3e", value), r"\.?0+e", "e"), "e", "e")
+    text = text.otherwise(small)
+    for size, letter in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
+        text = F.when(value >= size, F.format_string(f"%.2f{letter}", value / size)).otherwise(text)
+    return text
+
+
+def resolution_info(spark, grid: Grid, levels: Sequence[int] | None = None, min_dimension: int = 16, outer_window: int = 5) -> DataFrame:
+    """level, width, height, cells, pct_base, x_res, y_res, reach, reach_km, reach_text, note of candidate levels."""
+    (x, y), (_, bottom, _, top) = grid.resolution, grid.bounds
+    one = spark.createDataFrame([(grid.nrows, grid.ncols, float(x), float(y), grid.is_geo, grid.unit, (bottom + top) / 2.0)], "nrows long, ncols long, x_res double, y_res double, is_geo boolean, unit string, middle double")
+    return resolutions(one, levels, min_dimension, outer_window)
 
 
 #: The name under which it was known before.

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascape.functions import geometry as geo
+from terrascape.functions.polygons import clip_to_box, follower, index_within, shoelace, signed_area
 from terrascape.grid import Grid, Params
-from terrascape.operators import aoi, coverage, graph, paths, surfaces, tiles
+from terrascape.operators import aoi, coverage, graph, overlay, surfaces, tiles
 from terrascape.operators import pyramid as pyr
+from terrascape.operators.edges import in_pixels
 from terrascape.operators.window import sources, window
 from terrascape.plans import indicators
-from terrascape.plans.fixtures import GEO, GRID, LEVELS, SIDE, SMALL, embedding_bands, g32, raster, vectors
+from terrascape.plans.fixtures import FIELD, GEO, GRID, LEVELS, SIDE, SMALL, embedding_bands, field, g32, plots, raster, vectors
 from terrascape.plans.oracle import ORACLE
+from terrascape.sources import vector
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,37 +243,97 @@ def d8_beri(spark, sf_dir, whole=False):
     return indicators.beri(raster(cells, "cond"), layers, Grid(rows, SIDE), k, params, engine=engine).select("row", "col", rounded("value", 8))
 
 
-def _frame(spark):
-    """A box with a box cut out of it, on GRID."""
-    box = lambda x0, x1, y0, y1: [(1000.0 * x, -1000.0 * y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
-    rings = [(0, 0, False, box(1.5, 9.25, 2.5, 8.75)), (0, 1, True, box(3.25, 5.5, 4.75, 6.5))]
-    return spark.createDataFrame(rings, "poly_id long, ring_id int, is_hole boolean, vertices array<struct<x: double, y: double>>")
+@query
+def c7_pixel_coverage(spark, sf_dir):
+    return coverage.pixel_coverage(plots(spark, sf_dir), FIELD).select("row", "col", rounded("value", 5))
 
 
 @query
-def c7_pixel_coverage(spark, sf_dir):
-    return coverage.pixel_coverage(_frame(spark), GRID).select("row", "col", rounded("value", 5))
+def d17_union_outline(spark, sf_dir):
+    """The outline of all plots together, in pixels: how much it holds, how long it is, and that each ring is closed and turns as it should."""
+    rings = overlay.dissolved(in_pixels(plots(spark, sf_dir), FIELD))
+    edge = F.zip_with("vertices", follower(F.col("vertices")), lambda p, q: F.hypot(q["x"] - p["x"], q["y"] - p["y"]))
+    each = rings.select(signed_area(F.col("vertices")).alias("area"), F.aggregate(edge, F.lit(0.0), lambda s, v: s + v).alias("long"), "is_hole")
+    return each.agg(F.round(F.sum("area"), 4).alias("area"), F.round(F.sum("long"), 4).alias("outline"), F.bool_and((F.col("area") < 0) == F.col("is_hole")).alias("turned"))
 
 
 @query
 def a8_touched_pixels(spark, sf_dir):
-    return aoi.touched(_frame(spark).where("NOT is_hole"), GRID)
+    return aoi.touched(plots(spark, sf_dir), FIELD)
+
+
+@query
+def a5_masked_cells(spark, sf_dir):
+    """A raster read inside plots alone: cells outside lose their values and are no sources."""
+    found = aoi.marked(field(spark, sf_dir), aoi.cover(plots(spark, sf_dir).where("poly_id % 5 = 0"), FIELD), "inside")
+    return found.select("row", "col", F.when(F.col("inside"), F.col("value")).alias("value"), (~F.col("inside") | F.col("value").isNull()).alias("masked"))
+
+
+@query
+def a9_valid_margin(spark, sf_dir):
+    """Cells of a raster within 7.5 pixels of plots: inside, or near their outlines."""
+    some = plots(spark, sf_dir).where("poly_id % 25 = 0")
+    found = aoi.near(aoi.marked(field(spark, sf_dir), aoi.cover(some, FIELD), "inside"), some, FIELD, 7.5, "edge")
+    return found.select("row", "col", (F.col("inside") | F.col("edge")).alias("valid"))
+
+
+@query
+def a13_reprojected(spark, sf_dir):
+    """Corners of the plots, laid out in a zone of the transverse Mercator, in degrees and in an equal-area conic."""
+    laid = plots(spark, sf_dir, Grid(128, 128, (1000.0, 0.0, 4.5e5, 0.0, -1000.0, 5.4e6), False))
+    degrees = vector.reprojected(laid, "EPSG:32755", "EPSG:4326", step=1e9)
+    conic = vector.reprojected(degrees, "EPSG:4326", "EPSG:3577", step=1e9)
+    each = lambda df, a, b, digits: df.select("poly_id", "ring_id", F.posexplode("vertices").alias("i", "v")).select("poly_id", "ring_id", "i", F.round("v.x", digits).alias(a), F.round("v.y", digits).alias(b))
+    return each(degrees, "lon", "lat", 8).join(each(conic, "x", "y", 2), ["poly_id", "ring_id", "i"])
+
+
+@query
+def a14_wkt(spark, sf_dir):
+    """The plots written as text and read again."""
+    text = vector.to_wkt(plots(spark, sf_dir))
+    rings = vector.from_wkt(text)
+    return rings.select("poly_id", "ring_id", "is_hole", F.size("vertices").alias("n"), F.round(signed_area(F.col("vertices")) / 1e6, 6).alias("area"))
+
+
+@query
+def h6_h8_clipped_rings(spark, sf_dir):
+    """Each plot's ring clipped to its middle pixels, by half planes: area, corners, and the rows that it is held to."""
+    rings = in_pixels(plots(spark, sf_dir), FIELD)
+    x, y = F.array_sort(F.transform("vertices", lambda v: v["x"])), F.array_sort(F.transform("vertices", lambda v: v["y"]))
+    at = rings.select("poly_id", "ring_id", "vertices", F.floor(F.get(x, F.lit(0))).alias("x0"), F.floor(F.get(y, F.lit(0))).alias("y0"))
+    part = clip_to_box(F.col("vertices"), F.col("x0") + 0.5, F.col("x0") + 2.25, F.col("y0") + 0.5, F.col("y0") + 1.75)
+    return at.select("poly_id", "ring_id", F.round(shoelace(part), 6).alias("area"), index_within(F.col("y0") + 2, FIELD.nrows).alias("row"))
 
 
 @query
 def a20_resolution_info(spark, sf_dir):
-    example = Grid(516, 588, (1 / 120, 0.0, 143.8, 0.0, -1 / 120, -39.4), True, unit="degrees")
-    return tiles.resolution_info(spark, example, outer_window=9).select("level", "width", "height", rounded("reach_km", 4))
+    """Rasters as large as the customers of each nation, in degrees, metres or feet: all columns."""
+    count = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    unit = F.element_at(F.array(*map(F.lit, ("degrees", "metre", "foot", "parsec"))), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    grids = count.select(
+        F.col("c_nationkey").cast("long").alias("raster"), F.col("n").alias("nrows"), (F.col("n") * 3).alias("ncols"),
+        (F.col("c_nationkey") % 4 == 0).alias("is_geo"), unit.alias("unit"), F.when(F.col("c_nationkey") % 4 == 0, 0.25).otherwise(250.0).alias("x_res"), F.when(F.col("c_nationkey") % 4 == 0, 0.125).otherwise(500.0).alias("y_res"), F.lit(0.0).alias("middle"),
+    )
+    found = tiles.resolutions(grids, [2**k for k in range(10)], outer_window=9)
+    return found.select("raster", "level", "width", "height", "cells", rounded("pct_base"), rounded("x_res"), rounded("y_res"), rounded("reach"), rounded("reach_km"), "reach_text", "note")
+
+
+def _shape(cells: DataFrame) -> Grid:
+    """The grid that cells fill."""
+    rows, cols = cells.agg(F.max("row") + 1, F.max("col") + 1).head()
+    return Grid(rows or 0, cols or 0)
 
 
 @query
 def j1_tiles(spark, sf_dir):
-    return tiles.make_tiles(raster(g32(spark, sf_dir), "cond"), GRID, 3, 3).select("id", "row_start", "row_stop", "col_start", "col_stop")
+    cells = field(spark, sf_dir)
+    return tiles.make_tiles(cells, _shape(cells), 3, 4, align_to=8)
 
 
 @query
 def j1_balanced_tiles(spark, sf_dir):
-    return tiles.make_tiles(raster(g32(spark, sf_dir), "cond"), GRID, 2, 3, align_to=4, balanced=True)
+    cells = raster(g32(spark, sf_dir), "cond")
+    return tiles.make_tiles(cells, _shape(cells), 2, 3, align_to=4, balanced=True).withColumn("cost", rounded("cost"))
 
 
 @query

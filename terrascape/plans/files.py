@@ -18,7 +18,12 @@ from terrascape.plans import indicators
 from terrascape.sources.cells import write_cells
 from terrascape.sources.geotiff import write_geotiff
 from terrascape.sources.rasters import Raster, read_raster
-from terrascape.sources.vector import require_crs
+from terrascape.sources.vector import fitted, read_geojson
+
+
+def _polygon(spark: SparkSession, polygon: DataFrame | str | None) -> DataFrame | None:
+    """Polygons as given, or of a GeoJSON file or folder by path."""
+    return read_geojson(spark, polygon) if isinstance(polygon, str) else polygon
 
 
 def _params(lambdas, max_cost, window_size, outer_window, window_mode, levels, option, margin_px) -> Params:
@@ -29,7 +34,7 @@ def _params(lambdas, max_cost, window_size, outer_window, window_mode, levels, o
 
 def _read(spark: SparkSession, path: str, params: Params, polygon: DataFrame | None, closed: bool, scale: float | None, like: Raster | None = None, what: str = "") -> Raster:
     """A raster around the polygon; ValueError if its rows, columns or reference system aren't those of `like`."""
-    found = read_raster(spark, path, polygon, params.levels[1:] or (1,), scale, params.outer_window, closed)
+    found = read_raster(spark, path, polygon, params.levels[1:] or (1,), scale, params.outer_window, closed, params.margin_px)
     if like is not None:
         like.grid.require_same_shape(found.grid, what or path)
     return found
@@ -55,7 +60,7 @@ def connectedness(
     condition_file: str,
     pa_file: str | None = None,
     pa_to_pa: bool = False,
-    polygon_mask: DataFrame | None = None,
+    polygon_mask: DataFrame | str | None = None,
     closed_border: bool = False,
     margin_px: int | None = None,
     lambdas: Sequence[float] = (2, 20, 200),
@@ -73,11 +78,14 @@ def connectedness(
 ) -> DataFrame:
     """Connected habitat, or with pa_file connectedness of protected cells, of rasters by path: row, col, value; written to filename, if given.
 
+    polygon_mask: polygons, or a GeoJSON path; those in another reference system are reprojected.
     Rasters of another shape or reference system than the condition's are refused before anything is computed.
     """
     params = _params(lambdas, max_cost, window_size, outer_window, window_mode, levels, option, margin_px)
     pair = scale if isinstance(scale, tuple) else (scale, None)
+    polygon_mask = _polygon(spark, polygon_mask)
     cond = _read(spark, condition_file, params, polygon_mask, closed_border, pair[0])
+    polygon_mask = polygon_mask if polygon_mask is None else fitted(polygon_mask, cond.grid)
     pa = _read(spark, pa_file, params, polygon_mask, closed_border, pair[1], cond).cells if pa_file else None
     res = _read(spark, resistance_file, params, polygon_mask, closed_border, resistance_scale, cond).cells if resistance_file else None
     _warn_of_gaps(cond.cells, res)
@@ -90,7 +98,7 @@ def beri(
     condition_file: str,
     current_file: str,
     future_files: Sequence[str] = (),
-    polygon_mask: DataFrame | None = None,
+    polygon_mask: DataFrame | str | None = None,
     closed_border: bool = False,
     margin_px: int | None = None,
     lambdas: Sequence[float] = (2, 20, 200),
@@ -107,7 +115,9 @@ def beri(
 ) -> DataFrame:
     """Resilience of each cell of a condition raster under climates by path, the present one and future ones; see connectedness."""
     params = _params(lambdas, max_cost, window_size, outer_window, window_mode, levels, 3, margin_px)
+    polygon_mask = _polygon(spark, polygon_mask)
     cond = _read(spark, condition_file, params, polygon_mask, closed_border, scale)
+    polygon_mask = polygon_mask if polygon_mask is None else fitted(polygon_mask, cond.grid)
     layers, bands = [], None
     for path in (current_file, *(future_files or ())):
         layer = _read(spark, path, params, polygon_mask, closed_border, None, cond)
@@ -122,11 +132,13 @@ def beri(
     return _save(out, cond.grid, filename)
 
 
-def pixel_coverage(spark: SparkSession, polygon: DataFrame, raster_file: str) -> DataFrame:
-    """row, col, value: share of each pixel of a raster that polygons cover."""
+def pixel_coverage(spark: SparkSession, polygon: DataFrame | str, raster_file: str, filename: str = "") -> DataFrame:
+    """row, col, value: share of each pixel of a raster that polygons (or those of a GeoJSON path) cover; written to filename, if given.
+
+    Polygons in another reference system are reprojected; pixels that none covers aren't listed.
+    """
     grid = read_raster(spark, raster_file).grid
-    require_crs(polygon, grid)
-    return coverage.pixel_coverage(polygon, grid)
+    return _save(coverage.pixel_coverage(fitted(_polygon(spark, polygon), grid), grid), grid, filename)
 
 
 def make_tiles(spark: SparkSession, raster_file: str, nrows: int, ncols: int, align_to: int = 1, balanced: bool = False, io_weight: float = 0.1) -> DataFrame:

@@ -43,6 +43,33 @@ def g32(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The grid that plots() lie on, and partly beyond.
+FIELD = Grid(128, 128)
+
+#: Plots of the customers, for either engine: corners in quarters of a pixel of FIELD, and of every third a hole.
+PLOTS_SQL = """
+SELECT k, x0, y0, x0 + w AS x1, y0 + h AS y1, CASE WHEN k % 3 = 0 THEN x0 + 2 END AS u0, y0 + 3 AS v0, x0 + w - 1 AS u1, y0 + h - 2 AS v1
+FROM (SELECT CAST(c_custkey AS BIGINT) AS k, (c_custkey * 37 + c_nationkey * 13) % 500 AS x0, (c_custkey * 101 + c_nationkey * 7) % 500 AS y0, 8 + c_custkey * 7 % 40 AS w, 8 + c_custkey * 11 % 24 AS h FROM customer) p0"""
+
+
+def plots(spark: SparkSession, sf_dir: str, grid: Grid = FIELD) -> DataFrame:
+    """poly_id, ring_id, is_hole, vertices: a box for each customer, many of which overlap, every third with a hole."""
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
+    a, _, c, _, e, f = grid.transform
+    corner = lambda x, y: F.struct((F.col(x) / 4 * a + c).cast("double").alias("x"), (F.col(y) / 4 * e + f).cast("double").alias("y"))
+    ring = lambda x0, y0, x1, y1: F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))
+    boxes = spark.sql(PLOTS_SQL)
+    outer = boxes.select(F.col("k").alias("poly_id"), F.lit(0).alias("ring_id"), F.lit(False).alias("is_hole"), ring("x0", "y0", "x1", "y1").alias("vertices"))
+    holes = boxes.where("u0 IS NOT NULL").select(F.col("k").alias("poly_id"), F.lit(1).alias("ring_id"), F.lit(True).alias("is_hole"), ring("u0", "v0", "u1", "v1").alias("vertices"))
+    return outer.unionByName(holes)
+
+
+def field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row, col, value of FIELD: a cell for each pair that lineitem has."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.groupBy((F.col("l_orderkey") % 128).cast("int").alias("row"), (F.col("l_partkey") % 128).cast("int").alias("col")).agg((F.sum("l_suppkey") % 101).cast("double").alias("value"))
+
+
 def raster(cells: DataFrame, name: str) -> DataFrame:
     return cells.select("row", "col", F.col(name).alias("value"))
 

@@ -25,8 +25,7 @@ def _areas(cells: DataFrame, grid: Grid, polygon: DataFrame | None, closed: bool
     """Cells with valid false outside the area of interest's core; closed: cells outside lose their values."""
     if polygon is None:
         return cells
-    inside = aoi.touched(polygon, grid).withColumn("inside", F.lit(True))
-    out = cells.join(inside, ["row", "col"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    out = aoi.marked(cells, aoi.cover(polygon, grid), "inside")
     if closed:
         out = out.withColumn("cond", F.when(F.col("inside"), F.col("cond")))
     return out.withColumn("source", F.col("source") & F.col("inside")).drop("inside")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from terrascape.functions.geometry import EARTH_M, GAUSS
+from terrascape.functions.projections import FROM_CONFORMAL, FROM_PLANE, Ellipsoid, projection
 from terrascape.grid import Grid, Params
-from terrascape.plans.fixtures import G32_SQL, GEO, GRID, LEVELS, SIDE, SMALL
+from terrascape.plans.fixtures import G32_SQL, GEO, GRID, LEVELS, PLOTS_SQL, SIDE, SMALL
 
 G = f"g AS MATERIALIZED ({G32_SQL})"
 
@@ -150,6 +151,36 @@ ALL = Params()
 ELEMENTS = 64
 AVG = f"FROM {leveled(LEVELS)} x GROUP BY level, gi, gj"
 
+#: Quarters of a pixel that plots cover, and pixels that each plot touches.
+LATTICE = f"""p AS ({PLOTS_SQL}), xs AS (SELECT *, unnest(range(x0, x1)) AS sx FROM p), ys AS (SELECT *, unnest(range(y0, y1)) AS sy FROM xs),
+spots AS MATERIALIZED (SELECT DISTINCT sx, sy FROM ys WHERE u0 IS NULL OR NOT (sx >= u0 AND sx < u1 AND sy >= v0 AND sy < v1))"""
+TOUCHED = f"""p AS ({PLOTS_SQL}), rs AS (SELECT *, unnest(range(greatest(0, ceil(y0 / 4)::INT - 1), least(127, y1 // 4)::INT + 1))::INT AS r FROM p),
+cs AS (SELECT *, unnest(range(greatest(0, ceil(x0 / 4)::INT - 1), least(127, x1 // 4)::INT + 1))::INT AS c FROM rs),
+met AS (SELECT k, r, c FROM cs WHERE u0 IS NULL OR NOT (4 * c > u0 AND 4 * c + 4 < u1 AND 4 * r > v0 AND 4 * r + 4 < v1))"""
+
+
+
+def _series(table: tuple[tuple[float, ...], ...], ellipsoid: Ellipsoid, angle: str, terms: str) -> str:
+    """Sum over j of the series' coefficients times `terms`, in which J stands for 2 * j and A for the angle."""
+    return " ".join(f"+ ({c!r}) * {terms.replace('J', str(2 * j)).replace('A', angle)}" for j, c in enumerate(ellipsoid.series(table), 1))
+
+
+def _reprojected() -> str:
+    utm, conic = projection("EPSG:32755"), projection("EPSG:3577")
+    e, (n, c, rho0) = conic.ellipsoid.e, conic.cone
+    return f"""WITH p AS ({PLOTS_SQL}), r AS (SELECT k, 0 AS ring_id, x0 / 4 AS a, y0 / 4 AS b, x1 / 4 AS c, y1 / 4 AS d FROM p UNION ALL SELECT k, 1, u0 / 4, v0 / 4, u1 / 4, v1 / 4 FROM p WHERE u0 IS NOT NULL),
+v AS (SELECT k, ring_id, i, (CASE WHEN i IN (0, 3) THEN a ELSE c END * 1000 + 450000)::DOUBLE AS px, (CASE WHEN i IN (0, 1) THEN b ELSE d END * -1000 + 5400000)::DOUBLE AS py FROM r, (SELECT unnest(range(4))::INT AS i)),
+t AS (SELECT *, (py - {utm.northing}) / {utm.radius!r} AS xi, (px - {utm.easting}) / {utm.radius!r} AS eta FROM v),
+sinh AS (SELECT *, xi - (0 {_series(FROM_PLANE, utm.ellipsoid, 'xi', 'sin(J * A) * (exp(J * eta) + exp(-J * eta)) / 2')}) AS xi1, eta - (0 {_series(FROM_PLANE, utm.ellipsoid, 'xi', 'cos(J * A) * (exp(J * eta) - exp(-J * eta)) / 2')}) AS eta1 FROM t),
+chi AS (SELECT *, asin(sin(xi1) * 2 / (exp(eta1) + exp(-eta1))) AS chi, {utm.lon0} + degrees(atan2((exp(eta1) - exp(-eta1)) / 2, cos(xi1))) AS lon FROM sinh),
+ll AS (SELECT *, degrees(chi {_series(FROM_CONFORMAL, utm.ellipsoid, 'chi', 'sin(J * A)')}) AS lat FROM chi),
+q AS (SELECT *, sin(radians(lat)) AS s FROM ll),
+m AS (SELECT *, {conic.ellipsoid.a} / ({n!r}) * sqrt({c!r} - ({n!r}) * {1 - e * e!r} * (s / (1 - {e * e!r} * s * s) + ln((1 + {e!r} * s) / (1 - {e!r} * s)) / {2 * e!r})) AS rho, ({n!r}) * radians(lon - {conic.origin[1]}) AS turn FROM q)
+SELECT k AS poly_id, ring_id, i, round(lon, 8) AS lon, round(lat, 8) AS lat, round(rho * sin(turn), 2) AS x, round({rho0!r} - rho * cos(turn), 2) AS y FROM m"""
+
+
+REPROJECTED = _reprojected()
+
 ORACLE: dict[str, str] = {
     "fixture_g32": with_g('SELECT "row", "col", cond, pa, res FROM g'),
     "d1_overview_average": with_g(f"SELECT level, gi, gj, round(avg(cond), 6) AS cond {AVG}"),
@@ -188,8 +219,49 @@ SELECT level, gi, gj, {', '.join(f'round(avg(b[{i}]), 6) AS b{i}' for i in range
     "e2_geographic_window_all": node_list(ALL, "circular", GEO, "SELECT src, node, round(area, 4) AS area FROM nodes"),
     "c3_c4_edges_all": node_list(ALL, "circular", GRID, "SELECT src, u, v, round(adj, 5) AS adj, round(geo, 5) AS geo FROM edges").replace("\nSELECT src, u", f", {edges(ALL, GRID)}\nSELECT src, u", 1),
     "i3_isolated_all": node_list(ALL, "circular", GRID, "SELECT src, node, round(adj, 5) AS adj, round(geo, 5) AS geo FROM alone").replace("\nSELECT src, node, round(adj", f", {edges(ALL, GRID)}\nSELECT src, node, round(adj", 1),
-    "c7_pixel_coverage": "SELECT r::INT AS \"row\", c::INT AS \"col\", round((greatest(0, least(c + 1, 9.25) - greatest(c, 1.5)) * greatest(0, least(r + 1, 8.75) - greatest(r, 2.5)) - greatest(0, least(c + 1, 5.5) - greatest(c, 3.25)) * greatest(0, least(r + 1, 6.5) - greatest(r, 4.75)))::DOUBLE, 5) AS value FROM (SELECT unnest(range(2, 9)) AS r) a, (SELECT unnest(range(1, 10)) AS c) b WHERE value > 0",
-    "a8_touched_pixels": 'SELECT r::INT AS "row", c::INT AS "col" FROM (SELECT unnest(range(2, 9)) AS r) a, (SELECT unnest(range(1, 10)) AS c) b',
-    "a20_resolution_info": "SELECT v::INT AS level, ceil(588 / v)::BIGINT AS width, ceil(516 / v)::BIGINT AS height, round((9 * v * 111.32 / 120)::DOUBLE, 4) AS reach_km FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS v)",
-    "j1_tiles": "SELECT (3 * i + j)::INT AS id, [0, 11, 21, 32][i + 1]::INT AS row_start, [0, 11, 21, 32][i + 2]::INT AS row_stop, [0, 11, 21, 32][j + 1]::INT AS col_start, [0, 11, 21, 32][j + 2]::INT AS col_stop FROM (SELECT unnest(range(3)) AS i) a, (SELECT unnest(range(3)) AS j) b",
+    "c7_pixel_coverage": f"WITH {LATTICE} SELECT (sy // 4)::INT AS \"row\", (sx // 4)::INT AS \"col\", count(*) / 16 AS value FROM spots WHERE sx BETWEEN 0 AND 511 AND sy BETWEEN 0 AND 511 GROUP BY ALL",
+    "d17_union_outline": f"""WITH {LATTICE}
+SELECT (SELECT count(*) / 16 FROM spots) AS area, sum(n)::DOUBLE / 4 AS outline, TRUE AS turned
+FROM (SELECT 2 * count(*) - 2 * count(b.sx) AS n FROM spots a LEFT JOIN spots b ON b.sx = a.sx + 1 AND b.sy = a.sy
+      UNION ALL SELECT 2 * count(*) - 2 * count(b.sx) FROM spots a LEFT JOIN spots b ON b.sx = a.sx AND b.sy = a.sy + 1)""",
+    "a8_touched_pixels": f"WITH {TOUCHED} SELECT DISTINCT r AS \"row\", c AS \"col\" FROM met",
+    "a5_masked_cells": f"""WITH {TOUCHED}, f AS (SELECT (l_orderkey % 128)::INT AS r, (l_partkey % 128)::INT AS c, (sum(l_suppkey) % 101)::DOUBLE AS v FROM lineitem GROUP BY 1, 2),
+t AS (SELECT DISTINCT r, c FROM met WHERE k % 5 = 0)
+SELECT f.r AS "row", f.c AS "col", CASE WHEN t.r IS NOT NULL THEN v END AS value, t.r IS NULL AS masked FROM f LEFT JOIN t ON t.r = f.r AND t.c = f.c""",
+    "a9_valid_margin": f"""WITH {TOUCHED}, f AS (SELECT DISTINCT (l_orderkey % 128)::INT AS r, (l_partkey % 128)::INT AS c FROM lineitem),
+b AS (SELECT k, x0 / 4 AS x0, y0 / 4 AS y0, x1 / 4 AS x1, y1 / 4 AS y1, u0 / 4 AS u0, v0 / 4 AS v0, u1 / 4 AS u1, v1 / 4 AS v1 FROM p WHERE k % 25 = 0),
+n AS (SELECT DISTINCT f.r, f.c FROM f JOIN b ON sqrt(pow(greatest(0, x0 - f.c - 1, f.c - x1), 2) + pow(greatest(0, y0 - f.r - 1, f.r - y1), 2)) <= 7.5)
+SELECT f.r AS "row", f.c AS "col", n.r IS NOT NULL AS valid FROM f LEFT JOIN n ON n.r = f.r AND n.c = f.c""",
+    "a13_reprojected": REPROJECTED,
+    "a14_wkt": f"WITH p AS ({PLOTS_SQL}) SELECT k AS poly_id, 0 AS ring_id, FALSE AS is_hole, 5 AS n, -((x1 - x0) * (y1 - y0) / 16)::DOUBLE AS area FROM p UNION ALL SELECT k, 1, TRUE, 5, -((u1 - u0) * (v1 - v0) / 16)::DOUBLE FROM p WHERE u0 IS NOT NULL",
+    "h6_h8_clipped_rings": f"""WITH p AS ({PLOTS_SQL}), r AS (SELECT k, 0 AS ring_id, x0 / 4 AS a, y0 / 4 AS b, x1 / 4 AS c, y1 / 4 AS d FROM p UNION ALL SELECT k, 1, u0 / 4, v0 / 4, u1 / 4, v1 / 4 FROM p WHERE u0 IS NOT NULL)
+SELECT k AS poly_id, ring_id, round((greatest(0, least(c, floor(a) + 2.25) - greatest(a, floor(a) + 0.5)) * greatest(0, least(d, floor(b) + 1.75) - greatest(b, floor(b) + 0.5)))::DOUBLE, 6) AS area, least(floor(b) + 2, 128)::INT AS "row" FROM r""",
+    "a20_resolution_info": """WITH g AS (SELECT c_nationkey::BIGINT AS raster, count(*) AS n, count(*) * 3 AS m, CASE WHEN c_nationkey % 4 = 0 THEN 0.25::DOUBLE ELSE 250 END AS x, CASE WHEN c_nationkey % 4 = 0 THEN 0.125::DOUBLE ELSE 500 END AS y,
+  CASE c_nationkey % 4 WHEN 0 THEN 111.32::DOUBLE WHEN 1 THEN 0.001 WHEN 2 THEN 0.0003048 END AS f FROM customer GROUP BY c_nationkey),
+l AS (SELECT *, ceil(m / v)::BIGINT AS width, ceil(n / v)::BIGINT AS height FROM g, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) AS v)),
+k AS (SELECT *, 9 * v * f * greatest(x, y) AS km FROM l)
+SELECT raster, v::INT AS level, width, height, width * height AS cells, round(100.0::DOUBLE * (width * height) / (n * m), 6) AS pct_base, x * v AS x_res, y * v AS y_res, 9 * v * greatest(x, y) AS reach, round(km, 6) AS reach_km,
+  CASE WHEN km IS NULL THEN '-' WHEN km >= 1000 THEN printf('%.2fK km', km / 1000) WHEN km = floor(km) THEN km::BIGINT || ' km' ELSE printf('%.4g km', km) END AS reach_text,
+  CASE WHEN least(width, height) < 16 THEN 'small grid; review' ELSE '' END AS note FROM k""",
+    "j1_tiles": """WITH s AS (SELECT max(l_orderkey % 128) + 1 AS h, max(l_partkey % 128) + 1 AS w FROM lineitem),
+b1 AS (SELECT h, w, greatest(1, least(floor(h / 24 + 0.5), (h - 1) // 8 - 1)) AS r1, greatest(1, least(floor(w / 32 + 0.5), (w - 1) // 8 - 2)) AS c1 FROM s),
+b2 AS (SELECT *, greatest(r1 + 1, least(floor(2 * h / 24 + 0.5), (h - 1) // 8)) AS r2, greatest(c1 + 1, least(floor(2 * w / 32 + 0.5), (w - 1) // 8 - 1)) AS c2 FROM b1),
+b3 AS (SELECT *, greatest(c2 + 1, least(floor(3 * w / 32 + 0.5), (w - 1) // 8)) AS c3 FROM b2),
+t AS (SELECT i, j, [0, 8 * r1, 8 * r2, h] AS r, [0, 8 * c1, 8 * c2, 8 * c3, w] AS c FROM b3, (SELECT unnest(range(3)) AS i) x, (SELECT unnest(range(4)) AS j) y)
+SELECT (4 * i + j)::INT AS id, i::INT AS "row", j::INT AS "col", r[i + 1]::INT AS row_start, r[i + 2]::INT AS row_stop, c[j + 1]::INT AS col_start, c[j + 2]::INT AS col_stop, 8 AS align_to,
+  1000.0::DOUBLE * c[j + 1] AS xmin, -1000.0::DOUBLE * r[i + 2] AS ymin, 1000.0::DOUBLE * c[j + 2] AS xmax, -1000.0::DOUBLE * r[i + 1] AS ymax FROM t""",
+    "j1_balanced_tiles": f"""WITH {G}, v AS (SELECT "row" // 4 AS r, "col" // 4 AS c, count(cond) AS n FROM g GROUP BY 1, 2),
+d AS (SELECT a.r, b.c, coalesce(n, 0) + 1.6::DOUBLE AS cost FROM (SELECT unnest(range(8)) AS r) a CROSS JOIN (SELECT unnest(range(8)) AS c) b LEFT JOIN v ON v.r = a.r AND v.c = b.c),
+q AS (SELECT r, sum(sum(cost)) OVER (ORDER BY r) AS run, sum(sum(cost)) OVER () AS total FROM d GROUP BY r),
+rb AS (SELECT arg_min(b, (round(abs(run - total / 2), 9), -b)) AS b FROM (SELECT greatest(1, least(r + 1, 7)) AS b, run, total FROM q WHERE r + 1 BETWEEN (SELECT min(r) FROM q WHERE run >= total / 2 - 1e-9) AND (SELECT min(r) + 1 FROM q WHERE run >= total / 2 - 1e-9) AND r + 1 BETWEEN 1 AND 7)),
+w AS (SELECT (r >= b)::INT AS band, c, sum(cost) AS cost FROM d, rb GROUP BY 1, 2),
+u AS (SELECT band, c, sum(cost) OVER (PARTITION BY band ORDER BY c) AS run, sum(cost) OVER (PARTITION BY band) AS total FROM w),
+f1 AS (SELECT band, min(c) AS first FROM u WHERE run >= total / 3 - 1e-9 GROUP BY band),
+c1 AS (SELECT band, arg_min(c + 1, (round(abs(run - total / 3), 9), -c)) AS b FROM u JOIN f1 USING (band) WHERE c + 1 BETWEEN greatest(1, first) AND least(first + 1, 6) GROUP BY band),
+f2 AS (SELECT band, min(c) AS first FROM u WHERE run >= 2 * total / 3 - 1e-9 GROUP BY band),
+c2 AS (SELECT u.band, arg_min(c + 1, (round(abs(run - 2 * total / 3), 9), -c)) AS b FROM u JOIN f2 ON f2.band = u.band JOIN c1 ON c1.band = u.band WHERE c + 1 BETWEEN greatest(c1.b + 1, first) AND least(first + 1, 7) GROUP BY u.band),
+t AS (SELECT c1.band AS i, j, [0, 4 * rb.b, 32] AS r, [0, 4 * c1.b, 4 * c2.b, 32] AS c FROM c1 JOIN c2 ON c2.band = c1.band, rb, (SELECT unnest(range(3)) AS j) y)
+SELECT (3 * i + j)::INT AS id, i::INT AS "row", j::INT AS "col", r[i + 1]::INT AS row_start, r[i + 2]::INT AS row_stop, c[j + 1]::INT AS col_start, c[j + 2]::INT AS col_stop, 4 AS align_to,
+  1000.0::DOUBLE * c[j + 1] AS xmin, -1000.0::DOUBLE * r[i + 2] AS ymin, 1000.0::DOUBLE * c[j + 2] AS xmax, -1000.0::DOUBLE * r[i + 1] AS ymax,
+  (SELECT round(sum(cost), 6) FROM w WHERE band = i AND w.c >= t.c[j + 1] // 4 AND w.c < t.c[j + 2] // 4) AS cost FROM t""",
 }

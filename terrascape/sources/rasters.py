@@ -13,7 +13,7 @@ from terrascape.operators.pyramid import finite
 from terrascape.operators.surfaces import rescaled
 from terrascape.sources.cells import read_cells
 from terrascape.sources.geotiff import read_geotiff
-from terrascape.sources.vector import require_crs
+from terrascape.sources.vector import fitted
 
 
 @dataclass(frozen=True)
@@ -26,17 +26,18 @@ class Raster:
     box: tuple[int, int, int, int]
 
 
-def read_raster(spark: SparkSession, path: str, polygon: DataFrame | None = None, levels: tuple[int, ...] = (2, 4, 8, 16, 32), scale: float | None = None, expand_px: int = 0, closed: bool = False) -> Raster:
+def read_raster(spark: SparkSession, path: str, polygon: DataFrame | None = None, levels: tuple[int, ...] = (2, 4, 8, 16, 32), scale: float | None = None, expand_px: int = 0, closed: bool = False, margin_px: float = 0) -> Raster:
     """Cells of a GeoTIFF (.tif, .tiff) or a cell table; with a polygon, those that its windows can reach, indices staying global.
 
-    closed: cells outside the polygon lose their values. masked cells have no value or lie outside.
+    closed: cells outside the polygon lose their values. masked cells have no value or lie outside,
+    with an open border by more than margin_px pixels; the polygon is reprojected if it has to be.
     """
     levels = tuple(pyramid_levels(levels))
     tiff = path.lower().endswith((".tif", ".tiff"))
     cells, grid = read_geotiff(spark, path) if tiff else read_cells(spark, path)
     box = (0, grid.nrows, 0, grid.ncols)
     if polygon is not None:
-        require_crs(polygon, grid)
+        polygon = fitted(polygon, grid)
         box = aoi.pixel_box(polygon, grid) if closed else aoi.read_box(polygon, grid, levels, expand_px)
         cells = aoi.within(cells, box) if tiff else read_cells(spark, path, box[:2], box[2:])[0]
     transforms = {v: grid.level_transform(v) for v in levels}
@@ -46,10 +47,11 @@ def read_raster(spark: SparkSession, path: str, polygon: DataFrame | None = None
     else:
         cells = cells.withColumn("value", rescaled(finite(F.col("value"), grid.nodata), scale)).withColumn("masked", F.col("value").isNull())
     if polygon is not None:
-        inside = aoi.touched(polygon, grid).withColumn("_in", F.lit(True))
-        cells = cells.join(inside, ["row", "col"], "left").withColumn("masked", F.col("masked") | F.col("_in").isNull())
+        cells = aoi.marked(cells, aoi.cover(polygon, grid), "_in")
+        cells = aoi.near(cells, polygon, grid, margin_px, "_near") if margin_px and not closed else cells.withColumn("_near", F.col("_in"))
+        cells = cells.withColumn("masked", F.col("masked") | ~(F.col("_in") | F.col("_near"))).drop("_near")
         if closed:
             name = "bands" if "bands" in cells.columns else "value"
-            cells = cells.withColumn(name, F.when(F.col("_in").isNotNull(), F.col(name)))
+            cells = cells.withColumn(name, F.when(F.col("_in"), F.col(name)))
         cells = cells.drop("_in")
     return Raster(cells, grid, transforms, box)

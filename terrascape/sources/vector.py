@@ -1,10 +1,12 @@
-"""Polygons: rings as rows, from GeoJSON."""
+"""Polygons: rings as rows, from GeoJSON or WKT, in any reference system that functions/projections.py has."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrascape.functions.polygons import follower
+from terrascape.functions.projections import projection
 from terrascape.grid import Grid
 
 POLYGON = "poly_id long, ring_id int, is_hole boolean, vertices array<struct<x: double, y: double>>"
@@ -17,7 +19,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """poly_id, ring_id, is_hole, vertices, crs of the polygons and multipolygons of a file or a folder of files; other geometries are left out.
 
     poly_id is the hash of a polygon's file and place in it. crs is what the file names, or null;
-    coordinates aren't converted, see require_crs.
+    coordinates stay as they are, see fitted().
     """
     raw = spark.read.schema(_FILE).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
     single = F.coalesce(F.col("geometry"), F.struct("type", "coordinates"))
@@ -40,12 +42,73 @@ def epsg(name: str | None) -> str | None:
     return f"EPSG:{code}" if "EPSG" in head and code.isdigit() else text
 
 
-def require_crs(polygon: DataFrame, grid: Grid) -> None:
-    """ValueError if polygons name a reference system other than the grid's; one that isn't named is taken to be the same."""
-    if grid.crs and "crs" in polygon.columns:
-        for (name,) in polygon.where("crs IS NOT NULL").select("crs").distinct().limit(10).collect():
-            if epsg(name) != epsg(grid.crs):
-                raise ValueError(f"the polygons are in {name}, the raster in {grid.crs}; reproject them first")
+def reprojected(polygon: DataFrame, source: str, target: str, step: float | None = None) -> DataFrame:
+    """Polygons of one reference system in another; edges longer than step (in units of the source) are cut first, so that they follow the curves that they become.
+
+    step None: a 64th of each ring's larger side. ValueError for a system that isn't known, before
+    anything is read. Null and empty rings stay as they are; other columns stay, crs becomes the target's.
+    """
+    there, here = projection(epsg(target)), projection(epsg(source))
+    xs, ys = F.transform("vertices", lambda v: v["x"]), F.transform("vertices", lambda v: v["y"])
+    side = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+    size = F.lit(float(step)) if step is not None else F.when(side > 0, side / 64).otherwise(1.0)
+
+    def along(p, q):
+        n = F.greatest(F.ceil(F.hypot(q["x"] - p["x"], q["y"] - p["y"]) / size), F.lit(1)).cast("int")
+        at = lambda k: F.struct((p["x"] + (q["x"] - p["x"]) * k / n).alias("x"), (p["y"] + (q["y"] - p["y"]) * k / n).alias("y"))
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+    def moved(v):
+        x, y = there.forward(*here.inverse(v["x"], v["y"]))
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    cut = F.flatten(F.zip_with("vertices", follower(F.col("vertices")), along))
+    out = polygon.withColumn("vertices", F.when(F.size("vertices") > 0, F.transform(cut, moved)).otherwise(F.col("vertices")))
+    return out.withColumn("crs", F.lit(epsg(target))) if "crs" in polygon.columns else out
+
+
+def fitted(polygon: DataFrame, grid: Grid) -> DataFrame:
+    """Polygons in the grid's reference system: those that name another are reprojected, those that name none are taken to be in it.
+
+    ValueError if a system isn't known, or there are more than ten.
+    """
+    if not grid.crs or "crs" not in polygon.columns:
+        return polygon
+    named = [r[0] for r in polygon.where("crs IS NOT NULL").select("crs").distinct().limit(11).collect()]
+    if len(named) > 10:
+        raise ValueError("the polygons are in more than ten reference systems")
+    target, apart = epsg(grid.crs), [n for n in named if epsg(n) and epsg(n) != epsg(grid.crs)]
+    if not apart:
+        return polygon
+    out = polygon.where(F.col("crs").isNull() | ~F.col("crs").isin(apart))
+    for name in apart:
+        out = out.unionByName(reprojected(polygon.where(F.col("crs") == name), epsg(name), target))
+    return out
+
+
+def from_wkt(rows: DataFrame, column: str = "wkt") -> DataFrame:
+    """poly_id, ring_id, is_hole, vertices of a column of WKT polygons and multipolygons, by array functions; rows: poly_id and the column.
+
+    Rings of z or m coordinates keep x and y. Other geometries, EMPTY ones and nulls give no rows;
+    the polygons of a multipolygon have the hashes of poly_id and their place as ids.
+    """
+    text = F.regexp_replace(F.trim(F.regexp_replace(F.col(column), r"^\s*SRID=[0-9]+;", "")), r"\s+", " ")
+    kind = F.upper(F.regexp_extract(text, r"^([A-Za-z]+)", 1))
+    body = F.regexp_replace(F.regexp_extract(text, r"\((.*)\)$", 1), r"\s*([(),])\s*", "$1")
+    shapes = F.when(kind == "POLYGON", F.array(body)).when(kind == "MULTIPOLYGON", F.transform(F.split(body, r"\)\),\(\("), lambda s: F.regexp_replace(s, r"^\(\(|\)\)$", "")))
+    each = rows.select("poly_id", kind.alias("kind"), F.posexplode(shapes).alias("place", "shape")).where("shape <> ''")
+    rings = F.split(F.regexp_replace("shape", r"^\(|\)$", ""), r"\),\(")
+    each = each.select("poly_id", "kind", "place", F.posexplode(rings).alias("ring_id", "ring"))
+    vertex = lambda p: F.struct(F.get(F.split(p, " "), F.lit(0)).cast("double").alias("x"), F.get(F.split(p, " "), F.lit(1)).cast("double").alias("y"))
+    ident = F.when(F.col("kind") == "POLYGON", F.col("poly_id")).otherwise(F.xxhash64("poly_id", "place"))
+    return each.select(ident.cast("long").alias("poly_id"), "ring_id", (F.col("ring_id") > 0).alias("is_hole"), F.transform(F.split("ring", ","), vertex).alias("vertices"))
+
+
+def to_wkt(polygon: DataFrame) -> DataFrame:
+    """poly_id, wkt: each polygon with its rings as POLYGON text, closed."""
+    ring = F.transform(F.concat("vertices", F.slice("vertices", 1, 1)), lambda v: F.concat(v["x"].cast("string"), F.lit(" "), v["y"].cast("string")))
+    rings = F.transform(F.array_sort(F.collect_list(F.struct("ring_id", F.array_join(ring, ", ").alias("text")))), lambda r: F.concat(F.lit("("), r["text"], F.lit(")")))
+    return polygon.groupBy("poly_id").agg(F.concat(F.lit("POLYGON ("), F.array_join(rings, ", "), F.lit(")")).alias("wkt"))
 
 
 def polygons(spark: SparkSession, shapes: list[list[list[tuple[float, float]]]]) -> DataFrame:

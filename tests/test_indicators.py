@@ -206,7 +206,6 @@ def test_levels_and_parameters():
 
 def test_breaks_and_tiles(spark):
     assert tiles.aligned_breaks(516, 4, 32) == [0, 128, 256, 384, 516] and tiles.aligned_breaks(588, 4, 32) == [0, 160, 288, 448, 588]
-    assert tiles.balanced_breaks([1, 1, 1, 5], 2, 10, 40) == [0, 30, 40] and tiles.balanced_breaks([0] * 4, 2, 10, 40) == [0, 20, 40]
     with pytest.raises(ValueError):
         tiles.aligned_breaks(32, 2, 32)
     g = Grid(8, 8)
