@@ -19,6 +19,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,15 +28,15 @@ from terrascape.llm.common import in_small_batches, slices, written
 from terrascape.llm.textops import LOWER, Texts, mix, spans_hashed, windows
 
 #: Bytes from which a shard is closed, and of the rows that it is stored in (more where one piece has more).
-SHARD_BYTES, ROW_BYTES = 3 << 20, 64 << 10
+SHARD_BYTES, ROW_BYTES = 6 << 20, 256 << 10
 #: Bytes that a task holds open over all languages.
-OPEN_BYTES = 16 << 20
+OPEN_BYTES = 24 << 20
 #: Entries that a range of the sketch should have.
 RANGE_ENTRIES = 1_000_000
 #: Columns of the sketch for each n-gram counted, as a power of two.
-SPARE_BITS = 7
+SPARE_BITS = 1
 #: Phrases of one automaton; a shard with more has several.
-MOST_PHRASES = 50_000
+MOST_PHRASES = 300_000
 
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[0x20, 0x09]] = True
@@ -66,7 +67,7 @@ def normal(texts: list[bytes | None]) -> tuple[bytes, int]:
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """(shard, lang, n_words, body) of docs(lang, text), written: normal() of texts of one language, in rows of about ROW_BYTES; n_words is on a shard's first row."""
+    """(shard, lang, n_words, body) of docs(lang, text), written: normal() of texts of one language, in rows of about ROW_BYTES, compressed; n_words is on a shard's first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list[bytes], int, int]] = {}
@@ -78,7 +79,7 @@ def shards(docs: DataFrame) -> DataFrame:
             body, i, rows = b"".join(parts), 0, []
             while i < len(body):
                 j = body.find(b"\n", i + ROW_BYTES) + 1 or len(body)
-                rows.append(body[i:j])
+                rows.append(squeezed(body[i:j]))
                 i = j
             number += 1
             return pa.RecordBatch.from_arrays([pa.array([number] * len(rows), pa.int64()), pa.array([lang] * len(rows)), pa.array([n, *[0] * (len(rows) - 1)], pa.int64()), pa.array(rows, pa.binary())], names=["shard", "lang", "n_words", "body"])
@@ -118,19 +119,23 @@ class Grams:
             whole = np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :]) if len(piece) >= k else np.empty(0, np.int64)
             self.runs[k] = whole, windows(h, k)[whole] if len(whole) else np.empty(0, np.uint64)
 
-    def pattern(self, k: int, first: int) -> bytes:
-        return self.body[self.start[first] - 1 : self.end[first + k - 1] + 1]
+
+def squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def loosened(blob: bytes) -> bytes:
+    return pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
 
 
 def packed(columns: np.ndarray, counts: np.ndarray | None = None) -> bytes:
     """Ascending columns as the bytes of their steps, low ones first, and counts up to 255; compressed."""
     steps = np.diff(columns, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-    data = len(columns).to_bytes(4, "little") + steps + (b"" if counts is None else np.minimum(counts, 255).astype(np.uint8).tobytes())
-    return len(data).to_bytes(4, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return squeezed(len(columns).to_bytes(4, "little") + steps + (b"" if counts is None else np.minimum(counts, 255).astype(np.uint8).tobytes()))
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+    data = loosened(blob)
     n = int.from_bytes(data[:4], "little")
     steps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 4).reshape(8, n).T).view(np.uint64).ravel()
     return np.cumsum(steps, dtype=np.uint64), np.frombuffer(data, np.uint8, offset=4 + 8 * n).astype(np.int64)
@@ -145,7 +150,7 @@ def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, byte
                 if parts:
                     yield at, lang, b"".join(parts)
                 at, lang, parts = shard, name, []
-            parts.append(body)
+            parts.append(loosened(body))
     if parts:
         yield at, lang, b"".join(parts)
 
@@ -183,34 +188,40 @@ def matches(text: str, patterns: list[str]) -> np.ndarray:
     for i in range(0, len(patterns), MOST_PHRASES):
         some = patterns[i : i + MOST_PHRASES]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for j, p in enumerate(some):
-            automaton.add_word(p, j)
+        for j in sorted(range(len(some)), key=some.__getitem__):  # those of one beginning in a row are quicker to add
+            automaton.add_word(some[j], j)
         automaton.make_automaton()
         out[i : i + len(some)] = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(some))
     return out
 
 
-def counted(lang: str, body: bytes, passing: np.ndarray, most: int, width: int) -> tuple[list[bytes], list[int], np.ndarray]:
-    """Phrases of the shard in passing columns, their numbers of words, and how often each occurs."""
-    grams, patterns, sizes, places = Grams(lang, body, most), [], [], 0
-    firsts: list[tuple[int, np.ndarray]] = []
+def counted(lang: str, body: bytes, passing: np.ndarray, most: int, width: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Phrases of the shard in passing columns, each byte as a sign; how often each occurs, and its hash."""
+    grams = Grams(lang, body, most)
+    # automata compare signs, and words are bytes
+    text = body.decode("latin-1")
+    found = []
     for k, (first, h) in grams.runs.items():
         column = h >> np.uint64(64 - width)
-        at = np.minimum(np.searchsorted(passing, column), len(passing) - 1)
-        hit = passing[at] == column
-        firsts.append((k, first[hit]))
-        places += int(hit.sum())
-        one = np.unique(h[hit], return_index=True)[1]
-        patterns += [grams.pattern(k, i) for i in first[hit][one].tolist()]
-        sizes += [k] * len(one)
-    # each byte as one sign: automata compare signs, and words are bytes
-    text = body.decode("latin-1")
-    n = matches(text, [p.decode("latin-1") for p in patterns])
-    if int(n.sum()) != places:  # two phrases of one hash: take each by its bytes
-        both = dict.fromkeys((grams.pattern(k, i), k) for k, first in firsts for i in first.tolist())
-        patterns, sizes = [p for p, _ in both], [k for _, k in both]
-        n = matches(text, [p.decode("latin-1") for p in patterns])
-    return [p[1:-1] for p in patterns], sizes, n
+        hit = passing[np.minimum(np.searchsorted(passing, column), len(passing) - 1)] == column
+        found.append((grams.start[first[hit]] - 1, grams.end[first[hit] + k - 1] + 1, h[hit]))
+    start, end, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    one = np.unique(h, return_index=True)[1]
+    patterns, hashes = [text[i:j] for i, j in zip(start[one].tolist(), end[one].tolist(), strict=True)], h[one]
+    n = matches(text, patterns)
+    if int(n.sum()) != len(h):  # two phrases of one hash: take each by its signs
+        both = dict(zip((text[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)), h.tolist(), strict=True))
+        patterns, hashes = list(both), np.array(list(both.values()), np.uint64)
+        n = matches(text, patterns)
+    return [p[1:-1] for p in patterns], n, hashes
+
+
+def strings(blobs: list[bytes], lengths: list[bytes]) -> pa.Array:
+    """Binary strings from what joins them and their lengths."""
+    size = np.concatenate([np.frombuffer(loosened(b), np.int32) for b in lengths])
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(map(loosened, blobs)))])
 
 
 def frequent(docs: DataFrame, most: int = 3, least: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -220,22 +231,40 @@ def frequent(docs: DataFrame, most: int = 3, least: int = 10) -> tuple[DataFrame
     grams = most * (bodies.agg(F.sum("n_words")).first()[0] or 0)
     ranges = max(4, (grams // RANGE_ENTRIES).bit_length())
     width = min(62, max(ranges + 8, grams.bit_length() + SPARE_BITS))
+    names = {"range": pa.int64(), "lang": pa.string(), "phrases": pa.binary(), "lengths": pa.binary(), "counts": pa.binary()}
 
     def count(table: pa.Table) -> pa.Table:
+        """The counts of a shard, sorted and compressed for each range of hashes: phrases of one beginning stand together."""
         blobs = [b for b in table.column("columns").to_pylist() if b is not None]
         here = table.filter(table.column("body").is_valid())
         if not blobs or not here.num_rows:
-            return pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.binary()), "words": pa.array([], pa.int32()), "n": pa.array([], pa.int64())})
+            return pa.table({k: pa.array([], t) for k, t in names.items()})
         lang = here.column("lang")[0].as_py()
         passing = np.sort(np.concatenate([unpacked(b)[0] for b in blobs]))
-        phrases, sizes, n = counted(lang, b"".join(here.column("body").to_pylist()), passing, most, width)
-        return pa.table({"lang": pa.array([lang] * len(n), pa.string()), "phrase": pa.array(phrases, pa.binary()), "words": pa.array(sizes, pa.int32()), "n": pa.array(n)})
+        phrases, n, h = counted(lang, b"".join(map(loosened, here.column("body").to_pylist())), passing, most, width)
+        at = (h >> np.uint64(64 - ranges)).astype(np.int64)
+        order = sorted(range(len(phrases)), key=phrases.__getitem__)
+        order = np.array(order)[np.argsort(at[order], kind="stable")]
+        at, n, phrases = at[order], n[order], [phrases[i].encode("latin-1") for i in order.tolist()]
+        size = np.array(list(map(len, phrases)), np.int32)
+        edges = np.flatnonzero(np.diff(at, prepend=-1, append=1 << 40)).tolist()
+        rows = [(int(at[i]), lang, squeezed(b"".join(phrases[i:j])), squeezed(size[i:j].tobytes()), squeezed(n[i:j].tobytes())) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({k: pa.array(c, t) for (k, t), c in zip(names.items(), zip(*rows, strict=True), strict=True)})
+
+    def add(table: pa.Table) -> pa.Table:
+        phrases, lengths, counts = (table.column(c).to_pylist() for c in ("phrases", "lengths", "counts"))
+        n = [np.frombuffer(loosened(b), np.int64) for b in counts]
+        langs = table.column("lang").take(pa.array(np.repeat(np.arange(len(n)), list(map(len, n)))))
+        each = pa.table({"lang": langs, "phrase": strings(phrases, lengths), "n": np.concatenate(n)})
+        total = each.group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        total = total.filter(pc.greater_equal(total.column("n_sum"), least))
+        return pa.table({"lang": total.column("lang"), "phrase": total.column("phrase").cast(pa.binary()), "f": total.column("n_sum")})
 
     told = candidates(bodies, most, least, width, ranges).select("shard", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("body"), "columns")
     both = bodies.select("shard", "lang", "body", F.lit(None).cast("binary").alias("columns")).unionByName(told)
-    found = both.groupBy("shard").applyInArrow(count, "lang string, phrase binary, words int, n long")
-    summed = found.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return written(summed, "phrases"), totals
+    found = both.groupBy("shard").applyInArrow(count, "range long, lang string, phrases binary, lengths binary, counts binary")
+    summed = found.groupBy("range").applyInArrow(add, "lang string, phrase binary, f long").withColumn("phrase", F.col("phrase").cast("string"))
+    return written(summed.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f"), "phrases"), totals
 
 
 def collocations(docs: DataFrame, most: int = 3, least: int = 10, within: int = 50, top: int = 2000) -> DataFrame:
