@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once, and not again for each use: as the one element of an array that is exploded, it can't be merged into what follows."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name)).select(*[F.col(f"`{c}`") for c in [*df.columns, *([] if name in df.columns else [name])]])
+
+
 def follower(ring: Column) -> Column:
     """The ring from its second vertex on, with the first at the end."""
     return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))

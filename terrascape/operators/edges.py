@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascape.functions.geometry import pixel
-from terrascape.functions.polygons import follower, signed_area
+from terrascape.functions.polygons import follower, once, signed_area
 from terrascape.grid import Grid
 
 
@@ -17,7 +17,7 @@ def in_pixels(polygon: DataFrame, grid: Grid) -> DataFrame:
         x, y = pixel(grid, v["x"], v["y"])
         return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
-    return polygon.where(F.size("vertices") >= 3).withColumn("vertices", F.transform("vertices", moved))
+    return once(polygon.where(F.size("vertices") >= 3), "vertices", F.transform("vertices", moved))
 
 
 def segments(rings: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,12 @@ from terrascape.operators import aoi, coverage, graph, overlay, surfaces, tiles
 from terrascape.operators import pyramid as pyr
 from terrascape.operators.edges import in_pixels
 from terrascape.operators.window import sources, window
-from terrascape.plans import indicators
+from terrascape.plans import indicators, tilerun
 from terrascape.plans.fixtures import FIELD, GEO, GRID, LEVELS, SIDE, SMALL, embedding_bands, field, g32, plots, raster, vectors
 from terrascape.plans.oracle import ORACLE
 from terrascape.sources import vector
+from terrascape.sources.cells import shared_dir, write_cells
+from terrascape.sources.rasters import read_raster
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -336,6 +339,23 @@ def j1_balanced_tiles(spark, sf_dir):
     return tiles.make_tiles(cells, _shape(cells), 2, 3, align_to=4, balanced=True).withColumn("cost", rounded("cost"))
 
 
+@query
+def j2_tiled_run(spark, sf_dir):
+    """Connectedness tile by tile, from a cell table to one."""
+    at = f"{shared_dir(spark)}/tiled-run-{uuid.uuid4().hex}"
+    write_cells(raster(g32(spark, sf_dir), "cond"), GRID, f"{at}/cond", 8)
+    return tilerun.run(spark, f"{at}/cond", f"{at}/out", 2, 2, SMALL, together=2).select("row", "col", rounded("value", 5))
+
+
+@query
+def a15_cell_table(spark, sf_dir):
+    """A raster written as a cell table, and a part of it read again around an area."""
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    write_cells(field(spark, sf_dir), FIELD, path, 16)
+    found = read_raster(spark, path, vector.box(spark, 20_500, -60_250, 40_000, -30_000), (2,), scale=4.0, expand_px=1)
+    return found.cells.select("row", "col", rounded("value"), "masked")
+
+
 @query
 def a1_connected_map(spark, sf_dir):
     """The whole map at production parameters, on all its cells."""

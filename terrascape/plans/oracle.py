@@ -105,9 +105,34 @@ def shortest(name: str, km_column: str) -> str:
   LEFT JOIN recurring.{name} r ON r.src = x.src AND r.node = x.node WHERE r.node IS NULL OR x.best < r.best)"""
 
 
+#: Rounds of relaxation within a level: more than the edges of any least-cost path in a window of these queries.
+ROUNDS = 16
+
+
+def staged(name: str, km_column: str, levels: tuple[int, ...]) -> str:
+    """Least costs without recursion: each level is relaxed ROUNDS times, from what its rim is reached with out of the level below."""
+    edge = f"{{'c': p.best.c + round(e.{km_column} * 100)::BIGINT, 't': p.best.t + e.{km_column}}}"
+    on = "ON e.src = p.src AND e.u = p.node"
+    out, last = [], ""
+    for level in levels:
+        first = f"{name}{level}_0"
+        start = f"SELECT src, src AS node, {{'c': 0::BIGINT, 't': 0.0::DOUBLE}} AS best FROM src" if not last else f"SELECT e.src, e.v AS node, min({edge}) AS best FROM {last} p JOIN up e {on} AND e.lv = {level} GROUP BY ALL"
+        out.append(f"{first} AS MATERIALIZED ({start})")
+        last = first
+        for k in range(1, ROUNDS + 1):
+            out.append(f"{name}{level}_{k} AS MATERIALIZED (SELECT src, node, min(best) AS best FROM (SELECT * FROM {last} UNION ALL SELECT e.src, e.v, {edge} FROM {last} p JOIN flat e {on} AND e.lv = {level}) GROUP BY ALL)")
+            last = f"{name}{level}_{k}"
+    every = " UNION ALL ".join(f"SELECT * FROM {name}{level}_{ROUNDS}" for level in levels)
+    return ",\n".join([*out, f"{name} AS MATERIALIZED ({every})"])
+
+
 def reach(params: Params, mode: str = "circular", parc: bool = False, pa_to_pa: bool = False, resistance: bool = False, grid: Grid = GRID) -> str:
     far = "" if pa_to_pa else "UNION ALL SELECT src, node, adj, geo FROM alone"
-    return f"""WITH RECURSIVE {G}, {cells(parc, resistance)}, {nodes(params, mode, grid, pa_to_pa)}, {edges(params, grid)}, {shortest('pa_', 'adj')}, {shortest('pg_', 'geo')},
+    paths = f"{shortest('pa_', 'adj')}, {shortest('pg_', 'geo')}"
+    if len(params.levels) > 2:
+        lv = "e.v // 281474976710656"
+        paths = f"flat AS MATERIALIZED (SELECT *, {lv} AS lv FROM edges e WHERE e.u // 281474976710656 = {lv}), up AS MATERIALIZED (SELECT *, {lv} AS lv FROM edges e WHERE e.u // 281474976710656 < {lv}),\n{staged('pa_', 'adj', params.levels)},\n{staged('pg_', 'geo', params.levels)}"
+    return f"""WITH RECURSIVE {G}, {cells(parc, resistance)}, {nodes(params, mode, grid, pa_to_pa)}, {edges(params, grid)}, {paths},
 far AS (SELECT a.src, a.node, a.best.t AS adj, b.best.c / 100 AS geo FROM pa_ a JOIN pg_ b ON a.src = b.src AND a.node = b.node WHERE a.node <> a.src AND a.src NOT IN (SELECT src FROM alone) {far})"""
 
 
@@ -208,6 +233,7 @@ SELECT level, gi, gj, {', '.join(f'round(avg(b[{i}]), 6) AS b{i}' for i in range
     "i3_isolated": node_list(SMALL, "circular", GRID, "SELECT src, node, round(adj, 5) AS adj, round(geo, 5) AS geo FROM alone").replace("\nSELECT src, node, round(adj", f", {edges(SMALL, GRID)}\nSELECT src, node, round(adj", 1),
     "i6_i7_paths": reach(SMALL, resistance=True) + "\nSELECT src, node, round(adj, 5) AS adj, round(geo, 2) AS geo FROM far",
     "d7_connectedness": scored(SMALL, "value"),
+    "j2_tiled_run": scored(SMALL, "value"),
     "d7_connectedness_square": scored(SMALL, "value", mode="square"),
     "d7_connectedness_geographic": scored(SMALL, "value", grid=GEO),
     "b12_habitat_option3": scored(SMALL, "sqrt(value * k.cond)", resistance=True),
@@ -219,6 +245,15 @@ SELECT level, gi, gj, {', '.join(f'round(avg(b[{i}]), 6) AS b{i}' for i in range
     "e2_geographic_window_all": node_list(ALL, "circular", GEO, "SELECT src, node, round(area, 4) AS area FROM nodes"),
     "c3_c4_edges_all": node_list(ALL, "circular", GRID, "SELECT src, u, v, round(adj, 5) AS adj, round(geo, 5) AS geo FROM edges").replace("\nSELECT src, u", f", {edges(ALL, GRID)}\nSELECT src, u", 1),
     "i3_isolated_all": node_list(ALL, "circular", GRID, "SELECT src, node, round(adj, 5) AS adj, round(geo, 5) AS geo FROM alone").replace("\nSELECT src, node, round(adj", f", {edges(ALL, GRID)}\nSELECT src, node, round(adj", 1),
+    "i6_i7_paths_all": reach(ALL, resistance=True) + "\nSELECT src, node, round(adj, 5) AS adj, round(geo, 2) AS geo FROM far",
+    "d7_connectedness_all": scored(ALL, "value"),
+    "d7_connectedness_square_all": scored(ALL, "value", mode="square"),
+    "d7_connectedness_geographic_all": scored(ALL, "value", grid=GEO),
+    "b12_habitat_option3_all": scored(ALL, "sqrt(value * k.cond)", resistance=True),
+    "parc_connectedness_all": scored(ALL, "value", parc=True),
+    "parc_pa_to_pa_all": scored(ALL, "value", parc=True, pa_to_pa=True),
+    "a1_connected_map": scored(Params(levels=(2, 4, 8)), "sqrt(value * k.cond)", resistance=True),
+    "d8_beri_all": beri_sql(ALL, ELEMENTS, (0, 37, 74), 20),
     "c7_pixel_coverage": f"WITH {LATTICE} SELECT (sy // 4)::INT AS \"row\", (sx // 4)::INT AS \"col\", count(*) / 16 AS value FROM spots WHERE sx BETWEEN 0 AND 511 AND sy BETWEEN 0 AND 511 GROUP BY ALL",
     "d17_union_outline": f"""WITH {LATTICE}
 SELECT (SELECT count(*) / 16 FROM spots) AS area, sum(n)::DOUBLE / 4 AS outline, TRUE AS turned
@@ -228,6 +263,8 @@ FROM (SELECT 2 * count(*) - 2 * count(b.sx) AS n FROM spots a LEFT JOIN spots b
     "a5_masked_cells": f"""WITH {TOUCHED}, f AS (SELECT (l_orderkey % 128)::INT AS r, (l_partkey % 128)::INT AS c, (sum(l_suppkey) % 101)::DOUBLE AS v FROM lineitem GROUP BY 1, 2),
 t AS (SELECT DISTINCT r, c FROM met WHERE k % 5 = 0)
 SELECT f.r AS "row", f.c AS "col", CASE WHEN t.r IS NOT NULL THEN v END AS value, t.r IS NULL AS masked FROM f LEFT JOIN t ON t.r = f.r AND t.c = f.c""",
+    "a15_cell_table": """WITH f AS (SELECT (l_orderkey % 128)::INT AS r, (l_partkey % 128)::INT AS c, (sum(l_suppkey) % 101)::DOUBLE / 4 AS value FROM lineitem GROUP BY 1, 2)
+SELECT r AS "row", c AS "col", value, NOT (r BETWEEN 29 AND 60 AND c BETWEEN 20 AND 40) AS masked FROM f WHERE r BETWEEN 20 AND 69 AND c BETWEEN 12 AND 49""",
     "a9_valid_margin": f"""WITH {TOUCHED}, f AS (SELECT DISTINCT (l_orderkey % 128)::INT AS r, (l_partkey % 128)::INT AS c FROM lineitem),
 b AS (SELECT k, x0 / 4 AS x0, y0 / 4 AS y0, x1 / 4 AS x1, y1 / 4 AS y1, u0 / 4 AS u0, v0 / 4 AS v0, u1 / 4 AS u1, v1 / 4 AS v1 FROM p WHERE k % 25 = 0),
 n AS (SELECT DISTINCT f.r, f.c FROM f JOIN b ON sqrt(pow(greatest(0, x0 - f.c - 1, f.c - x1), 2) + pow(greatest(0, y0 - f.r - 1, f.r - y1), 2)) <= 7.5)

@@ -47,16 +47,60 @@ def to_array(cells: DataFrame, grid: Grid) -> np.ndarray:
     return out
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and a function that makes its paths."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    return to(path).getFileSystem(spark._jsc.hadoopConfiguration()), to
+
+
+def files_exist(spark: SparkSession, path: str) -> bool:
+    fs, to = _files(spark, path)
+    return fs.exists(to(path))
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the published versions of a cell table, the last one last."""
+    fs, to = _files(spark, path)
+    at = to(f"{path}/published")
+    names = sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+    return [f"{path}/versions/{n.partition('-')[2]}" for n in names if not n.startswith(("_", "."))]
+
+
 def write_cells(cells: DataFrame, grid: Grid, path: str, tile: int = 256) -> None:
-    """Cells in Parquet, partitioned by bands of rows so that readers skip those they don't need; the grid beside them."""
+    """Cells in Parquet, partitioned by bands of rows so that readers skip those they don't need; the grid beside them.
+
+    Each write is a version in a folder of its own, and is published by one rename once cells and
+    grid are complete. Until then readers have the version before; a write that fails deletes
+    what it wrote, and one that is killed leaves a folder that nothing reads. Of two writers at
+    once the one that is published first is replaced by the other.
+    """
     spark = cells.sparkSession
-    banded = cells.withColumn("band", F.floor(F.col("row") / tile).cast("int"))
-    banded.repartition("band").sortWithinPartitions("row", "col").write.partitionBy("band").parquet(f"{path}/cells")
-    spark.createDataFrame([(json.dumps({**asdict(grid), "tile": tile}),)], "value string").coalesce(1).write.text(f"{path}/grid")
+    fs, to = _files(spark, path)
+    name = uuid.uuid4().hex
+    folder = f"{path}/versions/{name}"
+    try:
+        banded = cells.withColumn("band", F.floor(F.col("row") / tile).cast("int"))
+        banded.repartition("band").sortWithinPartitions("row", "col").write.partitionBy("band").parquet(f"{folder}/cells")
+        spark.createDataFrame([(json.dumps({**asdict(grid), "tile": tile}),)], "value string").coalesce(1).write.text(f"{folder}/grid")
+        fs.mkdirs(to(f"{path}/published"))
+        fs.mkdirs(to(f"{folder}/ready"))
+        while not fs.rename(to(f"{folder}/ready"), to(f"{path}/published/{len(versions(spark, path)):010d}-{name}")):
+            pass
+    except BaseException:
+        fs.delete(to(folder), True)
+        raise
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> None:
+    """Delete all versions of a cell table but the last, once nothing reads them any more."""
+    fs, to = _files(spark, path)
+    for folder in versions(spark, path)[:-1]:
+        fs.delete(to(folder), True)
 
 
 def read_cells(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> tuple[DataFrame, Grid]:
-    """Cells within ranges of rows and columns (the ends excluded); the ranges reach the scan, by the bands that the table was written in."""
+    """Cells within ranges of rows and columns (the ends excluded), of the last version; the ranges reach the scan, by the bands that the table was written in."""
+    path = versions(spark, path)[-1]
     facts = json.loads(spark.read.text(f"{path}/grid").head()[0])
     tile = facts.pop("tile")
     grid = Grid(**{k: tuple(v) if isinstance(v, list) else v for k, v in facts.items()})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascape.functions.polygons import follower
+from terrascape.functions.polygons import follower, once
 from terrascape.functions.projections import projection
 from terrascape.grid import Grid
 
@@ -58,12 +58,11 @@ def reprojected(polygon: DataFrame, source: str, target: str, step: float | None
         at = lambda k: F.struct((p["x"] + (q["x"] - p["x"]) * k / n).alias("x"), (p["y"] + (q["y"] - p["y"]) * k / n).alias("y"))
         return F.transform(F.sequence(F.lit(0), n - 1), at)
 
-    def moved(v):
-        x, y = there.forward(*here.inverse(v["x"], v["y"]))
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    cut = F.flatten(F.zip_with("vertices", follower(F.col("vertices")), along))
-    out = polygon.withColumn("vertices", F.when(F.size("vertices") > 0, F.transform(cut, moved)).otherwise(F.col("vertices")))
+    point = lambda way: lambda v: F.struct(*[c.alias(n) for c, n in zip(way(v["x"], v["y"]), "xy", strict=True)])
+    some = F.size("vertices") > 0
+    out = once(polygon, "vertices", F.when(some, F.flatten(F.zip_with("vertices", follower(F.col("vertices")), along))).otherwise(F.col("vertices")))
+    for way in (here.inverse, there.forward):
+        out = once(out, "vertices", F.transform("vertices", point(way)))
     return out.withColumn("crs", F.lit(epsg(target))) if "crs" in polygon.columns else out
 
 
@@ -92,7 +91,7 @@ def from_wkt(rows: DataFrame, column: str = "wkt") -> DataFrame:
     Rings of z or m coordinates keep x and y. Other geometries, EMPTY ones and nulls give no rows;
     the polygons of a multipolygon have the hashes of poly_id and their place as ids.
     """
-    text = F.regexp_replace(F.trim(F.regexp_replace(F.col(column), r"^\s*SRID=[0-9]+;", "")), r"\s+", " ")
+    text = F.regexp_replace(F.trim(F.regexp_replace(F.col(column), r"(?i)^\s*SRID=[0-9]+;", "")), r"\s+", " ")
     kind = F.upper(F.regexp_extract(text, r"^([A-Za-z]+)", 1))
     body = F.regexp_replace(F.regexp_extract(text, r"\((.*)\)$", 1), r"\s*([(),])\s*", "$1")
     shapes = F.when(kind == "POLYGON", F.array(body)).when(kind == "MULTIPOLYGON", F.transform(F.split(body, r"\)\),\(\("), lambda s: F.regexp_replace(s, r"^\(\(|\)\)$", "")))
