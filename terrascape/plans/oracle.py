@@ -65,7 +65,7 @@ def overlap(r: str, mode: str) -> str:
 
 def nodes(params: Params, mode: str, grid: Grid, pa_to_pa: bool) -> str:
     """CTEs pyr, src, ring, nodes over k."""
-    rings = ", ".join(f"({v}, {params.radii(v)[0]}, {params.radii(v)[1]})" for v in params.levels)
+    radius = lambda k: "CASE p.level " + " ".join(f"WHEN {v} THEN {params.radii(v)[k]}::DOUBLE" for v in params.levels) + " END"
     near = "pow(greatest(i0 - ci, ci - i1, 0), 2) + pow(greatest(j0 - cj, cj - j1, 0), 2)"
     far = "pow(greatest(abs(i0 - ci), abs(i1 - ci)), 2) + pow(greatest(abs(j0 - cj), abs(j1 - cj)), 2)"
     rim = f"({near} <= outr * outr + (outr * outr + 1) * 1e-12 AND {far} >= outr * outr - (outr * outr + 1) * 1e-12)"
@@ -77,8 +77,8 @@ def nodes(params: Params, mode: str, grid: Grid, pa_to_pa: bool) -> str:
 pyr AS MATERIALIZED (SELECT level, gi, gj, avg(cond) AS cond, {weight} AS weight, avg(trav) AS trav, avg(CASE WHEN mine THEN 1.0 ELSE 0.0 END) AS pa
   FROM {leveled(params.levels, 'k')} x WHERE cond IS NOT NULL GROUP BY ALL),
 src AS MATERIALIZED (SELECT {node('1', '"row"', '"col"')} AS src, "row", "col" FROM k WHERE mine AND cond IS NOT NULL),
-ring AS MATERIALIZED (SELECT s.*, p.*, inr, outr, "row" + 0.5 AS ci, "col" + 0.5 AS cj, (p.gi * p.level)::DOUBLE AS i0, least((p.gi + 1) * p.level, {grid.nrows})::DOUBLE AS i1, (p.gj * p.level)::DOUBLE AS j0, least((p.gj + 1) * p.level, {grid.ncols})::DOUBLE AS j1
-  FROM src s, pyr p, (VALUES {rings}) t(v, inr, outr) WHERE p.level = v AND abs((p.gi + 0.5) * v - s."row" - 0.5) <= outr + v AND abs((p.gj + 0.5) * v - s."col" - 0.5) <= outr + v),
+ring AS MATERIALIZED (SELECT s.*, p.*, "row" + 0.5 AS ci, "col" + 0.5 AS cj, (p.gi * p.level)::DOUBLE AS i0, least((p.gi + 1) * p.level, {grid.nrows})::DOUBLE AS i1, (p.gj * p.level)::DOUBLE AS j0, least((p.gj + 1) * p.level, {grid.ncols})::DOUBLE AS j1
+  FROM src s, (SELECT p.*, {radius(0)} AS inr, {radius(1)} AS outr FROM pyr p) p WHERE abs((p.gi + 0.5) * level - s."row" - 0.5) <= outr + level AND abs((p.gj + 0.5) * level - s."col" - 0.5) <= outr + level),
 shared AS MATERIALIZED (SELECT *, greatest(0, least(1, ({overlap('outr', mode)} - CASE WHEN inr > 0 THEN {overlap('inr', mode)} ELSE 0 END) / ((i1 - i0) * (j1 - j0))))::FLOAT AS fraction FROM ring),
 nodes AS MATERIALIZED (SELECT src, "row", "col", {node('level', 'gi', 'gj')} AS node, level, gi, gj, fraction, weight * fraction AS area, cond, coalesce(trav, cond) AS trav, {'coalesce(pa, 0)' if pa_to_pa else '1.0'} AS pa, {rim} AS rim
   FROM shared WHERE fraction > 1e-12)"""
