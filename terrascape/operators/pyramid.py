@@ -1,8 +1,11 @@
-"""Overviews of cell tables: one aggregation for all levels, keyed by global indices."""
+"""Overviews of cell tables: sums of each level folded into the next, keyed by global indices."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,43 +23,77 @@ def finite(value: Column, nodata: float | None = None) -> Column:
     return F.when(~bad, v)
 
 
-def leveled(cells: DataFrame, levels: Sequence[int]) -> DataFrame:
-    """Each cell once a level, with the level's indices."""
-    each = cells.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
-    return each.withColumns({"gi": level_key(F.col("row"), F.col("level")), "gj": level_key(F.col("col"), F.col("level"))})
+KEYS = ("level", "gi", "gj")
 
 
-KEYS = ("level", "gi", "gj")
+@dataclass(frozen=True)
+class State:
+    """An aggregate whose parts add up: of cells, of blocks of a level into those of the next, and so on."""
+
+    parts: tuple[Column, ...]
+    result: Callable[..., Column]
+
+    def as_double(self) -> State:
+        return State(self.parts, lambda *p: self.result(*p).cast("double"))
+
 
+def _known(column: Column) -> Column:
+    return F.when(column.isNotNull(), F.lit(1).cast("long"))
 
-def average(column: str) -> Column:
-    return F.avg(column)
 
+def average(column: str | Column) -> State:
+    c = F.col(column) if isinstance(column, str) else column
+    return State((c.cast("double"), _known(c)), lambda s, n: F.when(n > 0, s / n))
 
-def count(column: str) -> Column:
-    return F.when(F.count(column) > 0, F.count(column))
 
+def count(column: str) -> State:
+    return State((_known(F.col(column)),), lambda n: n)
 
-def area(grid: Grid, column: str) -> Column:
-    return F.sum(F.when(F.col(column).isNotNull(), cosine_weight(grid, F.col("row"), F.col("col"))))
 
+def area(grid: Grid, column: str) -> State:
+    return State((F.when(F.col(column).isNotNull(), cosine_weight(grid, F.col("row"), F.col("col"))),), lambda s: s)
 
-def total(column: str) -> Column:
-    return F.sum(column)
 
+def total(column: str | Column) -> State:
+    c = F.col(column) if isinstance(column, str) else column
+    return State((c.cast("double"),), lambda s: s)
 
-def overview(cells: DataFrame, levels: Sequence[int], **aggregates: Column) -> DataFrame:
-    """level, gi, gj and the named aggregates of the cells of each block."""
-    return leveled(cells, levels).groupBy(*KEYS).agg(*[a.alias(n) for n, a in aggregates.items()])
+
+def rows() -> State:
+    return State((F.lit(1).cast("long"),), lambda n: n)
+
+
+def overview(cells: DataFrame, levels: Sequence[int], **aggregates: State) -> DataFrame:
+    """level, gi, gj and the named aggregates of the cells of each block.
+
+    Cells are shuffled once, by the blocks of which those of every level are parts. There each
+    level's sums are added up from those of a finer one, so a cell counts once, and not once a level.
+    """
+    levels = sorted(set(levels))
+    top = math.lcm(*levels)
+    names = [f"_{n}_{i}" for n, s in aggregates.items() for i in range(len(s.parts))]
+    at = {f"_{k}": level_key(F.col(c), top) for k, c in (("ti", "row"), ("tj", "col"))}
+    base = cells.select("row", "col", *[a.alias(n) for n, a in at.items()], *[p.alias(n) for n, p in zip(names, [p for s in aggregates.values() for p in s.parts], strict=True)])
+    base = base.repartition("_ti", "_tj").select("_ti", "_tj", F.col("row").alias("gi"), F.col("col").alias("gj"), *names)
+    found: dict[int, DataFrame] = {}
+    for level in levels:
+        below = max((v for v in found if level % v == 0), default=1)
+        fold = lambda c: level_key(F.col(c), level // below).alias(c)  # noqa: B023, E731
+        found[level] = found.get(below, base).groupBy("_ti", "_tj", fold("gi"), fold("gj")).agg(*[F.sum(n).alias(n) for n in names])
+    out = []
+    for level, states in found.items():
+        each = iter(names)
+        out.append(states.select(F.lit(level).alias("level"), "gi", "gj", *[s.result(*[F.col(next(each)) for _ in s.parts]).alias(n) for n, s in aggregates.items()]))
+    return reduce(DataFrame.unionByName, out)
 
 
 def band_overview(cells: DataFrame, levels: Sequence[int], bands: int, method: str = "average") -> DataFrame:
     """level, gi, gj, bands: each band's average or sum over a block, apart from the others; cells: row, col, bands array."""
     if method not in ("average", "sum"):
         raise ValueError(f"bands are averaged or summed, not {method!r}")
-    fold = F.avg if method == "average" else F.sum
-    each = leveled(cells, levels)
-    return each.groupBy(*KEYS).agg(F.array(*[fold(F.get("bands", F.lit(b)).cast("double")) for b in range(bands)]).alias("bands"))
+    one = average if method == "average" else total
+    each = {f"b{b}": one(F.get("bands", F.lit(b))) for b in range(bands)}
+    return overview(cells, levels, **each).select(*KEYS, F.array(*each).alias("bands"))
 
 
 def pa_indicator(cond: Column, masked: Column) -> Column:
@@ -69,9 +106,9 @@ def pyramid(cells: DataFrame, grid: Grid, levels: Sequence[int]) -> DataFrame:
 
     cells: row, col, cond, trav, protected (boolean). Blocks without a valid pixel are left out.
     """
-    rows = cells.where(F.col("cond").isNotNull()).withColumn("own", pa_indicator(F.col("cond"), ~F.col("protected")))
-    weight = area(grid, "cond") if grid.is_geo else count("cond").cast("double")
-    return overview(rows, levels, cond=average("cond"), weight=weight, trav=average("trav"), pa=average("own"))
+    valid = cells.where(F.col("cond").isNotNull()).withColumn("own", pa_indicator(F.col("cond"), ~F.col("protected")))
+    weight = area(grid, "cond") if grid.is_geo else count("cond").as_double()
+    return overview(valid, levels, cond=average("cond"), weight=weight, trav=average("trav"), pa=average("own"))
 
 
 def dimensions(grid: Grid, level: Column) -> tuple[Column, Column]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrascape.functions.geometry import arc, circle_overlap, meets_circle, node_id, square_overlap
 from terrascape.grid import Grid, Params
+from terrascape.sources.cells import stored
+
+#: Coarsest level up to which the template is broadcast: at most its square times a window's cells.
+MOST_BROADCAST = 32
 
 
 def sources(cells: DataFrame) -> DataFrame:
@@ -59,15 +63,56 @@ def candidates(src: DataFrame, grid: Grid, params: Params) -> DataFrame:
     return out.withColumn("gi", F.explode(span("row", grid.nrows))).withColumn("gj", F.explode(span("col", grid.ncols)))
 
 
+def template(spark: SparkSession, params: Params) -> DataFrame:
+    """phase_row, phase_col, level, di, dj, fraction, rim: the ring cells of a source far from any border.
+
+    They depend only on where in a block of the coarsest level the source lies; di and dj count
+    from the source's own cell of the level. A table of levels[-1] ** 2 windows, whatever the raster.
+    """
+    top = params.levels[-1]
+    away = (params.reach // top + 2) * top
+    wide = Grid(2 * away + top, 2 * away + top)
+    at = spark.range(top * top).select(F.col("id").alias("src"), (away + F.floor(F.col("id") / top)).cast("int").alias("row"), (away + F.col("id") % top).cast("int").alias("col"))
+    ring = _ring(at, wide, params)
+    own = lambda c: F.floor(F.col(c) / F.col("level")).cast("int")
+    kept = ring.select((F.col("row") % top).alias("phase_row"), (F.col("col") % top).alias("phase_col"), "level", (F.col("gi") - own("row")).alias("di"), (F.col("gj") - own("col")).alias("dj"), "fraction", *(["rim"] if params.window_mode == "circular" else []))
+    return stored(kept, "windows")
+
+
+def _ring(src: DataFrame, grid: Grid, params: Params) -> DataFrame:
+    """Cells of each source's rings with their shares, by the formula."""
+    ring = with_fraction(candidates(src, grid, params), grid, params.window_mode)
+    if params.window_mode == "circular":
+        ring = ring.withColumn("rim", meets_circle(*_box(grid), F.col("row") + 0.5, F.col("col") + 0.5, F.col("outer")))
+    return ring
+
+
+def rings(src: DataFrame, grid: Grid, params: Params) -> DataFrame:
+    """src, row, col, level, gi, gj, fraction and, in circular mode, rim: the ring cells of each source.
+
+    Sources whose windows no border cuts take them from a template by their phase, in one join;
+    the formula is worked out for the others alone.
+    """
+    names = ["src", "row", "col", "level", "gi", "gj", "fraction", *(["rim"] if params.window_mode == "circular" else [])]
+    top, margin = params.levels[-1], params.reach + params.levels[-1]
+    if min(grid.nrows, grid.ncols) <= 2 * margin:
+        return _ring(src, grid, params).select(*names)
+    inner = F.col("row").between(margin, grid.nrows - 1 - margin) & F.col("col").between(margin, grid.ncols - 1 - margin)
+    windows = template(src.sparkSession, params)
+    windows = F.broadcast(windows) if top <= MOST_BROADCAST else windows
+    phased = src.where(inner).select("src", "row", "col", (F.col("row") % top).alias("phase_row"), (F.col("col") % top).alias("phase_col")).join(windows, ["phase_row", "phase_col"])
+    at = lambda c, d: (F.floor(F.col(c) / F.col("level")) + F.col(d)).cast("int")
+    near = phased.withColumns({"gi": at("row", "di"), "gj": at("col", "dj")}).select(*names)
+    return near.unionByName(_ring(src.where(~inner), grid, params).select(*names))
+
+
 def window(src: DataFrame, pyramid: DataFrame, grid: Grid, params: Params, pa_to_pa: bool = False) -> DataFrame:
     """Nodes of each source: src, row, col, node, level, gi, gj, fraction, area, cond, trav, pa, rim.
 
     The ring's share of each cell is worked out before the equi-join with the pyramid, so only
     cells that count are joined.
     """
-    ring = with_fraction(candidates(src, grid, params), grid, params.window_mode)
-    if params.window_mode == "circular":
-        ring = ring.withColumn("rim", meets_circle(*_box(grid), F.col("row") + 0.5, F.col("col") + 0.5, F.col("outer")))
+    ring = rings(src, grid, params)
     nodes = ring.join(pyramid, ["level", "gi", "gj"])
     if params.window_mode == "square":  # the rim of what was admitted
         w = Window.partitionBy("src", "level")

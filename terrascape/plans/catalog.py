@@ -120,7 +120,7 @@ def b12_connected_habitat(spark, sf_dir):
 
 @query
 def b15_node_id(spark, sf_dir):
-    found = pyr.overview(g32(spark, sf_dir), LEVELS, n=F.count("*"))
+    found = pyr.overview(g32(spark, sf_dir), LEVELS, n=pyr.rows())
     return found.select("level", "gi", "gj", geo.node_id(F.col("level"), F.col("gi"), F.col("gj")).alias("node"))
 
 
