@@ -54,11 +54,10 @@ FROM (SELECT CAST(c_custkey AS BIGINT) AS k, (c_custkey * 37 + c_nationkey * 13)
 
 def plots(spark: SparkSession, sf_dir: str, grid: Grid = FIELD) -> DataFrame:
     """poly_id, ring_id, is_hole, vertices: a box for each customer, many of which overlap, every third with a hole."""
-    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
     a, _, c, _, e, f = grid.transform
     corner = lambda x, y: F.struct((F.col(x) / 4 * a + c).cast("double").alias("x"), (F.col(y) / 4 * e + f).cast("double").alias("y"))
     ring = lambda x0, y0, x1, y1: F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1))
-    boxes = spark.sql(PLOTS_SQL)
+    boxes = spark.sql(PLOTS_SQL.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
     outer = boxes.select(F.col("k").alias("poly_id"), F.lit(0).alias("ring_id"), F.lit(False).alias("is_hole"), ring("x0", "y0", "x1", "y1").alias("vertices"))
     holes = boxes.where("u0 IS NOT NULL").select(F.col("k").alias("poly_id"), F.lit(1).alias("ring_id"), F.lit(True).alias("is_hole"), ring("u0", "v0", "u1", "v1").alias("vertices"))
     return outer.unionByName(holes)

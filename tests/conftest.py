@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
 
     session = (
         SparkSession.builder.master("local[4]")
+        .config("spark.driver.memory", "5g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
