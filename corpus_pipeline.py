@@ -2,7 +2,8 @@
 
 Each stage takes any columns beside doc_id and text: they travel in one struct, so that no name
 clashes with an operator's own, and come out as they went in. doc_id may be null or repeated:
-rows are told apart by doc_id and text together. An empty table stays empty.
+rows are told apart by doc_id and text together. An empty table stays empty. Very long texts are
+worked on whole, each as a batch of its own.
 """
 
 from __future__ import annotations
@@ -90,7 +91,12 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 2048 tokens; a null text counts as empty and has its closing id."""
+    """Pieces of all documents with their places in sequences of 2048 tokens.
+
+    The last stage: columns other than doc_id are dropped. A null text counts as empty and has its
+    closing id; a very long one is cut into pieces; repeated rows are packed each for itself, and of
+    equal lengths the order of doc_id and text decides who takes which place. No rows give no pieces.
+    """
     return packing.pack(docs.select("doc_id", "text"), tokenizer_path())
 
 
