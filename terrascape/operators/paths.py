@@ -1,14 +1,15 @@
 """Least-cost paths from each source over its graph.
 
 Costs are hundredths of a km. The adjusted path of a target is the one of least (cost, sum of
-adjusted km), and that sum is reported; the intact one reports its cost. Either engine gives
-these: relaxed() by joins and aggregations, solved() by relaxing the edges of a block of sources
-at a time in one task.
+adjusted km), and that sum is reported; the intact one reports its cost. Each of three ways gives
+these: solved() relaxes the edges of a block of sources at a time in one task, staged() goes up
+level by level by joins and aggregations of what changed, relaxed() does so over all levels at once.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascape.functions.geometry import quantised
-from terrascape.sources.cells import shared_dir
+from terrascape.sources.cells import deleted, shared_dir
 
 #: Rows and columns of a block of sources that is solved at a time.
 BLOCK = 8
@@ -52,6 +53,80 @@ def paths_by_rounds(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return there.join(intact, ["src", "node"])
 
 
+class _Tables:
+    """Bucketed tables of one run below a folder of the shared one: joined and aggregated on their keys without a shuffle."""
+
+    def __init__(self, df: DataFrame, keys: tuple[str, str], folder: str):
+        self.spark, self.path, self.names = df.sparkSession, f"{shared_dir(df.sparkSession)}/{folder}-{uuid.uuid4().hex}", {}
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.keys = keys
+
+    def write(self, df: DataFrame, place: str, keys: tuple[str, str] | None = None, by: Sequence[str] = ()) -> DataFrame:
+        """df as a table at `place`; without keys its rows already lie by the run's keys."""
+        self.names[place] = f"staged_{uuid.uuid4().hex}"
+        rows = df.repartition(self.buckets, *keys) if keys else df
+        out = rows.write.option("path", f"{self.path}/{place}").bucketBy(self.buckets, *(keys or self.keys))
+        (out.partitionBy(*by) if by else out).saveAsTable(self.names[place])
+        return self.spark.table(self.names[place])
+
+    def forget(self, place: str, files: bool = True) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(place)}")
+        if files:
+            deleted(self.spark, f"{self.path}/{place}")
+
+
+def _onward(at: DataFrame, links: DataFrame) -> DataFrame:
+    """src, node, adj, geo: the least that the links from rows of `at` lead to, of what moved there."""
+    met = at.join(links, (at.src == links.src) & (at.node == links.u))
+    there = F.when(F.col("moved_adj"), F.struct((F.col("adj.cost") + F.col("q_adj")).alias("cost"), (F.col("adj.total") + F.col("km")).alias("total")))
+    each = met.select(at.src, F.col("v").alias("node"), there.alias("adj"), F.when(F.col("moved_geo"), F.col("geo") + F.col("q_geo")).alias("geo"))
+    return each.groupBy("src", "node").agg(F.min("adj").alias("adj"), F.min("geo").alias("geo"))
+
+
+def staged(edges: DataFrame, sources: DataFrame, levels: Sequence[int], most: int = 10_000) -> DataFrame:
+    """src, node, adj, geo of every target that is reached, level by level; RuntimeError if a level isn't settled after `most` rounds.
+
+    Links lead within a level or up to the next, so a level is settled for good before the next
+    one starts with what its rim hands on. Links are written once, by level, in buckets of (source,
+    from); what is known is in equal buckets of (source, node). So in a round only what the links
+    of changed rows lead to, added up per target, is shuffled; links and known rows stay in place.
+    """
+    work = _Tables(edges, ("src", "node"), "staged-paths")
+    level = lambda c: F.shiftright(c, 48)
+    flat = edges.select("src", "u", "v", quantised(F.col("adj")).alias("q_adj"), F.col("adj").alias("km"), quantised(F.col("geo")).alias("q_geo"), level("u").alias("level"), (level("v") > level("u")).alias("up"))
+    try:
+        links = work.write(flat, "links", ("src", "u"), ("level", "up"))
+        start = sources.select("src", F.col("src").alias("node"), F.struct(F.lit(0).cast("long").alias("cost"), F.lit(0.0).alias("total")).alias("adj"), F.lit(0).cast("long").alias("geo"))
+        everywhere = {"moved_adj": F.lit(True), "moved_geo": F.lit(True)}
+        done = []
+        for v in levels:
+            within = links.where((F.col("level") == v) & ~F.col("up"))
+            place = f"level-{v}-0"
+            best = work.write(start.withColumns(everywhere), place, work.keys)
+            for i in range(most):
+                moved = best.where("moved_adj OR moved_geo")
+                if moved.isEmpty():
+                    break
+                further = _onward(moved, within).select("src", "node", F.col("adj").alias("new_adj"), F.col("geo").alias("new_geo"))
+                both = best.select("src", "node", "adj", "geo").join(further, ["src", "node"], "full")
+                less = lambda new, old: F.coalesce(F.col(new) < F.col(old), F.col(new).isNotNull() & F.col(old).isNull())
+                after = both.select("src", "node", F.least("adj", "new_adj").alias("adj"), F.least("geo", "new_geo").alias("geo"), less("new_adj", "adj").alias("moved_adj"), less("new_geo", "geo").alias("moved_geo"))
+                best = work.write(after, f"level-{v}-{i + 1}")
+                work.forget(place)
+                place = f"level-{v}-{i + 1}"
+            else:
+                raise RuntimeError(f"paths of level {v} weren't settled after {most} rounds")
+            done.append(place)
+            start = _onward(best.withColumns(everywhere), links.where((F.col("level") == v) & F.col("up")))
+        schema = best.schema
+        work.forget("links")
+    finally:
+        for place in list(work.names):
+            work.forget(place, files=False)
+    out = edges.sparkSession.read.schema(schema).parquet(*[f"{work.path}/{place}" for place in done])
+    return out.where("node <> src").select("src", "node", F.col("adj.total").alias("adj"), (F.col("geo") / 100).alias("geo"))
+
+
 def _least(n: int, start: np.ndarray, u: np.ndarray, v: np.ndarray, q: np.ndarray, km: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(cost, sum of km) of the least path to each node from the start of its own source."""
     far = np.iinfo(np.int64).max // 4

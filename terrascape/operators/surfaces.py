@@ -40,9 +40,14 @@ def traversal(cond: Column, res: Column) -> Column:
     return F.when(cond.isNotNull(), F.coalesce(open_to, cond))
 
 
+def gaps() -> Column:
+    """Number of cells with a condition and without a resistance."""
+    return F.count_if(F.col("cond").isNotNull() & F.col("res").isNull())
+
+
 def resistance_gaps(cells: DataFrame) -> DataFrame:
-    """One row, gaps: cells with a condition and without a resistance."""
-    return cells.agg(F.count_if(F.col("cond").isNotNull() & F.col("res").isNull()).alias("gaps"))
+    """One row, gaps."""
+    return cells.agg(gaps().alias("gaps"))
 
 
 def prepared(cells: DataFrame, parc: bool) -> DataFrame:

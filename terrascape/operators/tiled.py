@@ -7,7 +7,7 @@ from the finest level to the coarsest.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -222,8 +222,19 @@ def tile_scores(src: np.ndarray, focal: np.ndarray | None, dense: dict[int, dict
     return value.mean(axis=0) if len(params.lambdas) else np.zeros(n)
 
 
-def tiled(sources: DataFrame, pyramid: DataFrame, grid: Grid, params: Params, pa_to_pa: bool = False, scenarios: int = 0) -> DataFrame:
-    """row, col, value of each source; sources: row, col and, for scenarios, bands; pyramid: with sim_bands array<array<double>> then."""
+def _dense(bands, n: int):
+    """n bands as numbers, not a number where they are missing."""
+    nan = F.lit(math.nan)
+    return F.coalesce(F.transform(bands, lambda x: F.coalesce(x, nan)), F.array_repeat(nan, n))
+
+
+def _stacked(column: pa.ChunkedArray, *shape: int) -> np.ndarray:
+    """A column of lists of equal length as one array."""
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), *shape)
+
+
+def tiled(sources: DataFrame, pyramid: DataFrame, grid: Grid, params: Params, pa_to_pa: bool = False, scenarios: int = 0, bands: int = 0) -> DataFrame:
+    """row, col, value of each source; with scenarios, sources have bands (that many) and the pyramid sim_bands, an array of bands a scenario."""
     if grid.is_geo and (grid.transform[1] or grid.transform[3]):
         raise ValueError("a rotated geographic grid needs engine='relational'")
     size = max(64, params.levels[-1])
@@ -246,7 +257,7 @@ def tiled(sources: DataFrame, pyramid: DataFrame, grid: Grid, params: Params, pa
         columns = [right.column(c).to_numpy() for c in ("cond", "weight", "trav", "pa")]
         stacks = []
         if scenarios:
-            stacks = list(np.moveaxis(np.array([[np.full(params_bands, np.nan) if b is None else [np.nan if x is None else x for x in b] for b in row] for row in right.column("sim_bands").to_pylist()], float), 1, 0))
+            stacks = list(np.moveaxis(_stacked(right.column("sim_bands"), scenarios, bands), 1, 0))
         dense = {}
         for v in params.levels:
             reach = int(params.radii(v)[1]) // v + 3
@@ -265,19 +276,11 @@ def tiled(sources: DataFrame, pyramid: DataFrame, grid: Grid, params: Params, pa
                 arrays.append(x)
             dense[v] = {"base_i": base[0], "base_j": base[1], "arrays": arrays}
         src = np.stack([left.column("row").to_numpy(), left.column("col").to_numpy()], 1).astype(np.int64)
-        focal = np.array([[np.nan if x is None else x for x in b] for b in left.column("bands").to_pylist()], float) if scenarios else None
+        focal = _stacked(left.column("bands"), bands) if scenarios else None
         values = [tile_scores(src[i : i + TOGETHER], None if focal is None else focal[i : i + TOGETHER], dense, grid, params, pa_to_pa, scenarios) for i in range(0, len(src), TOGETHER)]
         return pa.table({"row": src[:, 0].astype(np.int32), "col": src[:, 1].astype(np.int32), "value": np.concatenate(values)})
 
-    params_bands = 0
     if scenarios:
-        params_bands = sources.select(F.max(F.size("bands"))).head()[0] or 0
+        own = own.withColumn("bands", _dense(F.col("bands"), bands))
+        near = near.withColumn("sim_bands", F.flatten(F.transform("sim_bands", lambda b: _dense(b, bands))))
     return own.groupBy("ti", "tj").cogroup(near.groupBy("ti", "tj")).applyInArrow(run, "row int, col int, value double")
-
-
-def scenario_pyramid(pyramid: DataFrame, overviews: Sequence[DataFrame]) -> DataFrame:
-    """pyramid with sim_bands: the bands of each scenario's overview, the present one first."""
-    out = pyramid
-    for k, o in enumerate(overviews):
-        out = out.join(o.select("level", "gi", "gj", F.col("bands").alias(f"_bands{k}")), ["level", "gi", "gj"], "left")
-    return out.withColumn("sim_bands", F.array(*[F.col(f"_bands{k}") for k in range(len(overviews))])).drop(*[f"_bands{k}" for k in range(len(overviews))])

@@ -195,6 +195,14 @@ def i6_i7_paths(spark, sf_dir, whole=False):
     return far.select("src", "node", rounded("adj", 5), rounded("geo", 2))
 
 
+@query
+def i9_staged_paths(spark, sf_dir):
+    """Paths at default parameters, level by level."""
+    cells = surfaces.prepared(g32(spark, sf_dir), False)
+    _, _, far = indicators.targets(cells, GRID, Params(), engine="staged")
+    return far.select("src", "node", rounded("adj", 5), rounded("geo", 2))
+
+
 def _scored(spark, sf_dir, whole, grid=GRID, params=SMALL, resistance=False, pa=False, **how):
     cells = g32(spark, sf_dir)
     if whole:

@@ -6,14 +6,12 @@ name says. Everything in between is the DataFrame functions of plans/indicators.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from terrascape.grid import Grid, Params
-from terrascape.operators import coverage, surfaces, tiles
+from terrascape.operators import coverage, tiles
 from terrascape.plans import indicators
 from terrascape.sources.cells import write_cells
 from terrascape.sources.geotiff import write_geotiff
@@ -40,13 +38,6 @@ def _read(spark: SparkSession, path: str, params: Params, polygon: DataFrame | N
     return found
 
 
-def _warn_of_gaps(condition: DataFrame, resistance: DataFrame | None) -> None:
-    if resistance is not None:
-        gaps = surfaces.resistance_gaps(surfaces.aligned(condition, None, resistance)).head().gaps
-        if gaps:
-            warnings.warn(f"{gaps} cells have a condition and no resistance; the condition takes its place there", stacklevel=3)
-
-
 def _save(out: DataFrame, grid: Grid, filename: str) -> DataFrame:
     if filename.lower().endswith((".tif", ".tiff")):
         write_geotiff(out, grid, filename)
@@ -88,7 +79,6 @@ def connectedness(
     polygon_mask = polygon_mask if polygon_mask is None else fitted(polygon_mask, cond.grid)
     pa = _read(spark, pa_file, params, polygon_mask, closed_border, pair[1], cond).cells if pa_file else None
     res = _read(spark, resistance_file, params, polygon_mask, closed_border, resistance_scale, cond).cells if resistance_file else None
-    _warn_of_gaps(cond.cells, res)
     out = indicators.connectedness(cond.cells, cond.grid, params, pa=pa, pa_to_pa=pa_to_pa, resistance=res, polygon=polygon_mask, closed_border=closed_border, engine=engine)
     return _save(out, cond.grid, filename)
 
@@ -127,7 +117,6 @@ def beri(
         cells = layer.cells if "bands" in layer.cells.columns else layer.cells.withColumn("bands", F.array("value"))
         layers.append(cells.select("row", "col", "bands"))
     res = _read(spark, resistance_file, params, polygon_mask, closed_border, resistance_scale, cond).cells if resistance_file else None
-    _warn_of_gaps(cond.cells, res)
     out = indicators.beri(cond.cells, layers, cond.grid, bands, params, resistance=res, polygon=polygon_mask, closed_border=closed_border, engine=engine)
     return _save(out, cond.grid, filename)
 

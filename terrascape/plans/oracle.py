@@ -246,6 +246,7 @@ SELECT level, gi, gj, {', '.join(f'round(avg(b[{i}]), 6) AS b{i}' for i in range
     "c3_c4_edges_all": node_list(ALL, "circular", GRID, "SELECT src, u, v, round(adj, 5) AS adj, round(geo, 5) AS geo FROM edges").replace("\nSELECT src, u", f", {edges(ALL, GRID)}\nSELECT src, u", 1),
     "i3_isolated_all": node_list(ALL, "circular", GRID, "SELECT src, node, round(adj, 5) AS adj, round(geo, 5) AS geo FROM alone").replace("\nSELECT src, node, round(adj", f", {edges(ALL, GRID)}\nSELECT src, node, round(adj", 1),
     "i6_i7_paths_all": reach(ALL, resistance=True) + "\nSELECT src, node, round(adj, 5) AS adj, round(geo, 2) AS geo FROM far",
+    "i9_staged_paths": reach(ALL, resistance=True) + "\nSELECT src, node, round(adj, 5) AS adj, round(geo, 2) AS geo FROM far",
     "d7_connectedness_all": scored(ALL, "value"),
     "d7_connectedness_square_all": scored(ALL, "value", mode="square"),
     "d7_connectedness_geographic_all": scored(ALL, "value", grid=GEO),

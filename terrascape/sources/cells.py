@@ -53,6 +53,12 @@ def _files(spark: SparkSession, path: str):
     return to(path).getFileSystem(spark._jsc.hadoopConfiguration()), to
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    fs, to = _files(spark, path)
+    fs.delete(to(path), True)
+
+
 def files_exist(spark: SparkSession, path: str) -> bool:
     fs, to = _files(spark, path)
     return fs.exists(to(path))

@@ -140,10 +140,44 @@ def test_area_weights_use_their_rows(spark):
 def test_paths_sum_what_they_pass(spark):
     edges = spark.createDataFrame([(0, 0, 1, 3.0, 2.0), (0, 1, 2, 5.0, 4.0), (0, 0, 2, 9.0, 7.0)], "src long, u long, v long, adj double, geo double")
     src = spark.createDataFrame([(0,)], "src long")
-    for found in (paths.solved(edges), paths.paths_by_rounds(edges, src)):
+    for found in (paths.solved(edges), paths.paths_by_rounds(edges, src), paths.staged(edges, src, [0])):
         assert {r.node: (r.adj, r.geo) for r in found.collect()} == {1: (3.0, 2.0), 2: (8.0, 6.0)}
 
 
+def test_staged_paths_equal_those_of_blocks(spark):
+    cond, _, res = random_layers(6)
+    g = Grid(22, 19, (1 / 120, 0.0, 145.0, 0.0, -1 / 120, -41.0), True, "degrees")
+    cells = surfaces.prepared(surfaces.aligned(table.from_array(spark, cond), None, table.from_array(spark, res)), False)
+    only = spark.createDataFrame([(r, c) for r in range(0, 22, 3) for c in range(19)], "row int, col int")
+    params = Params(levels=(2, 4), outer_window=5)
+    blocks, levels = (indicators.targets(cells, g, params, False, only, engine=e, rows=12)[2].collect() for e in ("relational", "staged"))
+    a, b = ({(r.src, r.node): (r.adj, r.geo) for r in found} for found in (blocks, levels))
+    assert len(a) == len(blocks) == len(levels) > 1000 and a.keys() == b.keys()
+    assert np.allclose([a[k] for k in a], [b[k] for k in a])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("staged_")]
+    with pytest.raises(RuntimeError):
+        links = spark.createDataFrame([(0, i, i + 1, 1.0, 1.0) for i in range(6)], "src long, u long, v long, adj double, geo double")
+        paths.staged(links, spark.createDataFrame([(0,)], "src long"), [0], most=3)
+
+
+def test_staged_rounds_shuffle_only_what_moved(spark):
+    links = spark.createDataFrame([(0, i, i + 1, 1.0, 1.0) for i in range(6)], "src long, u long, v long, adj double, geo double")
+    work = paths._Tables(links, ("src", "node"), "staged-test")
+    flat = links.select("src", "u", "v", F.lit(100).cast("long").alias("q_adj"), F.col("adj").alias("km"), F.lit(100).cast("long").alias("q_geo"))
+    known = spark.createDataFrame([(0, 0, (0, 0.0), 0, True, True)], "src long, node long, adj struct<cost: long, total: double>, geo long, moved_adj boolean, moved_geo boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        best, within = work.write(known, "known", work.keys), work.write(flat, "links", ("src", "u"))
+        new = paths._onward(best.where("moved_adj"), within).withColumnsRenamed({"adj": "new_adj", "geo": "new_geo"})
+        plan = best.join(new, ["src", "node"], "full")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for place in list(work.names):
+            work.forget(place)
+    # that of the aggregation, by target
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
 def test_coverage(spark):
     g = Grid(2, 2, (1.0, 0.0, 0.0, 0.0, -1.0, 2.0))
     read = lambda p: np.nan_to_num(table.to_array(coverage.pixel_coverage(p, g), g))
