@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascape.llm.common import in_small_batches, slices, with_columns
@@ -86,6 +86,16 @@ def _bounds(documents: DataFrame, buckets: int) -> list[int]:
     return sorted({int(x) for x in found})
 
 
+def _place(bounds: list[int], value: Column) -> Column:
+    """How many of the sorted bounds are at most value, by halving."""
+    if not bounds:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    sorted_bounds = F.array(*map(F.lit, bounds)).cast("array<long>")
+    at = lambda n, step: F.when((n + step <= len(bounds)) & (F.get(sorted_bounds, n + step - 1) <= value), n + step).otherwise(n)
+    return F.aggregate(steps, F.lit(0), at)
+
+
 def edited_neighbours(documents: DataFrame, k: int = SHINGLE, buckets: int | None = None) -> DataFrame:
     """Each document against its edited text and against the next document.
 
@@ -96,31 +106,32 @@ def edited_neighbours(documents: DataFrame, k: int = SHINGLE, buckets: int | Non
 
     Null texts count as empty. Rows of one doc_id follow each other in the order of their texts'
     hashes, a null doc_id comes after all others; a table of one row is its own next.
-    Documents are cut into ranges of doc_id; the first row of each range goes to the range before
-    too, so that every text moves once and is read as a stream.
+    Documents are cut into ranges of doc_id, those without one into ranges of their texts' hashes;
+    the first row of each range goes to the range before too, so that every text moves once and is
+    read as a stream.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _bounds(rows, buckets)
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("doc_id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(bucket))
-    # the greatest doc_id of each range: at most buckets + 1 rows
-    heads = sorted((r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("doc_id")).collect())
+    # those without a doc_id have the buckets below 0, from -1 down as their hashes rise
+    nulls = -1 - F.floor((F.shiftright("tie", 32) + (1 << 31)) * buckets / (1 << 32))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), nulls).otherwise(_place(_bounds(rows, buckets), F.col("doc_id"))).cast("int"))
+    # the first row of each range, by the complement of its doc_id and its hash: at most 2 * buckets rows
+    heads = sorted((r.bucket, r.m.less, r.m.tie) for r in rows.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("doc_id").alias("less"), "tie")).alias("m")).collect())
     # its text follows the last one of the range above, or, from the top, of the lowest range
-    before = {b: heads[(i + 1) % len(heads)][0] for i, (b, _) in enumerate(heads)}
+    before = {head[0]: heads[(i + 1) % len(heads)][0] for i, head in enumerate(heads)}
     place = lambda b, guard: F.struct(b.cast("int").alias("bucket"), F.lit(guard).alias("guard"))
     own = place(F.col("bucket"), 0)
     if heads:
-        is_head = F.lit(False)
-        ids = [x for _, x in heads if x is not None]
-        is_head = F.col("doc_id").isin(ids) if ids else is_head
-        is_head = F.coalesce(is_head, F.lit(False)) | F.col("doc_id").isNull()
+        # rows that look like a head and aren't come after it in its range, and are passed over there
+        ids = [~less for _, less, _ in heads if less is not None]
+        is_head = F.col("tie").isin([tie for *_, tie in heads]) & (F.col("doc_id").isNull() | (F.col("doc_id").isin(ids) if ids else F.lit(False)))
         to = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("bucket"))
-        rows = rows.select("doc_id", "text", F.explode(F.when(is_head, F.array(own, place(to, 1))).otherwise(F.array(own))).alias("at"))
+        rows = rows.select("doc_id", "text", "tie", F.explode(F.when(is_head, F.array(own, place(to, 1))).otherwise(F.array(own))).alias("at"))
     else:
-        rows = rows.select("doc_id", "text", own.alias("at"))
-    rows = rows.select("doc_id", "text", "at.bucket", "at.guard", F.xxhash64("text").alias("tie"))
+        rows = rows.select("doc_id", "text", "tie", own.alias("at"))
+    rows = rows.select("doc_id", "text", "at.bucket", "at.guard", "tie")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "guard", F.desc_nulls_last("doc_id"), "tie")
 
     def compute(ids: list, texts: list[bytes], following: list[bytes]) -> pa.RecordBatch:

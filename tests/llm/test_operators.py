@@ -10,6 +10,7 @@ from urllib.parse import unquote, urlsplit
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from terrascape.llm import graphs, llr, minhash, mixing, packing, prefixjoin, quality, sharding, suffix, toxicity, warc
 from terrascape.llm.queries import tokenizer_path
@@ -234,6 +235,22 @@ def test_minhash_neighbours(spark, corpus):
         assert all(got[d].fingerprint == prints[t or ""] for d, t in rows)
 
 
+def test_minhash_order_of_rows_without_doc_ids(spark):
+    """Many nulls lie in ranges of their hashes; each row's next is the one that the order says, over all ranges."""
+    rows = [(None, f"nameless text {i} of many") for i in range(150)] + [(i * 1000 - 9, f"named text {i}") for i in range(60)] + [((1 << 63) - 1, "last"), (-(1 << 63), None)]
+    docs = make(spark, rows)
+    got = minhash.edited_neighbours(docs, buckets=7).collect()
+    order = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).orderBy(F.desc_nulls_last("doc_id"), "tie").collect()
+    want = []
+    for i, r in enumerate(order):
+        text, then = r.text or "", order[(i + 1) % len(order)].text or ""
+        want.append((str(r.doc_id), hashlib.sha256((text[: len(text) - len(text) // 2] + then[: len(text) // 2]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted(want)
+    bounds = [-5, 0, 3, 3, 70]
+    found = spark.range(-8, 80).select("id", minhash._place(bounds, F.col("id")).alias("n")).collect()
+    assert [r.n for r in found] == [sum(b <= r.id for b in bounds) for r in found]
+
+
 def test_minhash_on_awkward_rows(spark):
     got = minhash.edited_neighbours(make(spark, awkward())).collect()
     assert sorted((r.doc_id or 0) for r in got) == sorted((d or 0) for d, _ in awkward())
