@@ -52,5 +52,21 @@ def test_similarities_of_blocks(spark):
         assert r.sims == [None if w is None else pytest.approx(w) for w in want]
 
 
+@tables
+def test_masked_cells_without_a_value_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    os.symlink(f"{SF}/customer.parquet", tmp_path / "customer.parquet")
+    rows = spark.range(128 * 60).select(F.col("id").alias("l_orderkey"), F.floor(F.col("id") / 128).alias("l_partkey"), F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("l_suppkey"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{SF}/customer.parquet'")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(f'SELECT "row", "col", value, masked FROM ({catalog.oracle_sql()["a5_masked_cells"]})').fetchall()
+    got = catalog.QUERIES["a5_masked_cells"](spark, str(tmp_path)).select("row", "col", "value", "masked").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert any(v is None and not m for _, _, v, m in want)
+
+
 def box(x0, y0, x1, y1):
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
