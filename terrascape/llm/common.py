@@ -83,15 +83,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             i = j
 
 
-def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
-    """At most `most` labelled rows that may be learned from, the same ones each time.
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, label of all labelled rows that may be learned from.
 
-    Rows whose crc32(doc_id as text) mod 3 is 1 are held out. Those kept have the smallest
-    hashes of doc_id; rows with a null doc_id or label don't count, and a doc_id that is
-    labelled more than once takes its greatest label.
+    Rows whose crc32(doc_id as text) mod 3 is 1 are held out; rows with a null doc_id or label
+    don't count, and a doc_id that is labelled more than once takes its greatest label.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
-    one = usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    return usable.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
+def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """At most `most` rows of labelled(), the same ones each time: those with the smallest hashes of doc_id."""
+    one = labelled(labels, label)
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 

@@ -1,7 +1,7 @@
 """Quality rules: base rules on words and lines, then a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed words and word pairs: one of the raw corpus, counted over every
-document, and one of the trusted target, texts labelled as good (a bounded sample). A text's
+document, and one of the trusted target, counted over every text labelled as good. A text's
 ratio is the sum of log(target / raw) over its n-grams, divided by their number; a text below
 the threshold isn't kept, always alike.
 """
@@ -19,7 +19,6 @@ from terrascape.llm.common import in_small_batches, slices, with_columns
 from terrascape.llm.textops import SPACE, Texts, mix, span_hash, prefix_sums, windows
 
 BUCKETS = 1 << 14
-MOST_TRUSTED = 12_000
 SMOOTHING = 1.0
 #: Least log-likelihood ratio for each n-gram of a text that is kept.
 THRESHOLD = -0.05
@@ -88,9 +87,8 @@ def base(texts: Texts, words, h: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def log_ratios(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log(target / raw) of each bucket; raw counts every document, the target those whose doc_id is in `trusted`, which is a bounded sample."""
-    sample = F.broadcast(trusted.select("doc_id", F.lit(True).alias("trusted")))
-    rows = documents.select("doc_id", "text").join(sample, "doc_id", "left")
+    """log(target / raw) of each bucket; raw counts every document, the target every one whose doc_id is in `trusted`, which has each doc_id once."""
+    rows = documents.select("doc_id", "text").join(trusted.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets), np.zeros(buckets)

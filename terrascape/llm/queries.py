@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrascape.llm import fim, llr, minhash, mixing, packing, phrases, prefixjoin, quality, sharding, suffix, toxicity, urlfilter, warc
-from terrascape.llm.common import held_out, labelled_sample, table
+from terrascape.llm.common import held_out, labelled, table
 
 
 def tokenizer_path() -> str:
@@ -47,7 +47,7 @@ def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    trusted = labelled_sample(table(spark, sf_dir, "labels"), "quality", llr.MOST_TRUSTED).where("label = 1")
+    trusted = labelled(table(spark, sf_dir, "labels"), "quality").where("label = 1")
     found = llr.judged(documents.select("doc_id", "text"), llr.log_ratios(documents, trusted))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -68,5 +68,17 @@ def test_masked_cells_without_a_value_equal_the_sql(spark, tmp_path):
     assert any(v is None and not m for _, _, v, m in want)
 
 
+def test_target_of_the_ratio_is_every_text_labelled_as_good(spark, tmp_path, monkeypatch):
+    from terrascape.llm import queries
+    from terrascape.llm.common import held_out
+
+    spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(3).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(queries.llr, "log_ratios", lambda documents, trusted: seen.append(trusted.count()) or np.zeros(16))
+    queries.op7_llr_rules(spark, str(tmp_path))
+    assert seen == [spark.range(30_000).where(~held_out("id")).count()] and seen[0] > 12_000
+
+
 def box(x0, y0, x1, y1):
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
