@@ -40,11 +40,11 @@ class Mesh:
 
 
 def directed(polygon: DataFrame) -> DataFrame:
-    """x1, y1, x2, y2: edges with the inside on their left, whichever way the rings run; rings without an area are left out."""
+    """x1, y1, x2, y2, n: edges with the inside on their left, whichever way the rings run, equal ones counted; rings without an area are left out."""
     edges = segments(polygon.where((F.size("vertices") >= 3) & (signed_area(F.col("vertices")) != 0)))
     turned = F.col("sign") < 0
     ends = [F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
-    return edges.select(*ends).where("x1 <> x2 OR y1 <> y2")
+    return edges.select(*ends).where("x1 <> x2 OR y1 <> y2").groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("n"))
 
 
 def _pieces(edges: DataFrame, mesh: Mesh) -> DataFrame:
@@ -53,7 +53,7 @@ def _pieces(edges: DataFrame, mesh: Mesh) -> DataFrame:
     to = {**{c: grain((F.col(c) - mesh.x0) / mesh.side) for c in ("x1", "x2")}, **{c: grain((F.col(c) - mesh.y0) / mesh.side) for c in ("y1", "y2")}}
     rows = cut_at_lines(edges.withColumns(to), "y", mesh.rows, "row")
     cut = cut_at_lines(rows, "x", mesh.cols, "col").withColumns({c: grain(F.col(c)) for c in ("x1", "y1", "x2", "y2")})
-    return cut.where("x1 <> x2 OR y1 <> y2").groupBy("row", "col", "x1", "y1", "x2", "y2").agg(F.count("*").alias("n"))
+    return cut.where("x1 <> x2 OR y1 <> y2").groupBy("row", "col", "x1", "y1", "x2", "y2").agg(F.sum("n").alias("n"))
 
 
 def _meshed(edges: DataFrame) -> tuple[Mesh, DataFrame] | None:
@@ -153,10 +153,10 @@ def union_edges(polygon: DataFrame) -> DataFrame:
     cover counts as inside; null rings and those of fewer than 3 vertices or without an area are
     left out, and an empty table gives no rows. Places are exact to 2**-30 of a mesh cell.
     """
-    edges = directed(polygon)
+    edges = stored(directed(polygon), "edges")
     found = _meshed(edges)
     if found is None:
-        return edges
+        return edges.drop("n")
     mesh, pieces = found
     outer = _outer(stored(_atoms(pieces), "atoms"))
     a, b = (F.when(F.col("ahead"), F.col(s)).otherwise(F.col(t)) for s, t in (("low", "high"), ("high", "low")))

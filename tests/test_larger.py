@@ -82,3 +82,10 @@ def test_target_of_the_ratio_is_every_text_labelled_as_good(spark, tmp_path, mon
 
 def box(x0, y0, x1, y1):
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+
+
+def test_equal_edges_and_polygons_count_once(spark):
+    many = polygons(spark, [[box(0, 0, 3, 2)]] * 40 + [[box(0, 0, 3, 2)[::-1]]] + [[box(0, 0, 4, 4), box(1, 1, 2, 2)]] * 3)
+    assert sorted(r.n for r in overlay.directed(many).collect()) == [3] * 8 + [41] * 4
+    shapes = aoi.different(many)
+    assert sorted((r.poly_id, r.is_hole) for r in shapes.collect()) == [(0, False), (40, False), (41, False), (41, True)]
