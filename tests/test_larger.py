@@ -89,3 +89,34 @@ def test_equal_edges_and_polygons_count_once(spark):
     assert sorted(r.n for r in overlay.directed(many).collect()) == [3] * 8 + [41] * 4
     shapes = aoi.different(many)
     assert sorted((r.poly_id, r.is_hole) for r in shapes.collect()) == [(0, False), (40, False), (41, False), (41, True)]
+
+
+@pytest.mark.parametrize("margin", [0.4, 2.5, 7.5])
+def test_margin_without_comparing_pixels_and_edges(spark, margin):
+    rnd, grid = random.Random(7), Grid(40, 50, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))
+    shapes = [[[(rnd.uniform(-5, 55), rnd.uniform(-5, 45)) for _ in range(3)]] for _ in range(3)] + [[box(20, 20, 22, 23)]]
+    cells = spark.range(2000).select(F.floor(F.col("id") / 50).cast("int").alias("row"), (F.col("id") % 50).cast("int").alias("col"))
+    found = aoi.near(cells, polygons(spark, shapes), grid, margin, "edge")
+    assert plan(found)[0].count("Join") == 1  # pixels with blocks, and none with edges
+
+    def apart(p, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0, min(1, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+    def meets(a, b, j, i):
+        t0, t1 = 0.0, 1.0
+        for p, d, low in ((a[0], b[0] - a[0], j), (a[1], b[1] - a[1], i)):
+            if d == 0:
+                if not low <= p <= low + 1:
+                    return False
+            else:
+                u, v = sorted(((low - p) / d, (low + 1 - p) / d))
+                t0, t1 = max(t0, u), min(t1, v)
+        return t0 <= t1
+
+    edges = [(a, b) for shape in shapes for ring in shape for a, b in zip(ring, ring[1:] + ring[:1])]
+    for r in found.collect():
+        i, j = r["row"], r["col"]
+        least = min(0.0 if meets(a, b, j, i) else min([apart((j + x, i + y), a, b) for x in (0, 1) for y in (0, 1)] + [math.hypot(max(j - x, x - j - 1, 0), max(i - y, y - i - 1, 0)) for x, y in (a, b)]) for a, b in edges)
+        assert r.edge == (least <= margin + 1e-9), (i, j, least)
