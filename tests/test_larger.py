@@ -120,3 +120,9 @@ def test_margin_without_comparing_pixels_and_edges(spark, margin):
         i, j = r["row"], r["col"]
         least = min(0.0 if meets(a, b, j, i) else min([apart((j + x, i + y), a, b) for x in (0, 1) for y in (0, 1)] + [math.hypot(max(j - x, x - j - 1, 0), max(i - y, y - i - 1, 0)) for x, y in (a, b)]) for a, b in edges)
         assert r.edge == (least <= margin + 1e-9), (i, j, least)
+
+
+@tables
+def test_rings_are_clipped_and_reprojected_once(spark):
+    assert plan(catalog.QUERIES["h6_h8_clipped_rings"](spark, SF))[0].count("zip_with") < 20
+    assert "Join" not in plan(catalog.QUERIES["a13_reprojected"](spark, SF))[0]
