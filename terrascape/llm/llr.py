@@ -86,25 +86,43 @@ def base(texts: Texts, words, h: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def log_ratios(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log(target / raw) of each bucket; raw counts every document, the target every one whose doc_id is in `trusted`, which has each doc_id once."""
-    rows = documents.select("doc_id", "text").join(trusted.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left")
+def trusted_texts(documents: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The texts of log_ratios()'s target.
+
+    Texts meet their ids in one shuffle at every size: ids are hashed, so texts aren't sorted, and
+    neither broadcast, as they grow with the labels. Rows that aren't `learnable` stay out of it.
+    """
+    may = F.col("learnable") if "learnable" in documents.columns else F.lit(True)
+    return documents.where(may).select("doc_id", "text").join(trusted.select("doc_id").hint("shuffle_hash"), "doc_id").select("text")
+
+
+def counted(texts: DataFrame, buckets: int) -> np.ndarray:
+    """How many n-grams of all texts each bucket has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets), np.zeros(buckets)
-        for batch, texts in slices(batches):
-            words = Texts(texts).words()
-            mine = np.array([bool(x) for x in batch.column("trusted").to_pylist()])
-            for index, text in ngrams(words, words.hashes(), buckets):
-                raw += np.bincount(index, minlength=buckets)
-                target += np.bincount(index[mine[text]], minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(raw), pa.array(target)], names=["bucket", "raw", "target"])
-
-    counts = in_small_batches(rows).mapInArrow(run, "bucket int, raw double, target double").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
+        n = np.zeros(buckets)
+        for _, some in slices(batches):
+            words = Texts(some).words()
+            for index, _ in ngrams(words, words.hashes(), buckets):
+                n += np.bincount(index, minlength=buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), pa.array(n)], names=["bucket", "n"])
+
+    counts = in_small_batches(texts).mapInArrow(run, "bucket int, n double").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(buckets)
+    n[counts["bucket"]] = counts["n"]
+    return n
+
+
+def log_ratios(documents: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """log(target / raw) of each bucket; raw counts every document, the target every one whose doc_id is in `trusted`, which has each doc_id once.
+
+    A boolean column `learnable` of documents, if there is one, is true wherever `trusted` may have
+    the doc_id; a row where it is not true is out of the target.
+    """
+    target = counted(trusted_texts(documents, trusted), buckets)
     if not target.sum():
         return np.zeros(buckets)
+    raw = counted(documents.select("text"), buckets)
     return np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * buckets)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * buckets))
 
 

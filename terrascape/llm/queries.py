@@ -48,7 +48,7 @@ def op6_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     trusted = labelled(table(spark, sf_dir, "labels"), "quality").where("label = 1")
-    found = llr.judged(documents.select("doc_id", "text"), llr.log_ratios(documents, trusted))
+    found = llr.judged(documents.select("doc_id", "text"), llr.log_ratios(documents.withColumn("learnable", ~held_out()), trusted))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

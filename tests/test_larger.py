@@ -80,6 +80,33 @@ def test_target_of_the_ratio_is_every_text_labelled_as_good(spark, tmp_path, mon
     assert seen == [spark.range(30_000).where(~held_out("id")).count()] and seen[0] > 12_000
 
 
+def test_texts_that_labels_cannot_name_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Held-out texts stay where they are, and the join is the same at every size."""
+    from terrascape.llm import llr, queries
+    from terrascape.llm.common import held_out
+
+    n = 300
+    spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    texts = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("one two"), F.col("id"), F.col("id") % 7).alias("text"))
+    texts.union(spark.createDataFrame([(None, "no id"), (1, None)], "doc_id long, text string")).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(queries.llr, "log_ratios", lambda documents, trusted: seen.append((documents, trusted)) or np.zeros(16))
+    queries.op7_llr_rules(spark, str(tmp_path))
+    monkeypatch.undo()
+    ((documents, trusted),) = seen
+    assert {r.doc_id for r in documents.where("learnable").collect()} - {None} == {r.id for r in spark.range(n).where(~held_out("id")).collect()}
+    for most in ("-1", "1g"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            physical = plan(llr.trusted_texts(documents, trusted))[1]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert physical.count("ShuffledHashJoin") == 1 and "Broadcast" not in physical and "SortMergeJoin" not in physical
+    assert llr.trusted_texts(documents, trusted).count() == trusted.count() + 1  # doc_id 1 has two rows
+    assert np.array_equal(llr.log_ratios(documents, trusted), llr.log_ratios(documents.drop("learnable"), trusted))
+    assert np.any(llr.log_ratios(documents, trusted))
+
+
 def box(x0, y0, x1, y1):
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
 
