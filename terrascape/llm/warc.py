@@ -1,9 +1,9 @@
 """WARC archives: written by Spark's own text sink, read back record by record, and indexed by an external merge.
 
 A record ends in two CRLFs, which the sink writes between rows, so that each file is a valid
-WARC file on any file system, and a lost task leaves none behind. Files aren't compressed unless
-asked for, so that a record can be fetched by the offset and length in the index. Pages with
-equal payloads become one response and revisits of it. The index merges sorted runs, one an
+WARC file on any file system, and a lost task leaves none behind. Compressed records are gzip
+members of their own, so that each can be fetched by the offset and length in the index. Pages
+with equal payloads become one response and revisits of it. The index merges sorted runs, one an
 archive file, with a loser tree over (URL key, timestamp) in each range of the keys.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrascape.llm.common import shared_dir, written
+from terrascape.llm.common import in_small_batches, shared_dir, slices, written
 
 #: Fixed value: the base32 alphabet of RFC 4648, in the order of conv()'s digits.
 BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
@@ -34,6 +34,9 @@ OWN_SHARE, RECORD_BYTES = 16, 512
 SALTS = 16
 #: Captures of a range of the index, which a task merges.
 RANGE_CAPTURES = 50_000
+#: Level of zlib for records (6 makes pages a 16th smaller in 2.7 times the time); bytes of an archive that are unpacked at once.
+LEVEL, PIECE = 1, 64 << 10
+_GZIP = b"\x1f\x8b"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Date of the first capture where pages carry none; each page_id comes a second later.
 _EPOCH = 1_700_000_000
@@ -69,14 +72,15 @@ def revisits(payloads: DataFrame, least: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, least: int = 0, compression: str = "none") -> None:
     """One record a page, in WARC files below path. pages: page_id, url, html; more columns are left out.
 
-    compression: none, or gzip, which makes each file one gzip member.
+    compression: none; gzip, which makes each file one gzip member; or record, which makes each
+    record one.
 
     A null html is an empty payload; a null url is left out of its record, and line ends in one
     are escaped; repeated rows give a record each. Of pages with equal payloads of at least `least`
     bytes that with the smallest page_id is the response and others revisit it; smaller ones are
     all responses, as are pages without a page_id. Texts are shuffled and written once: pages are
-    dealt over as many files as hold their bytes half full, and one of more than a 16th of a file's
-    bytes gets a file for itself.
+    dealt over as many files as hold their bytes half full, and one of which more than a 16th of a
+    file's bytes is written gets a file for itself.
     """
     rows, large = facts(pages), FILE_BYTES // OWN_SHARE
     payloads = written(rows.select("page_id", "payload_digest", "payload_bytes"), "payload-facts")
@@ -87,8 +91,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, compression: str
     salted = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).repartition(files, "page_id", "payload_digest", "_salt")
     spread = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).repartition(files, "page_id", "payload_digest", "_salt")
     out = salted.join(spread, ["page_id", "payload_digest", "_salt"], "left").select(record().alias("value"))
+    end = "\r\n\r\n"
+    if compression == "record":
+        # the sink writes a string's bytes as they are, and after each the byte in which all members end
+        out, end, compression = members_of(out).select(F.expr("substring(value, 1, octet_length(value) - 1)").cast("string").alias("value")), "\0", "none"
     own = F.when(F.octet_length("value") > large, F.monotonically_increasing_id()).otherwise(-1)
-    out.select("value", own.alias("own")).write.partitionBy("own").options(lineSep="\r\n\r\n", compression=compression, maxRecordsPerFile=RECORDS_A_FILE).text(path)
+    out.select("value", own.alias("own")).write.partitionBy("own").options(lineSep=end, compression=compression, maxRecordsPerFile=RECORDS_A_FILE).text(path)
 
 
 def record() -> Column:
@@ -116,6 +124,39 @@ def record() -> Column:
     )
 
 
+def member(content: bytes) -> bytes:
+    """content as a gzip member that ends in a byte of 0, the highest of its size; from 16 MB on, an empty member after it does."""
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    out = packer.compress(content) + packer.flush()
+    return out if out.endswith(b"\0") else out + member(b"")
+
+
+def members(archive: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member that isn't empty."""
+    at = 0
+    while at < len(archive):
+        unpacker, end, parts = zlib.decompressobj(31), at, []
+        while not unpacker.eof:
+            if end >= len(archive):
+                raise ValueError(f"the member at {at} has no end")
+            parts.append(unpacker.decompress(archive[end : end + PIECE]))
+            end = min(len(archive), end + PIECE)
+        end -= len(unpacker.unused_data)
+        if content := b"".join(parts):
+            yield at, end - at, content
+        at = end
+
+
+def members_of(records: DataFrame) -> DataFrame:
+    """value(string) of records without their end as value(binary), the members of whole records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, some in slices(batches, "value"):
+            yield pa.RecordBatch.from_arrays([pa.array([member(x + b"\r\n\r\n") for x in some], pa.binary())], names=["value"])
+
+    return in_small_batches(records).mapInArrow(run, "value binary")
+
+
 def records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, headers, block) of each record of an uncompressed archive."""
     at = 0
@@ -132,6 +173,17 @@ def records(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = end + 4
 
 
+def held(name: str, archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """records() of an archive as write_archives writes it; of one whose records are gzip members, with the offset and length of the member."""
+    if name.endswith(".gz"):
+        yield from records(zlib.decompress(archive, 31))
+    elif archive.startswith(_GZIP):
+        for at, length, content in members(archive):
+            yield from ((at, length, headers, block) for _, _, headers, block in records(content))
+    else:
+        yield from records(archive)
+
+
 def url_key(url: str | None) -> str:
     """Host labels in reverse order, then path and query, in small letters; '' for none."""
     try:
@@ -148,7 +200,8 @@ _CAPTURE = "run string, url_key string, captured string, page_id long, record_ty
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row a record of the archives below path; a response's payload must have the digest and length that its record states.
 
-    offset and length are those of the record in its file, before compression if it has any.
+    offset and length are those of the record in its file, where it may be a gzip member; in a
+    file that is one member as a whole, before compression.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +209,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                for offset, length, h, block in records(zlib.decompress(content.as_py(), 31) if name.endswith(".gz") else content.as_py()):
+                for offset, length, h, block in held(name, content.as_py()):
                     digest, size = h["WARC-Payload-Digest"].removeprefix("sha1:"), int(h["X-Payload-Length"])
                     if h["WARC-Type"] == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
@@ -255,8 +308,8 @@ def merged_index(captures: DataFrame) -> DataFrame:
     return parted.mapInArrow(run, captures.schema)
 
 
-def archived(pages: DataFrame, least: int = 0) -> DataFrame:
+def archived(pages: DataFrame, least: int = 0, compression: str = "record") -> DataFrame:
     """Pages through the archives and back: run, url_key, captured, page_id, record_type, refers_to, payload_digest, payload_bytes, offset, length, as merged_index orders them."""
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path, least)
+    write_archives(pages, path, least, compression)
     return merged_index(written(read_archives(pages.sparkSession, path), "captures"))

@@ -337,6 +337,30 @@ def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     assert facts(warc.read_archives(spark, f"{tmp_path}/z").collect()) == facts(found)
 
 
+def test_a_compressed_record_is_fetched_by_its_place(spark, tmp_path):
+    """archived() writes less than the pages take, and each record of its index is a gzip member of its file."""
+    import gzip
+    import os
+
+    rnd = random.Random(8)
+    noise = "".join(chr(rnd.randrange(32, 0x3000)) for _ in range(1 << 20)) * 8  # more than 16 MB: the size of its member doesn't end in 0
+    pages = [(i, f"http://h{i % 3}.example.org/{i}", sentence(rnd, 400) if i % 4 else "<p>one</p>") for i in range(80)] + [(80, None, noise), (81, "http://h0.example.org/", None), (82, "http://h0.example.org/", "tail\x00")]
+    found = warc.archived(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    assert sorted(r.page_id for r in found) == [p for p, _, _ in pages]
+    for r in found:
+        name = unquote(urlsplit(r.run).path)
+        with open(name, "rb") as file:
+            file.seek(r.offset)
+            ((_, _, headers, block),) = warc.records(gzip.decompress(file.read(r.length)))
+        assert headers["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and r.record_type == ("revisit" if r.page_id % 4 == 0 and 0 < r.page_id < 80 else "response")
+        assert r.record_type == "revisit" or block.endswith(b"\r\n\r\n" + (pages[r.page_id][2] or "").encode())
+    files = {r.run for r in found}
+    assert sum(os.path.getsize(unquote(urlsplit(x).path)) for x in files) < 0.8 * sum(len((h or "").encode()) for _, _, h in pages)
+    for x in files:  # any gzip reader reads the whole file
+        with gzip.open(unquote(urlsplit(x).path)) as file:
+            assert len(list(warc.records(file.read()))) == sum(r.run == x for r in found)
+
+
 def test_a_large_page_adds_one_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
     rnd = random.Random(4)
