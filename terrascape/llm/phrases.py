@@ -5,8 +5,8 @@ into shards of one language and bounded bytes. Each shard hashes its n-grams int
 count-min sketch of one row, whose width grows with the corpus; the sketch is kept sparse and cut
 in ranges of columns, so no task or driver holds it whole. A range adds up what all shards have
 in its columns, which bounds the counts from above, and tells each shard which of its columns reach
-the threshold. The shard compiles the n-grams in these into automata, each n-gram guarded by
-its spaces, counts all matches, overlaps included, and the counts of shards are added up. An
+the threshold. The shard compiles the n-grams in these into automata over one or two signs a word,
+each n-gram guarded by the kinds of its signs, counts all matches, overlaps included, and the counts of shards are added up. An
 n-gram that is frequent in the whole is a candidate in every shard that holds it, so counts are
 exact, whatever falls together in the sketch.
 """
@@ -14,6 +14,7 @@ exact, whatever falls together in the sketch.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -36,7 +37,9 @@ RANGE_ENTRIES = 1_000_000
 #: Columns of the sketch for each n-gram counted, as a power of two.
 SPARE_BITS = 1
 #: Phrases of one automaton; a shard with more has several.
-MOST_PHRASES = 300_000
+MOST_PHRASES = 600_000
+#: Words of a shard that have a sign of their own, and signs that end others, at least.
+SHORT_WORDS, LEAST_SIDE = 128, 128
 
 #: Shares of a language's phrases that are ranked apart.
 RANKED_APART = 32
@@ -115,7 +118,7 @@ class Grams:
         self.body, self.start, self.end = body, edge[::2], edge[1::2]
         salt = np.frombuffer(hashlib.sha256(lang.encode()).digest()[:8], np.uint64)
         h = mix(spans_hashed(buf, self.start, self.end) ^ salt)
-        piece = np.searchsorted(np.flatnonzero(buf == 0x0A), self.start)
+        self.piece = piece = np.searchsorted(np.flatnonzero(buf == 0x0A), self.start)
         #: by k: the first words of runs of k, and their hashes
         self.runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for k in range(1, most + 1):
@@ -183,40 +186,91 @@ def candidates(bodies: DataFrame, most: int, least: int, width: int, ranges: int
     return rows.groupBy("range").applyInArrow(total, "shard long, columns binary")
 
 
+class Signs:
+    """A shard's body as a string of one sign for a frequent word, two for any other and one for a line feed.
+
+    Signs of frequent words, signs that begin others, signs that end these and the line feed's
+    have none in common, so they guard a match at both ends as spaces do. Frequent words have low
+    numbers: automata look through a node's children in the order in which they were added.
+    """
+
+    def __init__(self, grams: Grams):
+        offsets = np.zeros(len(grams.start) + 1, np.int64)
+        np.cumsum(grams.end - grams.start, out=offsets[1:])
+        buf = np.frombuffer(grams.body, np.uint8)
+        words = pa.Array.from_buffers(pa.large_binary(), len(grams.start), [None, pa.py_buffer(offsets), pa.py_buffer(buf[(buf != 0x20) & (buf != 0x0A)])])
+        word = words.dictionary_encode().indices.to_numpy()
+        often = np.bincount(word)
+        number = np.empty(len(often), np.int64)
+        number[np.argsort(-often, kind="stable")] = np.arange(len(often))
+        self.number = number[word]
+        two = self.number >= SHORT_WORDS
+        #: where each word's signs end and begin
+        self.end = np.cumsum(1 + two) + grams.piece
+        self.start = self.end - 1 - two
+        # below the surrogates, as long as a shard has fewer than 2**28 words
+        side = max(LEAST_SIDE, math.isqrt(len(often)) + 1)
+        rest = self.number[two] - SHORT_WORDS
+        signs = np.zeros(int(self.end[-1]) + 1, "<u2")
+        signs[self.start[~two]] = 1 + self.number[~two]
+        signs[self.end[two] - 1] = 1 + SHORT_WORDS + rest % side
+        signs[self.start[two]] = 1 + SHORT_WORDS + side + rest // side
+        self.text = signs.tobytes().decode("utf-16-le")
+
+    def sorted(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The order of runs of words by their signs."""
+        of = lambda j: np.where(first + j <= last, self.number[np.minimum(first + j, last)] + 1, 0)
+        return np.lexsort([of(j) for j in range(int((last - first).max(initial=0)), -1, -1)])
+
+    def runs(self, first: np.ndarray, last: np.ndarray) -> list[str]:
+        return [self.text[i:j] for i, j in zip(self.start[first].tolist(), self.end[last].tolist(), strict=True)]
+
+
 def matches(text: str, patterns: list[str]) -> np.ndarray:
-    """How often each of the patterns occurs in text, overlaps included."""
+    """How often each of the patterns occurs in text, overlaps included. Sorted ones are quicker to add."""
     import ahocorasick
 
     out = np.zeros(len(patterns), np.int64)
     for i in range(0, len(patterns), MOST_PHRASES):
         some = patterns[i : i + MOST_PHRASES]
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for j in sorted(range(len(some)), key=some.__getitem__):  # those of one beginning in a row are quicker to add
-            automaton.add_word(some[j], j)
+        for j, pattern in enumerate(some):
+            automaton.add_word(pattern, j)
         automaton.make_automaton()
         out[i : i + len(some)] = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(text)), np.int64), minlength=len(some))
     return out
 
 
 def counted(lang: str, body: bytes, passing: np.ndarray, most: int, width: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Phrases of the shard in passing columns, each byte as a sign; how often each occurs, and its hash."""
+    """Phrases of the shard in passing columns, each byte as a sign, those of one beginning in a row; how often each occurs, and its hash."""
     grams = Grams(lang, body, most)
-    # automata compare signs, and words are bytes
-    text = body.decode("latin-1")
-    found = []
-    for k, (first, h) in grams.runs.items():
+    signs = Signs(grams)
+
+    def passes(h: np.ndarray) -> np.ndarray:
         column = h >> np.uint64(64 - width)
-        hit = passing[np.minimum(np.searchsorted(passing, column), len(passing) - 1)] == column
-        found.append((grams.start[first[hit]] - 1, grams.end[first[hit] + k - 1] + 1, h[hit]))
-    start, end, h = (np.concatenate(x) for x in zip(*found, strict=True))
-    one = np.unique(h, return_index=True)[1]
-    patterns, hashes = [text[i:j] for i, j in zip(start[one].tolist(), end[one].tolist(), strict=True)], h[one]
-    n = matches(text, patterns)
-    if int(n.sum()) != len(h):  # two phrases of one hash: take each by its signs
-        both = dict(zip((text[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)), h.tolist(), strict=True))
-        patterns, hashes = list(both), np.array(list(both.values()), np.uint64)
-        n = matches(text, patterns)
-    return [p[1:-1] for p in patterns], n, hashes
+        return passing[np.minimum(np.searchsorted(passing, column), len(passing) - 1)] == column
+
+    found, total = [], 0
+    for k, (at, h) in grams.runs.items():
+        order = np.argsort(h, kind="stable")
+        head = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
+        hit = passes(h[order[head]])  # ascending, so quick to look up
+        total += int(np.diff(head, append=len(h))[hit].sum())
+        one = order[head[hit]]
+        found.append((at[one], at[one] + k - 1, h[one]))
+    first, last, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = signs.sorted(first, last)
+    first, last, h = first[order], last[order], h[order]
+    n = matches(signs.text, signs.runs(first, last))
+    if int(n.sum()) != total:  # two phrases of one hash: take each by its signs
+        found = [(at[hit], at[hit] + k - 1, h[hit]) for k, (at, h) in grams.runs.items() for hit in [passes(h)]]
+        first, last, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        one = np.array(list({run: i for i, run in enumerate(signs.runs(first, last))}.values()))
+        one = one[signs.sorted(first[one], last[one])]
+        first, last, h = first[one], last[one], h[one]
+        n = matches(signs.text, signs.runs(first, last))
+    text = body.decode("latin-1")
+    return [text[i:j] for i, j in zip(grams.start[first].tolist(), grams.end[last].tolist(), strict=True)], n, h
 
 
 def strings(blobs: list[bytes], lengths: list[bytes]) -> pa.Array:
@@ -237,7 +291,7 @@ def frequent(docs: DataFrame, most: int = 3, least: int = 10) -> tuple[DataFrame
     names = {"range": pa.int64(), "lang": pa.string(), "phrases": pa.binary(), "lengths": pa.binary(), "counts": pa.binary()}
 
     def count(table: pa.Table) -> pa.Table:
-        """The counts of a shard, sorted and compressed for each range of hashes: phrases of one beginning stand together."""
+        """The counts of a shard, compressed for each range of hashes: phrases of one beginning stand together."""
         blobs = [b for b in table.column("columns").to_pylist() if b is not None]
         here = table.filter(table.column("body").is_valid())
         if not blobs or not here.num_rows:
@@ -246,12 +300,11 @@ def frequent(docs: DataFrame, most: int = 3, least: int = 10) -> tuple[DataFrame
         passing = np.sort(np.concatenate([unpacked(b)[0] for b in blobs]))
         phrases, n, h = counted(lang, b"".join(map(loosened, here.column("body").to_pylist())), passing, most, width)
         at = (h >> np.uint64(64 - ranges)).astype(np.int64)
-        order = sorted(range(len(phrases)), key=phrases.__getitem__)
-        order = np.array(order)[np.argsort(at[order], kind="stable")]
-        at, n, phrases = at[order], n[order], [phrases[i].encode("latin-1") for i in order.tolist()]
+        order = np.argsort(at, kind="stable")
+        at, n, phrases = at[order], n[order], [phrases[i] for i in order.tolist()]
         size = np.array(list(map(len, phrases)), np.int32)
         edges = np.flatnonzero(np.diff(at, prepend=-1, append=1 << 40)).tolist()
-        rows = [(int(at[i]), lang, squeezed(b"".join(phrases[i:j])), squeezed(size[i:j].tobytes()), squeezed(n[i:j].tobytes())) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        rows = [(int(at[i]), lang, squeezed("".join(phrases[i:j]).encode("latin-1")), squeezed(size[i:j].tobytes()), squeezed(n[i:j].tobytes())) for i, j in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table({k: pa.array(c, t) for (k, t), c in zip(names.items(), zip(*rows, strict=True), strict=True)})
 
     def add(table: pa.Table) -> pa.Table:

@@ -81,6 +81,23 @@ def test_phrases_of_one_hash_are_told_apart(monkeypatch):
     assert dict(zip(found, n.tolist())) == {"a": 2, "b": 2, "c": 1, "d": 1, "a b": 2, "c d": 1}
 
 
+@pytest.mark.parametrize("short, side", [(128, 128), (2, 3), (0, 1)])
+def test_automata_read_two_signs_a_word_at_most(monkeypatch, short, side):
+    rnd = random.Random(7)
+    words = ["né", "中文", "x" * 40, "b\x00b", *(f"word{i}" * 3 for i in range(300))]
+    pieces = [[words[min(rnd.randrange(304), rnd.randrange(304), rnd.randrange(304))] for _ in range(rnd.randrange(1, 9))] for _ in range(2000)] + [["a"] * 30]
+    body, n_words = phrases.normal([". ".join(map(" ".join, pieces)).encode()])
+    read, real = [], phrases.matches
+    monkeypatch.setattr(phrases, "matches", lambda text, patterns: read.append(len(text)) or real(text, patterns))
+    for name, value in (("SHORT_WORDS", short), ("LEAST_SIDE", side)):
+        monkeypatch.setattr(phrases, name, value, raising=False)
+    every = np.unique(np.concatenate([h for _, h in phrases.Grams("en", body, 3).runs.values()]) >> np.uint64(24))
+    found, n, _ = phrases.counted("en", body, every, 3, 40)
+    assert read == [read[0]] and read[0] <= 2 * n_words + len(pieces)
+    plain = Counter(" ".join(w[i : i + k]) for w in pieces for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    assert {p.encode("latin-1").decode(): c for p, c in zip(found, n.tolist())} == plain
+
+
 def plain_fim(doc_id, text, seed=42, rate=50, spm=80):
     text = text or ""
     u = re.findall(fim.UNITS, text)
