@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrascape.grid import KM_A_DEGREE, UNIT_KM, Grid
+from terrascape.grid import KM_A_DEGREE, UNIT_KM, Grid, compact
 from terrascape.sources.cells import stored
 
 
@@ -178,16 +178,8 @@ def resolutions(grids: DataFrame, levels: Sequence[int] | None = None, min_dimen
 
 
 def compact_text(value: Column) -> Column:
-    """compact() as a column: thousands as K, M, B, else four digits."""
-    text = F.when(value == F.floor(value), F.floor(value).cast("string"))
-    for least, digits in ((100, 1), (10, 2), (1, 3), (0.1, 4), (0.01, 5), (0.001, 6), (1e-4, 7)):
-        # what rounds up to the next power of ten has a digit less
-        text = text.when(F.round(value, digits) >= least, F.regexp_replace(F.format_string(f"%.{digits}f", F.round(value, digits)), r"\.?0+$", ""))
-    small = F.regexp_replace(F.regexp_replace(F.format_string("%.3e", value), r"\.?0+e", "e"), "e", "e")
-    text = text.otherwise(small)
-    for size, letter in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
-        text = F.when(value >= size, F.format_string(f"%.2f{letter}", value / size)).otherwise(text)
-    return text
+    """compact() as a column, null for null: Spark's own formats round a double by its shortest text, and not by its value."""
+    return F.udf(lambda v: None if v is None else compact(v), "string")(value.cast("double"))
 
 
 def resolution_info(spark, grid: Grid, levels: Sequence[int] | None = None, min_dimension: int = 16, outer_window: int = 5) -> DataFrame:
