@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ END = 0
 LANE_ROWS, FEWEST_LANES = 200_000, 16
 #: Distinct pieces whose ids a worker keeps.
 KEPT_PIECES = 200_000
+#: Bytes of text that are tokenised at once: what a worker has beside them is many times their size.
+TOKENISED_BYTES = 1 << 19
 
 #: Code points with the Unicode property White_Space.
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -111,7 +113,7 @@ class Tokens:
         ranks = {bytes(_byte_of()[c] for c in token): i for token, i in self.encoder.get_vocab(with_added_tokens=False).items() if all(c in _byte_of() for c in token)}
         self.merge = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks={k: ranks[k] for k in sorted(ranks, key=ranks.get) if ranks[k] < len(ranks)}, special_tokens={}).encode_ordinary
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
-        self.known: dict[int, tuple[int, ...]] = {}
+        self.known: dict[int, bytes] = {}
 
     def of(self, texts: list[bytes | None]) -> list[np.ndarray]:
         parts = [t or b"" for t in texts]
@@ -144,10 +146,10 @@ class Tokens:
                 self.known.clear()
             strings = [joined[a:b].decode() for a, b in zip(start[where[new]].tolist(), end[where[new]].tolist(), strict=True)]
             for i, e in zip(new, map(self.merge, strings), strict=True):
-                ids[i] = tuple(e)
+                ids[i] = array("I", e).tobytes()
             self.known.update(zip(key[new].tolist(), (ids[i] for i in new), strict=True))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.cumsum(size) - size
         count = size[back]
         total = np.cumsum(count)
@@ -166,7 +168,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, sequence: int = SEQUENCE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(tokenizer)
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, limit=TOKENISED_BYTES):
             docs = batch.column("doc_id").to_pylist()
             rows = []
             for doc, ids in zip(docs, tokens.of(texts), strict=True):

@@ -9,12 +9,14 @@ in SHARDS groups that are trained apart and whose weights are averaged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascape.llm.common import labelled_sample, with_columns, written
+from terrascape.llm.common import in_small_batches, labelled_sample, with_columns, written
 from terrascape.llm.textops import Texts, mix, windows
 
 BUCKETS = 1 << 18
@@ -71,20 +73,39 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def sparse(texts: list[bytes | None], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct buckets and values; the last bucket is the bias."""
+def sparse(texts: list[bytes | None], buckets: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Each text's distinct buckets, how often it has each, and its number of words."""
     found, count = features(texts, buckets)
     index = np.concatenate([i for i, _ in found])
     text = np.concatenate([t for _, t in found])
     key, n = np.unique(text * np.int64(buckets) + index, return_counts=True)
     cut = np.searchsorted(key, np.arange(len(count) + 1) * np.int64(buckets))
-    return [
-        (np.append((key[a:b] % buckets).astype(np.int32), np.int32(buckets)), np.append(SCALE * n[a:b] / max(1, c), 1.0))
-        for a, b, c in zip(cut[:-1], cut[1:], count, strict=True)
-    ]
+    at, n = (key % buckets).astype(np.int32), n.astype(np.int32)
+    return *([x[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (at, n)), count
+
+
+class Rows:
+    """(buckets, values, label) of texts in the order of doc_id, as often as asked; the last bucket is the bias.
+
+    Held are buckets and counts, these in as few bytes as they take; values are worked out a text at a time.
+    """
 
+    def __init__(self, batches: Iterator[pa.RecordBatch], buckets: int):
+        self.buckets, held = buckets, []
+        for batch in batches:
+            at, n = (packed(batch.column(c)) for c in ("at", "n"))
+            held += zip(batch.column("doc_id").to_pylist(), at, n, batch.column("words").to_pylist(), batch.column("label").to_pylist(), strict=True)
+        self.held = sorted(held, key=lambda row: row[0])
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, state: Ftrl | None = None, epochs: int = 2) -> Ftrl:
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for _, at, n, words, y in self.held:
+            yield np.append(at, np.int32(self.buckets)), np.append(SCALE * n.astype(np.float64) / max(1, words), 1.0), y
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]] | Rows, buckets: int, state: Ftrl | None = None, epochs: int = 2) -> Ftrl:
     """Passes over (buckets, values, label); the rarer label weighs more, up to four times."""
     model = state or Ftrl(buckets)
     ones = sum(y for _, _, y in rows)
@@ -95,37 +116,30 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, state: Ftr
     return model
 
 
-def lists(column: pa.ChunkedArray | pa.Array) -> list:
-    """A list column as numpy arrays, or lists of them, that share its memory."""
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(whole, pa.ChunkedArray):
-        whole = pa.concat_arrays(whole.chunks)
-    inner = lists(whole.values) if pa.types.is_list(whole.type.value_type) else whole.values.to_numpy(zero_copy_only=False)
-    cut = whole.offsets.to_numpy()
-    return [inner[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+def packed(column: pa.Array) -> list[np.ndarray]:
+    """A column of lists of numbers from 0 on as numpy arrays in memory of their own, of the narrowest type that holds them all."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = flat.astype(np.min_scalar_type(flat.max(initial=0)))
+    cut = column.offsets.to_numpy() - column.offsets[0].as_py()
+    return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def averaged(rows: DataFrame, learn, buckets: int, more: DataFrame | None = None) -> tuple[np.ndarray, float]:
-    """Weights and bias: the mean of the models that learn(table) fits to each shard of rows, by their row counts.
+def averaged(rows: DataFrame, learn, buckets: int) -> tuple[np.ndarray, float]:
+    """Weights and bias: the mean of the models that learn(batches) fits to each shard of rows, by their numbers of texts.
 
-    rows: a bounded training set with doc_id and label; table: a shard of it, in the order of doc_id.
-    more: rows with a number `deal` by which they are dealt to the shards, for learn(table, its shard of more).
+    rows: a bounded training set with a number `deal` by which it is dealt to the shards; batches: those
+    of a shard, in any order and one at a time. learn returns the model and the number of texts it saw.
     """
 
-    def run(group: pa.Table, *others: pa.Table) -> pa.Table:
-        if not len(group):
-            return pa.table({"at": pa.array([], pa.int32()), "w": pa.array([], pa.float64())})
-        group = group.sort_by("doc_id")
-        w = learn(group, *others).weights()
-        at = np.flatnonzero(w).astype(np.int32)
-        n = float(len(group))
-        return pa.table({"at": pa.array([*at.tolist(), -1], pa.int32()), "w": pa.array([*(n * w[at]).tolist(), n], pa.float64())})
-
-    parts = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))).groupBy("shard")
-    if more is not None:
-        parts = parts.cogroup(more.withColumn("shard", F.pmod("deal", F.lit(SHARDS).cast("long"))).groupBy("shard"))
-    parts = parts.applyInArrow(run if more is None else lambda group, other: run(group, other), "at int, w double")
-    found = parts.groupBy("at").agg(F.sum("w").alias("w")).toPandas().set_index("at")["w"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, texts = learn(batches)
+        if texts:
+            w = model.weights()
+            at = np.flatnonzero(w).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, np.int32(-1))), pa.array(np.append(texts * w[at], float(texts)))], names=["at", "w"])
+
+    parts = in_small_batches(rows).withColumn("shard", F.pmod("deal", F.lit(SHARDS).cast("long"))).groupBy("shard")
+    found = parts.applyInArrow(run, "at int, w double").groupBy("at").agg(F.sum("w").alias("w")).toPandas().set_index("at")["w"]
     out = np.zeros(buckets + 1)
     if len(found):
         n = found.pop(-1)
@@ -140,16 +154,14 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED,
     """
     sample = documents.select("doc_id", "text").join(F.broadcast(labelled_sample(labels, "quality", most)), "doc_id")
 
-    def extract(texts: list[bytes | None]):
-        found = sparse(texts, buckets)
-        return [at.tolist() for at, _ in found], [x.tolist() for _, x in found]
-
-    rows = written(with_columns(sample, "at array<int>, x array<double>", extract).drop("text"), "quality-sample")
+    rows = written(with_columns(sample, "at array<int>, n array<int>, words int", lambda texts: sparse(texts, buckets)).drop("text"), "quality-sample")
+    return averaged(rows.withColumn("deal", F.xxhash64("doc_id")), lambda batches: learned(batches, buckets), buckets)
 
-    def learn(group: pa.Table) -> Ftrl:
-        return fit(list(zip(lists(group.column("at")), lists(group.column("x")), group.column("label").to_pylist(), strict=True)), buckets)
 
-    return averaged(rows, learn, buckets)
+def learned(batches: Iterator[pa.RecordBatch], buckets: int) -> tuple[Ftrl, int]:
+    """The model of a shard's rows (doc_id, label, at, n, words), and how many there are."""
+    rows = Rows(batches, buckets)
+    return fit(rows, buckets), len(rows)
 
 
 def classify(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.5) -> DataFrame:

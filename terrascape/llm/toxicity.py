@@ -14,11 +14,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascape.llm.common import labelled_sample, with_columns, written
-from terrascape.llm.quality import Ftrl, averaged, lists
+from terrascape.llm.quality import Ftrl, averaged, packed
 from terrascape.llm.textops import Texts, mix, spans_hashed, windows
 
 BUCKETS = 1 << 20
@@ -159,22 +160,33 @@ def trained(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED,
 
     def extract(texts: list[bytes | None]):
         found = changes(texts, buckets, groups)
-        return [at.tolist() for at in sparse(texts, buckets)], *([[at.tolist() for at in one[side]] for one in found] for side in (0, 1))
+        return sparse(texts, buckets), *([one[side] for one in found] for side in (0, 1))
 
     rows = written(with_columns(sample, "at array<int>, said array<array<int>>, other array<array<int>>", extract).drop("text"), "toxicity-sample")
     pairs = rows.select("doc_id", (1 / F.size("said")).alias("share"), F.posexplode(F.arrays_zip("said", "other")).alias("place", "pair"))
     pairs = pairs.select(F.pmod(F.xxhash64("doc_id", "place"), F.lit(1 << 16)).alias("deal"), "doc_id", "place", "share", "pair.said", "pair.other")
-
-    def learn(group: pa.Table, swaps: pa.Table) -> Ftrl:
-        at = lists(group.column("at"))
-        df = np.bincount(np.concatenate(at), minlength=buckets + 1)
-        at = [a[df[a] > 1] for a in at]
-        # in the order of their hashes, so that those of one text don't come together
-        swaps = swaps.sort_by([("deal", "ascending"), ("doc_id", "ascending"), ("place", "ascending")])
-        found = list(zip(lists(swaps.column("said")), lists(swaps.column("other")), strict=True)) if len(swaps) else []
-        return fit(list(zip(at, group.column("label").to_pylist(), strict=True)), found, buckets, shares=swaps.column("share").to_pylist())
-
-    return averaged(rows.select("doc_id", "label", "at"), learn, buckets, pairs)
+    both = rows.select(F.xxhash64("doc_id").alias("deal"), "doc_id", "label", "at").unionByName(pairs, allowMissingColumns=True)
+    return averaged(both, lambda batches: learned(batches, buckets), buckets)
+
+
+def learned(batches: Iterator[pa.RecordBatch], buckets: int) -> tuple[Ftrl, int]:
+    """The model of a shard, and its number of texts: rows (doc_id, label, at), and swaps (deal, doc_id, place, share, said, other) without a label."""
+    texts, pairs, df = [], [], np.zeros(buckets + 1, np.int64)
+    for batch in batches:
+        of_texts = pc.is_valid(batch.column("label"))
+        rows, swaps = batch.filter(of_texts), batch.filter(pc.invert(of_texts))
+        at = packed(rows.column("at"))
+        for a in at:
+            df[a] += 1
+        texts += zip(rows.column("doc_id").to_pylist(), at, rows.column("label").to_pylist(), strict=True)
+        order = zip(*(swaps.column(c).to_pylist() for c in ("deal", "doc_id", "place")), strict=True)
+        pairs += zip(order, packed(swaps.column("said")), packed(swaps.column("other")), swaps.column("share").to_pylist(), strict=True)
+    texts.sort(key=lambda row: row[0])
+    # in the order of their hashes, so that those of one text don't come together
+    pairs.sort(key=lambda row: row[0])
+    rows = [(a[df[a] > 1], y) for _, a, y in texts]
+    del texts, df
+    return fit(rows, [(a, b) for _, a, b, _ in pairs], buckets, shares=[share for *_, share in pairs]), len(rows)
 
 
 def classify(documents: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:

@@ -857,3 +857,54 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
         out = stage(spark, docs.limit(0), path)
         assert out.columns == docs.columns and out.count() == 0, name
     assert cp.run(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("learn", [quality, toxicity])
+def test_training_holds_no_more_than_its_features(learn):
+    """Batches come in any order and one at a time, and leave only buckets and small counts behind."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts, each, buckets = 400, 2_000, 1 << 14
+    rng = np.random.default_rng(3)
+    at = [np.sort(rng.choice(buckets, each, replace=False)).astype(np.int32) for _ in range(texts)]
+    n = [rng.integers(1, 9, each).astype(np.int32) for _ in range(texts)]
+    order, read = rng.permutation(texts), []
+
+    def batches():
+        for ids in order.reshape(-1, 20).tolist():
+            read.append(pa.total_allocated_bytes())
+            columns = {"doc_id": pa.array(ids), "label": pa.array([i % 2 for i in ids]), "at": pa.array([at[i] for i in ids], pa.list_(pa.int32()))}
+            if learn is quality:
+                more = {"n": pa.array([n[i] for i in ids], pa.list_(pa.int32())), "words": pa.array([each] * len(ids))}
+            else:
+                none = pa.nulls(len(ids), pa.list_(pa.int32()))
+                more = {"deal": pa.array(ids), "place": pa.nulls(len(ids), pa.int32()), "share": pa.nulls(len(ids), pa.float64()), "said": none, "other": none}
+            yield pa.RecordBatch.from_pydict(columns | more)
+
+    tracemalloc.start()
+    model, seen = learn.learned(batches(), buckets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == texts and max(read) - read[0] < 4 * 20 * each * 8
+    assert most < 8 * texts * each  # 12 bytes and more a feature if values are held, and as many again for a sorted copy
+    if learn is quality:
+        whole = [(np.append(a, np.int32(buckets)), np.append(quality.SCALE * c / each, 1.0), i % 2) for i, (a, c) in enumerate(zip(at, n, strict=True))]
+        assert np.array_equal(model.weights(), quality.fit(whole, buckets).weights())
+    else:
+        df = np.bincount(np.concatenate(at), minlength=buckets + 1)
+        assert np.array_equal(model.weights(), toxicity.fit([(a[df[a] > 1], i % 2) for i, a in enumerate(at)], [], buckets).weights())
+
+
+def test_texts_are_tokenised_in_small_pieces(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted(packing.Tokens):
+        def of(self, texts):
+            seen.add(sum(map(len, texts)) > 1 << 19)
+            return super().of(texts)
+
+    monkeypatch.setattr(packing, "Tokens", Counted)
+    rows = packing.token_pieces(make(spark, [(i, "some words of a text " * 500) for i in range(120)]).coalesce(1), tokenizer_path())
+    assert rows.count() >= 120 and seen.value == 0
