@@ -153,3 +153,31 @@ def test_margin_without_comparing_pixels_and_edges(spark, margin):
 def test_rings_are_clipped_and_reprojected_once(spark):
     assert plan(catalog.QUERIES["h6_h8_clipped_rings"](spark, SF))[0].count("zip_with") < 20
     assert "Join" not in plan(catalog.QUERIES["a13_reprojected"](spark, SF))[0]
+
+
+@tables
+@pytest.mark.parametrize("name", ["a5_masked_cells", "a8_touched_pixels"])
+def test_plots_of_a_key_that_repeats_or_without_corners_equal_the_sql(spark, tmp_path, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    some = f"SELECT * FROM '{SF}/customer.parquet' WHERE c_custkey % 15 IN (0, 5, 7)"
+    rows = {"repeated": f"{some} UNION ALL {some} UNION ALL SELECT * REPLACE ((c_nationkey + 1)::INT AS c_nationkey) FROM ({some}) WHERE c_custkey % 2 = 0", "unknown": f"SELECT * REPLACE (CASE WHEN c_custkey > 20 THEN c_nationkey END AS c_nationkey) FROM ({some})"}
+    for kind, sql in rows.items():
+        os.makedirs(tmp_path / kind)
+        con.sql(f"COPY ({sql}) TO '{tmp_path}/{kind}/customer.parquet'")
+        os.symlink(f"{SF}/lineitem.parquet", tmp_path / kind / "lineitem.parquet")
+        con.sql(f"CREATE OR REPLACE VIEW customer AS SELECT * FROM '{tmp_path}/{kind}/customer.parquet'")
+        got = catalog.QUERIES[name](spark, str(tmp_path / kind))
+        want = con.sql(f"SELECT {', '.join(f'"{c}"' for c in got.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)), kind
+
+
+def test_polygons_with_one_id_each_count(spark):
+    """Holes take away from the polygon they lie in, and not from what covers them with the same id."""
+    grid = Grid(12, 12, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))
+    ringed, over = [box(0, 0, 9, 9), box(2, 2, 7, 7)], [box(3, 3, 12, 6)]
+    apart = polygons(spark, [ringed, ringed, over])
+    together = apart.withColumn("poly_id", F.lit(0).cast("long"))
+    assert sorted(aoi.touched(together, grid).collect()) == sorted(aoi.touched(apart, grid).collect())
