@@ -181,3 +181,47 @@ def test_polygons_with_one_id_each_count(spark):
     apart = polygons(spark, [ringed, ringed, over])
     together = apart.withColumn("poly_id", F.lit(0).cast("long"))
     assert sorted(aoi.touched(together, grid).collect()) == sorted(aoi.touched(apart, grid).collect())
+
+
+@pytest.mark.parametrize("mode, geo, levels", [("circular", False, (1, 2)), ("square", False, (1, 2)), ("circular", True, (1, 2, 4))])
+def test_links_and_paths_of_a_block_equal_those_of_joins(spark, mode, geo, levels):
+    """A block's nodes give the same paths as links that are joined and shuffled, and their bands the same likeness."""
+    from terrascape.operators import paths, pyramid
+    from terrascape.plans import indicators
+    from terrascape.sources import cells as table
+
+    rnd = np.random.default_rng(8)
+    values = np.where(rnd.random((21, 26)) < 0.35, np.nan, rnd.random((21, 26)))
+    values[:5, :5] = np.nan
+    values[2, 2] = 0.4  # a source that stands alone
+    grid = Grid(21, 26, (0.01, 0.0, 146.0, 0.0, -0.01, -42.0), True, unit="degrees") if geo else Grid(21, 26)
+    params = Params(levels=levels, window_mode=mode)
+    cells = indicators._prepare(table.from_array(spark, values), grid, None, None, None, None, None, False)
+    src, nodes, far = indicators.targets(cells, grid, params)
+    want = {(r.src, r.node): (r.adj, r.geo) for r in far.collect()}
+    solved = paths.within(grid, params)(nodes.select("src", "node", "trav", "rim").toArrow())
+    got = {(r["src"], r["node"]): (r["adj"], r["geo"]) for r in solved.to_pylist()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    alone = 1 << 48 | 2 << 24 | 2
+    assert [k for k in got if k[0] == alone] == [(alone, alone)]
+    bands = {(i, j): [float(x) for x in rnd.random(3)] for i in range(21) for j in range(26) if rnd.random() < 0.9}
+    layers = [spark.createDataFrame([(i, j, [x * k for x in b]) for (i, j), b in bands.items()], "row int, col int, bands array<double>") for k in (1.0, 0.5)]
+    known = pyramid.gathered([pyramid.band_overview(x, levels, 3) for x in layers])
+    at = far.join(nodes.select("src", "node", "row", "col", "level", "gi", "gj", "cond", "area"), ["src", "node"])
+    told = metrics.similarities(at, nodes, layers[0], known, 2, 3)
+    found = metrics.reached_similarities(nodes, window.seen(nodes, src, grid, params, metrics.BLOCK), layers[0], known, grid, params, 2, 3)
+    flat = lambda df: sorted((r.src, *(round(x, 9) for x in (r.adj, r.geo, r.cond, r.area)), *(-1 if s is None else round(s, 9) for s in r.sims)) for r in df.collect())
+    assert flat(found) == flat(told)
+
+
+def test_links_of_climate_resilience_are_not_shuffled(spark):
+    """At size they and the paths were the most that went to disk: nodes and bands are shuffled to blocks, and a level's overview shares its shuffle."""
+    from terrascape.plans import indicators
+
+    cells = spark.range(1500).select(F.floor(F.col("id") / 30).cast("int").alias("row"), (F.col("id") % 30).cast("int").alias("col"))
+    layers = [cells.withColumn("bands", F.array(F.col("row") * k / 50.0)) for k in (1, 2)]
+    out = indicators.beri(cells.withColumn("value", F.lit(0.5)), layers, Grid(50, 30), 1, Params(levels=(2,), lambdas=(2.0,), option=1))
+    assert out.where("value > 0").count() == 1500
+    # queen neighbours were eight for each node; here nothing that grows with nodes is made before blocks take them
+    optimized, physical = plan(out)
+    assert "v_node" not in optimized and "FlatMapGroupsInArrow" not in physical and physical.count("FlatMapCoGroupsInArrow") == 1
