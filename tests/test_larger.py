@@ -176,8 +176,8 @@ def test_plots_of_a_key_that_repeats_or_without_corners_equal_the_sql(spark, tmp
 
 def test_polygons_with_one_id_each_count(spark):
     """Holes take away from the polygon they lie in, and not from what covers them with the same id."""
-    grid = Grid(12, 12, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))
-    ringed, over = [box(0, 0, 9, 9), box(2, 2, 7, 7)], [box(3, 3, 12, 6)]
+    grid = Grid(24, 24, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0))
+    ringed, over = [box(0, 0, 20, 20), box(6, 6, 14, 14)], [box(3, 8, 24, 12)]
     apart = polygons(spark, [ringed, ringed, over])
     together = apart.withColumn("poly_id", F.lit(0).cast("long"))
     assert sorted(aoi.touched(together, grid).collect()) == sorted(aoi.touched(apart, grid).collect())
